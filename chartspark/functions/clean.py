@@ -159,12 +159,13 @@ def looks_misdecoded(c: str | Column) -> Column:
 
 
 def redecode_latin1(c: str | Column) -> Column:
-    """Undo one Latin-1 misreading on the JVM, kept only when every character fits Latin-1 and the marks go away."""
+    """Undo one Latin-1 misreading on the JVM: kept when the bytes are valid UTF-8 and fewer marks are left."""
     text = col(c)
     fits = ~text.rlike("[^\\u0000-\\u00ff]")
-    fixed = F.decode(F.encode(F.when(fits, text), "ISO-8859-1"), "UTF-8")
-    clean = fixed.isNotNull() & ~fixed.rlike(MOJIBAKE_MARKS) & ~fixed.contains("�")
-    return F.when(looks_misdecoded(text) & clean, fixed).otherwise(text)
+    fixed = F.encode(F.when(fits, text), "ISO-8859-1").cast("string")
+    marks = lambda x: F.regexp_count(x, F.lit(MOJIBAKE_MARKS))
+    better = F.coalesce(F.is_valid_utf8(fixed), F.lit(False)) & (marks(fixed) < marks(text))
+    return F.when(looks_misdecoded(text) & better, fixed).otherwise(text)
 
 
 @F.pandas_udf("string")
