@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def col(c: str | Column) -> Column:
@@ -168,7 +169,7 @@ def redecode_latin1(c: str | Column) -> Column:
     return F.when(looks_misdecoded(text) & better, fixed).otherwise(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def redecode_cp1252(texts: pd.Series) -> pd.Series:
     """Undo one windows-1252 misreading, which the JVM encoder does not offer."""
 

@@ -10,6 +10,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chartspark.functions.clean import col
 from chartspark.functions.language_rules import (
@@ -20,7 +21,7 @@ JOINER = "\u001f"
 _BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t))
 
@@ -157,7 +158,7 @@ def _block_count(lines: list[str], rules: LyricRules) -> int:
 
 
 def block_repeats(rules: LyricRules = DEFAULT_RULES):
-    @F.pandas_udf("int")
+    @F.pandas_udf(T.IntegerType())
     def count(lines: pd.Series) -> pd.Series:
         return lines.map(lambda a: None if a is None else _block_count(list(a), rules)).astype("Int32")
 
@@ -177,7 +178,7 @@ def chorus_repetition(text: Column, rules: LyricRules = DEFAULT_RULES) -> Column
     return (
         F.when(tags >= 2, tags - 1)
         .when(found >= 1, found)
-        .when((tags == 1) & ((F.size(lines) >= 2 * rules.min_block_lines) | (F.size(lines) >= 2)), F.lit(0))
+        .when((tags == 1) & (F.size(lines) >= 2), F.lit(0))
     )
 
 
@@ -318,74 +319,79 @@ def profile_language(line: Column, profile: dict[str, list[str]]) -> Column:
     return F.when(best["n"] > 0, best["name"])
 
 
-def line_facts(line: Column, detector) -> Column:
-    """(language, weight, latin, ko, ja, zh) of one line; detector maps a line column to a language column."""
-    counts = {name: class_count(line, chars) for name, chars in SCRIPTS.items()}
-    total = counts["ko"] + counts["ja"] + counts["zh"]
-    latin = latin_count(line)
-    ranked = F.array(*[F.struct(c.alias("n"), F.lit(-i).alias("o"), F.lit(n).alias("name")) for i, (n, c) in enumerate(counts.items())])
-    top = F.array_max(ranked)
-    by_script = (total > 0) & (top["n"] / total >= SCRIPT_SHARE)
-    readable = (latin >= MIN_LETTERS) | (total >= MIN_LETTERS)
-    language = F.when(by_script, top["name"]).when(readable, detector(line))
-    return F.struct(
-        language.alias("language"), (latin + total).alias("weight"), latin.alias("latin"), *[c.alias(n) for n, c in counts.items()]
+def line_language(df: DataFrame, line: str, detector) -> DataFrame:
+    """Adds letter counts and the language of each line: a dominant script wins, short lines have none, else the detector.
+
+    detector maps a line column to a language column.
+    """
+    counts = df.select(
+        "*", latin_count(F.col(line)).alias("latin"), *[class_count(F.col(line), chars).alias(n) for n, chars in SCRIPTS.items()]
     )
+    counts = counts.withColumn("script_total", sum((F.col(n) for n in SCRIPTS), F.lit(0)))
+    ranked = F.array(*[F.struct(F.col(n).alias("n"), F.lit(-i).alias("o"), F.lit(n).alias("name")) for i, n in enumerate(SCRIPTS)])
+    top = counts.withColumn("_top", F.array_max(ranked))
+    by_script = (F.col("script_total") > 0) & (F.col("_top.n") / F.col("script_total") >= SCRIPT_SHARE)
+    readable = (F.col("latin") >= MIN_LETTERS) | (F.col("script_total") >= MIN_LETTERS)
+    language = F.when(by_script, F.col("_top.name")).when(readable, detector(F.col(line)))
+    return top.select(*counts.columns, language.alias("line_language"))
 
 
-def detect_language(text: str | Column, detector, languages: list[str]) -> Column:
-    """(language, distribution) of a text by letter-weighted line votes, all inside the row.
+def detect_language(df: DataFrame, key: str, text: str, detector, languages: list[str]) -> DataFrame:
+    """(key, language, shares) by letter-weighted line votes.
 
-    languages lists what the detector may return; the three scripts are added.
+    Lines are summed before the shuffle, so only a few counters per text move. languages lists what the detector may
+    return; the three scripts are added. Texts without readable lines are unknown.
     """
     names = [*SCRIPTS, *[x for x in languages if x not in SCRIPTS]]
-    facts = F.transform(clean_lines(text), lambda line: line_facts(line, detector))
-
-    def total(field: str, keep) -> Column:
-        return F.aggregate(F.filter(facts, keep), F.lit(0), lambda acc, x: acc + x[field])
-
-    votes = F.array(*[
-        F.struct(total("weight", lambda x, n=name: (x["language"] == n) & (x["weight"] >= MIN_LETTERS)).alias("n"),
-                 F.lit(-i).alias("o"), F.lit(name).alias("name"))
-        for i, name in enumerate(names)
-    ])
-    scripts = F.array(*[
-        F.struct(total(name, lambda x: F.lit(True)).alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("name"))
-        for i, name in enumerate(SCRIPTS)
-    ])
-    latin = total("latin", lambda x: F.lit(True))
-    return F.struct(votes.alias("votes"), scripts.alias("scripts"), latin.alias("latin"))
-
-
-def language_decision(votes: str) -> tuple[Column, Column]:
-    """Label and share map from the struct of detect_language kept in a column."""
-    v, s, latin = F.col(f"{votes}.votes"), F.col(f"{votes}.scripts"), F.col(f"{votes}.latin")
+    lines = df.select(key, F.explode_outer(clean_lines(text)).alias("line"))
+    facts = line_language(lines, "line", detector)
+    weight = F.col("latin") + F.col("script_total")
+    counted = weight >= MIN_LETTERS
+    none = F.lit(0).cast("bigint")
+    sums = facts.groupBy(key).agg(
+        *[F.coalesce(F.sum(F.when(counted & (F.col("line_language") == n), weight)), none).alias(f"v_{n}") for n in names],
+        *[F.coalesce(F.sum(n), none).alias(f"s_{n}") for n in SCRIPTS],
+        F.coalesce(F.sum("latin"), none).alias("latin"),
+    )
 
-    def add(array: Column) -> Column:
-        return F.aggregate(array, F.lit(0), lambda acc, x: acc + x["n"])
+    def ranked(prefix: str, wanted) -> Column:
+        return F.array(*[F.struct(F.col(f"{prefix}_{n}").alias("n"), F.lit(-i).alias("o"), F.lit(n).alias("name")) for i, n in enumerate(wanted)])
 
-    def shares(array: Column, whole: Column) -> Column:
+    def shares(array: str, whole: Column) -> Column:
         some = F.filter(array, lambda x: x["n"] > 0)
         return F.map_from_entries(F.transform(some, lambda x: F.struct(x["name"], F.bround(x["n"] / whole, 4))))
 
-    total, script_total = add(v), add(s)
-    letters = script_total + latin
-    top, top_script = F.array_max(v), F.array_max(s)
-    strong = F.size(F.filter(v, lambda x: x["n"] / total >= MIXED_SHARE))
-    by_script = (letters >= MIN_LETTERS) & (top_script["n"] > 0) & (top_script["n"] / letters >= MAIN_SHARE)
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
+    total, letters = F.col("total"), F.col("letters")
+    base = (
+        sums.select(
+            key, "latin", ranked("v", names).alias("votes"), ranked("s", SCRIPTS).alias("scripts"),
+            sum((F.col(f"v_{n}") for n in names), none).alias("total"),
+            (sum((F.col(f"s_{n}") for n in SCRIPTS), none) + F.col("latin")).alias("letters"),
+        )
+        .withColumn("top", F.array_max("votes"))
+        .withColumn("top_script", F.array_max("scripts"))
+    )
+    strong = F.size(F.filter("votes", lambda x: x["n"] / total >= MIXED_SHARE))
+    by_script = (letters >= MIN_LETTERS) & (F.col("top_script.n") > 0) & (F.col("top_script.n") / letters >= MAIN_SHARE)
     label = (
-        F.when((total > 0) & (top["n"] / total >= MAIN_SHARE), top["name"])
+        F.when((total > 0) & (F.col("top.n") / total >= MAIN_SHARE), F.col("top.name"))
         .when((total > 0) & (strong >= 2), "mixed")
-        .when(total > 0, top["name"])
-        .when(by_script, top_script["name"])
+        .when(total > 0, F.col("top.name"))
+        .when(by_script, F.col("top_script.name"))
         .otherwise("unknown")
     )
-    with_latin = F.when(
-        latin > 0, F.map_concat(shares(s, letters), F.create_map(F.lit("latin_other"), F.bround(latin / letters, 4)))
-    ).otherwise(shares(s, letters))
-    distribution = F.when(total > 0, shares(v, total)).when(by_script, with_latin).otherwise(empty)
-    return label, distribution
+    other = F.create_map(F.lit("latin_other"), F.bround(F.col("latin") / letters, 4))
+    by_letters = F.when(F.col("latin") > 0, F.map_concat(shares("scripts", letters), other)).otherwise(shares("scripts", letters))
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
+    distribution = F.when(total > 0, shares("votes", total)).when(by_script, by_letters).otherwise(empty)
+    return base.select(key, label.alias("language"), distribution.alias("shares"))
+
+
+def language_changes(old: DataFrame, new: DataFrame, key: str, language: str = "language") -> DataFrame:
+    """Rows whose label changes, with the old and the new one."""
+    before = old.select(key, F.col(language).alias("old"))
+    after = new.select(key, F.col(language).alias("new"))
+    return before.join(after, key).where(~F.col("old").eqNullSafe(F.col("new")))
 
 
 # ---- search results --------------------------------------------------------------------------------

@@ -1,3 +1,213 @@
+"""Lyric text queries on the documents table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from chartspark.functions import text as X
+from chartspark.functions.language_rules import EDGE_MARKS, PRONOUNS, TITLE_STOPWORDS
+from chartspark.plans import shapes as S
 from chartspark.plans.book import PlanBook
 
 PLANS = PlanBook()
+
+
+def documents(spark, sf):
+    """Documents with a title made of their words two to four, one of them tagged and cased differently."""
+    docs = S.table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("language"))
+    title = F.concat(F.lit("[Remix] "), F.upper(F.array_join(F.slice(F.split("text", " "), 2, 3), " ")))
+    return docs.withColumn("title", title)
+
+
+def _sql_list(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+_MARKS = "".join("\\" + m if m in "[]-^" else m for m in EDGE_MARKS).replace("'", "''")
+_WORD = r"[\p{L}\p{N}]+(?:[''’\-][\p{L}\p{N}]+)*"
+
+
+def _tokens(body: str) -> str:
+    return (
+        rf"list_filter(list_transform(regexp_extract_all(regexp_replace({body}, '\[[^\]]*\]', ' ', 'g'), '{_WORD}'), "
+        rf"lambda t: replace(regexp_replace(lower(t), '^[{_MARKS}]+|[{_MARKS}]+$', '', 'g'), 'ß', 'ss')), "
+        rf"lambda t: regexp_matches(t, '[\p{{L}}\p{{N}}]'))"
+    )
+
+
+_STOP = "CASE lang " + " ".join(f"WHEN '{k}' THEN {_sql_list(v)}" for k, v in TITLE_STOPWORDS.items() if k in ("en", "es")) + " END"
+_PRON = "CASE lang " + " ".join(f"WHEN '{k}' THEN {_sql_list(v)}" for k, v in PRONOUNS.items() if k in ("en", "es")) + " END"
+
+TOKENS = rf"""docs AS (SELECT doc_id, lang, nfc_normalize(text) AS text,
+  '[Remix] ' || upper(array_to_string(list_slice(string_split(text, ' '), 2, 4), ' ')) AS title FROM documents),
+tok AS (SELECT doc_id, lang, text, {_tokens("text")} AS tokens, {_tokens("title")} AS title_tokens,
+  regexp_replace(text, '^\s+|\s+$', '', 'g') AS trimmed, {_STOP} AS stop, {_PRON} AS pron FROM docs)"""
+
+
+@PLANS.add(
+    "txt_03_tokenize",
+    f"""WITH {TOKENS} SELECT doc_id, len(tokens) AS n_tokens, array_to_string(list_slice(tokens, 1, 5), ' ') AS head,
+    md5(array_to_string(tokens, ' ')) AS digest FROM tok""",
+)
+def tokenize(spark, sf):
+    docs = documents(spark, sf).withColumn("t", X.tokenize(X.normalize_text(X.nfc("text")), "language"))
+    return docs.select(
+        "doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.array_join(F.slice("t", 1, 5), " ").alias("head"),
+        F.md5(F.array_join("t", " ")).alias("digest"),
+    )
+
+
+@PLANS.add(
+    "txt_04_punctuation_ratio",
+    rf"""SELECT doc_id, CAST(len(regexp_extract_all(t, '\p{{P}}')) AS BIGINT) AS marks, round(len(regexp_extract_all(t, '\p{{P}}')) / length(t), 6) AS ratio
+    FROM (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents)""",
+)
+def punctuation(spark, sf):
+    docs = S.table(spark, sf, "documents").select("doc_id", X.strip("text").alias("t"))
+    marks = X.punctuation_count(F.col("t"))
+    return docs.select("doc_id", marks.cast("bigint").alias("marks"), F.round(marks / F.length("t"), 6).alias("ratio"))
+
+
+@PLANS.add(
+    "txt_05_title_words",
+    f"""WITH {TOKENS} SELECT doc_id, CASE WHEN lang IN ('en', 'es') AND len(tokens) > 0 AND len(content) > 0 THEN list_has_any(content, tokens) END AS title_in_text
+    FROM (SELECT *, list_filter(title_tokens, lambda t: NOT list_contains(coalesce(stop, ['']), t) AND regexp_matches(t, '\\p{{L}}')) AS content FROM tok)""".replace("\\\\p", "\\p"),
+)
+def title_words(spark, sf):
+    docs = documents(spark, sf)
+    base = docs.select(
+        "doc_id", "language", X.tokenize(X.normalize_text(X.nfc("text")), "language").alias("t"),
+        X.title_content("title", "language").alias("c"),
+    )
+    ok = F.col("language").isin("en", "es") & (F.size("t") > 0) & (F.size("c") > 0)
+    return base.select("doc_id", F.when(ok, F.arrays_overlap("c", "t")).alias("title_in_text"))
+
+
+@PLANS.add(
+    "txt_06_pronoun_ratio",
+    f"""WITH {TOKENS} SELECT doc_id, CASE WHEN pron IS NOT NULL AND len(tokens) > 0 THEN round(len(list_filter(tokens, lambda t: list_contains(pron, t))) / len(tokens), 6) END AS pronoun_ratio FROM tok""",
+)
+def pronoun_ratio(spark, sf):
+    base = documents(spark, sf).select("doc_id", "language", X.tokenize(X.normalize_text(X.nfc("text")), "language").alias("t"))
+    n = F.size("t")
+    return base.select("doc_id", F.when(n > 0, F.round(X.pronoun_tokens(F.col("t"), "language") / n, 6)).alias("pronoun_ratio"))
+
+
+_BASIC = f"""WITH {TOKENS} SELECT doc_id, CAST(len(tokens) AS BIGINT) AS word_count, CAST(len(list_distinct(tokens)) AS BIGINT) AS unique_word_count,
+    round(len(list_distinct(tokens)) / len(tokens), 6) AS lexical_diversity, round((len(tokens) - len(list_distinct(tokens))) / len(tokens), 6) AS repetition_ratio,
+    round(list_sum(list_transform(tokens, lambda t: length(t))) / len(tokens), 6) AS avg_word_length,
+    CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS BIGINT) AS line_count FROM tok"""
+
+
+@PLANS.add("txt_07_word_features", _BASIC)
+def word_features(spark, sf):
+    out = X.lyric_features(documents(spark, sf), "text", "title", "language", chorus=False)
+    return out.select(
+        "doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("word_count", "unique_word_count", "line_count")],
+        *[F.round(c, 6).alias(c) for c in ("lexical_diversity", "repetition_ratio", "avg_word_length")],
+    )
+
+
+@PLANS.add("txt_08_chorus_repetition")
+def chorus(spark, sf):
+    docs = S.table(spark, sf, "documents").select("doc_id", X.nfc("text").alias("text"))
+    return docs.select("doc_id", X.chorus_repetition(F.col("text")).alias("chorus_repetition_count"))
+
+
+@PLANS.add("txt_07_all_features")
+def all_features(spark, sf):
+    out = X.lyric_features(documents(spark, sf), "text", "title", "language")
+    return out.drop("text", "title")
+
+
+@PLANS.add(
+    "txt_10_clean_lines",
+    r"""WITH l AS (SELECT page_id, regexp_replace(x, '^\s+|\s+$', '', 'g') AS x FROM (SELECT page_id, unnest(string_split(replace(html, '<p>', chr(10)), chr(10))) AS x FROM pages)),
+    m AS (SELECT page_id, CASE WHEN regexp_matches(x, '(?i)^\s*\[(?:verse|pre-chorus|chorus|post-chorus|bridge|intro|outro|hook|refrain|instrumental|interlude|break|part|spoken)[^\]]*\]\s*$') THEN '' ELSE x END AS x FROM l),
+    n AS (SELECT page_id, regexp_replace(x, '\[([^\]]+)\]\([^)]*\)', '\1', 'g') AS x FROM m),
+    o AS (SELECT page_id, regexp_replace(x, '(?i)https?://\S+|www\.\S+', '', 'g') AS x FROM n),
+    p AS (SELECT page_id, regexp_replace(regexp_replace(x, '\[([^\]]+)\]', '\1', 'g'), '^\s+|\s+$', '', 'g') AS x FROM o)
+    SELECT page_id, COUNT(*) AS n_lines, CAST(SUM(length(x)) AS BIGINT) AS n_chars FROM p WHERE x <> '' GROUP BY 1""",
+)
+def clean_lines(spark, sf):
+    pages = S.table(spark, sf, "pages").select("page_id", X.clean_lines(F.replace("html", F.lit("<p>"), F.lit("\n"))).alias("lines"))
+    chars = F.aggregate("lines", F.lit(0).cast("bigint"), lambda acc, x: acc + F.length(x))
+    return pages.where(F.size("lines") > 0).select("page_id", F.size("lines").cast("bigint").alias("n_lines"), chars.alias("n_chars"))
+
+
+@PLANS.add(
+    "txt_11_script_counts",
+    r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]')) AS BIGINT) AS latin,
+    CAST(len(regexp_extract_all(text, '[\x{ac00}-\x{d7af}\x{1100}-\x{11ff}\x{3130}-\x{318f}]')) AS BIGINT) AS ko,
+    CAST(len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]')) AS BIGINT) AS zh FROM documents""",
+)
+def script_counts(spark, sf):
+    t = F.col("text")
+    return S.table(spark, sf, "documents").select(
+        "doc_id", X.latin_count(t).cast("bigint").alias("latin"),
+        *[X.class_count(t, X.SCRIPTS[n]).cast("bigint").alias(n) for n in ("ko", "zh")],
+    )
+
+
+def _detected(spark, sf):
+    docs = S.table(spark, sf, "documents").select("doc_id", "text", "lang")
+    profile = X.fit_word_profile(docs, "text", "lang")
+    return X.detect_language(docs, "doc_id", "text", lambda line: X.profile_language(line, profile), sorted(profile))
+
+
+@PLANS.add("txt_12_line_language")
+def line_language(spark, sf):
+    docs = S.table(spark, sf, "documents").select("doc_id", "text", "lang")
+    profile = X.fit_word_profile(docs, "text", "lang")
+    lines = docs.select("doc_id", F.posexplode(X.clean_lines("text")).alias("line_no", "line"))
+    return X.line_language(lines, "line", lambda line: X.profile_language(line, profile)).select("doc_id", "line_no", "line_language")
+
+
+@PLANS.add("txt_13_document_language")
+def document_language(spark, sf):
+    return _detected(spark, sf).select("doc_id", "language", F.to_json("shares").alias("shares"))
+
+
+@PLANS.add("txt_14_language_changes")
+def language_changes(spark, sf):
+    old = S.table(spark, sf, "documents").select("doc_id", F.col("lang").alias("language"))
+    return X.language_changes(old, _detected(spark, sf), "doc_id")
+
+
+@PLANS.add(
+    "txt_15_search_result_filter",
+    """WITH r AS (SELECT a.p_partkey, lower(a.p_name) AS t, lower(a.p_brand) AS ar,
+      lower(CASE a.p_partkey % 4 WHEN 0 THEN b.p_name || ' Remix' WHEN 1 THEN a.p_name || ' deluxe' ELSE b.p_name END) AS rt,
+      lower(CASE WHEN a.p_partkey % 3 = 0 THEN b.p_brand ELSE a.p_brand || ' official' END) AS ra
+      FROM part a JOIN part b ON b.p_partkey = a.p_partkey + a.p_size)
+    SELECT p_partkey, NOT contains(rt, 'remix') AND (contains(rt, t) OR contains(t, rt)) AND (contains(ra, ar) OR contains(ar, ra)) AS original FROM r""",
+)
+def search_result_filter(spark, sf):
+    part = S.table(spark, sf, "part")
+    a = part.select("p_partkey", "p_name", "p_brand", (F.col("p_partkey") + F.col("p_size")).alias("other"))
+    b = part.select(F.col("p_partkey").alias("other"), F.col("p_name").alias("b_name"), F.col("p_brand").alias("b_brand"))
+    key = F.col("p_partkey")
+    rt = F.when(key % 4 == 0, F.concat("b_name", F.lit(" Remix"))).when(key % 4 == 1, F.concat("p_name", F.lit(" deluxe"))).otherwise(F.col("b_name"))
+    ra = F.when(key % 3 == 0, F.col("b_brand")).otherwise(F.concat("p_brand", F.lit(" official")))
+    return a.join(b, "other").select("p_partkey", X.is_original_song(rt, ra, F.col("p_name"), F.col("p_brand")).alias("original"))
+
+
+@PLANS.add(
+    "txt_16_count_features_with_status",
+    f"""SELECT b.doc_id, CASE WHEN l.quality IS NULL THEN 'not_found' WHEN l.quality = 0 THEN 'not_attempted' WHEN b.word_count = 0 THEN 'failed'
+      WHEN d.lang IN ('de', 'fr') THEN 'language_limited' ELSE 'success' END AS status, b.word_count, b.repetition_ratio, b.avg_word_length, b.line_count
+    FROM ({_BASIC}) b JOIN documents d ON d.doc_id = b.doc_id LEFT JOIN labels l ON l.doc_id = b.doc_id""",
+)
+def count_features_with_status(spark, sf):
+    docs = documents(spark, sf)
+    labels = S.table(spark, sf, "labels").select("doc_id", "quality")
+    state = F.when(F.col("quality").isNull(), "not_found").when(F.col("quality") == 1, "success").otherwise("collected")
+    out = X.lyric_features(docs, "text", "title", "language", chorus=False).join(labels, "doc_id", "left")
+    status, _ = X.extraction_status(
+        F.col("doc_id"), F.lit(False), state, F.lit("x.txt"), F.col("text"), F.col("word_count"), F.col("language")
+    )
+    return out.select(
+        "doc_id", status.alias("status"), F.col("word_count").cast("bigint").alias("word_count"),
+        F.round("repetition_ratio", 6).alias("repetition_ratio"), F.round("avg_word_length", 6).alias("avg_word_length"),
+        F.col("line_count").cast("bigint").alias("line_count"),
+    )
