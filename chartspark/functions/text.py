@@ -307,16 +307,18 @@ def fit_word_profile(df: DataFrame, text: str, language: str, top: int = 150) ->
 
 
 def profile_language(line: Column, profile: dict[str, list[str]]) -> Column:
-    """Language with most profile words in the line, NULL without any hit; ties go to the first language."""
-    lower = F.lower(line)
-    names = sorted(profile)
+    """Language with most distinct profile words in the line, NULL without any hit; ties go to the first language."""
+    words = F.split(F.lower(line), r"[^\p{L}]+")
     hits = [
-        F.regexp_count(lower, F.lit(r"(?<!\p{L})(?:" + "|".join(re.escape(w) for w in profile[name]) + r")(?!\p{L})"))
-        for name in names
+        F.struct(
+            F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in profile[name]]))).alias("n"), F.lit(-i).alias("o"),
+            F.lit(name).alias("name"),
+        )
+        for i, name in enumerate(sorted(profile))
     ]
-    ranked = F.array(*[F.struct(h.alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (h, name) in enumerate(zip(hits, names))])
-    best = F.array_max(ranked)
-    return F.when(best["n"] > 0, best["name"])
+    # without hits the sentinel is the largest
+    nothing = F.struct(F.lit(0).alias("n"), F.lit(1).alias("o"), F.lit(None).cast("string").alias("name"))
+    return F.array_max(F.array(nothing, *hits))["name"]
 
 
 def line_language(df: DataFrame, line: str, detector) -> DataFrame:
@@ -329,10 +331,10 @@ def line_language(df: DataFrame, line: str, detector) -> DataFrame:
     )
     counts = counts.withColumn("script_total", sum((F.col(n) for n in SCRIPTS), F.lit(0)))
     ranked = F.array(*[F.struct(F.col(n).alias("n"), F.lit(-i).alias("o"), F.lit(n).alias("name")) for i, n in enumerate(SCRIPTS)])
-    top = counts.withColumn("_top", F.array_max(ranked))
+    top = counts.withColumn("_top", F.array_max(ranked)).withColumn("_guess", detector(F.col(line)))
     by_script = (F.col("script_total") > 0) & (F.col("_top.n") / F.col("script_total") >= SCRIPT_SHARE)
     readable = (F.col("latin") >= MIN_LETTERS) | (F.col("script_total") >= MIN_LETTERS)
-    language = F.when(by_script, F.col("_top.name")).when(readable, detector(F.col(line)))
+    language = F.when(by_script, F.col("_top.name")).when(readable, F.col("_guess"))
     return top.select(*counts.columns, language.alias("line_language"))
 
 
