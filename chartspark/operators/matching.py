@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chartspark import scale
 from chartspark.functions import titles as M
 
 FAR = float("inf")
@@ -29,7 +30,8 @@ def evaluate_candidates(
         rows = rows.join(named, key, "left").withColumn("_aliases", F.coalesce("_aliases", none))
     else:
         rows = rows.withColumn("_aliases", none)
-    texts = rows.select(t.alias("_t"), a.alias("_a"), v.alias("_v"), "_aliases").distinct()
+    texts = rows.select(t.alias("_t"), a.alias("_a"), v.alias("_v"), "_aliases")
+    texts = scale.spread_for_cpu(texts, "_t", "_a", "_v", "_aliases").distinct()
     scored = title_scores(texts)
     joined = rows.withColumn("_t", t).withColumn("_a", a).withColumn("_v", v).join(scored, ["_t", "_a", "_v", "_aliases"], "left")
     normal = joined.withColumn("_an", M.normalize_title(F.col("_a"))).withColumn("_vn", M.normalize_title(F.col("_v")))

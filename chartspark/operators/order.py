@@ -134,3 +134,12 @@ def neighbour_steps(df: DataFrame, keys: list[str], at: str, block: Column, out:
         .withColumn(out, F.coalesce("_near", "_before"))
         .drop("_near", "_before", "_block")
     )
+
+
+def run_lengths(df: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """Runs of consecutive whole positions per key: (keys, first, run_length). Positions are distinct per key."""
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(at))
+    islands = df.withColumn("_island", F.col(at) - place)
+    return islands.groupBy(*keys, "_island").agg(
+        F.min(at).alias("first"), F.count(F.lit(1)).alias("run_length")
+    ).drop("_island")

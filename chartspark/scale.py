@@ -60,3 +60,10 @@ def join_back(df: DataFrame, facts: DataFrame, keys: list[str], how: str = "left
     facts holds one row per key, so a hot key makes only the df side long; the adaptive skew join splits that side.
     """
     return df.join(facts, keys, how)
+
+
+def spread_for_cpu(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition rows whose bytes are few but whose work per row is heavy, so all cores share them."""
+    spark = df.sparkSession
+    cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(partitions_for(df, least=cores, most=max(cores, 16384)), *keys)
