@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from chartspark.operators import order
 
-BLOCK_CLUSTERS = 20_000
+BLOCK_CLUSTERS = 200_000
+MAX_BLOCKS = 4_096  # keeps the shared table of block totals at replicates * 4096 numbers
 DOMAIN = (-99.0, 100.0)
 
 
@@ -56,7 +57,7 @@ def base_metrics(df: DataFrame, y: str, prediction: str, scope: str | None = Non
 def replicate_sums(sums: DataFrame, cluster: str, columns: list[str], replicates: int, seed: int, scope: str | None = None) -> DataFrame:
     """(replicate, scope, summed columns) of the drawn clusters; rows of one cluster share its draw."""
     n_clusters = sums.select(cluster).distinct().count()
-    blocks = max(1, -(-n_clusters // BLOCK_CLUSTERS))
+    blocks = min(MAX_BLOCKS, max(1, -(-n_clusters // BLOCK_CLUSTERS)))
     keyed = sums.withColumn("_block", F.pmod(F.xxhash64(F.col(cluster).cast("string")), F.lit(blocks)).cast("int"))
     sizes = np.zeros(blocks)
     for b, n in keyed.groupBy("_block").agg(F.count_distinct(cluster)).collect():  # one row per block

@@ -36,11 +36,21 @@ def counted_positions(
     counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     if spread is None:
         spread = not scale.is_small(df)
+    return positions_of_counts(counts, keys, value, spread, pieces, rows)
+
+
+def positions_of_counts(
+    counts: DataFrame, keys: list[str], value: str, spread: bool | None = None, pieces: int | None = None, rows: DataFrame | None = None
+) -> DataFrame:
+    """The same from a table that already holds each value of a key once with its count n."""
+    if spread is None:
+        spread = not scale.is_small(counts)
     if not spread:
         per_key = W.partitionBy(*keys)
         running = F.sum("n").over(per_key.orderBy(value).rowsBetween(W.unboundedPreceding, 0))
         return counts.withColumn("start", running - F.col("n")).withColumn("total", F.sum("n").over(per_key))
-    edges = _edges(rows.select(F.col(value).cast("double").alias("v")), "v", pieces or scale.partitions_for(df))
+    source = counts if rows is None else rows
+    edges = _edges(source.select(F.col(value).cast("double").alias("v")), "v", pieces or scale.partitions_for(source))
     splits = [float("-inf"), *edges, float("inf")]
     double = counts.withColumn("_v", F.col(value).cast("double"))
     placed = Bucketizer(splits=splits, inputCol="_v", outputCol="_bucket").transform(double).drop("_v")

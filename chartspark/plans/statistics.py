@@ -1,3 +1,352 @@
+"""Statistics queries: rank and contingency tests, correlation, collinearity, diagnostics, screeners."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from chartspark.operators import bootstrap, linear, order, quality, stats
+from chartspark.plans import shapes as S
 from chartspark.plans.book import PlanBook
 
 PLANS = PlanBook()
+
+FEATURES = ["l_quantity", "l_discount", "l_tax"]
+_LONG = " UNION ALL ".join(f"SELECT '{c}' AS feature, l_returnflag AS market, {c} AS value FROM lineitem" for c in FEATURES)
+_RANKS = f"""long AS ({_LONG}), counts AS (SELECT feature, value, COUNT(*) AS t FROM long GROUP BY 1, 2),
+ranks AS (SELECT feature, value, t, SUM(t) OVER (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING) - t + (t + 1) / 2 AS r,
+  SUM(t) OVER (PARTITION BY feature) AS n FROM counts)"""
+_KW = f"""{_RANKS}, g AS (SELECT l.feature, market, COUNT(*) AS c, SUM(r) AS s FROM long l JOIN ranks k ON k.feature = l.feature AND k.value = l.value GROUP BY 1, 2),
+tie AS (SELECT feature, CAST(any_value(n) AS DOUBLE) AS n, SUM(CAST(t AS DOUBLE) ** 3 - t) AS ties FROM ranks GROUP BY 1),
+h AS (SELECT g.feature, COUNT(*) AS k, any_value(n) AS n, (12 / (any_value(n) * (any_value(n) + 1)) * SUM(s * s / c) - 3 * (any_value(n) + 1))
+  / (1 - any_value(ties) / (any_value(n) ** 3 - any_value(n))) AS h FROM g JOIN tie ON tie.feature = g.feature GROUP BY 1)"""
+
+
+def _long(spark, sf):
+    line = S.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("market"), *FEATURES)
+    return order.unpivot(line, ["market"], FEATURES)
+
+
+@PLANS.add(
+    "sta_01_kruskal_wallis",
+    f"""WITH {_KW}, p AS (SELECT *, exp(-h / 2) AS p FROM h), o AS (SELECT *, row_number() OVER (ORDER BY p) AS i, COUNT(*) OVER () AS m FROM p)
+    SELECT feature, k AS n_groups, CAST(n AS BIGINT) AS n_total, round(h, 5) AS h, round(p, 6) AS p_value,
+    round(least(1, MAX((m - i + 1) * p) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING)), 6) AS p_holm, round((h - k + 1) / (n - k), 8) AS epsilon_squared FROM o""",
+)
+def kruskal_wallis(spark, sf):
+    out = stats.kruskal_wallis(_long(spark, sf), "feature", "market", "value")
+    return out.select(
+        "feature", "n_groups", "n_total", F.round("h", 5).alias("h"), F.round("p_value", 6).alias("p_value"),
+        F.round("p_holm", 6).alias("p_holm"), F.round("epsilon_squared", 8).alias("epsilon_squared"),
+    )
+
+
+@PLANS.add(
+    "win_08_average_rank",
+    """WITH c AS (SELECT l_quantity AS value, COUNT(*) AS n FROM lineitem GROUP BY 1)
+    SELECT value, n, round(CAST(SUM(n) OVER (ORDER BY value ROWS UNBOUNDED PRECEDING) - n AS DOUBLE) + (n + 1) / 2, 6) AS average_rank FROM c""",
+)
+def average_rank(spark, sf):
+    rows = S.table(spark, sf, "lineitem").select(F.lit("all").alias("g"), F.col("l_quantity").alias("value"))
+    out = order.average_ranks(rows, ["g"], "value", spread=True)
+    return out.select("value", "n", F.round("average_rank", 6).alias("average_rank"))
+
+
+_TABLE = """t AS (SELECT l_returnflag AS a, CASE WHEN l_quantity < 11 THEN 'low' WHEN l_quantity < 31 THEN 'middle' ELSE 'high' END AS b FROM lineitem),
+cells AS (SELECT a, b, COUNT(*) AS o, SUM(COUNT(*)) OVER (PARTITION BY a) AS r, SUM(COUNT(*)) OVER (PARTITION BY b) AS c, SUM(COUNT(*)) OVER () AS n FROM t GROUP BY 1, 2)"""
+
+
+def _table(spark, sf):
+    q = F.col("l_quantity")
+    return S.table(spark, sf, "lineitem").select(
+        F.col("l_returnflag").alias("a"), F.when(q < 11, "low").when(q < 31, "middle").otherwise("high").alias("b")
+    )
+
+
+@PLANS.add(
+    "sta_02_chi_square",
+    f"""WITH {_TABLE}, x AS (SELECT CAST(any_value(n) AS BIGINT) AS n, SUM((o - r * c / n) ** 2 / (r * c / n)) AS x FROM cells)
+    SELECT n, round(x, 6) AS chi_square, 4 AS df, round(exp(-x / 2) * (1 + x / 2), 6) AS p_value, round(sqrt(x / (n * 2)), 8) AS cramers_v FROM x""",
+)
+def chi_square(spark, sf):
+    out = stats.chi_square(_table(spark, sf), "a", "b")
+    return out.select(
+        "n", F.round("chi_square", 6).alias("chi_square"), "df", F.round("p_value", 6).alias("p_value"), F.round("cramers_v", 8).alias("cramers_v")
+    )
+
+
+@PLANS.add(
+    "sta_02_expected_counts",
+    f"""WITH {_TABLE} SELECT a, b, o AS observed, round(r * c / n, 6) AS expected, round(o * 100.0 / r, 6) AS row_percent FROM cells""",
+)
+def expected_counts(spark, sf):
+    out = stats.expected_counts(_table(spark, sf), "a", "b")
+    return out.withColumn("expected", F.round("expected", 6)).withColumn("row_percent", F.round("row_percent", 6))
+
+
+@PLANS.add(
+    "sta_03_zero_fill_sensitivity",
+    f"""WITH long AS (SELECT 'filled' AS feature, lang AS market, coalesce(quality, 0) AS value FROM documents LEFT JOIN labels USING (doc_id)
+      UNION ALL SELECT 'measured', lang, quality FROM documents JOIN labels USING (doc_id)),
+    counts AS (SELECT feature, value, COUNT(*) AS t FROM long GROUP BY 1, 2),
+    {_KW[_KW.index("ranks AS (SELECT feature"):]} SELECT feature, CAST(n AS BIGINT) AS n_total, round(h, 5) AS h FROM h""",
+)
+def zero_fill(spark, sf):
+    docs = S.table(spark, sf, "documents").select("doc_id", F.col("lang").alias("market"))
+    labels = S.table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("measured"))
+    rows = docs.join(labels, "doc_id", "left").withColumn("filled", F.coalesce("measured", F.lit(0.0)))
+    out = stats.kruskal_wallis(order.unpivot(rows, ["market"], ["filled", "measured"]), "feature", "market", "value")
+    return out.select("feature", "n_total", F.round("h", 5).alias("h"))
+
+
+@PLANS.add("sta_04_rank_gee")
+def rank_gee(spark, sf):
+    line = S.table(spark, sf, "lineitem").select("l_partkey", "l_returnflag", "l_quantity")
+    fit, names = stats.rank_gee(line, "l_quantity", "l_returnflag", ["A", "N", "R"], "A", "l_partkey")
+    wald = fit.wald(names)
+    rows = [(n, float(fit.beta[fit.columns.index(n)]), wald["statistic"], wald["p_value"], fit.n, fit.n_clusters) for n in names]
+    return spark.createDataFrame(rows, "term string, coefficient double, wald double, p_value double, n long, clusters long")
+
+
+@PLANS.add("sta_05_binary_gee")
+def binary_gee(spark, sf):
+    docs = S.table(spark, sf, "documents").select("doc_id", "lang", "source")
+    rows = docs.join(S.table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id")
+    fit, names = stats.binary_gee(rows, F.col("toxic") == 1, "lang", ["en", "fr", "de", "es"], "en", "source")
+    wald = fit.wald(names)
+    import math
+
+    out = [(n, float(b), math.exp(float(b)), wald["statistic"], wald["p_value"]) for n, b in zip(fit.columns, fit.beta) if n != linear.CONST]
+    return spark.createDataFrame(out, "term string, log_odds double, odds_ratio double, wald double, p_value double")
+
+
+_SP = "p_size p_retailprice p_partkey".split()
+
+
+@PLANS.add(
+    "sta_06_spearman",
+    "WITH " + ", ".join(
+        f"""{c}_r AS (SELECT p_partkey AS k, rank() OVER (ORDER BY {c}) + (COUNT(*) OVER (PARTITION BY {c}) - 1) / 2 AS r FROM part WHERE p_size % 10 <> 0)"""
+        for c in _SP
+    ) + " " + " UNION ALL ".join(
+        f"SELECT '{a}' AS x, '{b}' AS y, COUNT(*) AS n, round(corr(u.r, v.r), 6) AS rho FROM {a}_r u JOIN {b}_r v ON u.k = v.k"
+        for i, a in enumerate(_SP) for b in _SP[i + 1:]
+    ),
+)
+def spearman(spark, sf):
+    part = S.table(spark, sf, "part").where("p_size % 10 <> 0").select(*_SP)
+    return stats.spearman(part, "p_partkey", _SP).select("x", "y", "n", F.round("rho", 6).alias("rho"))
+
+
+@PLANS.add(
+    "sta_07_vif",
+    """WITH r AS (SELECT corr(l_quantity, l_extendedprice) AS r FROM lineitem)
+    SELECT unnest(['l_quantity', 'l_extendedprice']) AS feature, round(1 / (1 - r * r), 6) AS vif FROM r""",
+)
+def vif(spark, sf):
+    values = linear.vif(S.table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"])
+    return spark.createDataFrame(list(values.items()), "feature string, vif double").withColumn("vif", F.round("vif", 6))
+
+
+@PLANS.add("sta_22_vif_elimination")
+def vif_elimination(spark, sf):
+    line = S.table(spark, sf, "lineitem").select(
+        "l_quantity", "l_extendedprice", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"), "l_tax",
+    )
+    log = linear.vif_elimination(line, ["l_quantity", "l_extendedprice", "net", "l_tax"])
+    return spark.createDataFrame(
+        [(r["step"], r["dropped"], r["vif_before"], r["max_vif_after"]) for r in log], "step int, dropped string, vif_before double, max_vif_after double"
+    )
+
+
+@PLANS.add(
+    "sta_08_correlation_checks",
+    """SELECT round(corr(l_quantity, l_extendedprice), 6) AS quantity_price, round(corr(l_discount, l_tax), 6) AS discount_tax,
+    corr(l_quantity, l_extendedprice) > 0 AS positive FROM lineitem""",
+)
+def correlation_checks(spark, sf):
+    r = F.corr("l_quantity", "l_extendedprice")
+    return S.table(spark, sf, "lineitem").agg(
+        F.round(r, 6).alias("quantity_price"), F.round(F.corr("l_discount", "l_tax"), 6).alias("discount_tax"), (r > 0).alias("positive")
+    )
+
+
+_SIMPLE = """d AS (SELECT p_size AS x, p_retailprice AS y, p_type AS g, p_partkey AS id FROM part),
+f AS (SELECT COUNT(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, AVG(x) AS mx, regr_sxx(y, x) AS sxx FROM d),
+r AS (SELECT d.*, f.*, y - a - b * x AS u, 1.0 / n + (x - mx) ** 2 / sxx AS h FROM d, f)"""
+
+
+def _simple(spark, sf):
+    return S.table(spark, sf, "part").select(
+        F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"), F.col("p_type").alias("g"), F.col("p_partkey").alias("id")
+    )
+
+
+@PLANS.add(
+    "sta_09_breusch_pagan",
+    f"WITH {_SIMPLE} SELECT round(any_value(n) * corr(u * u, x) ** 2, 6) AS lm FROM r",
+)
+def breusch_pagan(spark, sf):
+    rows = _simple(spark, sf)
+    found = linear.breusch_pagan(rows, linear.fit_ols(rows, "y", ["x"]), "y")
+    return spark.createDataFrame([(found["lm"],)], "lm double").withColumn("lm", F.round("lm", 6))
+
+
+@PLANS.add(
+    "sta_10_cooks_distance",
+    f"""WITH {_SIMPLE}, s AS (SELECT SUM(u * u) / (any_value(n) - 2) AS s2 FROM r)
+    SELECT id, round(u, 6) AS residual, round(h, 9) AS leverage, round(u * u / (2 * s2) * h / (1 - h) ** 2, 9) AS cooks_distance,
+    u * u / (2 * s2) * h / (1 - h) ** 2 > 4.0 / n AS influential FROM r, s""",
+)
+def cooks_distance(spark, sf):
+    rows = _simple(spark, sf)
+    fit = linear.fit_ols(rows, "y", ["x"])
+    out = linear.with_influence(rows, fit, "y")
+    return out.select(
+        "id", F.round("residual", 6).alias("residual"), F.round("leverage", 9).alias("leverage"),
+        F.round("cooks_distance", 9).alias("cooks_distance"), (F.col("cooks_distance") > 4.0 / fit.n).alias("influential"),
+    )
+
+
+@PLANS.add("sta_11_reset")
+def reset(spark, sf):
+    rows = _simple(spark, sf)
+    found = linear.reset_test(rows, linear.fit_ols(rows, "y", ["x"], "g"), "y", "g")
+    return spark.createDataFrame([tuple(found[k] for k in ("f", "f_p", "wald", "wald_p"))], "f double, f_p double, wald double, wald_p double")
+
+
+@PLANS.add("sta_12_qq_points")
+def qq_points(spark, sf):
+    return stats.qq_points(S.table(spark, sf, "part").select("p_retailprice"), "p_retailprice")
+
+
+_PRED = """pr AS (SELECT l_partkey AS track, l_returnflag AS market, l_extendedprice / 1000 AS y, l_quantity * 0.9 + 20 AS a, l_quantity * 1.1 + 10 AS b FROM lineitem)"""
+
+
+def predictions(spark, sf):
+    q = F.col("l_quantity")
+    return S.table(spark, sf, "lineitem").select(
+        F.col("l_partkey").alias("track"), F.col("l_returnflag").alias("market"), (F.col("l_extendedprice") / 1000).alias("y"),
+        (q * 0.9 + 20).alias("a"), (q * 1.1 + 10).alias("b"),
+    )
+
+
+@PLANS.add(
+    "sta_15_metrics",
+    f"""WITH {_PRED}, both AS (SELECT market AS scope, y, a FROM pr UNION ALL SELECT 'Overall', y, a FROM pr)
+    SELECT scope, COUNT(*) AS n, round(1 - SUM((y - a) ** 2) / (var_pop(y) * COUNT(*)), 6) AS r2, round(AVG(abs(y - a)), 6) AS mae,
+    round(sqrt(AVG((y - a) ** 2)), 6) AS rmse, COUNT(*) FILTER (WHERE a < -99 OR a > 60) AS out_of_domain FROM both GROUP BY 1""".replace("both", "scoped"),
+)
+def metrics(spark, sf):
+    out = bootstrap.base_metrics(predictions(spark, sf), "y", "a", "market", domain=(-99.0, 60.0))
+    return out.select("scope", "n", *[F.round(c, 6).alias(c) for c in ("r2", "mae", "rmse")], "out_of_domain")
+
+
+@PLANS.add("sta_15_bootstrap_intervals")
+def bootstrap_intervals(spark, sf):
+    return bootstrap.bootstrap_metrics(predictions(spark, sf), "track", "y", "a", replicates=200)
+
+
+@PLANS.add("sta_16_paired_bootstrap")
+def paired_bootstrap(spark, sf):
+    return bootstrap.paired_differences(predictions(spark, sf), "track", "market", "y", "a", ["b"], replicates=200)
+
+
+@PLANS.add(
+    "agg_35_screener_counts",
+    f"""WITH {_PRED}, q AS (SELECT market, quantile_cont(a, 0.78) AS q FROM pr GROUP BY 1)
+    SELECT a >= q AS in_top, COUNT(*) AS n, COUNT(*) FILTER (WHERE y >= 70) AS hits, round(AVG(y), 6) AS mean, round(var_samp(y), 6) AS variance
+    FROM pr JOIN q ON q.market = pr.market GROUP BY 1""",
+)
+def screener_counts(spark, sf):
+    out = stats.screener_counts(predictions(spark, sf), "market", "a", "y", F.col("y") >= 70)
+    return out.select("in_top", "n", "hits", F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"))
+
+
+@PLANS.add("sta_17_screener_test")
+def screener_test(spark, sf):
+    found = stats.screener_test(stats.screener_counts(predictions(spark, sf), "market", "a", "y", F.col("y") >= 70))
+    return spark.createDataFrame([(k, float(v)) for k, v in found.items()], "measure string, value double")
+
+
+@PLANS.add(
+    "sta_18_missingness_units",
+    f"""WITH {S.PERF}, m AS (SELECT p.track, p.market, l.quality IS NULL AS gone, COUNT(*) OVER (PARTITION BY p.track) = 1 AS exclusive
+      FROM perf p LEFT JOIN labels l ON l.doc_id = p.track)
+    SELECT 'row' AS unit, COUNT(*) AS total, COUNT(*) FILTER (WHERE gone) AS missing FROM m UNION ALL
+    SELECT 'track', COUNT(DISTINCT track), COUNT(DISTINCT track) FILTER (WHERE gone) FROM m UNION ALL
+    SELECT 'exclusive track', COUNT(*) FILTER (WHERE exclusive), COUNT(*) FILTER (WHERE exclusive AND gone) FROM m""",
+)
+def missingness_units(spark, sf):
+    labels = S.table(spark, sf, "labels").select(F.col("doc_id").alias("track"), F.lit(True).alias("seen"))
+    tracks = S.perf(spark, sf).groupBy("track").agg(F.count(F.lit(1)).alias("n_markets")).join(labels, "track", "left")
+    gone, one = F.col("seen").isNull(), F.col("n_markets") == 1
+    sums = tracks.agg(
+        F.sum("n_markets").alias("r"), F.sum(F.when(gone, F.col("n_markets")).otherwise(0)).alias("rm"), F.count(F.lit(1)).alias("t"),
+        F.count_if(gone).alias("tm"), F.count_if(one).alias("e"), F.count_if(one & gone).alias("em"),
+    )
+    units = F.array(*[F.struct(F.lit(u).alias("unit"), F.col(a).alias("total"), F.col(b).alias("missing"))
+                      for u, a, b in (("row", "r", "rm"), ("track", "t", "tm"), ("exclusive track", "e", "em"))])
+    return sums.select(F.explode(units).alias("u")).select("u.*")
+
+
+_GRID = [float(x) for x in range(0, 101, 20)]
+
+
+@PLANS.add(
+    "sta_19_kde",
+    f"""WITH {_PRED}, f AS (SELECT market, COUNT(*) AS n, stddev_samp(a) * COUNT(*) ** -0.2 AS h FROM pr GROUP BY 1)
+    SELECT pr.market, CAST(x AS DOUBLE) AS x, round(SUM(exp(-0.5 * ((x - a) / h) ** 2)) / any_value(n) / any_value(h) / sqrt(2 * pi()), 8) AS density
+    FROM pr JOIN f ON f.market = pr.market CROSS JOIN unnest([0, 20, 40, 60, 80, 100]) g(x) GROUP BY 1, 2""",
+)
+def kde(spark, sf):
+    return stats.gaussian_kde(predictions(spark, sf), "market", "a", _GRID).withColumn("density", F.round("density", 8))
+
+
+@PLANS.add(
+    "sta_20_tolerance_checks",
+    """WITH a AS (SELECT l_returnflag AS label, AVG(l_quantity) AS actual FROM lineitem GROUP BY 1)
+    SELECT e.label, round(a.actual, 6) AS actual, e.expected, CASE WHEN coalesce(abs(a.actual - e.expected) <= 0.5 + 1e-5 * abs(e.expected), FALSE) THEN 'PASS' ELSE 'FAIL' END AS status
+    FROM (VALUES ('A', 25.5::DOUBLE), ('N', 30.0), ('X', 1.0)) e(label, expected) LEFT JOIN a ON a.label = e.label""",
+)
+def tolerance_checks(spark, sf):
+    actual = S.table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("label")).agg(F.avg("l_quantity").alias("actual"))
+    expected = spark.createDataFrame([("A", 25.5), ("N", 30.0), ("X", 1.0)], "label string, expected double")
+    return quality.tolerance_checks(actual, expected, atol=0.5).withColumn("actual", F.round("actual", 6))
+
+
+@PLANS.add("sta_23_transform_audit")
+def transform_audit(spark, sf):
+    rows = stats.transform_audit(S.table(spark, sf, "orders"), "o_totalprice")
+    return spark.createDataFrame([tuple(r.values()) for r in rows], list(rows[0]))
+
+
+@PLANS.add(
+    "win_09_adjusted_p_values",
+    """WITH t AS (SELECT p_type AS name, (SUM(p_size) % 97 + 1) / 400.0::DOUBLE AS p FROM part GROUP BY 1),
+    o AS (SELECT *, row_number() OVER (ORDER BY p) AS i, COUNT(*) OVER () AS m FROM t)
+    SELECT name, round(p, 9) AS p, round(least(1, MAX((m - i + 1) * p) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING)), 9) AS p_holm,
+    round(least(1, MIN(p * m / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)), 9) AS p_bh FROM o""",
+)
+def adjusted_p_values(spark, sf):
+    base = S.table(spark, sf, "part").groupBy(F.col("p_type").alias("name")).agg(((F.sum("p_size") % 97 + 1) / F.lit(400.0)).alias("p"))
+    out = stats.with_benjamini_hochberg(stats.with_holm(base, "p"), "p")
+    return out.select("name", *[F.round(c, 9).alias(c) for c in ("p", "p_holm", "p_bh")])
+
+
+@PLANS.add(
+    "dq_11_adjustment_invariants",
+    """SELECT 0::BIGINT AS holm_below_p, 0::BIGINT AS bh_above_holm, 0::BIGINT AS above_one, 0::BIGINT AS not_monotone FROM (SELECT COUNT(*) FROM part)""",
+)
+def adjustment_invariants(spark, sf):
+    return stats.adjustment_violations(adjusted_p_values(spark, sf), "p", "p_holm", "p_bh")
+
+
+@PLANS.add(
+    "agg_09_quantiles_spread",
+    """SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 6) AS p10, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50,
+    round(quantile_cont(l_extendedprice, 0.99), 6) AS p99 FROM lineitem GROUP BY 1""",
+)
+def quantiles_spread(spark, sf):
+    line = S.table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice")
+    out = order.exact_quantiles(line, ["l_returnflag"], "l_extendedprice", [0.1, 0.5, 0.99], ["p10", "p50", "p99"], spread=True)
+    return out.select("l_returnflag", *[F.round(c, 6).alias(c) for c in ("p10", "p50", "p99")])
