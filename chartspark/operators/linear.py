@@ -19,10 +19,23 @@ from chartspark.functions import dist, score
 CONST = "const"
 
 
+def complete_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows without NULL or NaN in the columns.
+
+    One condition per column: dropna() makes a single condition over all of them, and following it through renamed columns
+    costs the optimizer exponential time.
+    """
+    keep = F.lit(True)
+    for c in columns:
+        x = F.col(f"`{c}`")
+        keep = keep & x.isNotNull() & ~F.isnan(x.cast("double"))
+    return df.where(keep)
+
+
 def cross_products(df: DataFrame, columns: list[str]) -> np.ndarray:
     """Sum over rows of the outer product of the columns; rows with a NULL or NaN are left out."""
     k = len(columns)
-    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)]).dropna()
+    rows = complete_rows(df, columns).select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((k, k))
@@ -137,7 +150,7 @@ def fit_ladder(df: DataFrame, y: str, models: dict[str, list[str]], cluster: str
     """
     data = with_const(df)
     every = [CONST, *dict.fromkeys(c for cols in models.values() for c in cols if c != CONST)]
-    data = data.dropna(subset=[y, *every])
+    data = complete_rows(data, [y, *every])
     gram = cross_products(data, [*every, y])
     n, sum_y = int(round(gram[0, 0])), gram[0, -1]
     sst = float(gram[-1, -1] - sum_y**2 / n)
@@ -162,7 +175,7 @@ def fit_ols(df: DataFrame, y: str, x: list[str], cluster: str | None = None, cor
 
 def fit_logistic(df: DataFrame, y: str, x: list[str], cluster: str, steps: int = 50, tol: float = 1e-10) -> LinearFit:
     """Logistic model with independence working correlation and cluster sandwich; each step is one pass."""
-    data = with_const(df).dropna(subset=[y, *x, cluster])
+    data = complete_rows(with_const(df).where(F.col(cluster).isNotNull()), [y, *x])
     names = [CONST, *[c for c in x if c != CONST]]
     beta, inv, done = np.zeros(len(names)), None, 0
     for done in range(1, steps + 1):

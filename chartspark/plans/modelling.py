@@ -1,3 +1,291 @@
+"""Modelling queries on the integrated chart table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from chartspark.functions import clean
+from chartspark.operators import design, forest, linear
+from chartspark.plans import dataset as D
+from chartspark.plans import shapes as S
 from chartspark.plans.book import PlanBook
+from chartspark.plans.statistics import _SIMPLE, _simple, predictions
+from chartspark.scale import cut_lineage
 
 PLANS = PlanBook()
+
+SPEC = design.FeatureSpec(
+    audio=("tempo", "energy", "tempo_stability", "rms_variability", "spectral_centroid", "chord_change_rate"),
+    markets=("AMERICA", "ASIA", "EUROPE", "AFRICA", "MIDDLE EAST"), base="AMERICA",
+)
+
+
+def model_table(spark, sf):
+    """Rows with both feature sides and a known mode and year."""
+    rows = D.modeling(spark, sf).where("has_both_rows and audio_mode is not null and release_year is not null")
+    named = rows.withColumnRenamed("tempo_bpm", "tempo").withColumnRenamed("rms_energy", "energy")
+    return named.withColumn("tempo_stability", clean.tempo_stability("beat_interval_variability"))
+
+
+def split_table(spark, sf):
+    kept, _ = design.drop_and_fill(model_table(spark, sf), SPEC)
+    # models pass over these rows many times, so the joins before them run once
+    return design.group_split(cut_lineage(kept), SPEC.key, 0.2, S.SEED)
+
+
+MODEL = f"""{D.DATASET}, model AS (SELECT *, tempo_bpm AS tempo, rms_energy AS energy, 1 / (1 + beat_interval_variability) AS tempo_stability FROM dataset
+  WHERE has_both_rows AND audio_mode IS NOT NULL AND release_year IS NOT NULL),
+sides AS (SELECT track, row_number() OVER (ORDER BY md5(CAST(track AS VARCHAR) || '|{S.SEED}')) <= ceil(0.2 * COUNT(*) OVER ()) AS is_test
+  FROM (SELECT DISTINCT track FROM model)),
+split AS (SELECT m.*, s.is_test FROM model m JOIN sides s ON s.track = m.track)"""
+
+
+@PLANS.add("mlp_01_group_split", f"WITH {MODEL} SELECT track, market, is_test FROM split")
+def group_split(spark, sf):
+    return split_table(spark, sf).select("track", "market", "is_test")
+
+
+@PLANS.add(
+    "mlp_02_scaler",
+    f"""WITH {MODEL}, t AS (SELECT * FROM split WHERE NOT is_test) SELECT 'energy' AS feature, round(AVG(energy), 8) AS mean, round(stddev_pop(energy), 8) AS deviation FROM t
+    UNION ALL SELECT 'word_count', round(AVG(ln(1 + word_count)), 8), round(stddev_pop(ln(1 + word_count)), 8) FROM t
+    UNION ALL SELECT 'release_year', round(AVG(greatest(release_year, q)), 8), round(stddev_pop(greatest(release_year, q)), 8) FROM t, (SELECT quantile_cont(release_year, 0.01) AS q FROM t)""",
+)
+def scaler(spark, sf):
+    fitted = design.fit_scaler(split_table(spark, sf).where("not is_test"), SPEC)
+    rows = [(c, fitted.mean[c], fitted.deviation[c]) for c in ("energy", "word_count", "release_year")]
+    return spark.createDataFrame(rows, "feature string, mean double, deviation double").select(
+        "feature", F.round("mean", 8).alias("mean"), F.round("deviation", 8).alias("deviation")
+    )
+
+
+def designed(spark, sf):
+    rows = split_table(spark, sf)
+    fitted = design.fit_scaler(rows.where("not is_test"), SPEC)
+    x = design.design_matrix(rows, SPEC, fitted, ["track", "market", "chart_score", "is_test"])
+    return cut_lineage(x), fitted, rows
+
+
+@PLANS.add(
+    "mlp_03_design_matrix",
+    f"""WITH {MODEL}, f AS (SELECT AVG(energy) AS m, stddev_pop(energy) AS s, AVG(ln(1 + word_count)) AS wm, stddev_pop(ln(1 + word_count)) AS ws FROM split WHERE NOT is_test)
+    SELECT track, market, round((energy - m) / s, 6) AS energy_std, round((ln(1 + word_count) - wm) / ws, 6) AS word_count_std,
+    CASE audio_mode WHEN 'major' THEN 1.0::DOUBLE ELSE 0 END AS mode, CASE WHEN market = 'ASIA' THEN 1.0::DOUBLE ELSE 0 END AS Market_ASIA,
+    round(CASE WHEN market = 'ASIA' THEN (energy - m) / s ELSE 0 END, 6) AS energy_asia FROM split, f""",
+)
+def design_matrix(spark, sf):
+    x, _, _ = designed(spark, sf)
+    return x.select(
+        "track", "market", F.round("energy_std", 6).alias("energy_std"), F.round("word_count_std", 6).alias("word_count_std"), "mode", "Market_ASIA",
+        (F.round("energy_std__x__ASIA", 6) + F.lit(0.0)).alias("energy_asia"),
+    )
+
+
+@PLANS.add("mlp_04_split_checks")
+def split_checks(spark, sf):
+    x, _, _ = designed(spark, sf)
+    return design.split_checks(x, SPEC)
+
+
+@PLANS.add(
+    "dq_07_split_disjoint",
+    f"""WITH {MODEL} SELECT COUNT(*) FILTER (WHERE sides > 1) AS shared_groups, COUNT(*) AS n_groups, CAST(SUM(CAST(t AS INTEGER)) AS BIGINT) AS test_groups
+    FROM (SELECT track, COUNT(DISTINCT is_test) AS sides, bool_or(is_test) AS t FROM split GROUP BY 1)""",
+)
+def split_disjoint(spark, sf):
+    per_group = split_table(spark, sf).groupBy("track").agg(F.count_distinct("is_test").alias("sides"), F.bool_or("is_test").alias("t"))
+    return per_group.agg(
+        F.count_if(F.col("sides") > 1).alias("shared_groups"), F.count(F.lit(1)).alias("n_groups"), F.count_if("t").alias("test_groups")
+    )
+
+
+@PLANS.add(
+    "set_04_train_test_intersection",
+    f"WITH {MODEL} SELECT COUNT(*) AS shared FROM (SELECT track FROM split WHERE is_test INTERSECT SELECT track FROM split WHERE NOT is_test)",
+)
+def train_test_intersection(spark, sf):
+    rows = split_table(spark, sf).select("track", "is_test")
+    return rows.groupBy("track").agg(F.count_distinct("is_test").alias("k")).agg(F.count_if(F.col("k") > 1).alias("shared"))
+
+
+@PLANS.add("mlp_05_seed_audit")
+def seed_audit(spark, sf):
+    kept, _ = design.drop_and_fill(model_table(spark, sf), SPEC)
+    return design.seed_audit(kept, SPEC, list(range(40, 60)))
+
+
+@PLANS.add(
+    "mlp_06_ols_cluster",
+    f"""WITH {_SIMPLE}, s AS (SELECT g, SUM((x - mx) * u) AS s FROM r GROUP BY 1),
+    v AS (SELECT SUM(s * s) AS m, COUNT(*) AS g FROM s), e AS (SELECT SUM(u * u) AS ssr FROM r)
+    SELECT round(f.b, 8) AS slope, round(f.a, 6) AS intercept, round(sqrt(m) / sxx * sqrt(v.g / (v.g - 1.0) * (n - 1.0) / (n - 2)), 8) AS se,
+    round(sqrt(ssr / (n - 2) / sxx), 8) AS se_plain, v.g AS clusters, round((f.b / (sqrt(m) / sxx * sqrt(v.g / (v.g - 1.0) * (n - 1.0) / (n - 2)))) ** 2, 6) AS wald FROM f, v, e""",
+)
+def ols_cluster(spark, sf):
+    fit = linear.fit_ols(_simple(spark, sf), "y", ["x"], "g")
+    row = (float(fit.beta[1]), float(fit.beta[0]), float(fit.cov[1, 1] ** 0.5), float(fit.cov_plain[1, 1] ** 0.5), fit.n_clusters, fit.wald(["x"])["statistic"])
+    out = spark.createDataFrame([row], "slope double, intercept double, se double, se_plain double, clusters bigint, wald double")
+    return out.select(
+        F.round("slope", 8).alias("slope"), F.round("intercept", 6).alias("intercept"), F.round("se", 8).alias("se"),
+        F.round("se_plain", 8).alias("se_plain"), "clusters", F.round("wald", 6).alias("wald"),
+    )
+
+
+def _ladder(spark, sf):
+    x, fitted, rows = designed(spark, sf)
+    audio = [f"{c}_std" for c in SPEC.audio] + ["mode"]
+    lyrics = [f"{c}_std" for c in SPEC.lyrics]
+    year = [f"{SPEC.year}_std"]
+    m1 = audio
+    m2 = [*audio, *lyrics]
+    m2b = [*m2, *year, *SPEC.dummies]
+    models = {"M1": m1, "M2": m2, "M2b": m2b, "M3": SPEC.columns}
+    return x, models, linear.fit_ladder(x.where("not is_test"), "chart_score", models, "track")
+
+
+@PLANS.add("mlp_08_model_ladder")
+def model_ladder(spark, sf):
+    _, models, fits = _ladder(spark, sf)
+    rows, before = [], None
+    for name, fit in fits.items():
+        added = [c for c in fit.columns if before is not None and c not in before.columns]
+        wald = fit.wald(added) if added else {"statistic": None, "p_value": None}
+        rows.append((name, fit.n, fit.k, fit.r2, fit.adj_r2, fit.aic, fit.bic, fit.r2 - before.r2 if before else None, wald["statistic"], wald["p_value"]))
+        before = fit
+    return spark.createDataFrame(
+        rows, "model string, n long, k int, r2 double, adj_r2 double, aic double, bic double, delta_r2 double, wald double, wald_p double"
+    )
+
+
+@PLANS.add("mlp_07_coefficient_table")
+def coefficient_table(spark, sf):
+    x, _, fits = _ladder(spark, sf)
+    fit = fits["M3"]
+    vif = linear.vif(x.where("not is_test"), SPEC.columns)
+    return linear.coefficient_table(spark, fit, vif, [c for c in SPEC.columns if c.split("_std")[0] in (*SPEC.audio, *SPEC.lyrics)])
+
+
+@PLANS.add("sta_14_market_slopes")
+def market_slopes(spark, sf):
+    _, _, fits = _ladder(spark, sf)
+    fit, rows = fits["M3"], []
+    for c in SPEC.interactions:
+        for m in SPEC.markets:
+            weights = {f"{c}_std": 1.0}
+            if m != SPEC.base:
+                weights[f"{c}_std__x__{m.replace(' ', '_')}"] = 1.0
+            found = fit.combination(weights)
+            rows.append((c, m, *[float(found[k]) for k in ("estimate", "se", "z", "p_value")]))
+    return spark.createDataFrame(rows, "feature string, market string, slope double, se double, z double, p_value double")
+
+
+@PLANS.add("sta_13_wald_blocks")
+def wald_blocks(spark, sf):
+    _, _, fits = _ladder(spark, sf)
+    blocks = {"audio": [f"{c}_std" for c in SPEC.audio], "lyrics": [f"{c}_std" for c in SPEC.lyrics], "market": SPEC.dummies,
+              "interactions": [c for c in SPEC.columns if "__x__" in c]}
+    rows = [(n, *(fits["M3"].wald(c)[k] for k in ("statistic", "df", "rank", "p_value"))) for n, c in blocks.items()]
+    return spark.createDataFrame(rows, "block string, statistic double, df int, rank int, p_value double")
+
+
+@PLANS.add("sta_24_auxiliary_interaction")
+def auxiliary_interaction(spark, sf):
+    x, _, _ = designed(spark, sf)
+    names = [f"mode_x_{d}" for d in SPEC.dummies]
+    wide = x.where("not is_test").withColumns({n: F.col("mode") * F.col(d) for n, d in zip(names, SPEC.dummies)})
+    fit = linear.fit_ols(wide, "chart_score", [*SPEC.columns, *names], "track")
+    found = fit.wald(names)
+    return spark.createDataFrame([tuple(found[k] for k in ("statistic", "df", "p_value"))], "statistic double, df int, p_value double")
+
+
+@PLANS.add("sta_21_coefficient_sensitivity")
+def coefficient_sensitivity(spark, sf):
+    x, _, fits = _ladder(spark, sf)
+    train, full = x.where("not is_test"), fits["M2"]
+    cut = linear.with_influence(train, full, "chart_score").where(F.col("cooks_distance") <= 4.0 / full.n)
+    reduced = linear.fit_ols(cut, "chart_score", full.columns, "track")
+    return linear.compare_fits(spark, full, reduced)
+
+
+@PLANS.add(
+    "mlp_09_mean_baselines",
+    """WITH p AS (SELECT l_returnflag AS market, l_extendedprice / 1000 AS y, l_partkey % 5 = 0 AS is_test FROM lineitem),
+    g AS (SELECT AVG(y) AS m FROM p WHERE NOT is_test), k AS (SELECT market, AVG(y) AS m FROM p WHERE NOT is_test GROUP BY 1)
+    SELECT round(AVG(abs(y - g.m)), 6) AS mae_global, round(AVG(abs(y - k.m)), 6) AS mae_market FROM p JOIN k ON k.market = p.market, g WHERE is_test""",
+)
+def mean_baselines(spark, sf):
+    rows = predictions(spark, sf).select("market", "y", (F.col("track") % 5 == 0).alias("is_test"))
+    train = rows.where("not is_test")
+    per_market = train.groupBy("market").agg(F.avg("y").alias("km"))
+    overall = train.agg(F.avg("y").alias("gm")).withColumn("_one", F.lit(1))
+    joined = rows.where("is_test").join(per_market, "market").withColumn("_one", F.lit(1)).join(F.broadcast(overall), "_one")
+    return joined.agg(
+        F.round(F.avg(F.abs(F.col("y") - F.col("gm"))), 6).alias("mae_global"), F.round(F.avg(F.abs(F.col("y") - F.col("km"))), 6).alias("mae_market")
+    )
+
+
+@PLANS.add(
+    "mlp_10_batch_prediction",
+    f"WITH {_SIMPLE} SELECT id, round(a + b * x, 6) AS predicted FROM r",
+)
+def batch_prediction(spark, sf):
+    rows = _simple(spark, sf)
+    fit = linear.fit_ols(rows, "y", ["x"])
+    return rows.select("id", F.round(linear.prediction(fit.columns, fit.beta), 6).alias("predicted"))
+
+
+def _forest(spark, sf):
+    rows = split_table(spark, sf)
+    train = rows.where("not is_test")
+    medians = design.train_medians(train, SPEC)
+    x, names = forest.forest_features(rows, SPEC, medians, ["track", "market", "chart_score", "is_test"])
+    model = forest.fit_forest(x.where("not is_test"), names, "chart_score", "track", {"maxDepth": [4], "numTrees": [20]}, folds=3)
+    return rows, medians, x, names, model
+
+
+@PLANS.add("mlp_11_forest_test_metrics")
+def forest_test_metrics(spark, sf):
+    from chartspark.operators.bootstrap import base_metrics
+
+    _, _, x, names, model = _forest(spark, sf)
+    return base_metrics(forest.predict_forest(model, x.where("is_test"), names, "pred"), "chart_score", "pred", "market")
+
+
+@PLANS.add("mlp_12_permutation_importance")
+def permutation_importance(spark, sf):
+    _, _, x, names, model = _forest(spark, sf)
+    return forest.permutation_importance(model, x.where("is_test"), names, "chart_score", ["track", "market"], repeats=5)
+
+
+@PLANS.add("top_05_importance_ranking")
+def importance_ranking(spark, sf):
+    return permutation_importance(spark, sf).orderBy(F.desc("importance_mean"), "feature").limit(10)
+
+
+@PLANS.add("mlp_13_dual_inference")
+def dual_inference(spark, sf):
+    rows, medians, _, _, model = _forest(spark, sf)
+    fitted = design.fit_scaler(rows.where("not is_test"), SPEC)
+    x = design.design_matrix(rows.where("not is_test"), SPEC, fitted, ["track", "chart_score"])
+    ols = linear.fit_ols(x, "chart_score", SPEC.columns, "track")
+    return forest.dual_scores(rows, SPEC, fitted, medians, ols, model, ["track", "market"])
+
+
+@PLANS.add(
+    "mlp_14_split_artifacts",
+    f"""WITH {MODEL}, t AS (SELECT * FROM split WHERE NOT is_test), long AS (SELECT 'energy' AS feature, energy AS v FROM t UNION ALL SELECT 'tempo', tempo FROM t)
+    SELECT feature, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.01), 6) AS p01, round(quantile_cont(v, 0.99), 6) AS p99 FROM long GROUP BY 1""",
+)
+def split_artifacts(spark, sf):
+    out = design.split_artifacts(split_table(spark, sf).where("not is_test"), SPEC).where("feature in ('energy', 'tempo')")
+    return out.select("feature", *[F.round(c, 6).alias(c) for c in ("median", "p01", "p99")])
+
+
+@PLANS.add(
+    "agg_26_trend_by_flag",
+    """SELECT l_returnflag AS market, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY 1""",
+)
+def trend_by_flag(spark, sf):
+    return S.table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("market")).agg(
+        F.round(F.regr_slope("l_extendedprice", "l_quantity"), 6).alias("slope"), F.round(F.regr_r2("l_extendedprice", "l_quantity"), 6).alias("r2")
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,23 +31,26 @@ def partitions_for(df: DataFrame, bytes_per_part: int = 64 * 1024 * 1024, least:
     return int(min(max(input_bytes(df) // bytes_per_part + 1, least), most))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; make a local one only in local mode with none set."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names; a local one only in local mode with none set."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
     shared = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY, None)
     if shared is None:
         if not sc.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
         shared = tempfile.mkdtemp(prefix="chartspark-checkpoint-")
-    sc.setCheckpointDir(shared)
+        spark.conf.set(CHECKPOINT_KEY, shared)
+    return shared
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so lost executors do not lose the data."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows written once as a table in the shared folder and read back.
+
+    Lost executors do not lose them, later passes do not repeat the work before, and the planner knows their true size.
+    """
+    path = f"{shared_folder(df.sparkSession)}/chartspark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def salted_keys(df: DataFrame, salt: str, pieces: int, *spread_by: str) -> DataFrame:
