@@ -361,12 +361,8 @@ def identity_evidence(artist: Column, title_normal: Column, channel: Column, cha
         | ((F.length(compact(artist)) >= 3) & (compact(artist) == compact(channel_clean)))
     )
     lower = F.lower(F.coalesce(channel, F.lit("")))
-    agency = F.lit(False)
-    for name, channels in R.AGENCY_CHANNELS.items():
-        hit = F.lit(False)
-        for c in channels:
-            hit = hit | lower.contains(c)
-        agency = agency | ((artist == name) & hit)
+    table = F.create_map(*[x for name, cs in R.AGENCY_CHANNELS.items() for x in (F.lit(name), F.array(*[F.lit(c) for c in cs]))])
+    agency = F.coalesce(F.exists(table[artist], lambda c: lower.contains(c)), F.lit(False))
     within = named & ~exact & (artist_in_text(artist, channel_normal) | agency)
     topic = exact & found(F.coalesce(channel, F.lit("")), r"\btopic\b")
     evidence = F.array_compact(F.array(

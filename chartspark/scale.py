@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 SMALL_INPUT_BYTES = 256 * 1024 * 1024
 SMALL_INPUT_KEY = "chartspark.smallInputBytes"
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+UNKNOWN_BYTES = 1 << 60  # leaves without statistics report the largest long
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -27,8 +28,11 @@ def is_small(df: DataFrame, limit: int | None = None) -> bool:
 
 
 def partitions_for(df: DataFrame, bytes_per_part: int = 64 * 1024 * 1024, least: int = 8, most: int = 16384) -> int:
-    """Number of pieces so that each holds about bytes_per_part of the input."""
-    return int(min(max(input_bytes(df) // bytes_per_part + 1, least), most))
+    """Number of pieces so that each holds about bytes_per_part of the input; least when the size is not known."""
+    size = input_bytes(df)
+    if size >= UNKNOWN_BYTES:
+        return least
+    return int(min(max(size // bytes_per_part + 1, least), most))
 
 
 def shared_folder(spark: SparkSession) -> str:

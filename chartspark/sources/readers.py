@@ -52,7 +52,7 @@ def load_table(
 
 def read_corpus(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """One row per file: key from the file name, whole text without a leading byte-order mark."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path)
+    rows = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
     name = F.col("_metadata.file_name")
     text = F.when(F.col("value").startswith(BOM), F.substr("value", F.lit(2))).otherwise(F.col("value"))
     return rows.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("key"), text.alias("text"))
