@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chartspark import scale
 from chartspark.functions.clean import col
 from chartspark.functions.language_rules import (
     CHORUS_TAG, DEFAULT_RULES, EDGE_MARKS, SECTION_TAG, WORD_PATTERN, LyricRules,
@@ -195,7 +196,7 @@ def lyric_features(
     df: DataFrame, text: str, title: str, language: str, rules: LyricRules = DEFAULT_RULES, chorus: bool = True
 ) -> DataFrame:
     """The ten text features per row; a blank text has none, a missing measure stays NULL."""
-    base = df.withColumn("_raw", nfc(text)).withColumn("_trim", strip("_raw"))
+    base = scale.enough_partitions(df).withColumn("_raw", nfc(text)).withColumn("_trim", strip("_raw"))
     has_text = F.coalesce(F.col("_trim") != "", F.lit(False))
     base = base.withColumn("_tokens", F.when(has_text, tokenize(normalize_text("_raw"), language, rules)))
     if chorus:
@@ -296,7 +297,8 @@ def fit_word_profile(df: DataFrame, text: str, language: str, top: int = 150) ->
     """
     from chartspark.operators.chart import top_positions
 
-    words = df.select(F.col(language).alias("language"), F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word"))
+    rows = scale.enough_partitions(df.select(language, text))
+    words = rows.select(F.col(language).alias("language"), F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word"))
     counts = words.where(F.length("word") > 0).groupBy("language", "word").agg(F.count(F.lit(1)).alias("n"))
     best = top_positions(counts, ["language"], [F.desc("n"), F.asc("word")], top, out="place")
     shared = best.groupBy("word").agg(F.min("language").alias("language"), F.count(F.lit(1)).alias("k")).where("k = 1")
@@ -345,7 +347,7 @@ def detect_language(df: DataFrame, key: str, text: str, detector, languages: lis
     return; the three scripts are added. Texts without readable lines are unknown.
     """
     names = [*SCRIPTS, *[x for x in languages if x not in SCRIPTS]]
-    lines = df.select(key, F.explode_outer(clean_lines(text)).alias("line"))
+    lines = scale.enough_partitions(df.select(key, text), key).select(key, F.explode_outer(clean_lines(text)).alias("line"))
     facts = line_language(lines, "line", detector)
     weight = F.col("latin") + F.col("script_total")
     counted = weight >= MIN_LETTERS

@@ -235,7 +235,8 @@ def with_title_variants(df: DataFrame, offered: str, artist: str, wanted: str, c
     cleaned, suffix, outer = F.col("_cleaned"), F.col("_suffix"), F.col("_outer")
 
     def reading(text: Column) -> Column:
-        return with_suffix(normalize_title(text, a), suffix)
+        # most readings are empty; they skip the pattern chain
+        return F.when(text != "", with_suffix(normalize_title(text, a), suffix)).otherwise("")
 
     rows = df.withColumn("_bare", without_artist(without_presentation(o), a))
     rows = rows.withColumn("_cleaned", without_feature_credits(F.col("_bare"), F.col(wanted)))
@@ -249,12 +250,13 @@ def with_title_variants(df: DataFrame, offered: str, artist: str, wanted: str, c
     )))
     notes = F.filter(F.regexp_extract_all(cleaned, F.lit(r"\(([^()]+)\)"), F.lit(1)), lambda b: ~found(b, R.ANY_VERSION))
     rows = rows.withColumn("_q", from_quotes).withColumn("_n", F.filter(F.transform(notes, reading), lambda n: n != F.col("_an1")))
-    local = with_suffix(normalize_title(F.regexp_extract(outer, TWO_SCRIPTS, 1)), suffix)
-    rows = rows.withColumn("_o", F.array(reading(outer), local, reading(F.regexp_extract(outer, TWO_SCRIPTS, 2))))
+    rows = rows.withColumn("_s1", F.regexp_extract(outer, TWO_SCRIPTS, 1)).withColumn("_s2", F.regexp_extract(outer, TWO_SCRIPTS, 2))
+    local = F.when(F.col("_s1") != "", with_suffix(normalize_title(F.col("_s1")), suffix)).otherwise("")
+    rows = rows.withColumn("_o", F.array(reading(outer), local, reading(F.col("_s2"))))
     rows = rows.withColumn("_p", F.array(normalize_title(o, a), normalize_title(cleaned, a)))
     every = F.when(F.col(conflict), F.col("_p")).otherwise(F.concat("_p", "_q", "_n", "_o"))
     made = rows.withColumn(out, F.array_distinct(F.filter(every, lambda v: v != "")))
-    return made.drop("_bare", "_cleaned", "_suffix", "_outer", "_an1", "_groups", "_parts", "_q", "_n", "_o", "_p")
+    return made.drop("_bare", "_cleaned", "_suffix", "_outer", "_an1", "_groups", "_parts", "_q", "_n", "_o", "_p", "_s1", "_s2")
 
 
 PAIRS = [

@@ -25,7 +25,9 @@ def evaluate_candidates(
     none = F.array().cast("array<string>")
     rows = df
     if aliases:
-        readings = M.with_alias_readings(df, t, v, a, "_readings").select(key, F.explode("_readings").alias("_alias"))
+        # an alias pairs Hangul with Latin text, so other titles need no parsing
+        paired = df.where(v.rlike("[가-힣]") & v.contains("("))
+        readings = M.with_alias_readings(paired, t, v, a, "_readings").select(key, F.explode("_readings").alias("_alias"))
         named = readings.groupBy(key).agg(F.array_sort(F.collect_set("_alias")).alias("_aliases"))
         rows = rows.join(named, key, "left").withColumn("_aliases", F.coalesce("_aliases", none))
     else:

@@ -75,3 +75,11 @@ def spread_for_cpu(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(partitions_for(df, least=cores, most=max(cores, 16384)), *keys)
+
+
+def enough_partitions(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a table whose few large files would leave cores idle; a table with many splits stays as it is."""
+    spark = df.sparkSession
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if input_bytes(df) // split + 1 < cores else df
