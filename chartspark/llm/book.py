@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartspark.llm import decontaminate, language, near_dedup, secrets, token_files
+from chartspark.llm import decontaminate, exact_dedup, language, mixing, near_dedup, secrets, token_files
 from chartspark.plans.book import PlanBook
 
 PLANS = PlanBook()
@@ -85,3 +85,35 @@ def tokenizer_path() -> str:
 def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.write(table(spark, sf_dir, "documents"), tokenizer_path())
     return token_files.read_documents(spark, folder)
+
+
+@PLANS.add("op3_streaming_exact_dedup", """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+""")
+def op3_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(spark, f"{sf_dir}/documents.parquet").withColumnRenamed("digest", "text_sha256")
+
+
+@PLANS.add("op9_curriculum_mix", """
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+                  md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS h FROM documents),
+s AS (SELECT source, size, place, CASE place % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, 2.0::DOUBLE * size AS stop
+      FROM (SELECT source, CAST(sum(size) AS BIGINT) AS size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source)),
+-- sources reach their stop in the order of stop per weight; the level is that of the first set that stays as it is
+r AS (SELECT *, coalesce(sum(stop) OVER lower_ones, 0) AS used, sum(weight) OVER all_ones - coalesce(sum(weight) OVER lower_ones, 0) AS open_weight, sum(size) OVER all_ones AS total, row_number() OVER (ORDER BY stop / weight, place) AS k
+      FROM s WINDOW lower_ones AS (ORDER BY stop / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), all_ones AS ()),
+l AS (SELECT arg_min((1.5::DOUBLE * total - used) / open_weight, k) AS level FROM r WHERE (1.5::DOUBLE * total - used) / open_weight < stop / weight),
+g AS (SELECT source, size AS source_size, least(stop, coalesce(level, 0) * weight) AS target FROM s, l),
+c AS (SELECT doc_id, d.source, d.size, source_size, target,
+             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target,
+       CAST(size * CASE WHEN source_size > 0 THEN greatest(0, least(2, ceil((target - (before + size / 2)) / source_size))) ELSE 0 END AS BIGINT) AS taken
+FROM c
+""")
+def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    size = F.col("_mix_size")
+    return mixing.plan(docs).select("doc_id", size.alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), (size * F.col("_mix_times")).alias("taken"))
