@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartspark.llm import decontaminate, exact_dedup, language, mixing, near_dedup, secrets, token_files
+from chartspark.llm import decontaminate, exact_dedup, language, mixing, near_dedup, pii, secrets, token_files
 from chartspark.plans.book import PlanBook
 
 PLANS = PlanBook()
@@ -117,3 +117,10 @@ def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     size = F.col("_mix_size")
     return mixing.plan(docs).select("doc_id", size.alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), (size * F.col("_mix_times")).alias("taken"))
+
+
+@PLANS.add("op2_bootstrapped_pii")
+def op2_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
