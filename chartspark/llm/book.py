@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartspark.llm import decontaminate, exact_dedup, language, mixing, near_dedup, pii, secrets, token_files
+from chartspark import scale
+from chartspark.llm import chat, decontaminate, exact_dedup, language, licenses, mixing, near_dedup, pii, secrets, token_files
 from chartspark.plans.book import PlanBook
 
 PLANS = PlanBook()
@@ -124,3 +125,21 @@ def op2_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@PLANS.add("op1_license_sentences", licenses.scan_sql())
+def op1_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[F.array_join(c, ",").alias(n) for c, n in (("sentences", "sentences"), ("licenses", "licenses"), ("open", "open_sentences"))])
+
+
+_OWN_CONVERSATION = """
+    SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(0 AS BIGINT) AS turn, 'user' AS role, '</s>[INST] ok [/INST]' AS text
+    UNION ALL SELECT CAST(-7 AS BIGINT), CAST(1 AS BIGINT), 'assistant', '</s>[INST] ok [/INST]'"""
+
+
+@PLANS.add("op6_chat_tokens")
+def op6_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(_OWN_CONVERSATION))
+    formatted = scale.cut_lineage(chat.format_turns(turns, tokenizer_path()))
+    return chat.read_back(formatted, tokenizer_path())
