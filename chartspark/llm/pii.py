@@ -16,6 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chartspark import scale
@@ -51,7 +52,7 @@ LOOSE = (
     Shape(("phone", "card"), "[0-9][ ().-]{0,2}[0-9]", "(?<![0-9A-Za-z])[0-9](?:[ ().-]{0,2}+[0-9])++(?![0-9A-Za-z])"),
 )
 
-_MENTION = "array<struct<start: bigint, end: bigint, value: string>>"
+_SPANS = "array<struct<kind: string, start: bigint, end: bigint>>"
 
 
 def _digits(value: Column) -> Column:
@@ -79,27 +80,19 @@ def _holds(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _checked(found: str, kind: str) -> Column:
-    return F.filter(found, lambda m: _holds(kind, m["value"]))
-
-
 def matches(text: Column, shape: Shape) -> Column:
-    """array<struct<start, end, value>> of the leftmost matches that don't overlap; code points, end exclusive.
+    """array<struct<gap, size, value, before, after>> of the leftmost matches that don't overlap.
 
-    The pieces between the matches give the places: each match starts where the pieces and matches before it end.
+    The pieces between the matches give the places, gap being the length of the one before, and the neighbouring words.
     """
     there = text.rlike(shape.hint) if shape.hint != "@" else F.contains(text, F.lit("@"))
     found = F.when(there, F.regexp_extract_all(text, F.lit(shape.pattern), F.lit(0)))
     between = F.when(there, F.split(text, shape.pattern, -1))
-    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, gap: F.struct(F.length(gap).cast("long").alias("gap"), F.length(m).cast("long").alias("size"), m.alias("value")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_MENTION).alias("out"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        first = acc["at"] + pair["gap"]
-        mention = F.struct(first.alias("start"), (first + pair["size"]).alias("end"), pair["value"].alias("value"))
-        return F.struct((first + pair["size"]).alias("at"), F.array_append(acc["out"], mention).alias("out"))
-
-    return F.coalesce(F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"])), F.array().cast(_MENTION))
+    size, near = F.size(found), F.lit(CONTEXT_CHARS)
+    sides = F.zip_with(F.slice(between, 1, size), F.slice(between, 2, size), lambda gap, rest: F.struct(F.length(gap).cast("long").alias("gap"), F.right(gap, near).alias("before"), F.left(rest, near).alias("after")))
+    return F.when(size > 0, F.zip_with(found, sides, lambda m, s: F.struct(
+        s["gap"].alias("gap"), F.length(m).cast("long").alias("size"), m.alias("value"), s["before"].alias("before"), s["after"].alias("after"),
+    )))
 
 
 def _identifier(kind: Column, value: Column) -> Column:
@@ -112,10 +105,8 @@ def _word(value: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(value, r"[0-9]++", "#"), r"^[^\p{L}#]+|[^\p{L}#]+$", ""))
 
 
-def _patterns(text: Column, mention: Column) -> Column:
+def _patterns(before: Column, after: Column) -> Column:
     """The lexical patterns around a mention."""
-    before = F.substring(text, F.greatest(mention["start"] - CONTEXT_CHARS + 1, F.lit(1)).cast("int"), F.least(mention["start"], F.lit(CONTEXT_CHARS)).cast("int"))
-    after = F.substring(text, (mention["end"] + 1).cast("int"), F.lit(CONTEXT_CHARS))
     near = _word(F.regexp_extract(before, r"(\S+)\s*$", 1))
     far = _word(F.regexp_extract(before, r"(\S+)\s+\S+\s*$", 1))
     follow = _word(F.regexp_extract(after, r"^\S*\s+(\S+)", 1))
@@ -126,32 +117,44 @@ def _patterns(text: Column, mention: Column) -> Column:
     return F.array_compact(three)
 
 
-def _overlap(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per input row: doc_id, _key (a hash of id and text), _found with the matches of all shapes, null without any."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
+    each = [matches(F.col("body"), s).alias(f"s{i}") for i, s in enumerate(BASE + LOOSE)]
+    found = rows.select("doc_id", F.xxhash64("doc_id", "body").alias("_key"), *each)
+    names = [f"s{i}" for i in range(len(each))]
+    return found.select("doc_id", "_key", F.when(F.coalesce(*names).isNotNull(), F.struct(*names)).alias("_found"))
 
 
-def mentions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, _key (of id and text), base (kind, start, end), mentions with kinds, seed and patterns."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
-    rows = rows.withColumn("_key", F.xxhash64("doc_id", "body"))
-    found = rows.select("doc_id", "_key", "body", *[matches(F.col("body"), s).alias(f"_b{i}") for i, s in enumerate(BASE)], *[matches(F.col("body"), s).alias(f"_l{i}") for i, s in enumerate(LOOSE)])
-    found = found.withColumns({f"_b{i}": _checked(f"_b{i}", s.kinds[0]) for i, s in enumerate(BASE)})
-
-    def listed(name: str, shape: Shape, seed: bool) -> Column:
-        kinds = F.array(*map(F.lit, shape.kinds))
-        return F.transform(name, lambda m: F.struct(kinds.alias("kinds"), F.lit(seed).alias("seed"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
-
-    seeds = F.concat(*[listed(f"_b{i}", s, True) for i, s in enumerate(BASE)])
-    loose = F.concat(*[listed(f"_l{i}", s, False) for i, s in enumerate(LOOSE)])
-    found = found.select("doc_id", "_key", "body", seeds.alias("seeds"), loose.alias("loose"))
-    free = F.filter("loose", lambda m: ~F.exists("seeds", lambda s: _overlap(m, s)))
-    found = found.select("doc_id", "_key", "body", "seeds", free.alias("loose"))
-    kept = F.transform(F.concat("seeds", "loose"), lambda m: F.struct(
-        m["kinds"].alias("kinds"), m["seed"].alias("seed"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"),
-        _patterns(F.col("body"), m).alias("patterns"),
-    ))
-    spans = F.transform("seeds", lambda m: F.struct(m["kinds"][0].alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
-    return found.select("doc_id", "_key", spans.alias("base"), F.when(F.size("seeds") + F.size("loose") > 0, kept).alias("mentions"))
+def mentions(found: DataFrame) -> DataFrame:
+    """One row per mention and possible kind: doc_id, _key, kind, seed, start, end, identifier, patterns.
+
+    Places are running sums over a text's matches of one shape. Loose matches that overlap a seed are left out. Only rows of
+    one text are ordered together.
+    """
+    texts = found.where("_found IS NOT NULL").dropDuplicates(["doc_id", "_key"])
+    rows = None
+    for i in range(len(BASE + LOOSE)):
+        part = texts.select("doc_id", "_key", F.lit(i).alias("shape"), F.posexplode(f"_found.s{i}").alias("at", "m"))
+        rows = part if rows is None else rows.unionByName(part)
+    rows = rows.select("doc_id", "_key", "shape", "at", "m.*")
+    inside = W.partitionBy("doc_id", "_key", "shape").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(inside)).withColumn("start", F.col("end") - F.col("size"))
+    holds = F.lit(False)
+    for i, shape in enumerate(BASE):
+        holds = F.when(F.col("shape") == i, _holds(shape.kinds[0], F.col("value"))).otherwise(holds)
+    rows = rows.withColumn("seed", holds).where(F.col("seed") | (F.col("shape") >= len(BASE)))
+    text = W.partitionBy("doc_id", "_key")
+    left = F.max(F.when(F.col("seed"), F.col("end"))).over(text.orderBy(F.col("start"), F.col("seed").desc()).rowsBetween(W.unboundedPreceding, -1))
+    right = F.min(F.when(F.col("seed"), F.col("start"))).over(text.orderBy(F.col("start").desc(), F.col("seed").desc()).rowsBetween(W.unboundedPreceding, -1))
+    clear = (F.coalesce(left, F.lit(0)) <= F.col("start")) & (F.coalesce(right, F.col("end")) >= F.col("end"))
+    rows = rows.withColumn("clear", clear).where("seed OR clear")
+    kinds = F.array(*[F.array(*map(F.lit, s.kinds)) for s in BASE + LOOSE])
+    rows = rows.withColumn("kind", F.explode(F.element_at(kinds, F.col("shape") + 1)))
+    size = F.length(_digits(F.col("value")))
+    fits = F.when(F.col("seed"), True).when(F.col("kind") == "phone", size.between(8, 15)).when(F.col("kind") == "card", size.between(12, 19)).otherwise(True)
+    rows = rows.where(fits)
+    return rows.select("doc_id", "_key", "kind", "seed", "start", "end", _identifier(F.col("kind"), F.col("value")).alias("identifier"), _patterns(F.col("before"), F.col("after")).alias("patterns"))
 
 
 def bootstrap(graph: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -185,13 +188,8 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: in
     spans holds the base ones and what the patterns add. Null text counts as empty and gives none. Rows that repeat an id and
     a text get the same spans. Without seeds nothing is added. Other columns are ignored.
     """
-    found = scale.cut_lineage(mentions(docs, doc_id, text))
-    each = found.where("mentions IS NOT NULL").select("doc_id", "_key", F.explode("mentions").alias("m"))
-    each = each.select("doc_id", "_key", "m.start", "m.end", "m.seed", "m.patterns", "m.value", F.explode("m.kinds").alias("kind"))
-    size = F.length(_digits(F.col("value")))
-    fits = F.when(F.col("seed"), True).when(F.col("kind") == "phone", size.between(8, 15)).when(F.col("kind") == "card", size.between(12, 19)).otherwise(True)
-    each = each.where(fits).withColumn("identifier", _identifier(F.col("kind"), F.col("value"))).drop("value")
-    each = scale.cut_lineage(each)
+    found = scale.cut_lineage(keyed(docs, doc_id, text))
+    each = scale.cut_lineage(mentions(found))
     graph = each.select("kind", "identifier", "seed", F.explode("patterns").alias("pattern"))
     good, known = bootstrap(graph, rounds)
     open_ones = each.where("NOT seed").select("doc_id", "_key", "start", "end", "kind", "identifier", "patterns")
@@ -201,13 +199,13 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: in
     led = open_ones.select("*", F.explode("patterns").alias("pattern")).join(good, ["kind", "pattern"]).join(known, ["kind", "identifier"])
     led = led.select("doc_id", "_key", "kind", "start", "end", "confidence")
     best = repeats.unionByName(led).groupBy("doc_id", "_key", "start", "end").agg(F.max(F.struct("confidence", "kind"))["kind"].alias("kind"))
-    more = best.groupBy("doc_id", "_key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
-    more = more.select(F.col("doc_id").alias("_doc"), F.col("_key").alias("_k"), "more")
-    joined = found.select("doc_id", "_key", "base").join(more, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_k")), "left")
-    return joined.select("doc_id", ordered(F.col("base")).alias("base"), ordered(F.concat("base", F.coalesce("more", F.array().cast("array<struct<kind: string, start: bigint, end: bigint>>")))).alias("spans"))
+    every = each.where("seed").select("doc_id", "_key", "kind", "start", "end", "seed").unionByName(best.withColumn("seed", F.lit(False)))
+    spans = every.groupBy("doc_id", "_key").agg(F.collect_list(F.struct(_number(F.col("kind")).alias("number"), "start", "end", "kind", "seed")).alias("all"))
+    spans = spans.select(F.col("doc_id").alias("_doc"), F.col("_key").alias("_k"), F.sort_array("all").alias("all"))
+    joined = found.select("doc_id", "_key").join(spans, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_k")), "left")
+    plain = lambda c: F.coalesce(F.transform(c, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))), F.array().cast(_SPANS))
+    return joined.select("doc_id", plain(F.filter("all", lambda s: s["seed"])).alias("base"), plain(F.col("all")).alias("spans"))
 
 
-def ordered(spans: Column) -> Column:
-    """Spans by kind as listed, then start."""
-    keyed = F.transform(spans, lambda s: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("n"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+def _number(kind: Column) -> Column:
+    return F.array_position(F.array(*map(F.lit, KINDS)), kind)
