@@ -9,6 +9,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,67 +121,61 @@ def chorus_lines(text: Column) -> Column:
     return F.filter(tidy, lambda x: x != "")
 
 
-def _block_count(lines: list[str], rules: LyricRules) -> int:
-    """Best number of extra occurrences of a repeated line block, 0 when there is none."""
-    n = len(lines)
-    longest = min(rules.max_block_lines, n // 2)
-    places: dict[str, list[int]] = {}
-    for i, line in enumerate(lines):
-        if len(line) >= 3:
-            places.setdefault(line, []).append(i)
-    words = [line.split() for line in lines]
-    best_score = best = 0
-    for i in range(n - rules.min_block_lines + 1):
-        later = [p for p in places.get(lines[i], ()) if p >= i + rules.min_block_lines]
-        if not later:
-            continue
-        for size in range(rules.min_block_lines, min(longest, n - i) + 1):
-            # a block can only beat the best score if enough room is left for its copies
-            if size * (1 + len(later)) <= best_score:
-                continue
-            block = lines[i:i + size]
-            block_words = [w for ws in words[i:i + size] for w in ws]
-            if len(set(block)) < rules.min_unique_lines or len(block_words) < rules.min_block_words:
-                continue
-            found, end = 1, i + size
-            for p in later:
-                length = min(size, n - p)
-                if p < end or length < rules.min_block_lines or size - length > 1:
-                    continue
-                if lines[p:p + length] != block:
-                    other = [w for ws in words[p:p + length] for w in ws]
-                    matcher = SequenceMatcher(None, block_words, other)
-                    if matcher.quick_ratio() < rules.block_similarity or matcher.ratio() < rules.block_similarity:
-                        continue
-                found, end = found + 1, p + length
-            if found >= 2 and size * found > best_score:
-                best_score, best = size * found, found - 1
-    return best
-
-
-def block_repeats(rules: LyricRules = DEFAULT_RULES):
-    @F.pandas_udf(T.IntegerType())
-    def count(lines: pd.Series) -> pd.Series:
-        return lines.map(lambda a: None if a is None else _block_count(list(a), rules)).astype("Int32")
-
-    return count
-
-
-def chorus_repetition(text: Column, rules: LyricRules = DEFAULT_RULES) -> Column:
-    """Extra chorus occurrences: from two or more tags, else from repeated line blocks; 0 only with one tag.
-
-    Only texts where some line of three or more characters repeats are handed to Python.
+@F.pandas_udf(T.DoubleType())
+def word_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Matching-blocks ratio of two word sequences; NULL in gives NULL out."""
+    return pd.Series([None if a is None else SequenceMatcher(None, a.split(), b.split()).ratio() for a, b in zip(left, right)], dtype="float64")
+
+
+def line_blocks(texts: DataFrame, key: str, lines: str, rules: LyricRules = DEFAULT_RULES) -> DataFrame:
+    """One row per line: key, at, line, n (lines of the text) and block, the lines from there on up to the longest block."""
+    rows = texts.select(key, F.size(lines).alias("n"), F.posexplode(lines).alias("at", "line"))
+    ahead = W.partitionBy(key).orderBy("at").rowsBetween(0, rules.max_block_lines - 1)
+    return rows.withColumn("block", F.collect_list("line").over(ahead))
+
+
+def repeated_blocks(texts: DataFrame, key: str, lines: str, rules: LyricRules = DEFAULT_RULES) -> DataFrame:
+    """(key, repeats) of texts in which a block of lines comes again: further occurrences of the block that covers most lines.
+
+    A block meets its copies by a join on its first line; copies that are not equal are compared word by word. Copies are
+    taken from the front without overlap. Equal cover: the block that starts first, then the shorter one.
     """
-    tags = F.regexp_count(text, F.lit(CHORUS_TAG))
-    lines = chorus_lines(text)
-    anchors = F.filter(lines, lambda x: F.length(x) >= 3)
-    worth = (tags < 2) & (F.size(lines) >= 2 * rules.min_block_lines) & (F.size(anchors) > F.size(F.array_distinct(anchors)))
-    found = block_repeats(rules)(F.when(worth, lines))
-    return (
-        F.when(tags >= 2, tags - 1)
-        .when(found >= 1, found)
-        .when((tags == 1) & (F.size(lines) >= 2), F.lit(0))
-    )
+    rows = line_blocks(texts, key, lines, rules).where(F.length("line") >= 3)
+    words = lambda c: F.size(F.split(F.array_join(c, " "), " "))
+    rich = (F.size(F.array_distinct("block")) >= rules.min_unique_lines) & (words(F.col("block")) >= rules.min_block_words)
+    starts = rows.where(rich).select(key, "line", "n", "at", F.col("block").alias("own"))
+    copies = rows.select(key, "line", F.col("at").alias("place"), F.col("block").alias("other"))
+    met = starts.join(copies, [key, "line"]).where(F.col("place") >= F.col("at") + rules.min_block_lines)
+    longest = F.least(F.lit(rules.max_block_lines), F.floor(F.col("n") / 2).cast("int"), F.col("n") - F.col("at"))
+    met = met.where(longest >= rules.min_block_lines).withColumn("size", F.explode(F.sequence(F.lit(rules.min_block_lines), longest)))
+    met = met.withColumn("length", F.least("size", F.col("n") - F.col("place")))
+    met = met.where((F.col("length") >= rules.min_block_lines) & (F.col("size") - F.col("length") <= 1))
+    met = met.withColumn("own", F.slice("own", 1, F.col("size"))).withColumn("other", F.slice("other", 1, F.col("length")))
+    met = met.where((F.size(F.array_distinct("own")) >= rules.min_unique_lines) & (words(F.col("own")) >= rules.min_block_words))
+    differ = F.col("own") != F.col("other")
+    near = word_similarity(F.when(differ, F.array_join("own", " ")), F.when(differ, F.array_join("other", " ")))
+    alike = met.withColumn("_near", near).where(~differ | (F.col("_near") >= rules.block_similarity))
+    found = alike.groupBy(key, "at", "size").agg(F.sort_array(F.collect_list(F.struct("place", "length"))).alias("places"))
+    first = F.struct((F.col("at") + F.col("size")).alias("end"), F.lit(0).alias("taken"))
+    walk = F.aggregate("places", first, lambda acc, p: F.when(p["place"] >= acc["end"], F.struct((p["place"] + p["length"]).alias("end"), (acc["taken"] + 1).alias("taken"))).otherwise(acc))
+    taken = found.select(key, "at", "size", walk["taken"].alias("taken")).where("taken > 0")
+    cover = F.struct(F.col("size") * (F.col("taken") + 1), -F.col("at"), -F.col("size"))
+    return taken.groupBy(key).agg(F.max_by("taken", cover).alias("repeats"))
+
+
+def with_chorus_repetition(df: DataFrame, text: str, out: str, rules: LyricRules = DEFAULT_RULES) -> DataFrame:
+    """Adds the extra chorus occurrences: from two or more tags, else from repeated line blocks; 0 only with one tag.
+
+    Equal texts are searched once; texts without a repeated line of three or more characters are not searched.
+    """
+    tags = F.regexp_count(F.col(text), F.lit(CHORUS_TAG))
+    rows = df.withColumns({"_tags": tags, "_lines": chorus_lines(F.col(text)), "_text_key": F.md5(F.col(text).cast("binary"))})
+    anchors = F.filter("_lines", lambda x: F.length(x) >= 3)
+    worth = (F.col("_tags") < 2) & (F.size("_lines") >= 2 * rules.min_block_lines) & (F.size(anchors) > F.size(F.array_distinct(anchors)))
+    searched = rows.where(worth).select("_text_key", "_lines").dropDuplicates(["_text_key"])
+    rows = rows.join(repeated_blocks(searched, "_text_key", "_lines", rules), "_text_key", "left")
+    count = F.when(F.col("_tags") >= 2, F.col("_tags") - 1).when(F.col("repeats") >= 1, F.col("repeats")).when((F.col("_tags") == 1) & (F.size("_lines") >= 2), F.lit(0))
+    return rows.withColumn(out, count).drop("_tags", "_lines", "_text_key", "repeats")
 
 
 # ---- features --------------------------------------------------------------------------------------
@@ -200,7 +195,7 @@ def lyric_features(
     has_text = F.coalesce(F.col("_trim") != "", F.lit(False))
     base = base.withColumn("_tokens", F.when(has_text, tokenize(normalize_text("_raw"), language, rules)))
     if chorus:
-        base = base.withColumn("_chorus", chorus_repetition(F.when(has_text, F.col("_raw")), rules))
+        base = with_chorus_repetition(base.withColumn("_sung", F.when(has_text, F.col("_raw"))), "_sung", "_chorus", rules)
     tokens = F.col("_tokens")
     base = base.withColumn("_n", F.size(tokens)).withColumn("_u", F.size(F.array_distinct(tokens)))
     n, u = F.col("_n"), F.col("_u")

@@ -11,6 +11,36 @@ PRESENTATION = [
     r"\baudio\b", r"\bvisualizer\b", r"\bm\s*/\s*v\b", r"\bmv\b", r"\bmusic\s+video\b", r"\bhq\b", r"\b4k\b", r"\bfull\s+hd\b", r"\bhd\b",
 ]
 
+# Empty brackets, dropped afterwards.
+EMPTY_BRACKETS = [r"\(\s*\)", r"\[\s*\]", r"「\s*」"]
+
+# An artist's name before a title, tried in this order; {artist} stands for the literal name.
+ARTIST_PREFIX = [
+    r"{artist}\s*(?:\([^()]*\))?\s*[-–—|:_]\s*",
+    r"{artist}\s*(?:,|&|\band\b|\bx\b|\bft\b\.?|\bfeat(?:uring)?\b\.?)[^-–—|:_]*[-–—|:_]\s*",
+    r"[^-–—|:_()]*\(\s*{artist}\s*\)\s*[-–—|:_]\s*",
+    r"""{artist}\s*(?:\([^()]*\)|\s+[가-힣]+(?:\s+\d+)?)?\s*(?=['"‘“])""",
+    r"{artist}\s+(?=[A-Za-z0-9가-힣])",
+]
+
+# An artist's name behind a title.
+ARTIST_SUFFIX = r"\s*[-–—|:@]\s*{artist}(?=\s*$|\s*[\(\[])"
+
+# Quoted parts of a title.
+QUOTES = [
+    r"(?:^|(?<=\s))['‘]((?:\w['’]\w|[^'’])+?)['’]+(?=\s|$)",
+    r"['‘]([^'’]+)['’]",
+    r"""["“]([^"”]+)["”]""",
+    r"〈([^〉]+)〉",
+]
+
+# A title in two scripts, and a name followed by its other-script form in brackets.
+TWO_SCRIPTS = r"^\s*([가-힣]+(?:\s+[가-힣]+)*)\s+([A-Za-z0-9\s'’&:!?-]+?)\s*$"
+SCRIPT_PAIRS = [
+    r"([A-Za-z0-9\s'’&:!?-]+?)\s*\(\s*([가-힣]+(?:\s+[가-힣]+)*)\s*\)",
+    r"([가-힣]+(?:\s+[가-힣]+)*)\s*\(\s*([A-Za-z0-9\s'’&:!?-]+?)\s*\)",
+]
+
 # Feature credits.
 FEATURE = [r"\bfeat(?:uring)?\b\.?", r"\bft\b\.?", r"\bwith\b", r"\bprod\b\.?", r"\bproduced\s+by\b"]
 
@@ -84,7 +114,14 @@ REMIX_STOP = ["remix", "version", "ver", "edit", "official", "audio", "video", "
 
 # Channels that publish for an artist.
 AGENCY_CHANNELS = {
-    **{name: ["bangtantv", "bighit music", "hybe labels"] for name in ("bts", "agust d", "v", "jungkook", "jimin", "jin", "rm", "j hope")},
+    "bts": ["bangtantv", "bighit music", "hybe labels"],
+    "agust d": ["bangtantv", "bighit music", "hybe labels"],
+    "v": ["bangtantv", "bighit music", "hybe labels"],
+    "jungkook": ["bangtantv", "bighit music", "hybe labels"],
+    "jimin": ["bangtantv", "bighit music", "hybe labels"],
+    "jin": ["bangtantv", "bighit music", "hybe labels"],
+    "rm": ["bangtantv", "bighit music", "hybe labels"],
+    "j hope": ["bangtantv", "bighit music", "hybe labels"],
     "rosé": ["blackpink", "yg entertainment"],
     "lisa": ["blackpink", "yg entertainment", "lloud"],
     "jennie": ["blackpink", "yg entertainment"],

@@ -43,7 +43,7 @@ def without_presentation(title: Column) -> Column:
     text = title
     for pattern in R.PRESENTATION:
         text = drop(text, pattern)
-    for pattern in (r"\(\s*\)", r"\[\s*\]", r"「\s*」"):
+    for pattern in R.EMPTY_BRACKETS:
         text = drop(text, pattern)
     return F.coalesce(text, F.lit(""))
 
@@ -53,20 +53,9 @@ def without_artist(title: Column, artist: Column) -> Column:
 
     One alternation keeps the title expression single, so nested use does not multiply the plan.
     """
-    q = quoted(strip(artist))
-    forms = [
-        [q, r"\s*(?:\([^()]*\))?\s*[-–—|:_]\s*"],
-        [q, r"\s*(?:,|&|\band\b|\bx\b|\bft\b\.?|\bfeat(?:uring)?\b\.?)[^-–—|:_]*[-–—|:_]\s*"],
-        [r"[^-–—|:_()]*\(\s*", q, r"\s*\)\s*[-–—|:_]\s*"],
-        [q, r"""\s*(?:\([^()]*\)|\s+[가-힣]+(?:\s+\d+)?)?\s*(?=['"‘“])"""],
-        [q, r"\s+(?=[A-Za-z0-9가-힣])"],
-    ]
-    pieces: list[Column | str] = [r"^(?:\[[^\]]*\]\s*)*(?:"]
-    for i, form in enumerate(forms):
-        pieces += (["|"] if i else []) + form
-    pieces.append(r")(?=[\s\S]*\S)")
-    head = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in pieces])
-    tail = F.concat(F.lit(r"\s*[-–—|:@]\s*"), q, F.lit(r"(?=\s*$|\s*[\(\[])"))
+    name = quoted(strip(artist))
+    head = F.replace(F.lit(rf"^(?:\[[^\]]*\]\s*)*{R.any_of(R.ARTIST_PREFIX)}(?=[\s\S]*\S)"), F.lit("{artist}"), name)
+    tail = F.replace(F.lit(R.ARTIST_SUFFIX), F.lit("{artist}"), name)
     never = F.lit("(?!)")
     no_artist = blank(artist)
     text = drop(strip(title), F.when(no_artist, never).otherwise(head), "")
@@ -194,18 +183,10 @@ def with_suffix(variant: Column, suffix: Column) -> Column:
     return F.when((variant == "") | (suffix == ""), variant).otherwise(F.array_join(F.concat(have, extra), " "))
 
 
-QUOTES = [
-    r"(?:^|(?<=\s))['‘]((?:\w['’]\w|[^'’])+?)['’]+(?=\s|$)",
-    r"['‘]([^'’]+)['’]",
-    r"""["“]([^"”]+)["”]""",
-    r"〈([^〉]+)〉",
-]
-
-
 def quoted_groups(cleaned: Column) -> Column:
     """All (whole, inner) quoted parts, pattern by pattern."""
     groups = []
-    for pattern in QUOTES:
+    for pattern in R.QUOTES:
         whole = F.regexp_extract_all(cleaned, F.lit("(?U)" + pattern), F.lit(0))
         inner = F.regexp_extract_all(cleaned, F.lit("(?U)" + pattern), F.lit(1))
         groups.append(F.zip_with(whole, inner, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
@@ -223,9 +204,6 @@ def stands_alone(part: Column, cleaned: Column, artist: Column) -> Column:
     return F.length(strip(drop(latin, named))) <= 2
 
 
-TWO_SCRIPTS = r"^\s*([가-힣]+(?:\s+[가-힣]+)*)\s+([A-Za-z0-9\s'’&:!?-]+?)\s*$"
-
-
 def with_title_variants(df: DataFrame, offered: str, artist: str, wanted: str, conflict: str, out: str = "variants") -> DataFrame:
     """Adds the normalised readings of an offered title; bracket, quote and two-script readings only without a version conflict.
 
@@ -250,7 +228,7 @@ def with_title_variants(df: DataFrame, offered: str, artist: str, wanted: str, c
     )))
     notes = F.filter(F.regexp_extract_all(cleaned, F.lit(r"\(([^()]+)\)"), F.lit(1)), lambda b: ~found(b, R.ANY_VERSION))
     rows = rows.withColumn("_q", from_quotes).withColumn("_n", F.filter(F.transform(notes, reading), lambda n: n != F.col("_an1")))
-    rows = rows.withColumn("_s1", F.regexp_extract(outer, TWO_SCRIPTS, 1)).withColumn("_s2", F.regexp_extract(outer, TWO_SCRIPTS, 2))
+    rows = rows.withColumn("_s1", F.regexp_extract(outer, R.TWO_SCRIPTS, 1)).withColumn("_s2", F.regexp_extract(outer, R.TWO_SCRIPTS, 2))
     local = F.when(F.col("_s1") != "", with_suffix(normalize_title(F.col("_s1")), suffix)).otherwise("")
     rows = rows.withColumn("_o", F.array(reading(outer), local, reading(F.col("_s2"))))
     rows = rows.withColumn("_p", F.array(normalize_title(o, a), normalize_title(cleaned, a)))
@@ -259,18 +237,12 @@ def with_title_variants(df: DataFrame, offered: str, artist: str, wanted: str, c
     return made.drop("_bare", "_cleaned", "_suffix", "_outer", "_an1", "_groups", "_parts", "_q", "_n", "_o", "_p", "_s1", "_s2")
 
 
-PAIRS = [
-    r"([A-Za-z0-9\s'’&:!?-]+?)\s*\(\s*([가-힣]+(?:\s+[가-힣]+)*)\s*\)",
-    r"([가-힣]+(?:\s+[가-힣]+)*)\s*\(\s*([A-Za-z0-9\s'’&:!?-]+?)\s*\)",
-]
-
-
 def with_alias_readings(df: DataFrame, wanted: Column, offered: Column, artist: Column, out: str = "readings") -> DataFrame:
     """Adds other-script names of the wanted title found as 'name (name)' in an offered title."""
     rows = df.withColumn("_bare", without_artist(without_presentation(offered), artist)).withColumn("_target", normalize_title(wanted))
     bare, target = F.col("_bare"), F.col("_target")
     pairs = []
-    for p in PAIRS:
+    for p in R.SCRIPT_PAIRS:
         x = F.transform(F.regexp_extract_all(bare, F.lit("(?U)" + p), F.lit(1)), lambda t: normalize_title(t, artist))
         y = F.transform(F.regexp_extract_all(bare, F.lit("(?U)" + p), F.lit(2)), lambda t: normalize_title(t, artist))
         pairs.append(F.zip_with(x, y, lambda u, v: F.struct(u.alias("a"), v.alias("b"))))

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,7 +18,6 @@ MINOR_PROFILE = [6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.3
 MIN_SEPARATION = 10
 MIN_RUN = 3
 SIMILARITY_PERCENTILE = 95.0
-MAX_SECONDS = 360
 
 
 def second_means(df: DataFrame, track: str, time: str, vector: str, size: int) -> DataFrame:
@@ -48,50 +45,47 @@ def time_standardized(df: DataFrame, track: str, vector: str, size: int) -> Data
     return df.join(facts, track).withColumn(vector, F.zip_with(centred, flat, lambda x, d: x / d)).drop("_mean", "_dev")
 
 
-def diagonal_runs(hits: np.ndarray, least_offset: int, min_run: int) -> list[int]:
-    """Lengths of runs of true cells on the diagonals above the main one."""
-    lengths: list[int] = []
-    for offset in range(least_offset, hits.shape[0]):
-        line = np.diagonal(hits, offset)
-        edges = np.flatnonzero(np.diff(np.r_[0, line.astype(np.int8), 0]))
-        lengths.extend(int(n) for n in edges[1::2] - edges[::2] if n >= min_run)
-    return lengths
+def far_pairs(df: DataFrame, track: str, position: str, vector: str, separation: int, block: int = 64) -> DataFrame:
+    """(track, i, gap, similarity) of all pairs of a track's vectors that lie at least separation places apart.
+
+    The pair matrix is cut into blocks of places, joined on (track, block of i, block of j), so one long track is many groups.
+    """
+    places = df.select(track, F.col(vector).alias("_v"), (F.row_number().over(W.partitionBy(track).orderBy(position)) - 1).alias("_i"))
+    own = F.floor(F.col("_i") / block)
+    last = places.groupBy(track).agg(F.floor(F.max("_i") / block).alias("_last"))
+    rows = places.withColumn("_block", own).join(last, track)
+    left = rows.select(track, F.col("_i").alias("i"), F.col("_v").alias("_a"), F.col("_block").alias("_bi"), F.explode(F.sequence("_block", "_last")).alias("_bj"))
+    right = rows.select(track, F.col("_i").alias("_j"), F.col("_v").alias("_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), "_block")).alias("_bi"), F.col("_block").alias("_bj"))
+    pairs = left.join(right, [track, "_bi", "_bj"]).where(F.col("_j") - F.col("i") >= separation)
+    similarity = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), V.dot(F.col("_a"), F.col("_b"))))
+    return pairs.select(track, "i", (F.col("_j") - F.col("i")).alias("gap"), similarity.alias("similarity"))
 
 
 def recurrence(
     df: DataFrame, track: str, position: str, vector: str, separation: int = MIN_SEPARATION, min_run: int = MIN_RUN,
-    percentile: float = SIMILARITY_PERCENTILE, max_seconds: int = MAX_SECONDS,
+    percentile: float = SIMILARITY_PERCENTILE,
 ) -> DataFrame:
-    """Determinism, mean and longest run of recurring seconds of a track.
+    """Determinism, mean and longest run of recurring seconds of a track, from its unit vectors.
 
-    A track has at most max_seconds unit vectors, as the audio contract says; a longer one is refused with a status before
-    its vectors are gathered, so a task only ever holds one bounded track, and no pair leaves the task.
+    Pairs at or above the track's percentile recur. Recurring pairs of equal gap whose places follow each other form runs;
+    runs of min_run pairs or more count. A track too short for such a run has zeros.
     """
     sizes = df.groupBy(track).agg(F.count(F.lit(1)).alias("n_seconds"))
-    fits = sizes.where(F.col("n_seconds") <= max_seconds).select(track)
-    key_type = dict(df.dtypes)[track]
-    schema = f"{track} {key_type}, determinism double, mean_run double, longest_run double"
-
-    def measure(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(position)
-        m = np.vstack(rows[vector].to_numpy()).astype(float)
-        n = len(m)
-        det = mean = longest = 0.0
-        if n >= separation + min_run:
-            similar = np.clip(m @ m.T, -1.0, 1.0)
-            upper = np.triu_indices(n, k=separation)
-            limit = np.percentile(similar[upper], percentile)
-            hits = np.triu(similar >= limit, k=separation)
-            runs = diagonal_runs(hits, separation, min_run)
-            points = int(hits.sum())
-            det = sum(runs) / points if points else 0.0
-            mean, longest = (float(np.mean(runs)), float(max(runs))) if runs else (0.0, 0.0)
-        return pd.DataFrame({track: [rows[track].iloc[0]], "determinism": [det], "mean_run": [mean], "longest_run": [longest]})
-
-    kept = df.join(fits, track, "left_semi").select(track, position, vector)
-    measured = kept.groupBy(track).applyInPandas(measure, schema)
-    status = F.when(F.col("n_seconds") <= max_seconds, "success").otherwise("too_long")
-    return sizes.join(measured, track, "left").withColumn("status", status)
+    pairs = far_pairs(df, track, position, vector, separation)
+    limits = order.exact_quantiles(pairs, [track], "similarity", [percentile / 100], ["_limit"])
+    hits = pairs.join(limits, track).where(F.col("similarity") >= F.col("_limit"))
+    island = F.col("i") - F.row_number().over(W.partitionBy(track, "gap").orderBy("i"))
+    runs = hits.select(track, "gap", island.alias("island")).groupBy(track, "gap", "island").agg(F.count(F.lit(1)).alias("_n"))
+    long_run = F.when(F.col("_n") >= min_run, F.col("_n"))
+    facts = runs.groupBy(track).agg(
+        (F.coalesce(F.sum(long_run), F.lit(0)) / F.sum("_n")).alias("_det"), F.avg(long_run).alias("_mean"), F.max(long_run).cast("double").alias("_longest")
+    )
+    enough = F.col("n_seconds") >= separation + min_run
+    measured = sizes.join(facts, track, "left")
+    zero = lambda c: F.when(enough, F.coalesce(c, F.lit(0.0))).otherwise(0.0)
+    return measured.select(
+        track, "n_seconds", zero("_det").alias("determinism"), zero("_mean").alias("mean_run"), zero("_longest").alias("longest_run"), F.lit("success").alias("status")
+    )
 
 
 def segment_similarity(df: DataFrame, track: str, second: str, vector: str, size: int, length: int = 10) -> DataFrame:

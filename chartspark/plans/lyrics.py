@@ -111,7 +111,7 @@ def word_features(spark, sf):
 @PLANS.add("txt_08_chorus_repetition")
 def chorus(spark, sf):
     docs = S.table(spark, sf, "documents").select("doc_id", X.nfc("text").alias("text"))
-    return docs.select("doc_id", X.chorus_repetition(F.col("text")).alias("chorus_repetition_count"))
+    return X.with_chorus_repetition(docs, "text", "chorus_repetition_count").drop("text")
 
 
 @PLANS.add("txt_07_all_features")

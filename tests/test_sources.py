@@ -1,5 +1,6 @@
 import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,11 +90,18 @@ def test_mojibake_by_python(spark):
     assert [r[0] for r in df.select(clean.redecode_cp1252("t")).collect()] == ["d’or", "plain"]
 
 
-def test_long_tracks_are_refused_not_gathered(spark):
-    rows = [("long", i, [1.0, float(i)]) for i in range(30)] + [("ok", i, [1.0, float(i % 3)]) for i in range(15)]
+def test_long_tracks_are_measured(spark):
+    # a track of 400 seconds that repeats itself every 50
+    rows = [("long", i, [float(np.cos(i % 50)), float(np.sin(i % 50)), 1.0]) for i in range(400)] + [("short", i, [1.0, 0.0, float(i)]) for i in range(12)]
     df = frames.l2_normalized(spark.createDataFrame(rows, "track string, s int, v array<double>"), "v")
-    got = {r["track"]: r for r in frames.recurrence(df, "track", "s", "v", max_seconds=20).collect()}
-    assert got["long"]["status"] == "too_long" and got["long"]["determinism"] is None and got["ok"]["status"] == "success"
+    got = {r["track"]: r for r in frames.recurrence(df, "track", "s", "v").collect()}
+    assert got["short"]["determinism"] == 0.0 and got["short"]["n_seconds"] == 12
+    m = np.array([r[2] for r in rows[:400]])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    values = {(i, j): min(float(m[i] @ m[j]), 1.0) for i in range(400) for j in range(i + 10, 400)}
+    limit = np.percentile(list(values.values()), 95)
+    hit = {p for p, v in values.items() if v >= limit - 1e-12}
+    assert got["long"]["longest_run"] >= 300 and got["long"]["determinism"] == pytest.approx(1.0, abs=0.2) and len(hit) > 0
 
 
 def test_cardinality_checked_join(spark):
