@@ -7,9 +7,10 @@ pair with similarity 0.75 meets in none of them with probability 2e-5, one with
 
 Groups are never expanded into all pairs. Equal sets share one representative. Among candidates, a shingle that one set
 alone holds can't be in any intersection, which bounds a pair's similarity from counts alone. In each bucket the member
-with the fewest such shingles is compared with all others first; later rounds compare only members of different
-components whose bound still allows a link, at first with sixteen centres a bucket, at last with all that remain. No link
-between two components that meet in a bucket is left untested.
+with the fewest such shingles is compared with all others first, and what two members have in common with it bounds their
+similarity further. Later rounds compare only members of different components whose bound still allows a link, at first
+with sixteen centres a bucket, at last with all that remain. No possible link between two components that meet in a bucket
+is left untested.
 """
 
 from __future__ import annotations
@@ -129,19 +130,19 @@ def _shingled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield arrays.lists([s.view(np.int64) for sets in shingle_sets(texts) for s in sets], pa.int64())
 
 
-def _may_link(a: str, b: str) -> Column:
-    """The bound from counts: at most the smaller number of shared shingles is in the intersection."""
-    common = F.least(f"{a}_shared", f"{b}_shared")
-    return common * 100 >= PERCENT * (F.col(f"{a}_n") + F.col(f"{b}_n") - common)
+def _reaches(common: Column | str, a_n: str, b_n: str) -> Column:
+    """Whether sets of these sizes with so many common shingles are similar enough."""
+    common = F.col(common) if isinstance(common, str) else common
+    return common * 100 >= PERCENT * (F.col(a_n) + F.col(b_n) - common)
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sets hold the similarity asked for."""
+def _common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the number of common shingles of the full sets, and whether they are linked."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("a_set"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("b_set"))
-    common = F.size(F.array_intersect("a_set", "b_set"))
-    held = common * 100 >= PERCENT * (F.size("a_set") + F.size("b_set") - common)
-    return pairs.select("a", "b").join(left, "a").join(right, "b").where(held).select("a", "b")
+    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    both = both.select("a", "b", F.size("a_set").alias("a_n"), F.size("b_set").alias("b_n"), F.size(F.array_intersect("a_set", "b_set")).alias("common"))
+    return both.select("a", "b", "common", _reaches("common", "a_n", "b_n").alias("linked"))
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -230,29 +231,39 @@ def _joined(rows: DataFrame, met: DataFrame) -> DataFrame:
     met = met.join(facts, "id")
     alone = F.struct(((F.col("n") - F.col("shared")) / F.col("n")).alias("part"), "id", "n", "shared")
     top = met.groupBy("key").agg(F.min(alone).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    top = top.select("key", "size", F.col("c.id").alias("a"), F.col("c.n").alias("a_n"), F.col("c.shared").alias("a_shared"))
+    top = top.select("key", "size", F.col("c.id").alias("a"))
     met = scale.cut_lineage(met.join(top, "key"))
-    stars = met.select("a", "a_n", "a_shared", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("shared").alias("b_shared"))
-    pairs = stars.where((F.col("a") != F.col("b")) & _may_link("a", "b")).select("a", "b").distinct()
-    labels = _relabel(labels, _links(pairs, sets))
+    stars = scale.cut_lineage(_common(met.where("a <> id").select("a", F.col("id").alias("b")).distinct(), sets))
+    labels = _relabel(labels, stars.where("linked").select("a", "b"))
+    met = met.join(stars.select("a", F.col("b").alias("id"), "common"), ["a", "id"], "left")
+    met = scale.cut_lineage(met.select("key", "size", "id", "n", "shared", F.coalesce("common", "n").alias("inner")))
     for centres in (CENTRES, None):
-        pairs = scale.cut_lineage(_crossing(met.select("key", "size", "id", "n", "shared"), labels, centres))
+        pairs = scale.cut_lineage(_crossing(met, labels, centres))
         if not pairs.isEmpty():
-            labels = _relabel(labels, _links(pairs, sets))
+            labels = _relabel(labels, _common(pairs, sets).where("linked").select("a", "b"))
     return labels
 
 
 def _crossing(met: DataFrame, labels: DataFrame, centres: int | None) -> DataFrame:
-    """Pairs of different components that share a bucket: members against about so many centres of it, or all against all."""
+    """Pairs of different components that share a bucket: members against about so many centres of it, or all against all.
+
+    inner counts a member's shingles in the bucket's first centre. Two members have at most the smaller inner number in
+    common within that centre, and outside of it at most the smaller number of their other shared shingles.
+    """
     named = met.join(labels, "id")
     mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
     named = scale.cut_lineage(named.join(mixed, "key"))
-    side = {x: named.select("key", "size", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "n", "shared", "label")]) for x in "ab"}
+    own = named.groupBy("id").agg(F.collect_list("key").alias("keys"))  # one key a band at most
+    named = named.join(own, "id")
+    side = {x: named.select("key", "size", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "n", "inner", "label", "keys")], (F.col("shared") - F.least("inner", "shared")).alias(f"{x}_outer")) for x in "ab"}
     left = side["a"]
     if centres is not None:  # by a hash of the id, so that all buckets of a group agree on their centres
         left = left.where(F.pmod(F.xxhash64("a_id"), F.col("size")) < centres)
     order = F.lit(True) if centres is not None else F.col("a_id") < F.col("b_id")
-    pairs = left.drop("size").join(side["b"], "key").where((F.col("a_label") != F.col("b_label")) & order & _may_link("a", "b"))
+    most = F.least("a_inner", "b_inner") + F.least("a_outer", "b_outer")
+    # a pair counts in one of its buckets only
+    once = F.col("key") == F.array_min(F.array_intersect("a_keys", "b_keys"))
+    pairs = left.drop("size").join(side["b"].drop("size"), "key").where((F.col("a_label") != F.col("b_label")) & order & _reaches(most, "a_n", "b_n") & once)
     return pairs.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
 
 
