@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chartspark.functions.clean import chart_score, closed_range_label
+from chartspark.operators import order as first_rows
 
 # Rank strata of the quarterly sample and songs taken from each.
 RANK_STRATA = [("1-10", 1, 10), ("11-20", 11, 20), ("21-50", 21, 50), ("51+", 51, None)]
@@ -39,12 +40,17 @@ def clean_fact(
     rank: str = "rank",
     rank_range: tuple[int, int] = (1, 200),
     date: str = "chart_date",
+    order_by: list[str | Column] | None = None,
 ) -> DataFrame:
-    """One row per key, known market, rank inside the chart, date present."""
+    """The first row of each key, kept if its market is known, its rank inside the chart and its date present.
+
+    First is by order_by, without it by all other columns. A key whose first row is not valid drops out.
+    """
+    first = first_rows.first_per_key(df, key, order_by or [c for c in df.columns if c not in key])
     keep = F.col(rank).between(*rank_range) & F.col(date).isNotNull()
     if markets is not None:
         keep = keep & F.col(market).isin(markets)
-    return df.where(keep).dropDuplicates(key)
+    return first.where(keep).select(*df.columns)
 
 
 def chart_performance(

@@ -68,10 +68,10 @@ def seeded_hash(key: str, seed: int | Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
-def group_split(df: DataFrame, key: str, share: float = 0.2, seed: int = 42, spread: bool | None = None) -> DataFrame:
+def group_split(df: DataFrame, key: str, share: float = 0.2, seed: int = 42) -> DataFrame:
     """Adds is_test: the first ceil(share * G) groups in hash order; all rows of a group fall on one side."""
     groups = df.select(key).distinct().withColumn("_h", seeded_hash(key, seed)).withColumn("_all", F.lit(1))
-    placed = order.counted_positions(groups, ["_all"], "_h", spread)
+    placed = order.counted_positions(groups, ["_all"], "_h")
     sides = groups.join(placed.select("_h", "start", "total"), "_h")
     return df.join(sides.select(key, (F.col("start") < F.ceil(F.col("total") * share)).alias("is_test")), key)
 

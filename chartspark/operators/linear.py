@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chartspark import scale
 from chartspark.functions import dist, score
 
 CONST = "const"
@@ -174,23 +175,26 @@ def fit_ols(df: DataFrame, y: str, x: list[str], cluster: str | None = None, cor
 
 
 def fit_logistic(df: DataFrame, y: str, x: list[str], cluster: str, steps: int = 50, tol: float = 1e-10) -> LinearFit:
-    """Logistic model with independence working correlation and cluster sandwich; each step is one pass."""
-    data = complete_rows(with_const(df).where(F.col(cluster).isNotNull()), [y, *x])
+    """Logistic model with independence working correlation and cluster sandwich.
+
+    The rows are written once; each step adds up the weighted cross products and X'(y - p). Without convergence within the
+    steps, as under separation, there is no estimate and a ValueError says so.
+    """
+    data = scale.cut_lineage(complete_rows(with_const(df).where(F.col(cluster).isNotNull()), [y, *x]))
     names = [CONST, *[c for c in x if c != CONST]]
-    beta, inv, done = np.zeros(len(names)), None, 0
+    beta, inv = np.zeros(len(names)), None
     for done in range(1, steps + 1):
         p = 1 / (1 + F.exp(-prediction(names, beta)))
         weighted = data.withColumn("_p", p).withColumn("_w", F.sqrt(F.col("_p") * (1 - F.col("_p"))))
-        cols = [F.col(f"`{c}`") * F.col("_w") for c in names]
-        step_rows = weighted.select(
-            *[c.alias(f"x{i}") for i, c in enumerate(cols)], ((F.col(f"`{y}`") - F.col("_p")) / F.col("_w")).alias("r")
-        )
-        gram = cross_products(step_rows, [*[f"x{i}" for i in range(len(names))], "r"])
-        inv = np.linalg.pinv(gram[:-1, :-1], hermitian=True)
-        move = inv @ gram[:-1, -1]
+        gram = cross_products(weighted.select(*[(F.col(f"`{c}`") * F.col("_w")).alias(f"x{i}") for i, c in enumerate(names)]), [f"x{i}" for i in range(len(names))])
+        score = weighted.agg(*[F.coalesce(F.sum(F.col(f"`{c}`") * (F.col(f"`{y}`") - F.col("_p"))), F.lit(0.0)).alias(f"s{i}") for i, c in enumerate(names)]).first()
+        inv = np.linalg.pinv(gram, hermitian=True)
+        move = inv @ np.array(score, dtype=float)
         beta = beta + move
         if np.max(np.abs(move)) < tol:
             break
+    else:
+        raise ValueError(f"the logistic fit did not converge in {steps} steps; the classes may be separated")
     residual = F.col(f"`{y}`") - 1 / (1 + F.exp(-prediction(names, beta)))
     meat, clusters = cluster_meat(data, names, residual, cluster)
     n = int(round(data.count()))
@@ -248,13 +252,18 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
     g = cross_products(shifted, [CONST, *columns])
     cov = g[1:, 1:] - np.outer(g[0, 1:], g[0, 1:]) / g[0, 0]
     dev = np.sqrt(np.diag(cov))
-    return cov / np.outer(dev, dev)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return cov / np.outer(dev, dev)  # a constant column has NaN
 
 
 def vif_of(corr: np.ndarray) -> list[float]:
-    if np.linalg.matrix_rank(corr) < len(corr):
-        return [float("inf")] * len(corr)
-    return [float(v) for v in np.diag(np.linalg.inv(corr))]
+    """Infinite for constant columns; for all others too if they depend on each other."""
+    varies = np.flatnonzero(np.isfinite(np.diag(corr)))
+    rest = corr[np.ix_(varies, varies)]
+    out = np.full(len(corr), np.inf)
+    if len(varies) and np.linalg.matrix_rank(rest) == len(varies):
+        out[varies] = np.diag(np.linalg.inv(rest))
+    return [float(v) for v in out]
 
 
 def vif(df: DataFrame, columns: list[str]) -> dict[str, float]:

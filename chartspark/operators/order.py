@@ -1,8 +1,8 @@
 """Exact order statistics that never hold one group in one task.
 
-Values are first counted per (keys, value). When the input is small the group can be ranked directly. Otherwise a pass
-over the values gives equal-depth edges, every value goes to a bucket, small bucket totals give each bucket its starting
-position, and only rows of one bucket are ordered together. Edges only steer the work; results are exact.
+Values are first counted per (keys, value). A pass over the values gives equal-depth edges, every value goes to a bucket,
+small bucket totals give each bucket its starting position, and only rows of one bucket are ordered together. Edges only
+steer the work; results are exact. There are as many buckets as shuffle partitions, at every size. NULL and NaN are no values.
 """
 
 from __future__ import annotations
@@ -28,30 +28,24 @@ def _edges(values: DataFrame, value: str, pieces: int) -> list[float]:
     return sorted({e for e in found if e is not None})
 
 
-def counted_positions(
-    df: DataFrame, keys: list[str], value: str, spread: bool | None = None, pieces: int | None = None
-) -> DataFrame:
+def known(df: DataFrame, value: str) -> DataFrame:
+    """Rows with a value."""
+    return df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+
+
+def counted_positions(df: DataFrame, keys: list[str], value: str, pieces: int | None = None) -> DataFrame:
     """(keys, value, n, start, total): n copies of value take the 0-based positions start .. start + n - 1."""
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    if spread is None:
-        spread = not scale.is_small(df)
-    return positions_of_counts(counts, keys, value, spread, pieces, rows)
+    counts = known(df, value).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    return positions_of_counts(counts, keys, value, pieces, df)
 
 
 def positions_of_counts(
-    counts: DataFrame, keys: list[str], value: str, spread: bool | None = None, pieces: int | None = None, rows: DataFrame | None = None
+    counts: DataFrame, keys: list[str], value: str, pieces: int | None = None, rows: DataFrame | None = None
 ) -> DataFrame:
     """The same from a table that already holds each value of a key once with its count n."""
-    if spread is None:
-        spread = not scale.is_small(counts)
-    if not spread:
-        per_key = W.partitionBy(*keys)
-        running = F.sum("n").over(per_key.orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-        return counts.withColumn("start", running - F.col("n")).withColumn("total", F.sum("n").over(per_key))
-    source = counts if rows is None else rows
-    edges = _edges(source.select(F.col(value).cast("double").alias("v")), "v", pieces or scale.partitions_for(source))
-    splits = [float("-inf"), *edges, float("inf")]
+    counts, source = known(counts, value), known(counts if rows is None else rows, value)
+    pieces = pieces or int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    splits = [float("-inf"), *_edges(source.select(F.col(value).cast("double").alias("v")), "v", pieces), float("inf")]
     double = counts.withColumn("_v", F.col(value).cast("double"))
     placed = Bucketizer(splits=splits, inputCol="_v", outputCol="_bucket").transform(double).drop("_v")
     # one row per (keys, bucket): the window below sees at most len(splits) rows per key
@@ -83,40 +77,30 @@ def quantile_columns(value: str, probs: list[float], names: list[str]) -> list[C
     return out
 
 
-def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: list[float], names: list[str], spread: bool | None = None
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], names: list[str]) -> DataFrame:
     """Exact quantiles with linear interpolation per key (one row in all when keys is empty)."""
-    if spread is None:
-        spread = not scale.is_small(df)
-    if not spread:
-        rows = df.where(F.col(value).isNotNull())
-        arrays = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(float(p)) for p in probs]))
-        picked = rows.groupBy(*keys).agg(arrays.alias("_q"))
-        return picked.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(names)])
     use = keys or [ALL_KEY]
     base = df if keys else df.withColumn(ALL_KEY, F.lit(1))
-    placed = counted_positions(base.withColumn("_qv", F.col(value).cast("double")), use, "_qv", spread=True)
-    out = placed.groupBy(*use).agg(*quantile_columns("_qv", probs, names))
-    return out if keys else out.drop(ALL_KEY)
+    placed = counted_positions(base.withColumn("_qv", F.col(value).cast("double")), use, "_qv")
+    if keys:
+        return placed.groupBy(*keys).agg(*quantile_columns("_qv", probs, names))
+    return placed.agg(*quantile_columns("_qv", probs, names))
 
 
-def with_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: list[float], names: list[str], spread: bool | None = None
-) -> DataFrame:
+def with_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], names: list[str]) -> DataFrame:
     """Group quantiles on every row of the group; NULL where the group has no value."""
-    return scale.join_back(df, exact_quantiles(df, keys, value, probs, names, spread), keys)
+    return scale.join_back(df, exact_quantiles(df, keys, value, probs, names), keys)
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str, spread: bool | None = None) -> DataFrame:
+def average_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, value, n, average_rank, total): 1-based rank, ties share the mean."""
-    placed = counted_positions(df, keys, value, spread)
+    placed = counted_positions(df, keys, value)
     return placed.withColumn("average_rank", F.col("start") + (F.col("n") + 1) / 2).drop("start")
 
 
-def with_average_rank(df: DataFrame, keys: list[str], value: str, out: str, spread: bool | None = None) -> DataFrame:
+def with_average_rank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Average rank on every row; rows without value get NULL."""
-    ranks = average_ranks(df, keys, value, spread).select(*keys, value, F.col("average_rank").alias(out))
+    ranks = average_ranks(df, keys, value).select(*keys, value, F.col("average_rank").alias(out))
     return df.join(ranks, [*keys, value], "left")
 
 

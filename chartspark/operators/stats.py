@@ -14,26 +14,29 @@ from chartspark.operators import linear, order
 ONE = "_one"
 
 
+def _tested(df: DataFrame, p: str) -> tuple[DataFrame, Column, Column]:
+    """Rows with the place of their p among the known ones (NULL and NaN stay out), the place and the number of tests."""
+    here = F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double"))
+    rows = df.withColumns({ONE: F.lit(1), "_known": here})
+    place = F.row_number().over(W.partitionBy(ONE, "_known").orderBy(F.asc(p)))
+    m = F.count_if("_known").over(W.partitionBy(ONE))
+    return rows.withColumns({"_place": F.when(F.col("_known"), place), "_m": m}), F.col("_place"), F.col("_m")
+
+
 def with_holm(df: DataFrame, p: str, out: str = "p_holm") -> DataFrame:
-    """Holm step-down over all rows of a small result table."""
-    rows = df.withColumn(ONE, F.lit(1))
-    every = W.partitionBy(ONE)
-    place = F.row_number().over(every.orderBy(F.asc(p)))
-    m = F.count(F.lit(1)).over(every)
-    raised = rows.withColumn("_adj", (m - place + 1) * F.col(p)).withColumn("_place", place)
-    high = F.max("_adj").over(every.orderBy("_place").rowsBetween(W.unboundedPreceding, 0))
-    return raised.withColumn(out, F.least(F.lit(1.0), high)).drop(ONE, "_adj", "_place")
+    """Holm step-down over the known p of a small result table; an unknown p stays NULL and counts for nothing."""
+    rows, place, m = _tested(df, p)
+    raised = rows.withColumn("_adj", F.when(F.col("_known"), (m - place + 1) * F.col(p)))
+    high = F.max("_adj").over(W.partitionBy(ONE, "_known").orderBy("_place").rowsBetween(W.unboundedPreceding, 0))
+    return raised.withColumn(out, F.when(F.col("_known"), F.least(F.lit(1.0), high))).drop(ONE, "_known", "_adj", "_place", "_m")
 
 
 def with_benjamini_hochberg(df: DataFrame, p: str, out: str = "p_bh") -> DataFrame:
-    """Benjamini-Hochberg over all rows of a small result table."""
-    rows = df.withColumn(ONE, F.lit(1))
-    every = W.partitionBy(ONE)
-    place = F.row_number().over(every.orderBy(F.asc(p)))
-    m = F.count(F.lit(1)).over(every)
-    scaled = rows.withColumn("_adj", m / place * F.col(p)).withColumn("_place", place)
-    low = F.min("_adj").over(every.orderBy(F.desc("_place")).rowsBetween(W.unboundedPreceding, 0))
-    return scaled.withColumn(out, F.least(F.lit(1.0), low)).drop(ONE, "_adj", "_place")
+    """Benjamini-Hochberg over the known p of a small result table; an unknown p stays NULL and counts for nothing."""
+    rows, place, m = _tested(df, p)
+    scaled = rows.withColumn("_adj", F.when(F.col("_known"), m / place * F.col(p)))
+    low = F.min("_adj").over(W.partitionBy(ONE, "_known").orderBy(F.desc("_place")).rowsBetween(W.unboundedPreceding, 0))
+    return scaled.withColumn(out, F.when(F.col("_known"), F.least(F.lit(1.0), low))).drop(ONE, "_known", "_adj", "_place", "_m")
 
 
 def adjustment_violations(df: DataFrame, p: str, holm: str, bh: str) -> DataFrame:
@@ -48,14 +51,14 @@ def adjustment_violations(df: DataFrame, p: str, holm: str, bh: str) -> DataFram
     )
 
 
-def kruskal_wallis(long: DataFrame, feature: str, group: str, value: str, min_group: int = 1, spread: bool | None = None) -> DataFrame:
+def kruskal_wallis(long: DataFrame, feature: str, group: str, value: str, min_group: int = 1) -> DataFrame:
     """H with tie correction, p, Holm, epsilon squared and its size, for all features at once.
 
     Everything works on counted values: ranks are looked up once per distinct value, never per row. Features with fewer
     than two groups or a group below min_group get NULL.
     """
     known = long.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    ranks = order.average_ranks(known, [feature], value, spread)
+    ranks = order.average_ranks(known, [feature], value)
     ties = ranks.groupBy(feature).agg(
         F.sum(F.col("n").cast("double") ** 3 - F.col("n")).alias("ties"), F.max("total").cast("double").alias("n_total")
     )
@@ -78,7 +81,7 @@ def kruskal_wallis(long: DataFrame, feature: str, group: str, value: str, min_gr
 
 
 def chi_square(df: DataFrame, row: str, column: str) -> DataFrame:
-    """Pearson test of a crosstab without continuity correction, with Cramer's V.
+    """Pearson test of a crosstab without continuity correction, with Cramer's V; both NULL with a single row or column label.
 
     Empty cells need no row: the statistic is N * (sum of o^2 / (row * column) - 1).
     """
@@ -91,8 +94,8 @@ def chi_square(df: DataFrame, row: str, column: str) -> DataFrame:
         F.count_distinct(row).alias("n_rows"), F.count_distinct(column).alias("n_columns"),
     )
     df_ = (F.col("n_rows") - 1) * (F.col("n_columns") - 1)
-    stat = sums.withColumn("chi_square", F.col("n") * (F.col("_q") - 1)).withColumn("df", df_)
-    v = F.sqrt(F.col("chi_square") / (F.col("n") * (F.least("n_rows", "n_columns") - 1)))
+    stat = sums.withColumn("df", df_).withColumn("chi_square", F.when(F.col("df") > 0, F.col("n") * (F.col("_q") - 1)))
+    v = F.sqrt(F.try_divide(F.col("chi_square"), F.col("n") * (F.least("n_rows", "n_columns") - 1)))
     return stat.select(
         F.col("n").cast("bigint").alias("n"), "chi_square", "df", dist.chi2_p("chi_square", F.col("df").cast("double")).alias("p_value"),
         v.alias("cramers_v"),
@@ -141,7 +144,7 @@ def spearman(df: DataFrame, key: str, columns: list[str], min_n: int = 10) -> Da
     """
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
     cells = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(a).cast("double").alias("u"), F.col(b).cast("double").alias("v")) for a, b in pairs]
-    long = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("u is not null and v is not null")
+    long = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("u is not null and v is not null and not isnan(u) and not isnan(v)")
     # counting equal pairs first keeps one row per distinct (u, v)
     counted = long.groupBy("x", "y", "u", "v").agg(F.count(F.lit(1)).cast("double").alias("w"))
     ru = _weighted_ranks(counted, ["x", "y"], "u", "ru")
@@ -154,9 +157,13 @@ def spearman(df: DataFrame, key: str, columns: list[str], min_n: int = 10) -> Da
     ).where(F.col("n") > min_n)
     n = F.col("n")
     cov = F.col("sab") - F.col("sa") * F.col("sb") / n
-    rho = cov / F.sqrt((F.col("saa") - F.col("sa") ** 2 / n) * (F.col("sbb") - F.col("sb") ** 2 / n))
-    tested = sums.withColumn("rho", rho).withColumn("_t", F.col("rho") * F.sqrt((n - 2) / (1 - F.col("rho") ** 2)))
-    out = tested.withColumn("p_value", dist.t_p("_t", n - 2))
+    # a constant column has no correlation; a perfect one has p 0
+    spread = F.sqrt((F.col("saa") - F.col("sa") ** 2 / n) * (F.col("sbb") - F.col("sb") ** 2 / n))
+    rho = F.when(spread > 1e-9 * n, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cov / spread)))
+    perfect = F.abs(F.col("rho")) >= 1 - 1e-15
+    t = F.when(~perfect, F.col("rho") * F.sqrt(F.try_divide(n - 2, 1 - F.col("rho") ** 2)))
+    tested = sums.withColumn("rho", rho).withColumn("_t", t)
+    out = tested.withColumn("p_value", F.when(perfect, F.lit(0.0)).otherwise(dist.t_p("_t", n - 2)))
     return out.select("x", "y", n.cast("bigint").alias("n"), "rho", "p_value", score.stars(F.col("p_value")).alias("stars"))
 
 
@@ -167,10 +174,10 @@ def _weighted_ranks(counted: DataFrame, keys: list[str], value: str, out: str) -
     return placed.select(*keys, value, (F.col("start") + (F.col("n") + 1) / 2).alias(out))
 
 
-def qq_points(df: DataFrame, value: str, spread: bool | None = None) -> DataFrame:
+def qq_points(df: DataFrame, value: str) -> DataFrame:
     """Standardised sample value against the normal quantile of its mean position (i - 0.5) / n; ties share one point."""
     rows = df.where(F.col(value).isNotNull()).select(value).withColumn("_all", F.lit(1))
-    placed = order.counted_positions(rows, ["_all"], value, spread)
+    placed = order.counted_positions(rows, ["_all"], value)
     middle = (F.col("start") + F.col("n") / 2) / F.col("total")
     facts = rows.groupBy("_all").agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
     return placed.join(F.broadcast(facts), "_all").select(

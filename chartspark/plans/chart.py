@@ -159,19 +159,19 @@ def coercion(spark, sf):
 @PLANS.add(
     "prj_04_clean_fact",
     """WITH raw AS (SELECT l_orderkey, l_linenumber, l_returnflag AS market, CAST(l_quantity AS INTEGER) AS rank,
-      CASE WHEN l_orderkey % 17 <> 0 THEN CAST(l_shipdate AS DATE) END AS chart_date FROM lineitem)
-    SELECT l_orderkey, l_linenumber, market, COUNT(*) AS n FROM (
-      SELECT DISTINCT l_orderkey, l_linenumber, market FROM raw
-      WHERE market IN ('A', 'N') AND rank BETWEEN 1 AND 40 AND chart_date IS NOT NULL) GROUP BY 1, 2, 3""",
+      CASE WHEN l_orderkey % 17 <> 0 THEN CAST(l_shipdate AS DATE) END AS chart_date,
+      row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, CAST(l_quantity AS INTEGER), CAST(l_shipdate AS DATE)) AS place FROM lineitem)
+    SELECT l_orderkey, market, l_linenumber, rank, chart_date FROM raw
+    WHERE place = 1 AND market IN ('A', 'N') AND rank BETWEEN 1 AND 40 AND chart_date IS NOT NULL""",
 )
 def clean_fact(spark, sf):
+    """An order's lines of one flag are one key; the line with the smallest number is its first row."""
     raw = S.table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", F.col("l_returnflag").alias("market"), F.col("l_quantity").cast("int").alias("rank"),
         F.when(F.col("l_orderkey") % 17 != 0, F.to_date("l_shipdate")).alias("chart_date"),
     )
-    key = ["l_orderkey", "l_linenumber", "market"]
-    kept = chart.clean_fact(raw, key, markets=["A", "N"], rank_range=(1, 40))
-    return kept.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    kept = chart.clean_fact(raw, ["l_orderkey", "market"], markets=["A", "N"], rank_range=(1, 40), order_by=["l_linenumber", "rank", "chart_date"])
+    return kept.select("l_orderkey", "market", "l_linenumber", "rank", "chart_date")
 
 
 @PLANS.add(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chartspark.functions import clean, score
-from chartspark.operators import chart, integrate, order, quality
+from chartspark.operators import chart, design, integrate, order, quality
 from chartspark.plans import shapes as S
 from chartspark.plans.book import PlanBook
 
@@ -94,19 +94,15 @@ def mode_flag(spark, sf):
 
 @PLANS.add(
     "prj_09_drop_and_fill",
-    _w("""SELECT track, market, word_count, coalesce(chorus_repetition_count, 0) AS chorus_repetition_count,
-    CASE WHEN word_count IS NULL THEN CASE WHEN lyrics_status = 'not_found' THEN 'missing lyrics' ELSE 'all features null' END
-    END AS dropped_for FROM dataset"""),
+    _w("""SELECT track, market, word_count, CASE WHEN word_count IS NULL THEN chorus_repetition_count ELSE coalesce(chorus_repetition_count, 0) END AS chorus_repetition_count,
+    CASE WHEN word_count IS NULL THEN CASE WHEN lower(title) LIKE '%instrumental%' OR lyrics_status = 'not_found' THEN 'missing lyrics'
+      ELSE 'all lyric features null' END END AS dropped_for FROM dataset"""),
 )
 def drop_and_fill(spark, sf):
-    reason = F.when(
-        F.col("word_count").isNull(),
-        F.when(F.col("lyrics_status") == "not_found", "missing lyrics").otherwise("all features null"),
-    )
-    filled = modeling(spark, sf).fillna({"chorus_repetition_count": 0})
-    return filled.select("track", "market", "word_count", "chorus_repetition_count", reason.alias("dropped_for"))
-
-
+    kept, dropped = design.drop_and_fill(modeling(spark, sf), design.FeatureSpec())
+    kept = integrate.require_no_nulls(kept, ["word_count", "chorus_repetition_count"])
+    columns = ["track", "market", "word_count", F.col("chorus_repetition_count").cast("double").alias("chorus_repetition_count")]
+    return kept.select(*columns, F.lit(None).cast("string").alias("dropped_for")).unionByName(dropped.select(*columns, F.col("reason").alias("dropped_for")))
 
 
 def _exclusion_rules():

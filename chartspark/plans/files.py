@@ -196,10 +196,9 @@ def streamed_performance(spark, sf):
     """Overlapping yearly shards streamed in, with repeated keys and a second run over the same files."""
     folder = _folder(spark)
     weekly = scale.cut_lineage(S.weekly(spark, sf).select(*ingest.WEEKLY_SCHEMA.names))
-    weekly.where("chart_date < date '1999-01-01'").coalesce(1).write.parquet(f"{folder}/in/a")
-    weekly.where("chart_date >= date '1998-07-01'").coalesce(1).write.parquet(f"{folder}/in/b")
-    for _ in range(2):
-        ingest.ingest_available(spark, f"{folder}/in/*", f"{folder}/facts", f"{folder}/state", files_per_batch=1)
+    for shard, when in (("a", "chart_date < date '1999-01-01'"), ("b", "chart_date >= date '1998-07-01'"), ("again", "chart_date >= date '2001-01-01'")):
+        weekly.where(when).write.parquet(f"{folder}/in/{shard}")
+        ingest.ingest_available(spark, f"{folder}/in/*", f"{folder}/facts", f"{folder}/state")
     out = ingest.refreshed_performance(spark, f"{folder}/facts")
     return out.select(
         "track", "market", F.round("lifetime_average_rank", 6).alias("lifetime_average_rank"), F.col("peak_rank").cast("bigint").alias("peak_rank"),

@@ -47,7 +47,7 @@ def kruskal_wallis(spark, sf):
 )
 def average_rank(spark, sf):
     rows = S.table(spark, sf, "lineitem").select(F.lit("all").alias("g"), F.col("l_quantity").alias("value"))
-    out = order.average_ranks(rows, ["g"], "value", spread=True)
+    out = order.average_ranks(rows, ["g"], "value")
     return out.select("value", "n", F.round("average_rank", 6).alias("average_rank"))
 
 
@@ -124,16 +124,17 @@ _SP = "p_size p_retailprice p_partkey".split()
 
 @PLANS.add(
     "sta_06_spearman",
-    "WITH " + ", ".join(
-        f"""{c}_r AS (SELECT p_partkey AS k, rank() OVER (ORDER BY {c}) + (COUNT(*) OVER (PARTITION BY {c}) - 1) / 2 AS r FROM part WHERE p_size % 10 <> 0)"""
-        for c in _SP
-    ) + " " + " UNION ALL ".join(
-        f"SELECT '{a}' AS x, '{b}' AS y, COUNT(*) AS n, round(corr(u.r, v.r), 6) AS rho FROM {a}_r u JOIN {b}_r v ON u.k = v.k"
+    "WITH t AS (SELECT p_partkey, p_retailprice, CASE WHEN p_size % 10 <> 0 THEN p_size END AS p_size FROM part) "
+    + " UNION ALL ".join(
+        f"""SELECT '{a}' AS x, '{b}' AS y, COUNT(*) AS n, round(corr(u, v), 6) AS rho FROM (
+        SELECT rank() OVER (ORDER BY {a}) + (COUNT(*) OVER (PARTITION BY {a}) - 1) / 2 AS u, rank() OVER (ORDER BY {b}) + (COUNT(*) OVER (PARTITION BY {b}) - 1) / 2 AS v
+        FROM t WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"""
         for i, a in enumerate(_SP) for b in _SP[i + 1:]
     ),
 )
 def spearman(spark, sf):
-    part = S.table(spark, sf, "part").where("p_size % 10 <> 0").select(*_SP)
+    """A tenth of the sizes is missing; each pair uses the rows that have both."""
+    part = S.table(spark, sf, "part").select("p_partkey", "p_retailprice", F.when(F.col("p_size") % 10 != 0, F.col("p_size")).alias("p_size"))
     return stats.spearman(part, "p_partkey", _SP).select("x", "y", "n", F.round("rho", 6).alias("rho"))
 
 
@@ -322,13 +323,14 @@ def transform_audit(spark, sf):
 
 @PLANS.add(
     "win_09_adjusted_p_values",
-    """WITH t AS (SELECT p_type AS name, (SUM(p_size) % 97 + 1) / 400.0::DOUBLE AS p FROM part GROUP BY 1),
-    o AS (SELECT *, row_number() OVER (ORDER BY p) AS i, COUNT(*) OVER () AS m FROM t)
+    """WITH t AS (SELECT p_type AS name, CASE WHEN SUM(p_size) % 11 <> 0 THEN (SUM(p_size) % 97 + 1) / 400.0::DOUBLE END AS p FROM part GROUP BY 1),
+    o AS (SELECT *, row_number() OVER (ORDER BY p) AS i, COUNT(*) OVER () AS m FROM t WHERE p IS NOT NULL)
     SELECT name, round(p, 9) AS p, round(least(1, MAX((m - i + 1) * p) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING)), 9) AS p_holm,
-    round(least(1, MIN(p * m / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)), 9) AS p_bh FROM o""",
+    round(least(1, MIN(p * m / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)), 9) AS p_bh FROM o
+    UNION ALL SELECT name, NULL, NULL, NULL FROM t WHERE p IS NULL""",
 )
 def adjusted_p_values(spark, sf):
-    base = S.table(spark, sf, "part").groupBy(F.col("p_type").alias("name")).agg(((F.sum("p_size") % 97 + 1) / F.lit(400.0)).alias("p"))
+    base = S.table(spark, sf, "part").groupBy(F.col("p_type").alias("name")).agg(F.when(F.sum("p_size") % 11 != 0, (F.sum("p_size") % 97 + 1) / F.lit(400.0)).alias("p"))
     out = stats.with_benjamini_hochberg(stats.with_holm(base, "p"), "p")
     return out.select("name", *[F.round(c, 9).alias(c) for c in ("p", "p_holm", "p_bh")])
 
@@ -348,5 +350,5 @@ def adjustment_invariants(spark, sf):
 )
 def quantiles_spread(spark, sf):
     line = S.table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice")
-    out = order.exact_quantiles(line, ["l_returnflag"], "l_extendedprice", [0.1, 0.5, 0.99], ["p10", "p50", "p99"], spread=True)
+    out = order.exact_quantiles(line, ["l_returnflag"], "l_extendedprice", [0.1, 0.5, 0.99], ["p10", "p50", "p99"])
     return out.select("l_returnflag", *[F.round(c, 6).alias(c) for c in ("p10", "p50", "p99")])

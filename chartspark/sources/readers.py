@@ -6,16 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chartspark.operators import order
+
 BOM = "﻿"
 
 
-def read_shards(spark: SparkSession, path: str, schema: T.StructType, key: list[str] | None = None) -> DataFrame:
+def read_shards(
+    spark: SparkSession, path: str, schema: T.StructType, key: list[str] | None = None, order_by: list | None = None
+) -> DataFrame:
     """All CSV shards of a path or glob with a given schema; a byte-order mark before the first header is harmless.
 
+    With a key, its first row by order_by stays, without order_by the first by all other columns.
+
     The header is matched by position, so the mark, which only touches the first header name, never reaches a value.
     """
     rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path)
-    return rows.dropDuplicates(key) if key else rows
+    if not key:
+        return rows
+    return order.first_per_key(rows, key, order_by or [c for c in rows.columns if c not in key]).select(*rows.columns)
 
 
 def read_jdbc(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartspark import scale
-from chartspark.operators import integrate
+from chartspark.operators import integrate, order
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "parquet", sort: list | None = None) -> None:
@@ -35,25 +35,34 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def merge_partitions(updates: DataFrame, path: str, keys: list[str], partition: str, order_by: list | None = None) -> DataFrame:
+def merge_partitions(updates: DataFrame, path: str, keys: list[str], partition: str, order_by: list[str | Column] | None = None) -> DataFrame:
     """Upsert into a table partitioned by one column: only partitions the updates touch are read and rewritten.
 
-    Repeating the same updates gives the same table, so a retried batch is harmless. The new rows are first written to the
-    shared folder, because the partitions they replace are also their source. Returns the updates as stored.
+    Of updates with the same key the first by order_by counts, without it the first by all other columns, so repeating the
+    same updates gives the same table and a retried batch is harmless. The touched partition values of a batch go into the
+    scan as a filter. The new rows are first written to the shared folder, because the partitions they replace are also
+    their source; a partition with many rows is written by several tasks. Returns the updates as stored.
     """
     spark = updates.sparkSession
-    fresh = updates.dropDuplicates(keys)
+    fresh = order.first_per_key(updates, keys, order_by or [c for c in updates.columns if c not in keys]).select(*updates.columns)
     if path_exists(spark, path):
-        touched = fresh.select(partition).distinct()
-        stored = spark.read.parquet(path).join(touched, partition, "left_semi").select(*updates.columns)
-        merged = integrate.upsert(stored, fresh, keys)
+        fresh = scale.cut_lineage(fresh)
+        touched = [r[0] for r in fresh.select(partition).distinct().collect()]
+        merged = integrate.upsert(stored_partitions(spark, path, partition, touched).select(*updates.columns), fresh, keys)
     else:
         merged = fresh
     ready = scale.cut_lineage(merged)
-    ready.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    ready.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
     return ready
 
 
+def stored_partitions(spark: SparkSession, path: str, partition: str, values: list) -> DataFrame:
+    """The stored rows with one of the partition values; other partitions are not read."""
+    known = [v for v in values if v is not None]
+    wanted = F.col(partition).isin(known)
+    return spark.read.parquet(path).where(wanted | F.col(partition).isNull() if len(known) < len(values) else wanted)
+
+
 def handoff(df: DataFrame, conditions: dict[str, Column], columns: list[str], sort: list[str], folder: str, fmt: str = "csv") -> None:
     """One filtered, sorted export per name."""
     for name, condition in conditions.items():

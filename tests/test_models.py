@@ -132,7 +132,7 @@ def test_paired_difference_of_equal_models_is_zero(spark):
 def test_kruskal_wallis_known_value(spark):
     groups = {"a": [1.0, 2.0, 3.0, 4.0], "b": [2.0, 3.0, 5.0, 6.0], "c": [7.0, 8.0, 9.0, 9.0]}
     rows = [("f", g, v) for g, vs in groups.items() for v in vs]
-    r = stats.kruskal_wallis(spark.createDataFrame(rows, "feature string, market string, value double"), "feature", "market", "value", spread=True).first()
+    r = stats.kruskal_wallis(spark.createDataFrame(rows, "feature string, market string, value double"), "feature", "market", "value").first()
     data = [v for vs in groups.values() for v in vs]
     ranks = {v: np.mean([i + 1 for i, x in enumerate(sorted(data)) if x == v]) for v in data}
     n = len(data)
@@ -143,7 +143,36 @@ def test_kruskal_wallis_known_value(spark):
 
 def test_group_split_is_exact_and_disjoint(spark):
     df = spark.range(500).selectExpr("id % 101 as track", "id as row")
-    for spread in (False, True):
-        sides = design.group_split(df, "track", 0.2, 3, spread).groupBy("track").agg(F.count_distinct("is_test").alias("k"), F.bool_or("is_test").alias("t"))
-        row = sides.agg(F.max("k"), F.count_if("t"), F.count("*")).first()
-        assert tuple(row) == (1, math.ceil(0.2 * 101), 101)
+    sides = design.group_split(df, "track", 0.2, 3).groupBy("track").agg(F.count_distinct("is_test").alias("k"), F.bool_or("is_test").alias("t"))
+    row = sides.agg(F.max("k"), F.count_if("t"), F.count("*")).first()
+    assert tuple(row) == (1, math.ceil(0.2 * 101), 101)
+
+
+def test_unknown_p_values_count_for_nothing(spark):
+    df = spark.createDataFrame([("a", None), ("b", 0.01), ("c", 0.04), ("d", float("nan"))], "f string, p double")
+    got = {r["f"]: (r["p_holm"], r["p_bh"]) for r in stats.with_benjamini_hochberg(stats.with_holm(df, "p"), "p").collect()}
+    assert got["a"] == got["d"] == (None, None)
+    assert got["b"] == pytest.approx((0.02, 0.02)) and got["c"] == pytest.approx((0.04, 0.04))
+
+
+def test_constant_feature_has_no_adjusted_p(spark):
+    rows = [("flat", g, 1.0) for g in "aabb"] + [("f", "a", 1.0), ("f", "a", 2.0), ("f", "b", 3.0), ("f", "b", 4.0)]
+    got = {r["feature"]: r for r in stats.kruskal_wallis(spark.createDataFrame(rows, "feature string, market string, value double"), "feature", "market", "value").collect()}
+    assert got["flat"]["h"] is None and got["flat"]["p_holm"] is None and got["f"]["p_holm"] == pytest.approx(got["f"]["p_value"])
+
+
+def test_degenerate_tables_and_columns(spark):
+    one_row = stats.chi_square(spark.createDataFrame([("x", c) for c in "abb"], "r string, c string"), "r", "c").first()
+    assert one_row["n"] == 3 and one_row["df"] == 0 and one_row["chi_square"] is None and one_row["cramers_v"] is None
+    rows = [(float(i), 2.0 * i, 7.0, float(i % 3), float("nan") if i == 0 else 1.0 * i) for i in range(12)]
+    got = {(r["x"], r["y"]): r for r in stats.spearman(spark.createDataFrame(rows, "a double, b double, k double, c double, n double"), "a", ["a", "b", "k", "c", "n"]).collect()}
+    assert got["a", "b"]["rho"] == pytest.approx(1) and got["a", "b"]["p_value"] == 0 and got["a", "k"]["rho"] is None and got["a", "n"]["n"] == 11
+    frame = spark.createDataFrame([(float(i), float(i * i), 5.0) for i in range(9)], "a double, b double, k double")
+    found = linear.vif(frame, ["a", "b", "k"])
+    assert found["k"] == math.inf and 1 < found["a"] < 100
+
+
+def test_separated_logistic_fit_says_so(spark):
+    df = spark.createDataFrame([(i, float(i), float(i > 9)) for i in range(20)], "c int, x double, y double")
+    with pytest.raises(ValueError, match="converge"):
+        linear.fit_logistic(df, "y", ["x"], "c")

@@ -34,7 +34,7 @@ def test_no_cartesian_product(spark, name):
 
 def test_spread_ranking_orders_within_buckets_only(spark):
     rows = S.table(spark, SF, "lineitem").selectExpr("1 as k", "l_extendedprice as v")
-    text = plan(order.counted_positions(rows, ["k"], "v", spread=True))
+    text = plan(order.counted_positions(rows, ["k"], "v"))
     assert "_bucket" in text
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chartspark.functions import clean, score
-from chartspark.operators import frames, integrate, quality
+from chartspark.operators import chart, frames, integrate, quality
 from chartspark.sources import pages, readers, sinks
 from chartspark.streaming import ingest
 
@@ -68,6 +68,29 @@ def test_merge_keeps_untouched_partitions(spark, tmp_path):
     assert got == {(1, "a"), (2, "B"), (3, "c")}
 
 
+def test_conflicting_updates_are_settled_by_order(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "k int, p int, v string"
+    rows = spark.createDataFrame([(1, 1, "b"), (1, 1, "a"), (1, 1, "c")], schema).repartition(3)
+    sinks.merge_partitions(rows, path, ["k"], "p")
+    assert spark.read.parquet(path).first()["v"] == "a"
+    sinks.merge_partitions(rows, path, ["k"], "p", [F.col("v") != "c"])
+    assert spark.read.parquet(path).first()["v"] == "c"
+
+
+def test_merge_reads_touched_partitions_only(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.merge_partitions(spark.createDataFrame([(i, i % 5, "a") for i in range(20)], "k int, p int, v string"), path, ["k"], "p")
+    plan = sinks.stored_partitions(spark, path, "p", [3])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(p" in plan and "= 3)" in plan
+
+
+def test_key_with_an_invalid_first_row_drops_out(spark):
+    rows = [(1, "US", 300, 1), (1, "US", 5, 2), (2, "US", 5, 1), (2, "US", 300, 2)]
+    df = spark.createDataFrame(rows, "track int, market string, rank int, seq int").withColumn("chart_date", F.lit("2024-01-04").cast("date"))
+    got = chart.clean_fact(df, ["track", "market"], order_by=["seq"]).collect()
+    assert [(r["track"], r["rank"]) for r in got] == [(2, 5)]
+
+
 @pytest.mark.parametrize("raw,expected", [("2022", "2022-01-01"), ("2022/05", "2022-05-01"), (" 2022-05-03 ", "2022-05-03"), ("May", None), (None, None)])
 def test_repair_date(spark, raw, expected):
     assert spark.createDataFrame([(raw,)], "d string").select(clean.repair_date("d")).first()[0] == expected
