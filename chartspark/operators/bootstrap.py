@@ -1,21 +1,20 @@
 """Cluster bootstrap of regression metrics from cluster sums.
 
-A replicate draws as many clusters as there are, with replacement. The draw is split over blocks of clusters: block totals
-come from one seeded multinomial per replicate, and each block then draws inside itself. Every block emits one sum per
-replicate, so neither draws nor rows are shuffled, and the result does not depend on partitioning.
+A replicate draws as many clusters as there are, with replacement. Each draw (replicate, slot) is a hash of its two numbers,
+so draws are rows that Spark makes where it needs them: they are counted per drawn place, map side first, and joined to the
+cluster sums. The result depends on the seed only, not on partitioning, and SQL can repeat it.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chartspark import scale
 from chartspark.operators import order
+from chartspark.operators.design import seeded_hash
 
-BLOCK_CLUSTERS = 200_000
-MAX_BLOCKS = 4_096  # keeps the shared table of block totals at replicates * 4096 numbers
 DOMAIN = (-99.0, 100.0)
 
 
@@ -54,48 +53,55 @@ def base_metrics(df: DataFrame, y: str, prediction: str, scope: str | None = Non
     )
 
 
-def replicate_sums(sums: DataFrame, cluster: str, columns: list[str], replicates: int, seed: int, scope: str | None = None) -> DataFrame:
-    """(replicate, scope, summed columns) of the drawn clusters; rows of one cluster share its draw."""
-    n_clusters = sums.select(cluster).distinct().count()
-    blocks = min(MAX_BLOCKS, max(1, -(-n_clusters // BLOCK_CLUSTERS)))
-    keyed = sums.withColumn("_block", F.pmod(F.xxhash64(F.col(cluster).cast("string")), F.lit(blocks)).cast("int"))
-    sizes = np.zeros(blocks)
-    for b, n in keyed.groupBy("_block").agg(F.count_distinct(cluster)).collect():  # one row per block
-        sizes[b] = n
-    totals = np.vstack([np.random.default_rng([seed, r]).multinomial(n_clusters, sizes / n_clusters) for r in range(replicates)])
-    shared = sums.sparkSession.sparkContext.broadcast(totals)
-    scoped = scope is not None
-    text = keyed.withColumn("_id", F.col(cluster).cast("string")).withColumn("_scope", F.col(scope).cast("string") if scoped else F.lit("all"))
-
-    def draw(rows: pd.DataFrame) -> pd.DataFrame:
-        block = int(rows["_block"].iloc[0])
-        rows = rows.sort_values(["_id", "_scope"])
-        ids, at = np.unique(rows["_id"].to_numpy(), return_inverse=True)
-        scopes, where = np.unique(rows["_scope"].to_numpy(), return_inverse=True)
-        values = rows[columns].to_numpy(dtype=float)
-        per_scope = [np.flatnonzero(where == s) for s in range(len(scopes))]
-        out = []
-        for r in range(replicates):
-            weights = np.random.default_rng([seed, r, block]).multinomial(shared.value[r, block], np.full(len(ids), 1 / len(ids)))
-            for name, rows_of in zip(scopes, per_scope):
-                out.append((r, name, *(weights[at[rows_of]] @ values[rows_of])))
-        return pd.DataFrame(out, columns=["replicate", "scope", *columns])
-
-    schema = "replicate int, scope string, " + ", ".join(f"{c} double" for c in columns)
-    parts = text.select("_block", "_id", "_scope", *columns).groupBy("_block").applyInPandas(draw, schema)
-    return parts.groupBy("replicate", "scope").agg(*[F.sum(c).alias(c) for c in columns])
+def cluster_places(sums: DataFrame, cluster: str, scope: str, seed: int) -> DataFrame:
+    """(scope, cluster, place): the clusters of each scope numbered from 0 in the order of their hashes."""
+    own = sums.select(F.col(scope).alias("scope"), F.col(cluster).alias("_cluster")).distinct().withColumn("_h", seeded_hash("_cluster", seed))
+    starts = order.counted_positions(own, ["scope"], "_h").select("scope", "_h", "start")
+    tie = F.row_number().over(W.partitionBy("scope", "_h").orderBy("_cluster")) - 1
+    return own.withColumn("_tie", tie).join(starts, ["scope", "_h"]).select("scope", F.col("_cluster").alias(cluster), (F.col("start") + F.col("_tie")).alias("place"))
+
+
+def draws(spark: SparkSession, sizes: dict[str, int], replicates: int, seed: int) -> DataFrame:
+    """(scope, replicate, place, times) of size draws from size places for each scope and replicate."""
+    parts = None
+    for scope, size in sorted(sizes.items()):
+        rows = spark.range(replicates * size).select(F.lit(scope).alias("scope"), F.floor(F.col("id") / size).alias("replicate"), (F.col("id") % size).alias("slot"))
+        digest = F.md5(F.concat_ws("|", "replicate", "slot", "scope", F.lit(str(seed))))
+        part = rows.select("scope", "replicate", (F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % size).alias("place"))
+        parts = part if parts is None else parts.unionByName(part)
+    return parts.groupBy("scope", "replicate", "place").agg(F.count(F.lit(1)).alias("times"))
+
+
+def replicate_sums(
+    sums: DataFrame, cluster: str, columns: list[str], replicates: int, seed: int, scope: str, draw_scope: str | None = None
+) -> DataFrame:
+    """(replicate, scope, summed columns) of the drawn clusters.
+
+    Each scope draws from its own clusters; with draw_scope, one draw of that name from all clusters serves all scopes.
+    """
+    spark = sums.sparkSession
+    sums = scale.cut_lineage(sums.withColumn("_draw", F.lit(draw_scope) if draw_scope else F.col(scope).cast("string")))
+    places = scale.cut_lineage(cluster_places(sums, cluster, "_draw", seed))
+    sizes = {r["scope"]: r["n"] for r in places.groupBy("scope").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a scope
+    if not sizes:
+        return sums.select(F.lit(0).alias("replicate"), F.col(scope).alias("scope"), *columns)
+    drawn = draws(spark, sizes, replicates, seed).join(places, ["scope", "place"]).withColumnRenamed("scope", "_draw")
+    rows = drawn.join(sums.select("_draw", cluster, F.col(scope).alias("scope"), *columns), ["_draw", cluster])
+    return rows.groupBy("replicate", "scope").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in columns])
 
 
 def bootstrap_metrics(
-    df: DataFrame, cluster: str, y: str, prediction: str, replicates: int = 1000, seed: int = 43, alpha: float = 0.05
+    df: DataFrame, cluster: str, y: str, prediction: str, scope: str | None = None, replicates: int = 1000, seed: int = 43,
+    alpha: float = 0.05, overall: str = "Overall",
 ) -> DataFrame:
-    """Percentile intervals of R2, MAE and RMSE over the whole table."""
-    sums = cluster_sums(df, cluster, None, y, [prediction])
+    """Percentile intervals of R2, MAE and RMSE, overall and per scope, each scope with its own draws."""
+    rows = df.withColumn("_part", F.explode(F.array(F.lit(overall), F.col(scope).cast("string"))) if scope else F.lit(overall))
+    sums = cluster_sums(rows, cluster, "_part", y, [prediction])
     columns = ["n", "sy", "syy", f"{prediction}_se2", f"{prediction}_abs"]
-    drawn = replicate_sums(sums, cluster, columns, replicates, seed)
-    metrics = drawn.select("replicate", *[c.alias(name) for name, c in metric_columns(prediction).items()])
-    long = order.unpivot(metrics, [], ["r2", "mae", "rmse"], "metric")
-    return order.exact_quantiles(long, ["metric"], "value", [alpha / 2, 1 - alpha / 2], ["ci_low", "ci_high"])
+    drawn = scale.cut_lineage(replicate_sums(sums, cluster, columns, replicates, seed, "_scope"))
+    metrics = drawn.select("scope", "replicate", *[c.alias(name) for name, c in metric_columns(prediction).items()])
+    long = order.unpivot(metrics, ["scope"], ["r2", "mae", "rmse"], "metric")
+    return order.exact_quantiles(long, ["scope", "metric"], "value", [alpha / 2, 1 - alpha / 2], ["ci_low", "ci_high"])
 
 
 def paired_differences(
@@ -109,7 +115,7 @@ def paired_differences(
     models = [base, *others]
     sums = cluster_sums(df, cluster, scope, y, models)
     columns = ["n", "sy", "syy", *[f"{m}_{s}" for m in models for s in ("se2", "abs")]]
-    drawn = replicate_sums(sums, cluster, columns, replicates, seed, "_scope")
+    drawn = scale.cut_lineage(replicate_sums(sums, cluster, columns, replicates, seed, "_scope", overall))
     both = drawn.withColumn("scope", F.explode(F.array(F.col("scope"), F.lit(overall))))
     summed = both.groupBy("replicate", "scope").agg(*[F.sum(c).alias(c) for c in columns]).where("n > 0")
     reference = metric_columns(base)

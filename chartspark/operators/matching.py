@@ -159,41 +159,25 @@ def decide_matches(
     return items.select(key).distinct().join(decided, key, "left").fillna({"status": "no_confident_match"})
 
 
-def require_bounded_groups(df: DataFrame, key: str, limit: int) -> None:
-    """Raise when a group is larger than the table allows; one counting pass."""
-    largest = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
-    if largest > limit:
-        raise ValueError(f"{largest} rows for one {key}, at most {limit} are allowed")
-
-
-def dominance_order(candidates: DataFrame, key: str, position: str, limit: int = 64) -> DataFrame:
+def dominance_order(candidates: DataFrame, key: str, position: str) -> DataFrame:
     """Adds how many candidates of the item dominate each one, and the order by that count.
 
     A candidate dominates when it is no worse on similarity, identity, number of sources and duration, and better on one.
-    Candidate tables hold few numbered candidates per item; the bound is checked before groups are packed.
+    Equal measures are counted first, so an item's candidates meet once per different set of measures.
     """
-    require_bounded_groups(candidates, key, limit)
     none = F.array().cast("array<string>")
-    rated = candidates.select(
-        "*",
-        F.struct(
-            F.coalesce(F.col("title_similarity").cast("double"), F.lit(-1.0)).alias("sim"),
-            M.identity_priority(F.coalesce("identity_evidence", none)).alias("id"),
-            F.size(F.coalesce("source_evidence", none)).alias("src"),
-            (-F.coalesce(F.col("duration_difference_ratio").cast("double"), F.lit(FAR))).alias("near"),
-        ).alias("_m"),
-    )
-    packed = rated.groupBy(key).agg(F.collect_list("_m").alias("_all"))
-    me = F.col("_m")
-    parts = ("sim", "id", "src", "near")
-
-    def beats(x: Column) -> Column:
-        no_worse, better = F.lit(True), F.lit(False)
-        for p in parts:
-            no_worse, better = no_worse & (x[p] >= me[p]), better | (x[p] > me[p])
-        return no_worse & better
-
-    counted = rated.join(packed, key).withColumn("dominated_by", F.size(F.filter("_all", beats))).drop("_all", "_m")
+    parts = {
+        "_sim": F.coalesce(F.col("title_similarity").cast("double"), F.lit(-1.0)), "_id": M.identity_priority(F.coalesce("identity_evidence", none)),
+        "_src": F.size(F.coalesce("source_evidence", none)), "_near": -F.coalesce(F.col("duration_difference_ratio").cast("double"), F.lit(FAR)),
+    }
+    rated = candidates.withColumns(parts)
+    kinds = rated.groupBy(key, *parts).agg(F.count(F.lit(1)).alias("_n"))
+    others = kinds.select(F.col(key).alias("_key"), *[F.col(p).alias(f"_o{p}") for p in parts], F.col("_n").alias("_on"))
+    no_worse, better = F.lit(True), F.lit(False)
+    for p in parts:
+        no_worse, better = no_worse & (F.col(f"_o{p}") >= F.col(p)), better | (F.col(f"_o{p}") > F.col(p))
+    met = kinds.join(others, (F.col(key) == F.col("_key")) & no_worse & better).groupBy(key, *parts).agg(F.sum("_on").alias("_above"))
+    counted = rated.join(met, [key, *parts], "left").withColumn("dominated_by", F.coalesce("_above", F.lit(0)).cast("int")).drop(*parts, "_above")
     place = F.row_number().over(W.partitionBy(key).orderBy("dominated_by", position))
     return counted.withColumn("evidence_order", place)
 

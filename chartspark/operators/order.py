@@ -25,7 +25,7 @@ def unpivot(df: DataFrame, keys: list[str], columns: list[str], name: str = "fea
 def _edges(values: DataFrame, value: str, pieces: int) -> list[float]:
     probs = [i / pieces for i in range(1, pieces)]
     found = values.stat.approxQuantile(value, probs, 0.25 / pieces)
-    return sorted({e for e in found if e is not None})
+    return sorted({e for e in found if e is not None}) or [0.0]
 
 
 def known(df: DataFrame, value: str) -> DataFrame:

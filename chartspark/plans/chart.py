@@ -198,12 +198,12 @@ def derived_columns(spark, sf):
     CASE WHEN peak_rank BETWEEN 1 AND 10 THEN '1-10' WHEN peak_rank BETWEEN 11 AND 20 THEN '11-20'
          WHEN peak_rank BETWEEN 21 AND 50 THEN '21-50' WHEN peak_rank >= 51 THEN '51+' END AS stratum,
     CASE WHEN weeks_on_chart >= 1 AND weeks_on_chart < 2 THEN '1' WHEN weeks_on_chart >= 2 AND weeks_on_chart < 5 THEN '2-4'
-         WHEN weeks_on_chart >= 5 AND weeks_on_chart < 13 THEN '5-12' END AS tenure FROM perf"""),
+         WHEN weeks_on_chart >= 5 AND weeks_on_chart < 13 THEN '5-12' WHEN weeks_on_chart >= 13 THEN '13+' END AS tenure FROM perf"""),
 )
 def bins(spark, sf):
     return S.perf(spark, sf).select(
         "track", "market", clean.closed_range_label("peak_rank", chart.RANK_STRATA).alias("stratum"),
-        clean.left_closed_bin("weeks_on_chart", [1, 2, 5, 13], ["1", "2-4", "5-12"]).alias("tenure"),
+        clean.left_closed_bin("weeks_on_chart", [1, 2, 5, 13], ["1", "2-4", "5-12", "13+"], open_last=True).alias("tenure"),
     )
 
 

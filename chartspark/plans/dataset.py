@@ -293,9 +293,9 @@ def curated_list(spark, sf):
 )
 def top_with_metadata(spark, sf):
     top = S.perf(spark, sf).select("track", "market", "weeks_on_chart").orderBy(F.desc("weeks_on_chart"), "track", "market").limit(20)
-    songs = S.songs(spark, sf).select("track", "title", "artist")
-    # twenty rows by construction
-    return songs.join(F.broadcast(top), "track", "right")
+    # twenty rows by construction: they cut the songs down first
+    songs = S.songs(spark, sf).select("track", "title", "artist").join(F.broadcast(top.select("track").distinct()), "track", "left_semi")
+    return top.join(songs, "track", "left")
 
 
 @PLANS.add(

@@ -204,20 +204,20 @@ def rank_frequency(spark, sf):
     return profile.frequency(ranked, "market", "rank")
 
 
-_TENURE = [("1", 1, 2), ("2-4", 2, 5), ("5-12", 5, 13), ("13-25", 13, 26), ("26+", 26, 500)]
+_TENURE = [("1", 1, 2), ("2-4", 2, 5), ("5-12", 5, 13), ("13-25", 13, 26), ("26-51", 26, 52), ("52-103", 52, 104), ("104+", 104, None)]
 
 
 @PLANS.add(
     "agg_17_bracket_counts",
-    f"""WITH {S.PERF}, brackets AS (SELECT * FROM (VALUES ('1', 1, 2), ('2-4', 2, 5), ('5-12', 5, 13), ('13-25', 13, 26), ('26+', 26, 500)) v(bracket, lo, hi)),
+    f"""WITH {S.PERF}, brackets AS (SELECT * FROM (VALUES ('1', 1, 2), ('2-4', 2, 5), ('5-12', 5, 13), ('13-25', 13, 26), ('26-51', 26, 52), ('52-103', 52, 104), ('104+', 104, 1000000000)) v(bracket, lo, hi)),
     sizes AS (SELECT market, COUNT(*) AS size FROM perf GROUP BY 1)
     SELECT s.market, b.bracket, COUNT(p.track) AS n, round(COUNT(p.track) * 100.0 / any_value(size), 2) AS share_pct
     FROM sizes s CROSS JOIN brackets b LEFT JOIN perf p ON p.market = s.market AND p.weeks_on_chart >= lo AND p.weeks_on_chart < hi
     GROUP BY 1, 2""",
 )
 def bracket_counts(spark, sf):
-    edges, labels = [b[1] for b in _TENURE] + [500], [b[0] for b in _TENURE]
-    return profile.bracket_counts(S.perf(spark, sf), "market", clean.left_closed_bin("weeks_on_chart", edges, labels), labels)
+    edges, labels = [b[1] for b in _TENURE], [b[0] for b in _TENURE]
+    return profile.bracket_counts(S.perf(spark, sf), "market", clean.left_closed_bin("weeks_on_chart", edges, labels, open_last=True), labels)
 
 
 @PLANS.add(
@@ -291,13 +291,16 @@ def scaled_market_means(spark, sf):
 @PLANS.add(
     "agg_23_quarterly_means_full_axis",
     f"""WITH {S.QUARTER}, axis AS (SELECT CAST(y AS VARCHAR) || '-Q' || CAST(q AS VARCHAR) AS quarter, m.market
-      FROM range(1994, 2003) a(y) CROSS JOIN range(1, 5) b(q) CROSS JOIN (SELECT DISTINCT market FROM quarter_rank) m)
+      FROM (SELECT unnest(range(MIN(CAST(left(quarter, 4) AS INTEGER)), MAX(CAST(left(quarter, 4) AS INTEGER)) + 1)) FROM quarter_rank) a(y)
+      CROSS JOIN range(1, 5) b(q) CROSS JOIN (SELECT DISTINCT market FROM quarter_rank) m)
     SELECT a.quarter, a.market, round(AVG(r.rank), 6) AS mean_rank FROM axis a LEFT JOIN quarter_rank r
       ON r.quarter = a.quarter AND r.market = a.market GROUP BY 1, 2""",
 )
 def quarterly_means(spark, sf):
     means = S.quarter_rank(spark, sf).groupBy("quarter", "market").agg(F.round(F.avg("rank"), 6).alias("mean_rank"))
-    axis = spark.range(1994, 2003).select(F.col("id").alias("y"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("q"))
+    year = F.substring("quarter", 1, 4).cast("int")
+    axis = means.agg(F.min(year).alias("a"), F.max(year).alias("b")).where("a IS NOT NULL").select(F.explode(F.sequence("a", "b")).alias("y"))
+    axis = axis.select("y", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("q"))
     axis = axis.select(F.concat_ws("-Q", F.col("y").cast("string"), F.col("q").cast("string")).alias("quarter"))
     axis = axis.select("quarter", F.explode(F.array(*[F.lit(m) for m in S.MARKETS])).alias("market"))
     return axis.join(means, ["quarter", "market"], "left")

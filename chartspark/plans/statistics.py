@@ -242,14 +242,42 @@ def metrics(spark, sf):
     return out.select("scope", "n", *[F.round(c, 6).alias(c) for c in ("r2", "mae", "rmse")], "out_of_domain")
 
 
-@PLANS.add("sta_15_bootstrap_intervals")
+def _draws_sql(scoped: str, draw: str) -> str:
+    """Cluster sums of table scoped and 1,000 replicates over the clusters of each draw."""
+    return f"""sums AS (SELECT {draw} AS draw, scope, track, COUNT(*) AS n, SUM(y) AS sy, SUM(y * y) AS syy, SUM((y - a) ** 2) AS a2, SUM(abs(y - a)) AS a1,
+      SUM((y - b) ** 2) AS b2, SUM(abs(y - b)) AS b1 FROM {scoped} GROUP BY 1, 2, 3),
+    places AS (SELECT draw, track, row_number() OVER (PARTITION BY draw ORDER BY substr(md5(CAST(track AS VARCHAR) || '|43'), 1, 15)) - 1 AS place
+      FROM (SELECT DISTINCT draw, track FROM sums)),
+    sizes AS (SELECT draw, COUNT(*) AS size FROM places GROUP BY 1),
+    slots AS (SELECT draw, size, r.r, unnest(range(size)) AS slot FROM sizes, range(1000) r(r)),
+    drawn AS (SELECT draw, r, CAST('0x' || substr(md5(r || '|' || slot || '|' || draw || '|43'), 1, 15) AS BIGINT) % size AS place FROM slots),
+    times AS (SELECT draw, r, place, COUNT(*) AS k FROM drawn GROUP BY 1, 2, 3),
+    reps AS (SELECT r, scope, SUM(k * n) AS n, SUM(k * sy) AS sy, SUM(k * syy) AS syy, SUM(k * a2) AS a2, SUM(k * a1) AS a1, SUM(k * b2) AS b2, SUM(k * b1) AS b1
+      FROM times JOIN places USING (draw, place) JOIN sums USING (draw, track) GROUP BY 1, 2)"""
+
+
+@PLANS.add(
+    "sta_15_bootstrap_intervals",
+    f"""WITH {_PRED}, scoped AS (SELECT market AS scope, * FROM pr UNION ALL SELECT 'Overall', * FROM pr), {_draws_sql("scoped", "scope")},
+    long AS (SELECT scope, unnest(['r2', 'mae', 'rmse']) AS metric, unnest([1 - a2 / (syy - sy * sy / n), a1 / n, sqrt(a2 / n)]) AS value FROM reps)
+    SELECT scope, metric, round(quantile_cont(value, 0.025), 6) AS ci_low, round(quantile_cont(value, 0.975), 6) AS ci_high FROM long GROUP BY 1, 2""",
+)
 def bootstrap_intervals(spark, sf):
-    return bootstrap.bootstrap_metrics(predictions(spark, sf), "track", "y", "a", replicates=200)
+    out = bootstrap.bootstrap_metrics(predictions(spark, sf), "track", "y", "a", "market")
+    return out.select("scope", "metric", *[F.round(c, 6).alias(c) for c in ("ci_low", "ci_high")])
 
 
-@PLANS.add("sta_16_paired_bootstrap")
+@PLANS.add(
+    "sta_16_paired_bootstrap",
+    f"""WITH {_PRED}, scoped AS (SELECT market AS scope, * FROM pr), {_draws_sql("scoped", "'Overall'")},
+    parts AS (SELECT * FROM reps UNION ALL SELECT r, 'Overall', SUM(n), SUM(sy), SUM(syy), SUM(a2), SUM(a1), SUM(b2), SUM(b1) FROM reps GROUP BY 1),
+    long AS (SELECT scope, unnest(['r2', 'mae', 'rmse']) AS metric, unnest([(a2 - b2) / (syy - sy * sy / n), (b1 - a1) / n, sqrt(b2 / n) - sqrt(a2 / n)]) AS delta FROM parts)
+    SELECT scope, 'b' AS model, metric, round(AVG(delta), 6) AS mean_delta, round(100.0 * AVG(CASE WHEN metric = 'r2' THEN delta > 0 ELSE delta < 0 END::INTEGER), 4) AS pct_better,
+    round(quantile_cont(delta, 0.025), 6) AS ci_low, round(quantile_cont(delta, 0.975), 6) AS ci_high FROM long GROUP BY 1, 2, 3""",
+)
 def paired_bootstrap(spark, sf):
-    return bootstrap.paired_differences(predictions(spark, sf), "track", "market", "y", "a", ["b"], replicates=200)
+    out = bootstrap.paired_differences(predictions(spark, sf), "track", "market", "y", "a", ["b"])
+    return out.select("scope", "model", "metric", F.round("mean_delta", 6).alias("mean_delta"), F.round("pct_better", 4).alias("pct_better"), *[F.round(c, 6).alias(c) for c in ("ci_low", "ci_high")])
 
 
 @PLANS.add(

@@ -1,4 +1,4 @@
-"""Size checks, lineage cuts and join helpers shared by the operators."""
+"""Lineage cuts, spreading and join helpers shared by the operators."""
 
 from __future__ import annotations
 
@@ -8,10 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
-SMALL_INPUT_KEY = "chartspark.smallInputBytes"
 CHECKPOINT_KEY = "spark.checkpoint.dir"
-UNKNOWN_BYTES = 1 << 60  # leaves without statistics report the largest long
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -20,21 +17,6 @@ def input_bytes(df: DataFrame) -> int:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
-def is_small(df: DataFrame, limit: int | None = None) -> bool:
-    """True when everything the plan reads fits the limit, so no single group can outgrow a task."""
-    if limit is None:
-        limit = int(df.sparkSession.conf.get(SMALL_INPUT_KEY, str(SMALL_INPUT_BYTES)))
-    return input_bytes(df) <= limit
-
-
-def partitions_for(df: DataFrame, bytes_per_part: int = 64 * 1024 * 1024, least: int = 8, most: int = 16384) -> int:
-    """Number of pieces so that each holds about bytes_per_part of the input; least when the size is not known."""
-    size = input_bytes(df)
-    if size >= UNKNOWN_BYTES:
-        return least
-    return int(min(max(size // bytes_per_part + 1, least), most))
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names; a local one only in local mode with none set."""
     sc = spark.sparkContext
@@ -71,10 +53,8 @@ def join_back(df: DataFrame, facts: DataFrame, keys: list[str], how: str = "left
 
 
 def spread_for_cpu(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition rows whose bytes are few but whose work per row is heavy, so all cores share them."""
-    spark = df.sparkSession
-    cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(partitions_for(df, least=cores, most=max(cores, 16384)), *keys)
+    """Hash-partition rows whose bytes are few but whose work per row is heavy; as many pieces as the session shuffles into."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def enough_partitions(df: DataFrame, *keys: str) -> DataFrame:

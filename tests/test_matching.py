@@ -132,7 +132,7 @@ def test_dominance(spark):
     assert got == {1: (2, 3), 2: (0, 1), 3: (0, 2)}
 
 
-def test_dominance_refuses_unbounded_groups(spark):
-    rows = [given(1, i, 90.0) for i in range(70)]
-    with pytest.raises(ValueError):
-        matching.dominance_order(spark.createDataFrame(rows, GIVEN), "song", "number")
+def test_dominance_of_many_candidates(spark):
+    rows = [given(1, i, 90.0 + i // 10) for i in range(100)]
+    got = {r["number"]: r["dominated_by"] for r in matching.dominance_order(spark.createDataFrame(rows, GIVEN), "song", "number").collect()}
+    assert got == {i: 90 - i // 10 * 10 for i in range(100)}

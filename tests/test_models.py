@@ -108,14 +108,13 @@ def test_tails():
     assert dist.fisher_two_sided(3, 1, 1, 3) == pytest.approx(0.4857142857142857)
 
 
-def test_draws_use_every_cluster_count(spark, monkeypatch):
-    monkeypatch.setattr(bootstrap, "BLOCK_CLUSTERS", 20)
+def test_draws_use_every_cluster_count(spark):
     rows = [(i, float(i % 7), float(i % 5)) for i in range(100)]
-    df = spark.createDataFrame(rows, "c int, y double, p double")
-    sums = bootstrap.cluster_sums(df, "c", None, "y", ["p"])
+    df = spark.createDataFrame(rows, "c int, y double, p double").withColumn("part", F.lit("all"))
+    sums = bootstrap.cluster_sums(df, "c", "part", "y", ["p"])
     columns = ["n", "sy", "syy", "p_se2", "p_abs"]
-    first = bootstrap.replicate_sums(sums, "c", columns, 200, 7).orderBy("replicate").collect()
-    again = bootstrap.replicate_sums(sums.repartition(3), "c", columns, 200, 7).orderBy("replicate").collect()
+    first = bootstrap.replicate_sums(sums, "c", columns, 200, 7, "_scope").orderBy("replicate").collect()
+    again = bootstrap.replicate_sums(sums.repartition(3), "c", columns, 200, 7, "_scope").orderBy("replicate").collect()
     assert [r["n"] for r in first] == [100.0] * 200
     assert [r["sy"] for r in first] == pytest.approx([r["sy"] for r in again])
     means = np.array([r["sy"] / 100 for r in first])
@@ -123,6 +122,11 @@ def test_draws_use_every_cluster_count(spark, monkeypatch):
     assert means.mean() == pytest.approx(y.mean(), abs=0.08) and means.std() == pytest.approx(y.std() / 10, rel=0.25)
 
 
+def test_empty_bootstrap(spark):
+    df = spark.createDataFrame([], "c int, m string, y double, a double")
+    assert bootstrap.bootstrap_metrics(df, "c", "y", "a", "m", replicates=5).collect() == []
+
+
 def test_paired_difference_of_equal_models_is_zero(spark):
     df = spark.createDataFrame([(i % 9, "s%d" % (i % 2), float(i % 4), 1.0) for i in range(60)], "c int, m string, y double, a double").withColumn("b", F.col("a"))
     out = bootstrap.paired_differences(df, "c", "m", "y", "a", ["b"], replicates=20).collect()
