@@ -24,8 +24,14 @@ _BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
 
 
 @F.pandas_udf(T.StringType())
-def nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t))
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
+
+
+def nfc(c: str | Column) -> Column:
+    """Composed form. Characters before U+0300 are composed already, so only texts with later ones go to Python."""
+    text = col(c)
+    return F.coalesce(_composed(F.when(text.rlike("[^\\x00-\\u02ff]"), text)), text)
 
 
 def strip(c: str | Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from chartspark import scale
 from chartspark.functions import titles as M
 
+ARTIST_PIECES = 16
 FAR = float("inf")
 
 
@@ -33,7 +34,9 @@ def evaluate_candidates(
     else:
         rows = rows.withColumn("_aliases", none)
     texts = rows.select(t.alias("_t"), a.alias("_a"), v.alias("_v"), "_aliases")
-    texts = scale.spread_for_cpu(texts, "_t", "_a", "_v", "_aliases").distinct()
+    # rows of one artist follow each other, so its patterns are compiled once; the salt spreads an artist with many rows
+    texts = scale.salted_keys(texts.distinct(), "_salt", ARTIST_PIECES, "_v")
+    texts = scale.spread_for_cpu(texts, "_a", "_salt").sortWithinPartitions("_a").drop("_salt")
     scored = title_scores(texts)
     joined = rows.withColumn("_t", t).withColumn("_a", a).withColumn("_v", v).join(scored, ["_t", "_a", "_v", "_aliases"], "left")
     normal = joined.withColumn("_an", M.normalize_title(F.col("_a"))).withColumn("_vn", M.normalize_title(F.col("_v")))
