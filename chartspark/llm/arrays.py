@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 import types
 
@@ -9,15 +12,31 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 _STEP = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
-def worker_cache() -> dict:
-    """A dict as old as the Python worker. Functions arrive by value with each task, so module globals start anew there."""
+def worker_cache(owner: str = "") -> dict:
+    """A dict as old as the Python worker. Functions arrive by value with each task, so module globals start anew there.
+
+    Each owner has its own; a worker that goes over to another operator drops what it kept for the one before.
+    """
     name = "_chartspark_worker_cache"
-    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    kept = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    if owner:
+        for other in [k for k in kept if k.startswith("of ") and k != f"of {owner}"]:
+            del kept[other]
+        return kept.setdefault(f"of {owner}", {})
+    return kept
+
+
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker between tasks holds little."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -100,7 +100,7 @@ class _Codec:
 
 
 def _codec(path: str) -> _Codec:
-    cache = arrays.worker_cache()
+    cache = arrays.worker_cache("tokens")
     if ("chat", path) not in cache:
         cache["chat", path] = _Codec(path)
     return cache["chat", path]

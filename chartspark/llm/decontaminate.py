@@ -134,12 +134,13 @@ def _scanner(items: list[tuple[str, str]], size: int, spark: SparkSession) -> Ca
     block, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        cache = arrays.worker_cache()
+        cache = arrays.worker_cache("decontamination")
         if cache.get("windows", (None,))[0] != name:
             cache["windows"] = (name, WindowIndex(block.value, size))
         index = cache["windows"][1]
         for texts in batches:
             yield _struct_rows([row for piece in arrays.pieces(texts) for row in index.scan(piece)])
+        arrays.give_back()
 
     return F.arrow_udf(found, _FOUND).asNondeterministic()  # so that no rule evaluates it twice
 

@@ -24,7 +24,7 @@ BUCKETS = 1 << 16
 RUN_LENGTHS = (2, 3, 4)
 SWITCH_PENALTY = 8.0
 EXCLUDED = -1000.0
-PATH_CELLS = 16 << 20  # words x languages whose paths are searched together
+PATH_CELLS = 4 << 20  # words x languages whose paths are searched together
 SCRIPT_SHARE = 0.01
 TRAIN_DOCS = 4000  # about so many labelled documents of a language are read for the table
 UNKNOWN = "und"
@@ -44,7 +44,7 @@ SCRIPT_NAMES = sorted({name for _, name in SCRIPTS})
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """For each code point: its one-character lower case, and its script number plus one if it is a letter, else 0."""
-    cache = arrays.worker_cache()
+    cache = arrays.worker_cache("language")
     if "letters" not in cache:
         lower = np.arange(0x110000, dtype=np.uint32)
         kind = np.zeros(0x110000, np.uint8)
@@ -239,7 +239,7 @@ def labeller(model: Model, docs: DataFrame) -> Callable[[Column], Column]:
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])))])
 
     def labelled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        cache = arrays.worker_cache()
+        cache = arrays.worker_cache("language")
         if cache.get("language model", (None,))[0] != name:
             cache["language model"] = (name, Model(*sent.value))
         own = cache["language model"][1]
@@ -247,6 +247,7 @@ def labeller(model: Model, docs: DataFrame) -> Callable[[Column], Column]:
             groups = ([t or "" for t in piece.to_pylist()] for piece in arrays.pieces(texts))
             rows = [{"lang": x, "score": score, "spans": [{"start": a, "end": b, "lang": y} for a, b, y in spans]} for x, score, spans in own.label(groups)]
             yield pa.array(rows, kind)
+        arrays.give_back()
 
     return F.arrow_udf(labelled, _LABEL).asNondeterministic()
 

@@ -113,6 +113,7 @@ _SIGNED = T.StructType([
 @F.arrow_udf(_SIGNED)
 def _signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     kind = pa.struct([("n", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    arrays.worker_cache("near dedup")
     for texts in batches:
         n, digests, bands = [], [], []
         for sets in shingle_sets(texts):
@@ -122,12 +123,14 @@ def _signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             bands += [k if len(s) else None for k, s in zip(keys, sets)]
         columns = [pa.array(n, pa.int64()), pa.array(digests, pa.binary()), arrays.lists(bands, pa.int64())]
         yield pa.StructArray.from_arrays(columns, fields=list(kind))
+    arrays.give_back()
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
 def _shingled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
         yield arrays.lists([s.view(np.int64) for sets in shingle_sets(texts) for s in sets], pa.int64())
+    arrays.give_back()
 
 
 def _reaches(common: Column | str, a_n: str, b_n: str) -> Column:
@@ -191,7 +194,8 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     if repeats:
         named = known.join(chosen.withColumnRenamed("digest", "low"), "id", "left").where("low IS NULL OR digest = low")
         known = scale.cut_lineage(named.drop("low").dropDuplicates(["id"]))
-    first = known.groupBy("digest").agg(F.min("id").alias("rep"))
+    # sums that are joined back are written first: both sides of the join are then plain shuffles, which Spark can split
+    first = scale.cut_lineage(known.groupBy("digest").agg(F.min("id").alias("rep")))
     member = known.select("id", "digest").join(first, "digest").select("id", "rep")
     if repeats:
         member = signed.where("id IS NOT NULL AND n > 0").select("id", "n").join(member, "id")
@@ -202,7 +206,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     member = scale.cut_lineage(member)
     keys = known.join(first, "digest").where("id = rep").select("id", F.explode("bands").alias("key"))
     full = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
-    met = scale.cut_lineage(keys.join(full, "key"))
+    met = scale.cut_lineage(keys.join(scale.cut_lineage(full), "key"))
     if repeats:
         rows = rows.select("id", "body", _signed("body").getField("digest").alias("digest")).join(known.select("id", "digest"), ["id", "digest"], "left_semi")
         rows = rows.dropDuplicates(["id"])
@@ -231,7 +235,7 @@ def _joined(rows: DataFrame, met: DataFrame) -> DataFrame:
     met = met.join(facts, "id")
     alone = F.struct(((F.col("n") - F.col("shared")) / F.col("n")).alias("part"), "id", "n", "shared")
     top = met.groupBy("key").agg(F.min(alone).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    top = top.select("key", "size", F.col("c.id").alias("a"))
+    top = scale.cut_lineage(top.select("key", "size", F.col("c.id").alias("a")))
     met = scale.cut_lineage(met.join(top, "key"))
     stars = scale.cut_lineage(_common(met.where("a <> id").select("a", F.col("id").alias("b")).distinct(), sets))
     labels = _relabel(labels, stars.where("linked").select("a", "b"))
@@ -252,7 +256,7 @@ def _crossing(met: DataFrame, labels: DataFrame, centres: int | None) -> DataFra
     """
     named = met.join(labels, "id")
     mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    named = scale.cut_lineage(named.join(mixed, "key"))
+    named = scale.cut_lineage(named.join(scale.cut_lineage(mixed), "key"))
     own = named.groupBy("id").agg(F.collect_list("key").alias("keys"))  # one key a band at most
     named = named.join(own, "id")
     side = {x: named.select("key", "size", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "n", "inner", "label", "keys")], (F.col("shared") - F.least("inner", "shared")).alias(f"{x}_outer")) for x in "ab"}

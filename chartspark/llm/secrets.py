@@ -87,7 +87,7 @@ CHECKS = {
 def _automaton():
     import ahocorasick
 
-    cache = arrays.worker_cache()
+    cache = arrays.worker_cache("secrets")
     if "secret keywords" not in cache:
         machine = ahocorasick.Automaton()
         for kind, words in KEYWORDS.items():

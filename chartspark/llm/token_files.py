@@ -18,6 +18,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,9 @@ from chartspark.llm import arrays
 
 BLOCK_IDS = 1 << 16
 END_ID = 0
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 SEGMENT_CHARS = 1 << 20
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 600_000  # beyond this, a worker keeps the words of its current texts only
 LEVEL = 3
 
 _ARROW_BLOCK = pa.schema([
@@ -104,18 +105,21 @@ class Encoder:
         parts = sample.split(" ")
         return self._raw(sample) == b"".join(self._raw(" " + p if i else p) for i, p in enumerate(parts))
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
     def _raw(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self._ids(text).tobytes()
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.known) > CACHED_WORDS:
-            self.known = {}
-        new = [w for w in words if w not in self.known]
+        if len(self.known) > CACHED_WORDS:  # frequent words are in any large piece of text
+            self.known = {w: self.known[w] for w in words if w in self.known}
+        new = words.difference(self.known)
         plain = [w for w in new if self._PLAIN.fullmatch(w)]
         self.known.update(dict.fromkeys(new))  # None: not to be cut here
         if not plain:
             return
-        ids = np.array(self.tokenizer.encode(" " + " ".join(plain), add_special_tokens=False).ids, "<u4")
+        ids = self._ids(" " + " ".join(plain))
         cuts = (np.flatnonzero(self.opens[ids]) * 4).tolist()
         raw = ids.tobytes()
         if len(cuts) == len(plain):
@@ -138,20 +142,24 @@ class Encoder:
         if not self.can_cut:
             return [b"".join(map(self._raw, self._segments(t))) for t in texts]
         split = [[s.split(" ") for s in self._segments(t)] for t in texts]
-        self._learn({w for parts in split for words in parts for w in words[1:]})
-        heads = sorted({words[0] for parts in split for words in parts})
+        words, heads = set(), set()
+        for parts in split:
+            for part in parts:
+                heads.add(part[0])
+                words.update(part)
+        self._learn(words)
+        heads = sorted(heads)
         head = dict(zip(heads, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(heads, add_special_tokens=False))))
-        return [b"".join(self._part(words, head) for words in parts) for parts in split]
+        return [b"".join([self._part(part, head) for part in parts]) for parts in split]
 
     def _part(self, words: list[str], head: dict[str, bytes]) -> bytes:
-        if not words[0]:  # it starts with a space: the cut of a long text, or the text itself
-            if len(words) > 1 and (rest := list(map(self.known.__getitem__, words[1:]))) and None not in rest:
-                return b"".join(rest)
-            return self._raw(" ".join(words))
-        rest = list(map(self.known.__getitem__, words[1:]))
-        if None in rest or (rest and not self._PLAIN.fullmatch(words[0])):
-            return self._raw(" ".join(words))
-        return head[words[0]] + b"".join(rest)
+        """Ids of a text's words. An empty first one is a leading space: that of the text, or the cut of a long one."""
+        if len(words) > 1 and (not words[0] or self._PLAIN.fullmatch(words[0])):
+            try:
+                return head[words[0]] + b"".join(map(self.known.__getitem__, islice(words, 1, None)))
+            except TypeError:  # a word that is not to be cut off
+                pass
+        return head[words[0]] if len(words) == 1 else self._raw(" ".join(words))
 
 
 # --- writing ---
@@ -194,19 +202,20 @@ def write(
 ) -> str:
     """Write the documents' ids in ascending doc_id order and return the folder (a new one in the shared folder by default).
 
-    Null text counts as empty, null ids come first; rows that repeat an id follow each other in the order of their texts.
-    Other columns are ignored. The text is shuffled once, by ranges of the id; encoding and writing share that stage, so a
-    lost task costs its own range only.
+    Null text counts as empty, null ids come first; rows that repeat an id follow each other in the order of their texts'
+    md5. Other columns are ignored. The text is shuffled once, by ranges of id and md5, so many rows of one id are spread
+    too; encoding and writing share that stage, so a lost task costs its own range only.
     """
     spark = docs.sparkSession
     folder = folder or f"{scale.shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
-    ordered = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "body")
+    rows = rows.withColumn("tie", F.md5(F.col("body").cast("binary")))
+    ordered = rows.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     stop = np.array([end_id], "<u4").tobytes()
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = arrays.worker_cache()
+        cache = arrays.worker_cache("tokens")
         if ("encoder", tokenizer) not in cache:
             cache["encoder", tokenizer] = Encoder(tokenizer)
         encoder = cache["encoder", tokenizer]
@@ -222,6 +231,7 @@ def write(
                     yield pa.RecordBatch.from_pylist(full, _ARROW_BLOCK)
         if gathered.held:
             yield pa.RecordBatch.from_pylist([gathered.block()], _ARROW_BLOCK)
+        arrays.give_back()
 
     ordered.mapInArrow(blocks, _BLOCK).write.option("compression", "none").parquet(folder)
     return folder
