@@ -116,8 +116,8 @@ FROM c
 """)
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    size = F.col("_mix_size")
-    return mixing.plan(docs).select("doc_id", size.alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), (size * F.col("_mix_times")).alias("taken"))
+    names = {"_mix_size": "size", "_mix_source_size": "source_size", "_mix_target": "target", "_mix_taken": "taken"}
+    return mixing.dealt(docs).select("doc_id", *[F.col(c).alias(n) for c, n in names.items()])
 
 
 @PLANS.add("op2_bootstrapped_pii")

@@ -118,8 +118,11 @@ def due_time(part: Column, schedule: Schedule) -> Column:
     return out
 
 
-def mix(docs: DataFrame, schedules: tuple[Schedule, ...] = SCHEDULES, shards: int | None = None, keep_position: bool = False, **options) -> DataFrame:
-    """The mix in training order: each document as often as it is taken, with the columns of docs (and _mix_position)."""
+def mix(
+    docs: DataFrame, schedules: tuple[Schedule, ...] = SCHEDULES, shards: int | None = None, keep_position: bool = False,
+    keep: tuple[str, ...] = (), **options,
+) -> DataFrame:
+    """The mix in training order: each document as often as it is taken, with the columns of docs (and _mix_position, and those of the plan in keep)."""
     count = _pieces(docs, shards)
     rows = plan(docs, **options).where("_mix_times > 0").withColumn("_mix_round", F.explode(F.sequence(F.lit(0), F.col("_mix_times") - 1)))
     part = (F.col("_mix_first") + F.col("_mix_round") * F.col("_mix_source_size")) / F.col("_mix_target")
@@ -128,4 +131,19 @@ def mix(docs: DataFrame, schedules: tuple[Schedule, ...] = SCHEDULES, shards: in
         time = F.when(F.col("_mix_place") % len(schedules) == i, due_time(part, schedule)).otherwise(time)
     rows = rows.withColumn("_mix_position", time)
     ordered = rows.repartitionByRange(count, "_mix_position", "_mix_order").sortWithinPartitions("_mix_position", "_mix_order")
-    return ordered.select(*[F.col(c) for c in docs.columns], *(["_mix_position"] if keep_position else []))
+    return ordered.select(*[F.col(c) for c in docs.columns], *(["_mix_position"] if keep_position else []), *keep)
+
+
+def dealt(docs: DataFrame, text: str = "text", schedules: tuple[Schedule, ...] = SCHEDULES, **options) -> DataFrame:
+    """The plan's rows with _mix_taken (words in the mix, counted there) and _mix_rank (ascending in the mix, null if not taken), in training order.
+
+    The mix is sorted whole, texts included. Documents that it leaves out are joined back and come last. A document's place
+    in its source leads to its copies; only documents without words share one.
+    """
+    slot = ("_mix_place", "_mix_first", "_mix_size")
+    # the running number keeps Spark from dropping the sort below the sums
+    mixed = mix(docs, schedules, keep=slot, text=text, **options).withColumn("_mix_rank", F.monotonically_increasing_id())
+    copies = mixed.groupBy(*slot).agg(F.sum(word_count(F.col(text).cast("string"))).alias("_mix_taken"), F.min("_mix_rank").alias("_mix_rank"))
+    found = plan(docs, text=text, **options).drop(text).join(copies, list(slot), "left")
+    found = found.withColumn("_mix_taken", F.coalesce("_mix_taken", F.lit(0)))
+    return found.orderBy(F.col("_mix_rank").asc_nulls_last(), "_mix_order")

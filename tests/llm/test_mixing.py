@@ -1,11 +1,12 @@
 import hashlib
 import math
+import re
 from collections import Counter, defaultdict
 
 import pytest
 
 import rows as R
-from chartspark.llm import mixing
+from chartspark.llm import book, mixing
 
 
 def sizes(texts):
@@ -102,3 +103,32 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert mixing.plan(docs.limit(0)).collect() == [] and mixing.mix(docs.limit(0)).collect() == []
     blank = R.documents(spark, [None, ""], sources=[None, "s"])
     assert [r._mix_times for r in mixing.plan(blank).collect()] == [0, 0] and mixing.mix(blank).collect() == []
+
+
+def test_query_rows_come_from_the_written_mix_in_training_order(spark):
+    docs = spark.read.parquet(f"{R.SF}/documents.parquet")
+    taken, starts = Counter(), {}
+    for r in mixing.mix(docs, keep_position=True).collect():
+        taken[r.doc_id] += sizes([r.text])[0]
+        starts.setdefault(r.doc_id, r._mix_position)
+    rows = book.op9_curriculum_mix(spark, R.SF).collect()
+    assert {r.doc_id: r.taken for r in rows} == {r.doc_id: taken[r.doc_id] for r in rows} and len(rows) == docs.count()
+    order = [starts.get(r.doc_id, 2.0) for r in rows]
+    assert order == sorted(order) and len(set(order)) > 10
+
+
+def test_dealt_against_ordinary_code_and_by_schedule(spark):
+    ids, texts, sources = fixture()
+    docs = R.documents(spark, texts, sources=sources)
+    found = mixing.dealt(docs).collect()
+    assert sorted(((r.doc_id, r._mix_size, r._mix_source_size, round(r._mix_target, 6), r._mix_taken) for r in found), key=str) == brute(ids, texts, sources)
+    other = mixing.dealt(docs, schedules=mixing.SCHEDULES[::-1]).collect()
+    assert [r.doc_id for r in found] != [r.doc_id for r in other] and {r.doc_id: r._mix_taken for r in found} == {r.doc_id: r._mix_taken for r in other}
+    same = ([1, 1, None, None, 7], ["a b", "a b", "", "", "d e f"], ["s", "s", "s", "s", None])
+    found = mixing.dealt(R.documents(spark, same[1], ids=same[0], sources=same[2]))
+    assert sorted(((r.doc_id, r._mix_size, r._mix_source_size, round(r._mix_target, 6), r._mix_taken) for r in found.collect()), key=str) == brute(*same)
+
+
+def test_whole_documents_are_sorted_by_position(spark):
+    text = book.op9_curriculum_mix(spark, R.SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Sort \[_mix_position.*, _mix_order.*\], false", text) and re.search(r"RepartitionByExpression \[_mix_position", text)
