@@ -1,4 +1,4 @@
-"""Token files: documents in id order as one stream of token ids, cut into fixed blocks of transposed, compressed planes.
+"""Token files: documents in id order, or a given one, as one stream of token ids, cut into fixed blocks of transposed, compressed planes.
 
 Layout. A folder of Parquet files, one or more a shard; shards follow each other in the order of their numbers. Each row
 is one block of ``BLOCK_IDS`` ids (the last of a shard may hold fewer):
@@ -23,7 +23,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -198,20 +198,23 @@ class _Blocks:
 
 def write(
     docs: DataFrame, tokenizer: str, folder: str | None = None, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID,
-    block_ids: int = BLOCK_IDS, plane_bits: int = 8, shards: int | None = None,
+    block_ids: int = BLOCK_IDS, plane_bits: int = 8, shards: int | None = None, order: tuple[Column, ...] = (),
 ) -> str:
     """Write the documents' ids in ascending doc_id order and return the folder (a new one in the shared folder by default).
 
     Null text counts as empty, null ids come first; rows that repeat an id follow each other in the order of their texts'
     md5. Other columns are ignored. The text is shuffled once, by ranges of id and md5, so many rows of one id are spread
-    too; encoding and writing share that stage, so a lost task costs its own range only.
+    too; encoding and writing share that stage, so a lost task costs its own range only. Columns in order, ascending, take
+    the place of id and md5; they should tell all rows apart.
     """
     spark = docs.sparkSession
     folder = folder or f"{scale.shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
-    rows = rows.withColumn("tie", F.md5(F.col("body").cast("binary")))
-    ordered = rows.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    given = order or (F.col(doc_id).cast("long"), F.md5(body.cast("binary")))
+    keys = [f"key_{i}" for i in range(len(given))]
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("body"), *[c.alias(k) for c, k in zip(given, keys)])
+    ordered = rows.repartitionByRange(shards, *keys).sortWithinPartitions(*keys)
     stop = np.array([end_id], "<u4").tobytes()
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,6 +240,12 @@ def write(
     return folder
 
 
+def stored_order() -> tuple[Column, ...]:
+    """The order of rows in a Parquet folder that Spark has written: number of the task, of its file, place in the file."""
+    number = lambda pattern: F.regexp_extract("_metadata.file_name", pattern, 1).cast("long")
+    return number(r"^part-(\d+)-"), number(r"-c(\d+)\."), F.col("_metadata.row_index")
+
+
 # --- reading ---
 
 

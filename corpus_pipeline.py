@@ -39,8 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files; a row for each document of the mix, read back from them."""
-    return token_files.read_documents(spark, token_files.write(docs, book.tokenizer_path()))
+    """Token files in the order of the mix, which is that of its Parquet rows; a row for each document of it, read back from them."""
+    return token_files.read_documents(spark, token_files.write(docs, book.tokenizer_path(), order=token_files.stored_order()))
 
 
 STAGES: list[tuple[str, Stage]] = [

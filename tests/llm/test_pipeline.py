@@ -8,6 +8,7 @@ from test_token_files import expected as tokens
 from test_token_files import plain  # noqa: F401  (a fixture)
 
 import corpus_pipeline
+from chartspark.llm import mixing
 
 
 def test_stages(spark, plain, tmp_path):  # noqa: F811
@@ -49,3 +50,13 @@ def test_empty_table(spark, tmp_path):
         stage(spark, docs, R.SF).write.parquet(str(tmp_path / str(number)))
         docs = spark.read.parquet(str(tmp_path / str(number)))
         assert docs.collect() == []
+
+
+def test_tokens_stand_in_the_order_of_the_mix(spark, tmp_path):
+    steps = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{R.SF}/documents.parquet")
+    wanted = [r.doc_id for r in mixing.mix(docs).collect()]
+    steps["mixing sources to target weights"](spark, docs, R.SF).write.parquet(str(tmp_path / "mix"))
+    found = steps["token-ID / binary output"](spark, spark.read.parquet(str(tmp_path / "mix")), R.SF)
+    order = [r.doc_id for r in found.orderBy("start").collect()]
+    assert order == wanted and order != sorted(order)
