@@ -1,7 +1,8 @@
 """Licence recognition by sentences: known sentences get identifiers, ordered rules read sequences of identifiers.
 
 A text is cut into sentences. A sentence is lower-cased and all but ASCII letters and digits becomes single spaces; if the
-result is a known sentence, its identifier stands for it, otherwise its lines are tried on their own. Rules are tried in
+result is a known sentence, its identifier stands for it, otherwise its lines are tried on their own. Pieces of a known
+sentence that follow each other count as the sentence; list numbers and separators do not keep sentences apart. Rules are tried in
 their order on the sequence of identifiers; a rule's identifiers must follow each other directly, and what a rule has read
 is gone for later rules. Identifiers that no rule reads are reported as open.
 
@@ -92,6 +93,18 @@ RULES = (
     ("Proprietary", ("reserved",)),
 )
 
+# fixed values: known sentences that official texts cut by ; : or v. into these pieces
+_FREE = "this program is free software"
+_TERMS = "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+_LATER = {v: f"either version {v} of the license or at your option any later version" for v in (2, 3)}
+PIECES = (
+    *((f"gpl{v}.grant", cut) for v, later in _LATER.items() for cut in ((_FREE, _TERMS, later), (_FREE, f"{_TERMS} {later}"), (f"{_FREE} {_TERMS}", later))),
+    ("gpl.warranty", ("this program is distributed in the hope that it will be useful but without any warranty", "without even the implied warranty of merchantability or fitness for a particular purpose")),
+    ("mpl2.ref", ("this source code form is subject to the terms of the mozilla public license v", "2 0")),
+)
+
+#: Normalised parts that stand between sentences and do not keep them apart: nothing, list numbers, the address of the Apache licence.
+BETWEEN = r"^([0-9]*|https? www apache org licenses license 2 0( txt| html)?)$"
 #: Each known sentence holds one of these, so a text without any of them holds no known sentence.
 HINTS = ("license", "licensed", "permission", "permitted", "redistributions", "warranty", "liable", "rights", "software")
 SENTENCE_END = r"[.!?;:][^A-Za-z0-9\x20\x09-\x0D]*[\x20\x09-\x0D]+|\n[\x20\x09]*\n"
@@ -110,13 +123,15 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(sentence, UPPER, LOWER), "[^a-z0-9]+", " "))
 
 
-def identifiers(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
-    """array<string> with an entry for each sentence, or line of an unknown sentence: its identifier or null."""
-    table = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
+def marks(text: Column, sentences: dict[str, str] = SENTENCES, pieces=PIECES) -> Column:
+    """The text as a chain: [identifier] for a known sentence or line, <piece> for a piece of one, ~ for others, nothing for what BETWEEN has."""
+    marked = {p: f"<{p}>" for _, cut in pieces for p in cut} | {s: f"[{name}]" for s, name in sentences.items()}
+    table = F.create_map(*[F.lit(x) for pair in marked.items() for x in pair])
     known = lambda part: F.try_element_at(table, normalised(part))
-    lines = lambda part: F.transform(F.split(part, "\n"), known)
+    line = lambda part: F.coalesce(known(part), F.when(normalised(part).rlike(BETWEEN), "").otherwise("~"))
+    lines = lambda part: F.transform(F.split(part, "\n"), line)
     named = F.transform(F.split(text, SENTENCE_END), lambda s: F.when(known(s).isNotNull(), F.array(known(s))).otherwise(lines(s)))
-    return F.flatten(named)
+    return F.array_join(F.flatten(named), "")
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
@@ -126,25 +141,25 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences:
     first in order wins. Other columns are ignored.
     """
     body = F.col(text).cast("string")
-    names = F.when(body.rlike(hint_pattern(sentences)), identifiers(body, sentences))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), names.alias("_names"))
-    some = F.size(F.array_compact("_names")) > 0
-    # [identifier] for a known part, ~ for the others; runs of ~ still keep neighbours apart
-    chain = F.array_join(F.transform("_names", lambda n: F.when(n.isNull(), "~").otherwise(F.concat(F.lit("["), n, F.lit("]")))), "")
-    rows = rows.select("doc_id", "_names", F.when(some, chain).alias("_chain"))
-    read = F.col("_chain")
+    own = tuple((name, cut) for name, cut in PIECES if name in sentences.values())
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.when(body.rlike(hint_pattern(sentences)), marks(body, sentences, own)).alias("_marks"))
+    # texts without any known part need no reading
+    chain = F.when(F.col("_marks").rlike(r"[\[<]"), F.col("_marks"))
+    for name, cut in own:
+        chain = F.replace(chain, F.lit("".join(f"<{p}>" for p in cut)), F.lit(f"[{name}]"))
+    rows = rows.select("doc_id", F.coalesce(F.regexp_replace(chain, "<[^>]*>", "~"), F.lit("")).alias("_chain"))
+    read = F.when(F.col("_chain") != "", F.col("_chain"))
     for licence, parts in rules:
         read = F.replace(read, F.lit("".join(f"[{p}]" for p in parts)), F.lit("{" + licence + "}"))
-    rows = rows.select("doc_id", "_names", F.coalesce(read, F.lit("")).alias("_read"))
-    none = F.array().cast("array<string>")
+    rows = rows.select("doc_id", "_chain", F.coalesce(read, F.lit("")).alias("_read"))
+    inside = lambda c, pattern: F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
     return rows.select(
-        "doc_id", F.coalesce(F.when(F.col("_read") != "", F.array_compact("_names")), none).alias("sentences"),
-        F.regexp_extract_all("_read", F.lit(r"\{([^}]*)\}"), F.lit(1)).alias("licenses"), F.regexp_extract_all("_read", F.lit(r"\[([^\]]*)\]"), F.lit(1)).alias("open"),
+        "doc_id", inside("_chain", r"\[([^\]]*)\]").alias("sentences"), inside("_read", r"\{([^}]*)\}").alias("licenses"), inside("_read", r"\[([^\]]*)\]").alias("open"),
     )
 
 
 def scan_sql() -> str:
-    """The same in the other dialect, for comparison."""
+    """The same in the other dialect, for comparison, but without PIECES and BETWEEN."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     table = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in SENTENCES.items()) + "}"
     norm = lambda x: f"trim(regexp_replace(translate({x}, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'))"

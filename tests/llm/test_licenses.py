@@ -74,3 +74,56 @@ def test_no_python_in_the_plan(spark):
 def test_odd_spacing(spark, text):
     found = licenses.scan(R.documents(spark, [text])).first()
     assert (found.sentences, found.licenses, found.open) == plain(text)
+
+
+GPL = """This program is free software{} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{} either version {} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+BSD = """Copyright (c) 2020, Some Body
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+ENDORSE = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+def test_official_texts(spark):
+    texts = [GPL.format(";", ";", 2), GPL.format(":", ",", 3), GPL.format(",", ";", 2), BSD, BSD + ENDORSE, APACHE, MPL, "This program is free software; licensed under it."]
+    found = licenses.scan(R.documents(spark, texts)).orderBy("doc_id").collect()
+    gpl2, gpl3 = ["gpl2.grant", "gpl.warranty"], ["gpl3.grant", "gpl.warranty"]
+    assert [r.licenses for r in found] == [["GPL-2.0-or-later"], ["GPL-3.0-or-later"], ["GPL-2.0-or-later"], ["BSD-2-Clause"], ["BSD-3-Clause"], ["Apache-2.0"], ["MPL-2.0"], []]
+    assert [r.sentences for r in found[:3]] == [gpl2, gpl3, gpl2] and found[7].sentences == [] and not any(r.open for r in found)
