@@ -126,6 +126,13 @@ def _signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     arrays.give_back()
 
 
+@F.arrow_udf(T.BinaryType())
+def _digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        yield pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for sets in shingle_sets(texts) for s in sets], pa.binary())
+    arrays.give_back()
+
+
 @F.arrow_udf(T.ArrayType(T.LongType()))
 def _shingled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
@@ -179,41 +186,45 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return scale.cut_lineage(labels.join(merged, "label", "left").select("id", F.coalesce("root", "label").alias("label")))
 
 
-def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (smallest linked id), kept (doc_id = component_id).
+def _nodes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, bool]:
+    """doc_id, n_shingles, digest, component_id and kept of each row, and whether any id repeats.
 
-    Null or wordless text: empty set, linked with nothing. Null id: linked with nothing, component_id null, kept. Rows that
-    repeat an id are one document, for which the row with the smallest set digest stands. Other columns are ignored.
+    The nodes of the link graph are the ids, or id and set digest where a table repeats ids; either orders by id first.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("body"))
-    signed = scale.cut_lineage(rows.select("id", _signed("body").alias("s")).select("id", "s.*"))
-    known = signed.where("id IS NOT NULL AND n > 0")
-    chosen = known.groupBy("id").agg(F.min("digest").alias("digest"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-    chosen = scale.cut_lineage(chosen)
-    repeats = not chosen.isEmpty()
-    if repeats:
-        named = known.join(chosen.withColumnRenamed("digest", "low"), "id", "left").where("low IS NULL OR digest = low")
-        known = scale.cut_lineage(named.drop("low").dropDuplicates(["id"]))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("body"))
+    signed = scale.cut_lineage(rows.select("doc", _signed("body").alias("s")).select("doc", "s.*"))
+    repeats = not signed.where("doc IS NOT NULL").groupBy("doc").agg(F.count(F.lit(1)).alias("times")).where("times > 1").isEmpty()
+    node = F.struct("doc", "digest") if repeats else F.col("doc")
+    signed = signed.withColumn("id", node)
+    known = signed.where("doc IS NOT NULL AND n > 0")
+    if repeats:  # rows of a node have the same set
+        known = scale.cut_lineage(known.dropDuplicates(["id"]))
     # sums that are joined back are written first: both sides of the join are then plain shuffles, which Spark can split
     first = scale.cut_lineage(known.groupBy("digest").agg(F.min("id").alias("rep")))
-    member = known.select("id", "digest").join(first, "digest").select("id", "rep")
-    if repeats:
-        member = signed.where("id IS NOT NULL AND n > 0").select("id", "n").join(member, "id")
-        member = member.unionByName(signed.where("id IS NULL OR n = 0").select("id", "n", F.col("id").alias("rep")))
-    else:  # one row an id, so the digest alone leads to the representative
-        member = signed.select("id", "n", "digest").join(first, "digest", "left")
-        member = member.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
+    member = signed.select("doc", "id", "n", "digest").join(first, "digest", "left")
+    member = member.withColumn("rep", F.when(F.col("doc").isNotNull(), F.coalesce("rep", "id")))
     member = scale.cut_lineage(member)
     keys = known.join(first, "digest").where("id = rep").select("id", F.explode("bands").alias("key"))
     full = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
     met = scale.cut_lineage(keys.join(scale.cut_lineage(full), "key"))
     if repeats:
-        rows = rows.select("id", "body", _signed("body").getField("digest").alias("digest")).join(known.select("id", "digest"), ["id", "digest"], "left_semi")
-        rows = rows.dropDuplicates(["id"])
+        rows = rows.select("body", F.struct("doc", _digest("body").alias("digest")).alias("id")).dropDuplicates(["id"])
+    else:
+        rows = rows.withColumnRenamed("doc", "id")
     labels = _joined(rows, met)
-    done = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.coalesce("label", "rep")
-    return done.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    done = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("label", "rep"))
+    component = F.col("component.doc") if repeats else F.col("component")
+    kept = F.coalesce(F.col("component") == F.col("id"), F.lit(True))
+    return done.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "digest", component.alias("component_id"), kept.alias("kept")), repeats
+
+
+def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id (smallest linked id), kept (the first of its component by id, then set digest).
+
+    Null or wordless text: empty set, linked with nothing. Null id: linked with nothing, component_id null, kept. Rows that
+    repeat an id are compared each; those with equal sets are kept or not together. Other columns are ignored.
+    """
+    return _nodes(docs, doc_id, text)[0].drop("digest")
 
 
 def _joined(rows: DataFrame, met: DataFrame) -> DataFrame:
@@ -272,8 +283,19 @@ def _crossing(met: DataFrame, labels: DataFrame, centres: int | None) -> DataFra
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with one row of each group: that with the smallest id. Rows without id stay."""
-    found = components(docs, doc_id, text)
-    kept = found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept_id")).distinct()
-    known = docs.where(F.col(doc_id).isNotNull()).join(kept, F.col(doc_id).cast("long") == F.col("_kept_id"), "left_semi")
-    return known.dropDuplicates([doc_id]).unionByName(docs.where(F.col(doc_id).isNull()))
+    """The documents with one row of each group: that with the smallest id. Rows without id stay.
+
+    Of rows with one id and equal sets the first by the text's md5, then by a hash of all columns, stays.
+    """
+    found, repeats = _nodes(docs, doc_id, text)
+    kept = found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest"))
+    known, same = docs.where(F.col(doc_id).isNotNull()), F.col(doc_id).cast("long") == F.col("_kept_id")
+    if not repeats:
+        chosen = known.join(kept, same, "left_semi")
+    else:
+        known = known.withColumn("_digest", _digest(F.col(text).cast("string")))
+        known = known.join(kept.distinct(), same & F.col("_digest").eqNullSafe(F.col("_kept_digest")), "left_semi")
+        order = F.struct(F.md5(F.col(text).cast("binary")), F.xxhash64(*docs.columns))
+        row = F.min_by(F.struct(*docs.columns), order).alias("_row")
+        chosen = known.groupBy(F.col(doc_id).cast("long").alias("_id"), "_digest").agg(row).select("_row.*")
+    return chosen.unionByName(docs.where(F.col(doc_id).isNull()))

@@ -1,7 +1,7 @@
 """From raw documents to token files: each stage's rows are written as Parquet and read again by the next.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the columns
-of documents. Where a table repeats an id, near-dedup keeps one row of it; after mixing, ids repeat as often as a document is
+of documents. Where a table repeats an id, near-dedup compares its texts each on its own; after mixing, ids repeat as often as a document is
 taken.
 """
 

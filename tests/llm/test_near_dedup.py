@@ -122,3 +122,15 @@ def test_labels_of_a_long_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(200, 150)]
     found = {r.id: r.label for r in near_dedup.connected(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(found[i] == 0 for i in range(41)) and all(found[i] == 100 for i in range(100, 140)) and found[200] == found[150] == 150
+
+
+def test_texts_under_one_id_are_compared_each(spark):
+    words = [f"w{i}" for i in range(60)]
+    near, far, lone = " ".join(words), " ".join(f"x{i}" for i in range(60)), " ".join(f"y{i}" for i in range(60))
+    texts = [near, far, lone, near + " end", far + " end", far, None, ""]
+    docs = R.clashing(R.documents(spark, texts, ids=[1, 1, 1, 2, 3, 1, 4, 4]))
+    found = near_dedup.components(docs)
+    assert sorted((r.doc_id, r.component_id) for r in found.collect()) == [(1, 1)] * 4 + [(2, 1), (3, 1), (4, 4), (4, 4)]
+    for shuffled in (docs, docs.repartition(5, "text")):
+        kept = sorted((r.doc_id, r.text or "") for r in near_dedup.keep_one(shuffled).collect())
+        assert kept == sorted([(1, near), (1, far), (1, lone), (4, "")])
