@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartspark import scale
-from chartspark.llm import chat, decontaminate, exact_dedup, language, licenses, mixing, near_dedup, pii, secrets, token_files
+from chartspark.llm import chat, decontaminate, exact_dedup, fill_middle, language, licenses, mixing, near_dedup, pii, prefix_trie, quality, secrets, token_files
 from chartspark.plans.book import PlanBook
 
 PLANS = PlanBook()
@@ -143,3 +143,63 @@ def op6_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(_OWN_CONVERSATION))
     formatted = scale.cut_lineage(chat.format_turns(turns, tokenizer_path()))
     return chat.read_back(formatted, tokenizer_path())
+
+
+def _kept_from_training() -> Column:
+    """Documents whose crc32 leaves 0 by 5; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def quality_field(docs: DataFrame, labels: DataFrame) -> quality.Field:
+    return quality.train(docs.where(~_kept_from_training()), labels)
+
+
+@PLANS.add("op11_line_field_quality")
+def op11_line_field_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality_field(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", _kept_from_training().alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+@PLANS.add("op12_piece_table_fim", """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS w FROM d),
+n AS (SELECT *, CAST(len(w) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+             CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM u),
+c AS (SELECT doc_id, text, w, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                  WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM n),
+p AS (SELECT doc_id, text, n, form, array_to_string(w[1:a], '') AS prefix, array_to_string(w[a + 1:b], '') AS middle, array_to_string(w[b + 1:n], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+""")
+def op12_piece_table_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.samples(table(spark, sf_dir, "documents"))
+    back = fill_middle.restored_sha256(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", back.alias("restored_sha256"))
+
+
+# crc32 of the decimal digits, bit by bit
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT)"""
+
+
+@PLANS.add("op13_radix_prefix_trie", f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text), length(text)) AS turns FROM t GROUP BY conv_id),
+r AS (SELECT o.conv_id, list_concat(coalesce(b.turns[1:o.h], []), o.turns[o.h + 1:]) AS turns
+      FROM (SELECT conv_id, turns, {_CRC} % 6 AS h FROM own) o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100),
+m AS (SELECT conv_id, unnest(range(0, len(turns) + 1)) AS depth, turns FROM r),
+k AS (SELECT conv_id, depth, turns[1:depth] AS path, depth = len(turns) AS ended FROM m),
+node AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CASE WHEN ended THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM k GROUP BY path, depth),
+below AS (SELECT p.path, count(c.path) AS n_children FROM node p LEFT JOIN node c ON c.depth = p.depth + 1 AND c.path[1:p.depth] = p.path GROUP BY p.path),
+own_sum AS (SELECT node.*, n_children, (n_children = 0)::INT AS leaf, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * length(path[depth].text) END AS save FROM node JOIN below USING (path)),
+up AS (SELECT path[1:d] AS path, sum(leaf) AS n_leaves, sum(save) AS saved_tokens FROM (SELECT path, leaf, save, unnest(range(0, depth + 1)) AS d FROM own_sum) GROUP BY 1)
+SELECT s.conv_id, CAST(s.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(s.n_convs AS BIGINT) AS n_convs, CAST(s.n_children AS BIGINT) AS n_children,
+       CAST(up.n_leaves AS BIGINT) AS n_leaves, CAST(up.saved_tokens AS BIGINT) AS saved_tokens, s.ends_sha256
+FROM own_sum s JOIN up USING (path) LEFT JOIN node p ON p.depth = s.depth - 1 AND p.path = s.path[1:s.depth - 1]
+""")
+def op13_radix_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
