@@ -31,6 +31,14 @@ def worker_cache(owner: str = "") -> dict:
     return kept
 
 
+def fresh_name(df, wish: str) -> str:
+    """A column name that the table does not have, whatever its case."""
+    taken, name = {c.lower() for c in df.columns}, f"_{wish}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def give_back() -> None:
     """Return freed memory to the system, so that a worker between tasks holds little."""
     gc.collect()

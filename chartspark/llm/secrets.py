@@ -38,9 +38,11 @@ EXPRESSIONS = {
     "access": re.compile(r"AKIA[A-Z0-9]+"),
     "github": re.compile(r"gh[pousr]_([A-Za-z0-9]{36})(?![A-Za-z0-9])"),
     "npm": re.compile(r"npm_([A-Za-z0-9]{36})(?![A-Za-z0-9])"),
-    "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)"),
-    "pem": re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----\s*([A-Za-z0-9+/=\s]+)-----END \1-----"),
+    "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]++)\.([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]++)"),
+    "pem": re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]++)-----END \1-----"),
 }
+#: The first run of a token in three parts: where a try fails behind it, all later tries within the run fail there too.
+_RUN = re.compile(r"[A-Za-z0-9_-]++")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -62,7 +64,7 @@ def crc_in_base_62(body: str) -> bool:
 def _json_header(match: re.Match) -> bool:
     try:
         header = json.loads(base64.urlsafe_b64decode(match[1] + "=" * (-len(match[1]) % 4)))
-    except (binascii.Error, ValueError):
+    except (binascii.Error, ValueError, RecursionError):  # the last for a header nested too deep to be one
         return False
     return isinstance(header, dict) and "alg" in header
 
@@ -111,6 +113,8 @@ def spans_of(text: str, machine) -> list[tuple[int, int, int]]:
             continue
         match = EXPRESSIONS[kind].match(text, start)
         if match is None:
+            if kind == "jwt":
+                free[kind] = _RUN.match(text, start).end()
             continue
         free[kind] = match.end()
         if CHECKS[kind](match):
@@ -152,4 +156,5 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "*") -> DataFrame:
             out.append(value)
         return pa.array(out, pa.string())
 
-    return docs.withColumn("_spans", secret_spans(text)).withColumn(text, hidden(F.col(text).cast("string"), F.col("_spans"))).drop("_spans")
+    own = arrays.fresh_name(docs, "spans")
+    return docs.withColumn(own, secret_spans(text)).withColumn(text, hidden(F.col(text).cast("string"), F.col(own))).drop(own)

@@ -23,5 +23,5 @@ def clashing(docs):
     """The table with further columns named like what operators make."""
     from pyspark.sql import functions as F
 
-    names = ["id", "body", "kept", "component_id", "label", "digest", "spans", "items", "size", "target", "start", "n", "key", "base", "mentions", "sentences"]
+    names = ["id", "body", "kept", "component_id", "label", "digest", "spans", "items", "size", "target", "start", "n", "key", "base", "mentions", "sentences", "_label", "_found", "_spans", "_id", "_key", "row", "found", "digest_"]
     return docs.withColumns({name: F.lit("clash") for name in names})

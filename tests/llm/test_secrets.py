@@ -30,6 +30,8 @@ TEXTS = [
     "0123456789abcdef01234567 0123456789ABCDEF01234567 " + "f" * 100_000, "token=" * 20_000, "paſſword=abcdef toKen=abcdef İ token=abcdef", "token    " * 10_000 + "= x",
     "x " + github("a1B2" * 7 + "zz") + " y", github("a1B2" * 7 + "zz", right=False), JWT, "eyJhbGciOi.x.y eyJ", "-----BEGIN RSA PRIVATE KEY-----\nQUJD\nREVG\n-----END RSA PRIVATE KEY-----",
     "-----BEGIN PRIVATE KEY-----\n!!\n-----END PRIVATE KEY-----", "AKIA" * 3 + "A" * 100_000,
+    "eyJ" * 400_000, "eyJ" * 1000 + "." + "eyJ" * 1000 + "!", "ghp_" * 100_000 + "npm_" * 100_000, "-----BEGIN PRIVATE KEY-----" + " " * 300_000, "-----BEGIN " + "A " * 200_000,
+    base64.urlsafe_b64encode(b'{"alg":' + b"[" * 200_000).decode().rstrip("=") + ".x.y", "x" + JWT + "." + JWT,
 ]
 
 
@@ -43,6 +45,7 @@ def test_base_and_checked_tokens(spark):
         assert [s for s in spans(row) if s[0] in ("assign", "access", "hex")] == base(text or ""), (text or "")[:50]
     more = {r.doc_id: [s for s in spans(r) if s[0] not in ("assign", "access", "hex")] for r in found}
     assert more[10] == [("github", 2, 42)] and more[11] == [] and more[12] == [("jwt", 0, len(JWT))]
+    assert all(more[i] == [] for i in range(17, 23)) and more[23] == [("jwt", 1, 1 + len(JWT)), ("jwt", 2 + len(JWT), 2 + 2 * len(JWT))]
     assert more[13] == [] and more[14] == [("pem", 0, len(TEXTS[14]))] and more[15] == []
 
 
