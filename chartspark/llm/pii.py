@@ -5,7 +5,7 @@ right check digit, addresses with the signs spelled out, addresses of the newer
 lexical patterns: the word before, the two words before, the word after. A graph joins patterns and identifiers (the digits
 or letters of a mention, without separators). In each round a pattern's score is the mean confidence of the identifiers of
 one kind that it meets, and an identifier's confidence is that at least one of its good patterns is right. Seeds have
-confidence 1 throughout. A candidate counts when its identifier is confident and one of its own patterns is good, or when
+confidence 1 throughout. Rounds go on until one adds nothing. A candidate counts when its identifier is confident and one of its own patterns is good, or when
 it repeats a seed.
 
 Everything is DataFrame code. Only mentions are shuffled, never texts, and all group sums are combined before the shuffle.
@@ -13,6 +13,7 @@ Everything is DataFrame code. Only mentions are shuffled, never texts, and all g
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,11 +23,10 @@ from pyspark.sql import functions as F
 from chartspark import scale
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
+MOST_ROUNDS = 1000  # a graph that still grows then is an error, not a result
 SUPPORT = 3  # confident identifiers that a good pattern has met
 PATTERN_SCORE = 0.8
 CONFIDENCE = 0.9
-CONTEXT_CHARS = 48
 
 # Expressions. Possessive repeats and the look behind keep each scan linear in the text and its matches the same.
 _PART = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -52,6 +52,10 @@ LOOSE = (
     Shape(("phone", "card"), "[0-9][ ().-]{0,2}[0-9]", "(?<![0-9A-Za-z])[0-9](?:[ ().-]{0,2}+[0-9])++(?![0-9A-Za-z])"),
 )
 
+# The last two words of what stands before a mention, and the rest of its own word with the next one of what stands after.
+_TWO_BEFORE = r"(?<!\S)(?:\S++\s++)?\S++\s*+$"
+_ONE_AFTER = r"^\S*+\s++\S++"
+
 _SPANS = "array<struct<kind: string, start: bigint, end: bigint>>"
 
 
@@ -88,8 +92,10 @@ def matches(text: Column, shape: Shape) -> Column:
     there = text.rlike(shape.hint) if shape.hint != "@" else F.contains(text, F.lit("@"))
     found = F.when(there, F.regexp_extract_all(text, F.lit(shape.pattern), F.lit(0)))
     between = F.when(there, F.split(text, shape.pattern, -1))
-    size, near = F.size(found), F.lit(CONTEXT_CHARS)
-    sides = F.zip_with(F.slice(between, 1, size), F.slice(between, 2, size), lambda gap, rest: F.struct(F.length(gap).cast("long").alias("gap"), F.right(gap, near).alias("before"), F.left(rest, near).alias("after")))
+    size = F.size(found)
+    sides = F.zip_with(F.slice(between, 1, size), F.slice(between, 2, size), lambda gap, rest: F.struct(
+        F.length(gap).cast("long").alias("gap"), F.regexp_extract(gap, _TWO_BEFORE, 0).alias("before"), F.regexp_extract(rest, _ONE_AFTER, 0).alias("after"),
+    ))
     return F.when(size > 0, F.zip_with(found, sides, lambda m, s: F.struct(
         s["gap"].alias("gap"), F.length(m).cast("long").alias("size"), m.alias("value"), s["before"].alias("before"), s["after"].alias("after"),
     )))
@@ -107,9 +113,8 @@ def _word(value: Column) -> Column:
 
 def _patterns(before: Column, after: Column) -> Column:
     """The lexical patterns around a mention."""
-    near = _word(F.regexp_extract(before, r"(\S+)\s*$", 1))
-    far = _word(F.regexp_extract(before, r"(\S+)\s+\S+\s*$", 1))
-    follow = _word(F.regexp_extract(after, r"^\S*\s+(\S+)", 1))
+    near, far = (_word(F.regexp_extract(before, r"^(?:(\S++)\s++)?(\S++)\s*+$", i)) for i in (2, 1))
+    follow = _word(F.regexp_extract(after, r"^\S*+\s++(\S++)", 1))
     three = F.array(
         F.when(near != "", F.concat(F.lit("before "), near)), F.when((near != "") & (far != ""), F.concat(F.lit("before "), far, F.lit(" "), near)),
         F.when(follow != "", F.concat(F.lit("after "), follow)),
@@ -157,17 +162,18 @@ def mentions(found: DataFrame) -> DataFrame:
     return rows.select("doc_id", "_key", "kind", "seed", "start", "end", _identifier(F.col("kind"), F.col("value")).alias("identifier"), _patterns(F.col("before"), F.col("after")).alias("patterns"))
 
 
-def bootstrap(graph: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def bootstrap(graph: DataFrame, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Good patterns (pattern, kind, score) and confident identifiers (identifier, kind, confidence) of the graph.
 
-    graph: kind, identifier, seed, pattern; a row may repeat. Ends early when a round adds nothing.
+    graph: kind, identifier, seed, pattern; a row may repeat. Goes on until a round adds nothing, which comes at last because
+    confidences only rise; a given number of rounds ends it earlier. A graph that grows for MOST_ROUNDS rounds raises.
     """
     edges = graph.groupBy("kind", "identifier", "pattern").agg(F.max("seed").alias("seed"))
     edges = scale.cut_lineage(edges)
     seeds = edges.groupBy("kind", "identifier").agg(F.max("seed").alias("seed"))
     seeds = scale.cut_lineage(seeds.where("seed").select("kind", "identifier", F.lit(1.0).alias("confidence")))
     known, count = seeds, -1
-    for _ in range(rounds):
+    for number in itertools.count(1):
         judged = edges.join(known, ["kind", "identifier"], "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
         scored = judged.groupBy("kind", "pattern").agg(F.avg("confidence").alias("score"), F.count_if(F.col("confidence") >= CONFIDENCE).alias("met"))
         good = scale.cut_lineage(scored.where((F.col("met") >= SUPPORT) & (F.col("score") >= PATTERN_SCORE)).select("kind", "pattern", "score"))
@@ -176,13 +182,15 @@ def bootstrap(graph: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFr
         new = found.where(F.col("confidence") >= CONFIDENCE).join(seeds.select("kind", "identifier"), ["kind", "identifier"], "left_anti")
         known = scale.cut_lineage(seeds.unionByName(new))
         now = known.count()
-        if now == count:
+        if now == count or number == rounds:
             break
+        if number == MOST_ROUNDS:
+            raise RuntimeError(f"patterns and identifiers still grow after {MOST_ROUNDS} rounds")
         count = now
     return good, known
 
 
-def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int | None = None) -> DataFrame:
     """One row per input row: doc_id, base and spans as array<struct<kind, start, end>>, by kind as listed, then start.
 
     spans holds the base ones and what the patterns add. Null text counts as empty and gives none. Rows that repeat an id and

@@ -88,6 +88,31 @@ def test_bootstrap_scores_by_hand(spark):
     assert [(r.pattern, round(r.score, 3)) for r in good.collect()] == [("p", 0.994)] and "new" in {r.identifier for r in known.collect()}
 
 
+def test_long_chains_of_patterns_are_followed_to_their_end(spark):
+    """Step i + 1 is met only in the pattern that step i makes good."""
+    rows = []
+    for step in range(6):
+        for pattern in (f"p{step}", f"q{step}"):
+            rows += [("phone", f"s{i}", True, pattern) for i in range(20)] + [("phone", f"n{k}.{i}", False, pattern) for k in (step - 1, step) if k >= 0 for i in range(3)]
+    graph = spark.createDataFrame(rows, "kind string, identifier string, seed boolean, pattern string")
+    reached = lambda rounds: {r.identifier.split(".")[0] for r in pii.bootstrap(graph, rounds)[1].collect()} - {f"s{i}" for i in range(20)}
+    assert reached(None) == {f"n{i}" for i in range(6)} and reached(2) == {"n0", "n1"}
+
+
+def test_long_neighbouring_words_are_whole(spark):
+    words = ["a" * 60 + x for x in "bc"]
+    gaps = ["", "one", "one two ", "one two three", " " * 100, "x" * 300_000, "one " + words[0], f"{words[0]} {words[1]} ", "w " * 200_000]
+    texts = [f"{g}+49 30 5550101{r}" for g in gaps for r in ("", f" {words[1]} y", "tail next")]
+    found = {}
+    for r in pii.mentions(pii.keyed(R.documents(spark, texts))).where("kind = 'phone' AND seed").collect():
+        found[r.doc_id] = sorted(r.patterns)
+    for i, text in enumerate(texts):
+        before, after = text.split("+49 30 5550101")
+        near, follow = before.split()[-2:], re.match(r"\S*\s+(\S+)", after)
+        wanted = ["before " + " ".join(near[-1:])] * bool(near) + ["before " + " ".join(near)] * (len(near) == 2)
+        assert found[i] == sorted(wanted + (["after " + follow[1]] if follow else [])), text[-80:]
+
+
 def test_repeated_rows_null_ids_empty_table(spark):
     docs = R.documents(spark, ["a@b.co"] * 3 + ["c@d.eu"], ids=[None, 1, 1, 1])
     assert sorted((r.doc_id or -1, spans(r)) for r in pii.find(docs).collect()) == [(-1, [("email", 0, 6)])] + [(1, [("email", 0, 6)])] * 3
