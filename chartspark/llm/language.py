@@ -182,13 +182,18 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = TRAIN_DOCS) -> Model:
     """A model from the rows whose lang is not null.
 
-    Reads about per_language whole texts of each language, chosen by the hash of the text, or all if there are fewer.
-    Without labelled texts there are no languages, and every text is und.
+    Reads about per_language distinct whole texts of each language, chosen by the hash of the text, or all if there are fewer; copies
+    are one text. Only hashes are shuffled to count them, and only chosen texts are moved. Without labelled texts there are no
+    languages, and every text is und.
     """
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("body")).where("lang IS NOT NULL AND body IS NOT NULL")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n"))
-    picked = rows.join(sizes, "lang").where(F.pmod(F.xxhash64("body"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "body")
+    rows = rows.withColumns({"digest": F.md5(F.col("body").cast("binary")), "draw": F.pmod(F.xxhash64("body"), F.lit(1 << 30))})
+    sizes = rows.select("lang", "digest").distinct().groupBy("lang").count().collect()  # a row a language
+    if not sizes:
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(SCRIPT_NAMES) + 1, 0), bool))
+    limits = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1 << 30, (per_language << 30) // r["count"]))])
+    chosen = rows.where(F.col("draw") < F.try_element_at(limits, F.col("lang")))
+    picked = chosen.dropDuplicates(["lang", "digest"]).select("lang", "body")
     counted = picked.mapInArrow(_count_runs, "lang string, feature int, n bigint").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
     found = counted.toArrow()  # at most languages x (buckets + scripts) rows
     names = np.array(found.column("lang").to_pylist(), object)
@@ -263,8 +268,8 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
 
 def accepted(docs: DataFrame, model: Model, languages: list[str] | None = None, least: float = 0.5, text: str = "text") -> DataFrame:
     """docs with the same columns, without those of no language, of one not listed, or with a share below least."""
-    label = labeller(model, docs)(F.col(text).cast("string"))
-    right = (F.col("_label.lang") != UNKNOWN) & (F.col("_label.score") >= least)
+    label, own = labeller(model, docs)(F.col(text).cast("string")), arrays.fresh_name(docs, "label")
+    right = (F.col(f"{own}.lang") != UNKNOWN) & (F.col(f"{own}.score") >= least)
     if languages is not None:
-        right &= F.col("_label.lang").isin(languages)
-    return docs.withColumn("_label", label).where(right).drop("_label")
+        right &= F.col(f"{own}.lang").isin(languages)
+    return docs.withColumn(own, label).where(right).drop(own)

@@ -53,6 +53,17 @@ def test_no_labels_and_empty_tables(spark, model):
     assert language.accepted(R.documents(spark, []), model).collect() == []
 
 
+def test_copies_are_one_text_of_the_sample(spark):
+    """A text that fills most of a language's rows counts once, and the sample's bound is in distinct texts."""
+    texts = [GERMAN * 3] * 400 + [f"{ENGLISH}{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(100)]
+    langs = {i: "de" if i < 400 else "en" for i in range(500)}
+    few = language.train(R.documents(spark, texts, langs=langs), per_language=10)
+    assert few.languages == ["de", "en"]
+    once = language.train(R.documents(spark, [GERMAN * 3], langs={0: "de"}))
+    np.testing.assert_allclose(few.scores[:, 0], once.scores[:, 0], rtol=1e-6)
+    assert (few.scores[:, 1] > few.scores[:, 1].min()).sum() < (language.train(R.documents(spark, texts, langs=langs)).scores[:, 1] > few.scores[:, 1].min()).sum() + language.BUCKETS
+
+
 def test_accepted_keeps_columns_and_repeated_rows(spark, model):
     docs = R.clashing(R.documents(spark, [ENGLISH, ENGLISH, "12", None, GERMAN], ids=[1, 1, 2, 3, None]))
     kept = language.accepted(docs, model)
