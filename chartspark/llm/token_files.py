@@ -82,7 +82,8 @@ class Encoder:
 
     A byte-level vocabulary never joins what stands before a single space to what stands after it, if neither neighbour is
     white space. Texts are cut there, and every distinct piece is encoded once and then looked up. A text with other
-    spacing is encoded as it is.
+    spacing is encoded as it is. The strings of the vocabulary's special tokens in a text give their ids, as in the library; if one
+    holds a space, nothing is cut.
     """
 
     _PLAIN = re.compile(r"[!-~¡-ɏ](?:.*[!-~¡-ɏ])?", re.DOTALL)
@@ -92,7 +93,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, number in vocabulary.items():
@@ -101,6 +101,8 @@ class Encoder:
         self.can_cut = self._cuts_exactly()
 
     def _cuts_exactly(self) -> bool:
+        if any(" " in token.content for token in self.tokenizer.get_added_tokens_decoder().values()):
+            return False
         sample = "Some words, it's 12 or 3.5 (more)\nlines; café ok."
         parts = sample.split(" ")
         return self._raw(sample) == b"".join(self._raw(" " + p if i else p) for i, p in enumerate(parts))

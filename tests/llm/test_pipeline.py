@@ -1,6 +1,9 @@
 """The five stages against ordinary code, each on what its predecessor kept."""
 
+import itertools
+
 import rows as R
+from pyspark.sql import functions as F
 from test_decontaminate import brute as contaminated
 from test_mixing import brute as mixed
 from test_near_dedup import brute as components
@@ -41,7 +44,12 @@ def test_stages(spark, plain, tmp_path):  # noqa: F811
     rows = step(3)
     wanted = [(i, texts[i]) for i, size, _, _, taken in plan if size for _ in range(taken // size)]
     assert docs.columns == columns and sorted((r.doc_id, r.text) for r in rows) == sorted(wanted)
-    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in step(4)) == sorted(tokens(plain, wanted))
+    # tokens stand in the order of the mix's rows, which its files keep
+    order = [r.doc_id for r in docs.select("doc_id", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("i")).orderBy("f", "i").collect()]
+    found = sorted(step(4), key=lambda r: r.start)
+    assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in found) == sorted((i, n, crc) for i, _, n, crc in tokens(plain, wanted))
+    assert [r.doc_id for r in found] == order
+    assert [r.start for r in found] == [0, *itertools.accumulate(r.n_tokens for r in found)][:-1]
 
 
 def test_empty_table(spark, tmp_path):
