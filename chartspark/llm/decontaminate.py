@@ -4,7 +4,7 @@ Words are runs of ASCII letters and digits (A-Z lower-cased) and of all characte
 more gives all its runs of ten words, a shorter one is a single window. Tasks look each document window up by its hash and
 compare the words themselves before a hit counts.
 
-The broadcast holds the words of the test items, in blocks of at most ``block_bytes``. A benchmark beyond that is scanned
+The broadcast holds the words of distinct test items, in blocks of at most ``block_bytes``. A benchmark beyond that is scanned
 block by block, in one pass over the documents each, and the hits of a document are put together by its key.
 """
 
@@ -146,22 +146,41 @@ def _scanner(items: list[tuple[str, str]], size: int, spark: SparkSession) -> Ca
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """Lists of (id, text) with about block_bytes of text each; only one list is on the driver at a time."""
-    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.col(text).cast("string").alias("body")).where("length(body) > 0")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("n")).first()["n"]
-    count = max(1, -(-total // block_bytes))
-    for i in range(count):
-        part = items if count == 1 else items.where(F.pmod(F.xxhash64("id", "body"), F.lit(count)) == i)
-        yield [(r["id"], r["body"]) for r in part.collect()]
-
+    """Lists of distinct (id, text) with at most block_bytes of text each; only one list is on the driver at a time.
 
-def _merged_union(docs: DataFrame, benchmark: DataFrame, ids: tuple[str, str], texts: tuple[str, str], size: int, block_bytes: int) -> DataFrame:
-    """All columns of docs and found (n_words, items, words, spans) over all blocks."""
+    Items go to cells by hash. There are so many cells that the fullest one, counted, stays within the bound; a single item beyond it is
+    a block of its own. Neighbouring cells share a block while they fit.
+    """
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.col(text).cast("string").alias("body")).where("length(body) > 0").distinct()
+    total = items.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("n")).first()["n"]
+    if total <= block_bytes:
+        yield [(r["id"], r["body"]) for r in items.collect()]
+        return
+    items = scale.cut_lineage(items)
+    cells = 4 * -(-total // block_bytes)
+    while True:
+        cell = F.pmod(F.xxhash64("id", "body"), F.lit(cells))
+        counted = items.groupBy(cell.alias("cell")).agg(F.sum(F.octet_length("body")).alias("size"), F.count(F.lit(1)).alias("n"))
+        sizes = {r["cell"]: (r["size"], r["n"]) for r in counted.collect()}  # a few rows a block
+        if all(size <= block_bytes or n == 1 for size, n in sizes.values()):
+            break
+        cells *= 2
+    first, held = 0, 0
+    for i in [*sorted(sizes), None]:
+        if i is None or (held and held + sizes[i][0] > block_bytes):
+            last = cells if i is None else i
+            yield [(r["id"], r["body"]) for r in items.where((cell >= first) & (cell < last)).collect()]
+            first, held = last, 0
+        held += 0 if i is None else sizes[i][0]
+
+
+def _merged_union(docs: DataFrame, benchmark: DataFrame, ids: tuple[str, str], texts: tuple[str, str], size: int, block_bytes: int) -> tuple[DataFrame, str]:
+    """All columns of docs and one with what is found (n_words, items, words, spans) over all blocks, and the name of that one."""
     spark = docs.sparkSession
     scanners = (_scanner(block, size, spark) for block in _blocks(benchmark, ids[1], texts[1], block_bytes))
     body = F.col(texts[0]).cast("string")
-    first = next(scanners)
-    marked = docs.withColumn("_found", first(body))
+    first, own = next(scanners), arrays.fresh_name(docs, "found")
+    marked = docs.withColumn(own, first(body))
     key = F.xxhash64(F.coalesce(body, F.lit("")))
     more = None
     for scan in scanners:
@@ -169,16 +188,18 @@ def _merged_union(docs: DataFrame, benchmark: DataFrame, ids: tuple[str, str], t
         part = scale.cut_lineage(part)
         more = part if more is None else more.union(part)
     if more is None:
-        return marked
+        return marked, own
     more = more.groupBy("_id", "_key").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_more.items")))).alias("_items"),
-        F.array_distinct(F.flatten(F.collect_list("_more.words"))).alias("_words"), F.array_distinct(F.flatten(F.collect_list("_more.spans"))).alias("_spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_more.items")))).alias("items"),
+        F.array_distinct(F.flatten(F.collect_list("_more.words"))).alias("words"), F.array_distinct(F.flatten(F.collect_list("_more.spans"))).alias("spans"),
     )
-    marked = marked.withColumn("_row_key", key).join(more, F.col(ids[0]).eqNullSafe(F.col("_id")) & (F.col("_row_key") == F.col("_key")), "left")
-    both = lambda a, b: _merged(F.concat(F.col(f"_found.{a}"), F.coalesce(F.col(b), F.array().cast(T.ArrayType(_SPAN)))))
-    items = F.array_sort(F.array_distinct(F.concat("_found.items", F.coalesce("_items", F.array().cast("array<string>")))))
-    found = F.struct(F.col("_found.n_words").alias("n_words"), items.alias("items"), both("words", "_words").alias("words"), both("spans", "_spans").alias("spans"))
-    return marked.withColumn("_found", found).select(*[F.col(c) for c in docs.columns], "_found")
+    # the table's own columns travel in one struct, so their names meet no others
+    packed = marked.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(ids[0]).alias("id"), key.alias("key"), F.col(own).alias("found"))
+    joined = packed.join(more, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
+    both = lambda name: _merged(F.concat(F.col(f"found.{name}"), F.coalesce(F.col(name), F.array().cast(T.ArrayType(_SPAN)))))
+    items = F.array_sort(F.array_distinct(F.concat("found.items", F.coalesce("items", F.array().cast("array<string>")))))
+    found = F.struct(F.col("found.n_words").alias("n_words"), items.alias("items"), both("words").alias("words"), both("spans").alias("spans"))
+    return joined.select("row.*", found.alias(own)), own
 
 
 @F.arrow_udf(T.ArrayType(_SPAN))
@@ -197,7 +218,8 @@ def find(
     empty string, rows that repeat an item id are one item. Other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("body"))
-    found = _merged_union(rows, benchmark, ("doc_id", item_id), ("body", item_text), size, block_bytes).select("doc_id", "_found.*")
+    found, own = _merged_union(rows, benchmark, ("doc_id", item_id), ("body", item_text), size, block_bytes)
+    found = found.select("doc_id", f"{own}.*")
     n_hit = F.aggregate("words", F.lit(0).cast("long"), lambda total, w: total + w["end"] - w["start"])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "spans")
 
@@ -220,7 +242,7 @@ def remove(
     """docs with the same columns, without contaminated documents, or (what="spans") with the hit words cut out of the texts."""
     if what not in ("documents", "spans"):
         raise ValueError("what is documents or spans")
-    found = _merged_union(docs, benchmark, (doc_id, item_id), (text, item_text), size, block_bytes)
+    found, own = _merged_union(docs, benchmark, (doc_id, item_id), (text, item_text), size, block_bytes)
     if what == "documents":
-        return found.where(F.size("_found.items") == 0).drop("_found")
-    return found.withColumn(text, _without(F.col(text).cast("string"), F.col("_found.spans"))).drop("_found")
+        return found.where(F.size(f"{own}.items") == 0).drop(own)
+    return found.withColumn(text, _without(F.col(text).cast("string"), F.col(f"{own}.spans"))).drop(own)
