@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chartspark.functions import text as X
 from chartspark.functions.language_rules import EDGE_MARKS, PRONOUNS, TITLE_STOPWORDS
+from chartspark.operators import sections
 from chartspark.plans import shapes as S
 from chartspark.plans.book import PlanBook
 
@@ -114,6 +115,27 @@ def chorus(spark, sf):
     return X.with_chorus_repetition(docs, "text", "chorus_repetition_count").drop("text")
 
 
+def _section_words(spark, sf):
+    return S.table(spark, sf, "documents").select("doc_id", sections.section_tokens("text").alias("tokens"))
+
+
+@PLANS.add(
+    "txt_09_section_runs",
+    r"""WITH w AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(lower(nfc_normalize(text)), '\[[^\]]*\]', ' ', 'g'), '[^\p{L}\p{N}_]+', ' ', 'g'), ' '), lambda x: x <> '') AS t FROM documents),
+    g AS (SELECT doc_id, i - 1 AS pos, array_to_string(t[i : i + 2], ' ') AS seed FROM (SELECT doc_id, t, unnest(range(1, len(t) - 1)) AS i FROM w WHERE len(t) >= 16)),
+    linked AS (SELECT doc_id, pos, MIN(pos) OVER (PARTITION BY doc_id, seed ORDER BY pos RANGE BETWEEN 8 FOLLOWING AND UNBOUNDED FOLLOWING) - pos AS d FROM g),
+    islands AS (SELECT doc_id, d, pos, pos - row_number() OVER (PARTITION BY doc_id, d ORDER BY pos) AS island FROM linked WHERE d IS NOT NULL)
+    SELECT doc_id, CAST(d AS INTEGER) AS "offset", CAST(MIN(pos) AS INTEGER) AS start, CAST(COUNT(*) + 2 AS INTEGER) AS words FROM islands GROUP BY doc_id, d, island""",
+)
+def section_runs(spark, sf):
+    return sections.section_runs(_section_words(spark, sf), "doc_id", "tokens").drop("n")
+
+
+@PLANS.add("txt_09_repeated_sections")
+def repeated_sections(spark, sf):
+    return sections.section_repetition(_section_words(spark, sf), "doc_id", "tokens")
+
+
 @PLANS.add("txt_07_all_features")
 def all_features(spark, sf):
     out = X.lyric_features(documents(spark, sf), "text", "title", "language")
