@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.ml.evaluation import RegressionEvaluator
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chartspark import scale
 from chartspark.functions.clean import clip
 from chartspark.functions.score import SCORE_DOMAIN, heuristic_scores
 from chartspark.operators import design, order
@@ -33,21 +39,108 @@ def group_folds(df: DataFrame, key: str, folds: int, seed: int, out: str = "fold
     return df.withColumn(out, F.pmod(design.seeded_hash(key, seed), F.lit(folds)).cast("int"))
 
 
-def fit_forest(
-    train: DataFrame, names: list[str], target: str, key: str, grid: dict[str, list[int]] | None = None, folds: int = 5, seed: int = 42,
-) -> RandomForestRegressionModel:
-    """Forest with the grid's best setting by group cross-validated MAE."""
-    rows = VectorAssembler(inputCols=names, outputCol="features").transform(group_folds(train, key, folds, seed))
-    grid = grid or {"maxDepth": [5, 8], "numTrees": [50]}
-    forest = RandomForestRegressor(labelCol=target, featuresCol="features", seed=seed, maxBins=32)
-    params = ParamGridBuilder()
-    for name, values in grid.items():
-        params = params.addGrid(forest.getParam(name), values)
-    judge = RegressionEvaluator(labelCol=target, metricName="mae")
-    search = CrossValidator(
-        estimator=forest, estimatorParamMaps=params.build(), evaluator=judge, numFolds=folds, foldCol="fold", parallelism=2,
-    )
-    return search.fit(rows).bestModel
+@dataclass(frozen=True)
+class Grid:
+    """Settings of the search, all combined."""
+
+    depths: tuple[int, ...] = (6, 8, 10)
+    leaves: tuple[int, ...] = (2, 5)
+    trees: int = 150
+    folds: int = 5
+    bins: int = 32
+
+
+@dataclass
+class Search:
+    """Mean absolute error of every (max_depth, min_leaf, fold), the best setting and its forest on all rows."""
+
+    scores: list[tuple[int, int, int, float]]
+    max_depth: int
+    min_leaf: int
+    model: RandomForestRegressionModel
+
+
+class NodeTable:
+    """The nodes of a forest as arrays, for predictions at several depth limits in one descent.
+
+    A tree grown level by level on all features is, cut at a depth, the tree grown with that limit, since every inner node keeps its
+    own prediction. Its size is bounded by trees and depth, whatever the number of rows.
+    """
+
+    def __init__(self, model: RandomForestRegressionModel) -> None:
+        spark = SparkSession.active()
+        folder = f"{scale.shared_folder(spark)}/forest-{uuid.uuid4().hex}"
+        model.write().save(folder)
+        split = F.col("nodeData.split")
+        found = spark.read.parquet(f"{folder}/data").select(
+            F.col("treeID").alias("tree"), F.col("nodeData.id").alias("id"), "nodeData.prediction", F.col("nodeData.leftChild").alias("left"),
+            F.col("nodeData.rightChild").alias("right"), split["featureIndex"].alias("feature"), F.coalesce(F.get(split["leftCategoriesOrThreshold"], F.lit(0)), F.lit(0.0)).alias("threshold"),
+        ).toArrow().sort_by([("tree", "ascending"), ("id", "ascending")])
+        column = {n: found.column(n).to_numpy() for n in found.column_names}
+        self.roots = np.flatnonzero(column["id"] == 0)
+        base = self.roots[column["tree"]]
+        leaf, own = column["left"] < 0, np.arange(len(base))
+        self.left, self.right = (np.where(leaf, own, base + column[side]) for side in ("left", "right"))
+        self.feature, self.threshold, self.prediction = np.maximum(column["feature"], 0), column["threshold"], column["prediction"]
+
+    def predict(self, x: np.ndarray, depths: tuple[int, ...]) -> np.ndarray:
+        """A row of x gives a prediction for each depth limit."""
+        at = np.broadcast_to(self.roots, (len(x), len(self.roots))).copy()
+        rows, out = np.arange(len(x))[:, None], {}
+        for depth in range(max(depths) + 1):
+            if depth in depths:
+                out[depth] = self.prediction[at].mean(axis=1)
+            at = np.where(x[rows, self.feature[at]] <= self.threshold[at], self.left[at], self.right[at])
+        return np.stack([out[d] for d in depths], axis=1)
+
+
+def depth_errors(model: RandomForestRegressionModel, rows: DataFrame, names: list[str], target: str, depths: tuple[int, ...]) -> list[float]:
+    """Mean absolute error of the forest cut at each depth."""
+    spark = rows.sparkSession
+    sent = spark.sparkContext.broadcast(NodeTable(model))
+
+    def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))], axis=1)
+                off = np.abs(sent.value.predict(x, depths) - batch.column(len(names)).to_numpy(zero_copy_only=False)[:, None]).sum(axis=0)
+                yield pa.record_batch([pa.array(np.arange(len(depths))), pa.array(off), pa.array([batch.num_rows] * len(depths))], names=["place", "off", "n"])
+
+    columns = rows.select(*[F.col(n).cast("double") for n in (*names, target)])
+    sums = columns.mapInArrow(errors, "place long, off double, n long").groupBy("place").agg((F.sum("off") / F.sum("n")).alias("mae"))
+    return [r["mae"] for r in sums.orderBy("place").collect()]
+
+
+def search_forest(train: DataFrame, names: list[str], target: str, key: str, grid: Grid = Grid(), seed: int = 42) -> Search:
+    """Group cross-validated search over depth and leaf size, then the best setting on all rows.
+
+    Rows are written once; a fold is a filter on them, so a group is never on both sides. Each fold and leaf size grows one forest
+    to the largest depth, and all depths are scored from its nodes. Equal errors: the smaller depth, then the smaller leaf. A
+    fold without rows on one side is left out.
+    """
+    # few rows come together in few partitions, as each partition adds up the statistics of all open nodes
+    folded = group_folds(train.select(key, target, *names), key, grid.folds, seed).repartition(key).sortWithinPartitions(key, target, *names)
+    rows = scale.cut_lineage(VectorAssembler(inputCols=names, outputCol="features").transform(folded))
+
+    def grown(part: DataFrame, depth: int, leaf: int) -> RandomForestRegressionModel:
+        return RandomForestRegressor(
+            labelCol=target, featuresCol="features", seed=seed, maxBins=grid.bins, maxDepth=depth, numTrees=grid.trees, minInstancesPerNode=leaf, featureSubsetStrategy="all",
+        ).fit(part)
+
+    sizes = {r["fold"]: r["count"] for r in rows.groupBy("fold").count().collect()}
+    folds = [f for f in sorted(sizes) if len(sizes) > 1]
+
+    def judged(cell: tuple[int, int]) -> list[tuple[int, int, int, float]]:
+        leaf, fold = cell
+        model = grown(rows.where(F.col("fold") != fold), max(grid.depths), leaf)
+        found = depth_errors(model, rows.where(F.col("fold") == fold), names, target, grid.depths)
+        return [(depth, leaf, fold, mae) for depth, mae in zip(grid.depths, found)]
+
+    with ThreadPool(4) as pool:  # jobs of small steps, side by side
+        scores = sorted(x for part in pool.map(judged, [(leaf, fold) for leaf in grid.leaves for fold in folds]) for x in part)
+    mean = {(d, m): np.mean([e for a, b, _, e in scores if (a, b) == (d, m)]) if folds else 0.0 for d in grid.depths for m in grid.leaves}
+    depth, leaf = min(mean, key=lambda s: (mean[s], s))
+    return Search(scores, depth, leaf, grown(rows, depth, leaf))
 
 
 def predict_forest(model: RandomForestRegressionModel, df: DataFrame, names: list[str], out: str) -> DataFrame:
@@ -101,13 +194,14 @@ def dual_scores(
     rows = df.withColumns({**fills, spec.mode: F.coalesce(F.col(spec.mode).cast("string"), F.lit("major"))})
     base, saturated = heuristic_scores(F.col(spec.market), F.col("energy"), F.col("spectral_centroid"), F.col("repetition_ratio"))
     rows = rows.withColumns({"_h1": base, "_h2": saturated})
-    features, names = forest_features(rows, spec, medians, [*keep, "_h1", "_h2"])
+    # one row stays one row: both models' columns are made side by side, the forest's in a struct
+    paired, names = forest_features(rows.select(F.struct("*").alias("_row"), "*"), spec, medians, ["_row"])
+    paired = paired.select("_row.*", F.struct(*names).alias("_forest"))
     if linear is not None:
-        designed = design.design_matrix(rows, spec, scaler, [*keep, spec.market] if spec.market not in keep else list(keep))
-        scored = designed.select(*keep, prediction(linear.columns, linear.beta).alias("_ols"))
-        features = features.join(scored, keep)
+        paired = design.design_matrix(paired, spec, scaler, [*keep, "_h1", "_h2", "_forest"]).withColumn("_ols", prediction(linear.columns, linear.beta))
     else:
-        features = features.withColumn("_ols", F.lit(None).cast("double"))
+        paired = paired.withColumn("_ols", F.lit(None).cast("double"))
+    features = paired.select(*keep, "_h1", "_h2", "_ols", *[F.col(f"_forest.{n}").alias(n) for n in names if n not in keep])
     rated = predict_forest(forest, features, names, "_rf") if forest is not None else features.withColumn("_rf", F.lit(None).cast("double"))
 
     def usable(c: str) -> Column:

@@ -180,3 +180,38 @@ def test_separated_logistic_fit_says_so(spark):
     df = spark.createDataFrame([(i, float(i), float(i > 9)) for i in range(20)], "c int, x double, y double")
     with pytest.raises(ValueError, match="converge"):
         linear.fit_logistic(df, "y", ["x"], "c")
+
+
+def test_a_deep_forest_cut_at_a_depth_is_the_forest_of_that_depth(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    from chartspark.operators import forest
+
+    rng = np.random.default_rng(0)
+    x = rng.random((300, 3))
+    y = np.sin(6 * x[:, 0]) + x[:, 1] ** 2
+    rows = spark.createDataFrame([(i % 40, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))], "g int, a double, b double, c double, y double").coalesce(1).cache()
+    names = ["a", "b", "c"]
+    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
+    fit = lambda depth: RandomForestRegressor(labelCol="y", seed=3, maxDepth=depth, numTrees=5, minInstancesPerNode=2, featureSubsetStrategy="all").fit(vectors)
+    nodes = forest.NodeTable(fit(6)).predict(x, (2, 4, 6))
+    for place, depth in enumerate((2, 4, 6)):
+        wanted = [r.prediction for r in fit(depth).transform(vectors).collect()]
+        np.testing.assert_allclose(nodes[:, place], wanted)
+    found = forest.search_forest(rows, names, "y", "g", forest.Grid(depths=(1, 4), leaves=(2, 150), trees=3, folds=3))
+    assert len(found.scores) == 12 and (found.max_depth, found.min_leaf) == (4, 2) and found.model.getNumTrees == 3
+    folds = {}
+    for r in forest.group_folds(rows, "g", 3, 42).collect():
+        assert folds.setdefault(r.g, r.fold) == r.fold
+
+
+def test_dual_scores_keep_repeated_and_null_keys(spark):
+    from chartspark.operators import forest
+
+    spec = design.FeatureSpec(audio=("energy", "spectral_centroid"), lyrics=("repetition_ratio", "word_count"), markets=("A", "B"), base="A")
+    kinds = "k int, " + ", ".join(f"{c} double" for c in spec.continuous) + f", {spec.mode} string, {spec.market} string"
+    rows = spark.createDataFrame([(k, *[float(k or 0)] * len(spec.continuous), "major", "A") for k in (1, 1, 1, None)], kinds)
+    fit = linear.LinearFit(spec.columns, np.ones(len(spec.columns)), None, None, None, 4, 0.0, 0.0)
+    found = forest.dual_scores(rows, spec, design.fit_scaler(rows, spec), dict.fromkeys(spec.continuous, 0.0), fit, None, ["k"]).collect()
+    assert sorted(str(r.k) for r in found) == ["1", "1", "1", "None"] and len({r.ols_prediction for r in found if r.k}) == 1
