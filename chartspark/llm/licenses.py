@@ -1,6 +1,7 @@
 """Licence recognition by sentences: known sentences get identifiers, ordered rules read sequences of identifiers.
 
-A text is cut into sentences. A sentence is lower-cased and all but ASCII letters and digits becomes single spaces; if the
+Comment signs before lines go first, and a copyright line becomes a paragraph end of its own, up to its first sentence mark that
+closes no initial or company sign. A text is cut into sentences. A sentence is lower-cased and all but ASCII letters and digits becomes single spaces; if the
 result is a known sentence, its identifier stands for it, otherwise its lines are tried on their own. Pieces of a known
 sentence that follow each other count as the sentence; list numbers and separators do not keep sentences apart. Rules are tried in
 their order on the sequence of identifiers; a rule's identifiers must follow each other directly, and what a rule has read
@@ -27,6 +28,11 @@ SENTENCES = {
     "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mit.liability",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc.grant",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd.grant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc.grant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc.warranty",
+    "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software": "isc.liability",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd.warranty",
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "bsd.liability",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd.source",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd.binary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd.endorse",
@@ -44,6 +50,8 @@ SENTENCES = {
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3.grant",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2.grant",
     "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl.warranty",
+    "see the gnu general public license for more details": "gpl.see",
+    "you should have received a copy of the gnu general public license along with this program": "gpl.copy",
     "licensed under the gnu lesser general public license version 3": "lgpl3.ref",
     "licensed under the gnu affero general public license version 3": "agpl3.ref",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl2.ref",
@@ -56,23 +64,35 @@ SENTENCES = {
     "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "ccbync4.ref",
     "licensed under cc0 1 0": "cc0.ref",
     "this is free and unencumbered software released into the public domain": "unlicense.grant",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense.use",
     "all rights reserved": "reserved",
 }
 
 # fixed values: rules in their order, each a licence and the identifiers that must follow each other
 RULES = (
     ("MIT", ("mit.title", "mit.grant", "mit.notice", "mit.warranty", "mit.liability")),
+    ("MIT", ("mit.title", "mit.grant", "mit.notice", "mit.warranty")),
+    ("MIT", ("mit.title", "mit.grant", "mit.notice")),
     ("MIT", ("mit.grant", "mit.notice", "mit.warranty", "mit.liability")),
     ("MIT", ("mit.grant", "mit.notice", "mit.warranty")),
     ("MIT", ("mit.grant", "mit.notice")),
+    ("BSD-3-Clause", ("reserved", "bsd.grant", "bsd.source", "bsd.binary", "bsd.endorse", "bsd.warranty", "bsd.liability")),
+    ("BSD-3-Clause", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.endorse", "bsd.warranty", "bsd.liability")),
     ("BSD-3-Clause", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.endorse")),
+    ("BSD-2-Clause", ("reserved", "bsd.grant", "bsd.source", "bsd.binary", "bsd.warranty", "bsd.liability")),
+    ("BSD-2-Clause", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.warranty", "bsd.liability")),
     ("BSD-2-Clause", ("bsd.grant", "bsd.source", "bsd.binary")),
+    ("ISC", ("isc.grant", "isc.warranty", "isc.liability")),
     ("ISC", ("isc.grant",)),
     ("Apache-2.0", ("apache2.ref", "apache2.comply", "apache2.copy", "apache2.basis", "apache2.see")),
     ("Apache-2.0", ("apache2.ref", "apache2.comply", "apache2.copy")),
     ("Apache-2.0", ("apache2.ref",)),
+    ("GPL-3.0-or-later", ("gpl3.grant", "gpl.warranty", "gpl.see", "gpl.copy")),
+    ("GPL-3.0-or-later", ("gpl3.grant", "gpl.warranty", "gpl.see")),
     ("GPL-3.0-or-later", ("gpl3.grant", "gpl.warranty")),
     ("GPL-3.0-or-later", ("gpl3.grant",)),
+    ("GPL-2.0-or-later", ("gpl2.grant", "gpl.warranty", "gpl.see", "gpl.copy")),
+    ("GPL-2.0-or-later", ("gpl2.grant", "gpl.warranty", "gpl.see")),
     ("GPL-2.0-or-later", ("gpl2.grant", "gpl.warranty")),
     ("GPL-2.0-or-later", ("gpl2.grant",)),
     ("GPL-3.0", ("gpl3.ref",)),
@@ -89,24 +109,55 @@ RULES = (
     ("CC-BY-ND-4.0", ("ccbynd4.ref",)),
     ("CC-BY-4.0", ("ccby4.ref",)),
     ("CC0-1.0", ("cc0.ref",)),
+    ("Unlicense", ("unlicense.grant", "unlicense.use")),
     ("Unlicense", ("unlicense.grant",)),
     ("Proprietary", ("reserved",)),
 )
 
 # fixed values: known sentences that official texts cut by ; : or v. into these pieces
-_FREE = "this program is free software"
-_TERMS = "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
-_LATER = {v: f"either version {v} of the license or at your option any later version" for v in (2, 3)}
 PIECES = (
-    *((f"gpl{v}.grant", cut) for v, later in _LATER.items() for cut in ((_FREE, _TERMS, later), (_FREE, f"{_TERMS} {later}"), (f"{_FREE} {_TERMS}", later))),
+    ("gpl2.grant", (
+        "this program is free software", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+        "either version 2 of the license or at your option any later version",
+    )),
+    ("gpl2.grant", (
+        "this program is free software",
+        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    )),
+    ("gpl2.grant", (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+        "either version 2 of the license or at your option any later version",
+    )),
+    ("gpl3.grant", (
+        "this program is free software", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+        "either version 3 of the license or at your option any later version",
+    )),
+    ("gpl3.grant", (
+        "this program is free software",
+        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    )),
+    ("gpl3.grant", (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+        "either version 3 of the license or at your option any later version",
+    )),
     ("gpl.warranty", ("this program is distributed in the hope that it will be useful but without any warranty", "without even the implied warranty of merchantability or fitness for a particular purpose")),
     ("mpl2.ref", ("this source code form is subject to the terms of the mozilla public license v", "2 0")),
+    ("bsd.liability", (
+        "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services",
+        "loss of use data or profits",
+        "or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    )),
 )
 
 #: Normalised parts that stand between sentences and do not keep them apart: nothing, list numbers, the address of the Apache licence.
 BETWEEN = r"^([0-9]*|https? www apache org licenses license 2 0( txt| html)?)$"
 #: Each known sentence holds one of these, so a text without any of them holds no known sentence.
 HINTS = ("license", "licensed", "permission", "permitted", "redistributions", "warranty", "liable", "rights", "software")
+#: Signs of comments before a line, and a copyright line up to its first sentence mark (not that of an initial or a company sign).
+COMMENT = r"(?m)^[\x20\x09]*(#+|//+|/\*+|\*+/|\*+|--+|;+|%+|>+)[\x20\x09]*"
+COPYRIGHT = (
+    r"(?mi)^[\x20\x09]*(copyright[\x20\x09]*(\(c\)|\xA9)?|\(c\)|\xA9)[\x20\x09]*[0-9]{4}[^\n.;:!?]*(\b([a-z]|inc|ltd|corp|co)\.[^\n.;:!?]*){0,5}[.,]?"
+)
 SENTENCE_END = r"[.!?;:][^A-Za-z0-9\x20\x09-\x0D]*[\x20\x09-\x0D]+|\n[\x20\x09]*\n"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -123,6 +174,10 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(sentence, UPPER, LOWER), "[^a-z0-9]+", " "))
 
 
+def uncommented(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, COMMENT, ""), COPYRIGHT, "\n\n")
+
+
 def marks(text: Column, sentences: dict[str, str] = SENTENCES, pieces=PIECES) -> Column:
     """The text as a chain: [identifier] for a known sentence or line, <piece> for a piece of one, ~ for others, nothing for what BETWEEN has."""
     marked = {p: f"<{p}>" for _, cut in pieces for p in cut} | {s: f"[{name}]" for s, name in sentences.items()}
@@ -130,7 +185,7 @@ def marks(text: Column, sentences: dict[str, str] = SENTENCES, pieces=PIECES) ->
     known = lambda part: F.try_element_at(table, normalised(part))
     line = lambda part: F.coalesce(known(part), F.when(normalised(part).rlike(BETWEEN), "").otherwise("~"))
     lines = lambda part: F.transform(F.split(part, "\n"), line)
-    named = F.transform(F.split(text, SENTENCE_END), lambda s: F.when(known(s).isNotNull(), F.array(known(s))).otherwise(lines(s)))
+    named = F.transform(F.split(uncommented(text), SENTENCE_END), lambda s: F.when(known(s).isNotNull(), F.array(known(s))).otherwise(lines(s)))
     return F.array_join(F.flatten(named), "")
 
 
@@ -159,21 +214,29 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences:
 
 
 def scan_sql() -> str:
-    """The same in the other dialect, for comparison, but without PIECES and BETWEEN."""
+    """The same in the other dialect, for comparison."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    table = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in SENTENCES.items()) + "}"
+    marked = {p: f"<{p}>" for _, cut in PIECES for p in cut} | {sentence: f"[{name}]" for sentence, name in SENTENCES.items()}
+    table = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in marked.items()) + "}"
     norm = lambda x: f"trim(regexp_replace(translate({x}, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'))"
+    body = f"regexp_replace(regexp_replace(coalesce(text, ''), {quoted(COMMENT)}, '', 'g'), {quoted(COPYRIGHT)}, chr(10) || chr(10), 'g')"
+    whole = "chain"
+    for name, cut in PIECES:
+        whole = f"replace({whole}, '{''.join(f'<{p}>' for p in cut)}', '[{name}]')"
     read = "chain"
     for licence, parts in RULES:
         read = f"replace({read}, '{''.join(f'[{p}]' for p in parts)}', '{{{licence}}}')"
     return f"""
-WITH parts AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), {quoted(SENTENCE_END)})) AS s, generate_subscripts(string_split_regex(coalesce(text, ''), {quoted(SENTENCE_END)}), 1) AS i FROM documents),
-whole AS (SELECT doc_id, i, s, ({table})[{norm('s')}] AS name FROM parts),
-lines AS (SELECT doc_id, i, 0 AS j, name FROM whole WHERE name IS NOT NULL
-          UNION ALL SELECT doc_id, i, j, ({table})[{norm('l')}] FROM (SELECT doc_id, i, unnest(string_split(s, chr(10))) AS l, generate_subscripts(string_split(s, chr(10)), 1) AS j FROM whole WHERE name IS NULL)),
-chains AS (SELECT doc_id, string_agg(CASE WHEN name IS NULL THEN '~' ELSE '[' || name || ']' END, '' ORDER BY i, j) AS chain, string_agg(name, ',' ORDER BY i, j) AS names FROM lines GROUP BY doc_id),
-reads AS (SELECT doc_id, names, {read} AS r FROM chains)
-SELECT doc_id, coalesce(names, '') AS sentences, array_to_string(regexp_extract_all(r, '\\{{([^}}]*)\\}}', 1), ',') AS licenses,
+WITH parts AS (SELECT doc_id, unnest(string_split_regex(body, {quoted(SENTENCE_END)})) AS s, generate_subscripts(string_split_regex(body, {quoted(SENTENCE_END)}), 1) AS i
+               FROM (SELECT doc_id, {body} AS body FROM documents)),
+whole AS (SELECT doc_id, i, s, ({table})[{norm('s')}] AS mark FROM parts),
+lines AS (SELECT doc_id, i, 0 AS j, mark FROM whole WHERE mark IS NOT NULL
+          UNION ALL SELECT doc_id, i, j, coalesce(({table})[{norm('l')}], CASE WHEN regexp_matches({norm('l')}, {quoted(BETWEEN)}) THEN '' ELSE '~' END)
+                    FROM (SELECT doc_id, i, unnest(string_split(s, chr(10))) AS l, generate_subscripts(string_split(s, chr(10)), 1) AS j FROM whole WHERE mark IS NULL)),
+pieces AS (SELECT doc_id, string_agg(mark, '' ORDER BY i, j) AS chain FROM lines GROUP BY doc_id),
+chains AS (SELECT doc_id, regexp_replace({whole}, '<[^>]*>', '~', 'g') AS chain FROM pieces),
+reads AS (SELECT doc_id, chain, {read} AS r FROM chains)
+SELECT doc_id, array_to_string(regexp_extract_all(chain, '\\[([^\\]]*)\\]', 1), ',') AS sentences, array_to_string(regexp_extract_all(r, '\\{{([^}}]*)\\}}', 1), ',') AS licenses,
        array_to_string(regexp_extract_all(r, '\\[([^\\]]*)\\]', 1), ',') AS open_sentences
 FROM reads
 """

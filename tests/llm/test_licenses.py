@@ -22,14 +22,19 @@ copies or substantial portions of the Software.
 
 
 def plain(text):
-    """Identifiers, licences and open identifiers by ordinary code."""
+    """Identifiers, licences and open identifiers by ordinary code, for texts without pieces of sentences."""
     names = []
+    lines = []
+    for line in text.split("\n"):
+        line = re.sub(r"^[ \t]*(#+|//+|/\*+|\*+/|\*+|--+|;+|%+|>+)[ \t]*", "", line)
+        lines.append(re.sub(r"(?i)^[ \t]*copyright \(c\) [0-9]{4}[^.;:!?]*", "\n\n", line))
+    text = "\n".join(lines)
     norm = lambda s: re.sub("[^a-z0-9]+", " ", "".join(c.lower() if c.isascii() else c for c in s)).strip(" ")
     for sentence in re.split(licenses.SENTENCE_END, text):
         if norm(sentence) in licenses.SENTENCES:
             names.append(licenses.SENTENCES[norm(sentence)])
         else:
-            names += [licenses.SENTENCES.get(norm(line)) for line in sentence.split("\n")]
+            names += [licenses.SENTENCES.get(norm(line)) for line in sentence.split("\n") if not re.fullmatch("[0-9]*", norm(line))]
     read = "".join("~" if n is None else f"[{n}]" for n in names)
     for licence, parts in licenses.RULES:
         read = read.replace("".join(f"[{p}]" for p in parts), "{" + licence + "}")
@@ -55,7 +60,7 @@ def test_sentences_rules_and_edges(spark):
     texts = [MIT, apache, None, "", "no words of that kind", "All rights reserved. LICENSED under CC BY-NC 4.0.*** Released under the MIT License", "You may obtain a copy of the license at", "ab " * 200_000 + ". Licensed under CC BY 4.0.\n", MIT + "\n" + MIT]
     found = licenses.scan(R.clashing(R.documents(spark, texts))).orderBy("doc_id").collect()
     assert [(r.sentences, r.licenses, r.open) for r in found] == [plain(t or "") for t in texts]
-    assert found[0].licenses == ["MIT", "MIT"] and "mit.grant" in found[0].sentences
+    assert found[0].licenses == ["MIT"] and found[0].sentences == ["mit.title", "mit.grant", "mit.notice"]
     assert found[1].licenses == ["Apache-2.0"] and found[5].licenses == ["Proprietary", "CC-BY-NC-4.0", "MIT"] and found[6].open == ["apache2.copy"]
 
 
@@ -124,6 +129,77 @@ file, You can obtain one at https://mozilla.org/MPL/2.0/.
 def test_official_texts(spark):
     texts = [GPL.format(";", ";", 2), GPL.format(":", ",", 3), GPL.format(",", ";", 2), BSD, BSD + ENDORSE, APACHE, MPL, "This program is free software; licensed under it."]
     found = licenses.scan(R.documents(spark, texts)).orderBy("doc_id").collect()
-    gpl2, gpl3 = ["gpl2.grant", "gpl.warranty"], ["gpl3.grant", "gpl.warranty"]
+    gpl2, gpl3 = ["gpl2.grant", "gpl.warranty", "gpl.see"], ["gpl3.grant", "gpl.warranty", "gpl.see"]
     assert [r.licenses for r in found] == [["GPL-2.0-or-later"], ["GPL-3.0-or-later"], ["GPL-2.0-or-later"], ["BSD-2-Clause"], ["BSD-3-Clause"], ["Apache-2.0"], ["MPL-2.0"], []]
     assert [r.sentences for r in found[:3]] == [gpl2, gpl3, gpl2] and found[7].sentences == [] and not any(r.open for r in found)
+
+
+MIT_WHOLE = MIT + """
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+ISC = """Copyright 2020 J. Doe, Some Inc. and others
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
+OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE.
+"""
+BSD_END = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+RESERVED = BSD.replace("Some Body\n", "Some Body. All rights reserved.\n")
+#: How an official text stands in files.
+FORMS = {
+    "as it is": lambda t: t, "hash": lambda t: "".join(f"# {x}".rstrip() + "\n" for x in t.splitlines()), "slashes": lambda t: "".join(f"// {x}\n" for x in t.splitlines()),
+    "block": lambda t: "/*\n" + "".join(f" * {x}\n" for x in t.splitlines()) + " */\nint main() {}\n", "one line a paragraph": lambda t: "\n\n".join(p.replace("\n", " ") for p in t.split("\n\n")),
+}
+OFFICIAL = {
+    "MIT": [MIT, MIT_WHOLE], "ISC": [ISC], "BSD-2-Clause": [BSD, BSD + BSD_END, RESERVED + BSD_END], "BSD-3-Clause": [BSD + ENDORSE, BSD + ENDORSE + BSD_END, RESERVED + ENDORSE + BSD_END],
+    "Apache-2.0": ["Copyright 2020 Some Body\n\n" + APACHE], "GPL-2.0-or-later": [GPL.format(";", ";", 2)], "GPL-3.0-or-later": [GPL.format(":", ",", 3)], "MPL-2.0": [MPL],
+}
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_official_texts_as_they_stand_in_files(spark, form):
+    cases = [(name, text) for name, texts in OFFICIAL.items() for text in texts]
+    found = licenses.scan(R.documents(spark, [FORMS[form](t) for _, t in cases])).orderBy("doc_id").collect()
+    assert [(r.licenses, r.open) for r in found] == [([name], []) for name, _ in cases]
+
+
+def test_claims_behind_a_copyright_line_stay(spark):
+    texts = ["Copyright 2020 IBM. Licensed under CC BY 4.0.\n", "Copyright laws apply. Licensed under CC BY 4.0.\n", "copyright 2020 " + "a b" * 500_000, "(c) 1999 A. B. C. Licensed under the MIT License\n"]
+    assert [r.licenses for r in licenses.scan(R.documents(spark, texts)).orderBy("doc_id").collect()] == [["CC-BY-4.0"], ["CC-BY-4.0"], [], ["MIT"]]
+
+
+def test_twin_on_official_texts(spark, tmp_path):
+    import duckdb
+
+    texts = [form(t) for ts in OFFICIAL.values() for t in ts for form in FORMS.values()] + [None, "", "x"]
+    docs = R.documents(spark, texts)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    mine = [tuple(r) for r in book.op1_license_sentences(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert mine == con.execute(licenses.scan_sql() + " ORDER BY doc_id").fetchall()
