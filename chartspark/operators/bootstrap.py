@@ -1,13 +1,22 @@
 """Cluster bootstrap of regression metrics from cluster sums.
 
-A replicate draws as many clusters as there are, with replacement. Each draw (replicate, slot) is a hash of its two numbers,
-so draws are rows that Spark makes where it needs them: they are counted per drawn place, map side first, and joined to the
-cluster sums. The result depends on the seed only, not on partitioning, and SQL can repeat it.
+A replicate draws as many clusters as there are, with replacement. Clusters are numbered in the order of their hashes and cut
+into blocks of neighbouring numbers. The draws of a replicate are split over the blocks by a tree of binomial halvings whose
+uniforms are hashes of (replicate, node), so the task of a block finds its share of every replicate without seeing the others.
+Within the block a counter generator places the draws, and one matrix product turns counts into replicate sums. No draw is
+ever a row; one vector per replicate and block leaves a task, added up map side. Results depend on the seed and the block
+length only, not on partitioning, and SQL can repeat them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,6 +24,11 @@ from chartspark import scale
 from chartspark.operators import order
 from chartspark.operators.design import seeded_hash
 
+BLOCK = 1024  # clusters a block: 1,000 replicates of counts take 8 MB
+DRAW_CHUNK = 1 << 20  # draws placed at once
+# Increment and multipliers of the SplitMix64 generator.
+STEP, FIRST_MIX, SECOND_MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
 DOMAIN = (-99.0, 100.0)
 
 
@@ -54,51 +68,112 @@ def base_metrics(df: DataFrame, y: str, prediction: str, scope: str | None = Non
 
 
 def cluster_places(sums: DataFrame, cluster: str, scope: str, seed: int) -> DataFrame:
-    """(scope, cluster, place): the clusters of each scope numbered from 0 in the order of their hashes."""
+    """(scope, cluster, place, size): the clusters of each scope numbered from 0 in the order of their hashes, and their number."""
     own = sums.select(F.col(scope).alias("scope"), F.col(cluster).alias("_cluster")).distinct().withColumn("_h", seeded_hash("_cluster", seed))
-    starts = order.counted_positions(own, ["scope"], "_h").select("scope", "_h", "start")
+    starts = order.counted_positions(own, ["scope"], "_h").select("scope", "_h", "start", F.col("total").alias("size"))
     tie = F.row_number().over(W.partitionBy("scope", "_h").orderBy("_cluster")) - 1
-    return own.withColumn("_tie", tie).join(starts, ["scope", "_h"]).select("scope", F.col("_cluster").alias(cluster), (F.col("start") + F.col("_tie")).alias("place"))
-
-
-def draws(spark: SparkSession, sizes: dict[str, int], replicates: int, seed: int) -> DataFrame:
-    """(scope, replicate, place, times) of size draws from size places for each scope and replicate."""
-    parts = None
-    for scope, size in sorted(sizes.items()):
-        rows = spark.range(replicates * size).select(F.lit(scope).alias("scope"), F.floor(F.col("id") / size).alias("replicate"), (F.col("id") % size).alias("slot"))
-        digest = F.md5(F.concat_ws("|", "replicate", "slot", "scope", F.lit(str(seed))))
-        part = rows.select("scope", "replicate", (F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % size).alias("place"))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.groupBy("scope", "replicate", "place").agg(F.count(F.lit(1)).alias("times"))
+    numbered = own.withColumn("_tie", tie).join(starts, ["scope", "_h"])
+    return numbered.select("scope", F.col("_cluster").alias(cluster), (F.col("start") + F.col("_tie")).alias("place"), "size")
+
+
+def node_hash(replicate: int, scope: str, low: int, high: int, seed: int) -> int:
+    """60 bits for the node of blocks [low, high) in a replicate."""
+    return int(hashlib.md5(f"{replicate}|{scope}|{low}|{high}|{seed}".encode()).hexdigest()[:15], 16)
+
+
+def binomial_quantile(u: np.ndarray, n: int, p: float) -> np.ndarray:
+    """Smallest k with P(X <= k) > u of a binomial X; probabilities beyond 14 deviations (under 1e-40) are left out."""
+    if n == 0:
+        return np.zeros(len(u), dtype=np.int64)
+    reach = 14 * math.sqrt(n * p * (1 - p)) + 20
+    low, high = max(0, int(n * p - reach)), min(n, int(n * p + reach))
+    log_first = math.lgamma(n + 1) - math.lgamma(low + 1) - math.lgamma(n - low + 1) + low * math.log(p) + (n - low) * math.log1p(-p)
+    k = np.arange(low, high)
+    log_steps = np.log((n - k) / (k + 1)) + (math.log(p) - math.log1p(-p))
+    below = np.cumsum(np.exp(log_first + np.concatenate([[0.0], np.cumsum(log_steps)])))
+    return low + np.minimum(np.searchsorted(below, u, side="right"), high - low)
+
+
+def block_draws(scope: str, block: int, size: int, replicates: int, seed: int, length: int) -> np.ndarray:
+    """Draws of each replicate that fall into a block: the path of binomial halvings from all blocks down to it."""
+    low, high = 0, -(-size // length)
+    n = np.full(replicates, size, dtype=np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        left, both = min(middle * length, size) - low * length, min(high * length, size) - low * length
+        u = np.array([node_hash(r, scope, low, high, seed) / 2.0**60 for r in range(replicates)])
+        taken = np.empty_like(n)
+        for value in np.unique(n):
+            at = n == value
+            taken[at] = binomial_quantile(u[at], int(value), left / both)
+        if block < middle:
+            n, high = taken, middle
+        else:
+            n, low = n - taken, middle
+    return n
+
+
+def block_counts(scope: str, block: int, size: int, replicates: int, seed: int, length: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first replicate, counts of replicate x place in the block), some replicates at a time."""
+    n = block_draws(scope, block, size, replicates, seed, length)
+    places = min(length, size - block * length)
+    keys = np.array([node_hash(r, scope, block, block + 1, seed) for r in range(replicates)], dtype=np.uint64)
+    rows = max(1, DRAW_CHUNK // length)
+    for first in range(0, replicates, rows):
+        part = n[first : first + rows]
+        owner = np.repeat(np.arange(len(part)), part)
+        slot = np.arange(len(owner)) - np.repeat(np.cumsum(part) - part, part)
+        z = keys[first : first + rows][owner] + (slot + 1).astype(np.uint64) * np.uint64(STEP)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(FIRST_MIX)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(SECOND_MIX)
+        z ^= z >> np.uint64(31)
+        place = ((z >> np.uint64(32)) * np.uint64(places)) >> np.uint64(32)
+        counts = np.bincount(owner * places + place.astype(np.int64), minlength=len(part) * places)
+        yield first, counts.reshape(len(part), places)
 
 
 def replicate_sums(
-    sums: DataFrame, cluster: str, columns: list[str], replicates: int, seed: int, scope: str, draw_scope: str | None = None
+    sums: DataFrame, cluster: str, columns: list[str], replicates: int, seed: int, scope: str, draw_scope: str | None = None,
+    block: int = BLOCK,
 ) -> DataFrame:
     """(replicate, scope, summed columns) of the drawn clusters.
 
-    Each scope draws from its own clusters; with draw_scope, one draw of that name from all clusters serves all scopes.
+    Each scope draws from its own clusters; with draw_scope, one draw of that name from all clusters serves all scopes. A task
+    holds one block: at most `block` clusters times the scopes they occur in.
     """
-    spark = sums.sparkSession
-    sums = scale.cut_lineage(sums.withColumn("_draw", F.lit(draw_scope) if draw_scope else F.col(scope).cast("string")))
-    places = scale.cut_lineage(cluster_places(sums, cluster, "_draw", seed))
-    sizes = {r["scope"]: r["n"] for r in places.groupBy("scope").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a scope
-    if not sizes:
-        return sums.select(F.lit(0).alias("replicate"), F.col(scope).alias("scope"), *columns)
-    drawn = draws(spark, sizes, replicates, seed).join(places, ["scope", "place"]).withColumnRenamed("scope", "_draw")
-    rows = drawn.join(sums.select("_draw", cluster, F.col(scope).alias("scope"), *columns), ["_draw", cluster])
-    return rows.groupBy("replicate", "scope").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in columns])
+    sums = scale.cut_lineage(sums.select(cluster, F.col(scope).alias("scope"), *columns).withColumn("_draw", F.lit(draw_scope) if draw_scope else F.col("scope").cast("string")))
+    places = cluster_places(sums, cluster, "_draw", seed).withColumnRenamed("scope", "_draw")
+    rows = sums.join(places, ["_draw", cluster]).withColumn("_block", F.floor(F.col("place") / block))
+
+    def drawn(group: pd.DataFrame) -> pd.DataFrame:
+        name, number, size = str(group["_draw"].iloc[0]), int(group["_block"].iloc[0]), int(group["size"].iloc[0])
+        place = (group["place"] - number * block).to_numpy()
+        scopes, owner = np.unique(group["scope"].to_numpy(), return_inverse=True)
+        out = {(i, c): np.zeros(replicates) for i in range(len(scopes)) for c in columns}
+        values = group[columns].to_numpy(dtype=float)
+        for first, counts in block_counts(name, number, size, replicates, seed, block):
+            for i in range(len(scopes)):
+                own = owner == i
+                found = counts[:, place[own]] @ values[own]
+                for j, c in enumerate(columns):
+                    out[i, c][first : first + len(found)] = found[:, j]
+        parts = [pd.DataFrame({"replicate": np.arange(replicates), "scope": s, **{c: out[i, c] for c in columns}}) for i, s in enumerate(scopes)]
+        return pd.concat(parts)
+
+    schema = f"replicate bigint, scope {sums.schema['scope'].dataType.simpleString()}, " + ", ".join(f"`{c}` double" for c in columns)
+    slim = scale.spread_for_cpu(rows.where("_draw is not null"), "_draw", "_block")
+    return slim.groupBy("_draw", "_block").applyInPandas(drawn, schema).groupBy("replicate", "scope").agg(*[F.sum(c).alias(c) for c in columns])
 
 
 def bootstrap_metrics(
     df: DataFrame, cluster: str, y: str, prediction: str, scope: str | None = None, replicates: int = 1000, seed: int = 43,
-    alpha: float = 0.05, overall: str = "Overall",
+    alpha: float = 0.05, overall: str = "Overall", block: int = BLOCK,
 ) -> DataFrame:
     """Percentile intervals of R2, MAE and RMSE, overall and per scope, each scope with its own draws."""
     rows = df.withColumn("_part", F.explode(F.array(F.lit(overall), F.col(scope).cast("string"))) if scope else F.lit(overall))
     sums = cluster_sums(rows, cluster, "_part", y, [prediction])
     columns = ["n", "sy", "syy", f"{prediction}_se2", f"{prediction}_abs"]
-    drawn = scale.cut_lineage(replicate_sums(sums, cluster, columns, replicates, seed, "_scope"))
+    drawn = scale.cut_lineage(replicate_sums(sums, cluster, columns, replicates, seed, "_scope", None, block))
     metrics = drawn.select("scope", "replicate", *[c.alias(name) for name, c in metric_columns(prediction).items()])
     long = order.unpivot(metrics, ["scope"], ["r2", "mae", "rmse"], "metric")
     return order.exact_quantiles(long, ["scope", "metric"], "value", [alpha / 2, 1 - alpha / 2], ["ci_low", "ci_high"])
@@ -106,7 +181,7 @@ def bootstrap_metrics(
 
 def paired_differences(
     df: DataFrame, cluster: str, scope: str, y: str, base: str, others: list[str], replicates: int = 1000, seed: int = 43,
-    alpha: float = 0.05, overall: str = "Overall",
+    alpha: float = 0.05, overall: str = "Overall", block: int = BLOCK,
 ) -> DataFrame:
     """Difference of each model to the base on the same draws: estimate interval and share of replicates in which it is better.
 
@@ -115,7 +190,7 @@ def paired_differences(
     models = [base, *others]
     sums = cluster_sums(df, cluster, scope, y, models)
     columns = ["n", "sy", "syy", *[f"{m}_{s}" for m in models for s in ("se2", "abs")]]
-    drawn = scale.cut_lineage(replicate_sums(sums, cluster, columns, replicates, seed, "_scope", overall))
+    drawn = scale.cut_lineage(replicate_sums(sums, cluster, columns, replicates, seed, "_scope", overall, block))
     both = drawn.withColumn("scope", F.explode(F.array(F.col("scope"), F.lit(overall))))
     summed = both.groupBy("replicate", "scope").agg(*[F.sum(c).alias(c) for c in columns]).where("n > 0")
     reference = metric_columns(base)

@@ -242,15 +242,42 @@ def metrics(spark, sf):
     return out.select("scope", "n", *[F.round(c, 6).alias(c) for c in ("r2", "mae", "rmse")], "out_of_domain")
 
 
+BLOCK = 512  # clusters a block, so that the small tables are cut into several
+LEVELS = 7  # halvings that the SQL spells out, enough for 65,536 clusters
+
+
+def _hash_sql(parts: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('|', {parts}, '43')), 1, 15) AS BIGINT)"
+
+
+def _halving_sql(i: int) -> str:
+    """One level of the tree of binomial halvings: t{i} to t{i + 1}; nodes of one block pass unchanged."""
+    return f"""s{i} AS (SELECT *, (lo + hi) // 2 AS mid, least((lo + hi) // 2 * {BLOCK}, size) - lo * {BLOCK} AS a, least(hi * {BLOCK}, size) - lo * {BLOCK} AS b,
+      {_hash_sql("r, draw, lo, hi")} / 1152921504606846976.0 AS u FROM t{i} WHERE hi - lo > 1),
+    p{i} AS (SELECT n, a, b, unnest(range(greatest(0, CAST(floor(n * a / b - 14 * sqrt(n * a / b * (1 - a / b)) - 20) AS BIGINT)),
+      least(n, CAST(floor(n * a / b + 14 * sqrt(n * a / b * (1 - a / b)) + 20) AS BIGINT)) + 1)) AS k FROM (SELECT DISTINCT n, a, b FROM s{i})),
+    c{i} AS (SELECT n, a, b, k, SUM(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(a / b) + (n - k) * ln(1 - a / b))) OVER (PARTITION BY n, a, b ORDER BY k) AS below FROM p{i}),
+    h{i} AS (SELECT s.draw, s.r, s.size, s.lo, s.mid, s.hi, s.n, c.k FROM s{i} s ASOF JOIN c{i} c ON c.n = s.n AND c.a = s.a AND c.b = s.b AND s.u < c.below),
+    t{i + 1} AS (SELECT * FROM t{i} WHERE hi - lo <= 1 UNION ALL SELECT draw, r, size, lo, mid, k FROM h{i} UNION ALL SELECT draw, r, size, mid, hi, n - k FROM h{i})"""
+
+
+def _mixed_sql(z: str, shift: int, factor: int) -> str:
+    return f"CAST((CAST(xor({z}, {z} >> {shift}) AS UHUGEINT) * {factor}::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT)"
+
+
 def _draws_sql(scoped: str, draw: str) -> str:
     """Cluster sums of table scoped and 1,000 replicates over the clusters of each draw."""
     return f"""sums AS (SELECT {draw} AS draw, scope, track, COUNT(*) AS n, SUM(y) AS sy, SUM(y * y) AS syy, SUM((y - a) ** 2) AS a2, SUM(abs(y - a)) AS a1,
       SUM((y - b) ** 2) AS b2, SUM(abs(y - b)) AS b1 FROM {scoped} GROUP BY 1, 2, 3),
     places AS (SELECT draw, track, row_number() OVER (PARTITION BY draw ORDER BY substr(md5(CAST(track AS VARCHAR) || '|43'), 1, 15)) - 1 AS place
       FROM (SELECT DISTINCT draw, track FROM sums)),
-    sizes AS (SELECT draw, COUNT(*) AS size FROM places GROUP BY 1),
-    slots AS (SELECT draw, size, r.r, unnest(range(size)) AS slot FROM sizes, range(1000) r(r)),
-    drawn AS (SELECT draw, r, CAST('0x' || substr(md5(r || '|' || slot || '|' || draw || '|43'), 1, 15) AS BIGINT) % size AS place FROM slots),
+    t0 AS (SELECT draw, r, size, 0::BIGINT AS lo, (size + {BLOCK - 1}) // {BLOCK} AS hi, size AS n FROM (SELECT draw, COUNT(*) AS size FROM places GROUP BY 1), range(1000) v(r)),
+    {", ".join(_halving_sql(i) for i in range(LEVELS))},
+    slots AS (SELECT draw, r, lo, least({BLOCK}, size - lo * {BLOCK}) AS m, {_hash_sql("r, draw, lo, hi")} AS key, unnest(range(n)) AS slot FROM t{LEVELS}),
+    z0 AS (SELECT draw, r, lo, m, CAST((CAST(key AS UHUGEINT) + CAST(slot + 1 AS UHUGEINT) * {bootstrap.STEP}::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT) AS z FROM slots),
+    z1 AS (SELECT draw, r, lo, m, {_mixed_sql("z", 30, bootstrap.FIRST_MIX)} AS z FROM z0),
+    z2 AS (SELECT draw, r, lo, m, {_mixed_sql("z", 27, bootstrap.SECOND_MIX)} AS z FROM z1),
+    drawn AS (SELECT draw, r, lo * {BLOCK} + CAST(((xor(z, z >> 31) >> 32) * CAST(m AS UBIGINT)) >> 32 AS BIGINT) AS place FROM z2),
     times AS (SELECT draw, r, place, COUNT(*) AS k FROM drawn GROUP BY 1, 2, 3),
     reps AS (SELECT r, scope, SUM(k * n) AS n, SUM(k * sy) AS sy, SUM(k * syy) AS syy, SUM(k * a2) AS a2, SUM(k * a1) AS a1, SUM(k * b2) AS b2, SUM(k * b1) AS b1
       FROM times JOIN places USING (draw, place) JOIN sums USING (draw, track) GROUP BY 1, 2)"""
@@ -263,7 +290,7 @@ def _draws_sql(scoped: str, draw: str) -> str:
     SELECT scope, metric, round(quantile_cont(value, 0.025), 6) AS ci_low, round(quantile_cont(value, 0.975), 6) AS ci_high FROM long GROUP BY 1, 2""",
 )
 def bootstrap_intervals(spark, sf):
-    out = bootstrap.bootstrap_metrics(predictions(spark, sf), "track", "y", "a", "market")
+    out = bootstrap.bootstrap_metrics(predictions(spark, sf), "track", "y", "a", "market", block=BLOCK)
     return out.select("scope", "metric", *[F.round(c, 6).alias(c) for c in ("ci_low", "ci_high")])
 
 
@@ -276,7 +303,7 @@ def bootstrap_intervals(spark, sf):
     round(quantile_cont(delta, 0.025), 6) AS ci_low, round(quantile_cont(delta, 0.975), 6) AS ci_high FROM long GROUP BY 1, 2, 3""",
 )
 def paired_bootstrap(spark, sf):
-    out = bootstrap.paired_differences(predictions(spark, sf), "track", "market", "y", "a", ["b"])
+    out = bootstrap.paired_differences(predictions(spark, sf), "track", "market", "y", "a", ["b"], block=BLOCK)
     return out.select("scope", "model", "metric", F.round("mean_delta", 6).alias("mean_delta"), F.round("pct_better", 4).alias("pct_better"), *[F.round(c, 6).alias(c) for c in ("ci_low", "ci_high")])
 
 

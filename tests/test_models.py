@@ -122,6 +122,38 @@ def test_draws_use_every_cluster_count(spark):
     assert means.mean() == pytest.approx(y.mean(), abs=0.08) and means.std() == pytest.approx(y.std() / 10, rel=0.25)
 
 
+@pytest.mark.parametrize("n, p", [(0, 0.3), (1, 0.5), (7, 0.25), (60, 0.9)])
+def test_binomial_quantiles(n, p):
+    below = np.cumsum([math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)])
+    u = (np.arange(997) + 0.5) / 997
+    assert bootstrap.binomial_quantile(u, n, p).tolist() == np.searchsorted(below, u, side="right").tolist()
+
+
+def test_blocks_share_out_every_draw():
+    size, length, replicates = 1030, 100, 300
+    blocks = range(-(-size // length))
+    shares = np.array([bootstrap.block_draws("s", b, size, replicates, 5, length) for b in blocks])
+    assert (shares.sum(axis=0) == size).all()
+    assert shares.mean(axis=1) == pytest.approx([100.0] * 10 + [30.0], rel=0.06)
+    assert shares[0].std() == pytest.approx((size * 0.1 * 0.9) ** 0.5, rel=0.3)
+    counts = np.concatenate([np.concatenate([c for _, c in bootstrap.block_counts("s", b, size, replicates, 5, length)]) for b in blocks], axis=1)
+    assert counts.shape == (replicates, size) and (counts.sum(axis=1) == size).all()
+    # one cluster's count is binomial with mean 1 and variance 1 - 1 / size; different clusters repel each other a little
+    assert counts.mean() == 1 and counts.var() == pytest.approx(1, rel=0.02)
+    assert len({tuple(row) for row in counts}) == replicates
+
+
+def test_sums_of_several_blocks(spark):
+    df = spark.createDataFrame([(i % 90, "s%d" % (i % 3), float(i % 4), float(i % 7)) for i in range(900)], "c int, m string, y double, a double")
+    sums = bootstrap.cluster_sums(df, "c", "m", "y", ["a"])
+    wide = bootstrap.replicate_sums(sums, "c", ["n", "sy"], 50, 3, "_scope", "Overall", block=16)
+    again = bootstrap.replicate_sums(sums.repartition(5, "n"), "c", ["n", "sy"], 50, 3, "_scope", "Overall", block=16)
+    got = {(r["replicate"], r["scope"]): (r["n"], r["sy"]) for r in wide.collect()}
+    assert got == {(r["replicate"], r["scope"]): (r["n"], r["sy"]) for r in again.collect()}
+    # clusters hold the rows of one scope, so the overall number of drawn rows is fixed, that of a scope is not
+    assert all(sum(got.get((r, s), (0, 0))[0] for s in ("s0", "s1", "s2")) == 900 for r in range(50))
+
+
 def test_empty_bootstrap(spark):
     df = spark.createDataFrame([], "c int, m string, y double, a double")
     assert bootstrap.bootstrap_metrics(df, "c", "y", "a", "m", replicates=5).collect() == []
