@@ -291,37 +291,17 @@ def latin_count(text: Column) -> Column:
     return class_count(text, "A-Za-zÀ-ÖØ-öø-ÿ")
 
 
-def fit_word_profile(df: DataFrame, text: str, language: str, top: int = 150) -> dict[str, list[str]]:
-    """Most frequent words of each language that are frequent in no other; at most `top` per language.
-
-    Counting is distributed; the driver sees top * languages words.
-    """
-    from chartspark.operators.chart import top_positions
-
-    rows = scale.enough_partitions(df.select(language, text))
-    words = rows.select(F.col(language).alias("language"), F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word"))
-    counts = words.where(F.length("word") > 0).groupBy("language", "word").agg(F.count(F.lit(1)).alias("n"))
-    best = top_positions(counts, ["language"], [F.desc("n"), F.asc("word")], top, out="place")
-    shared = best.groupBy("word").agg(F.min("language").alias("language"), F.count(F.lit(1)).alias("k")).where("k = 1")
-    profile: dict[str, list[str]] = {}
-    for row in shared.orderBy("language", "word").collect():
-        profile.setdefault(row["language"], []).append(row["word"])
-    return profile
-
-
-def profile_language(line: Column, profile: dict[str, list[str]]) -> Column:
-    """Language with most distinct profile words in the line, NULL without any hit; ties go to the first language."""
-    words = F.split(F.lower(line), r"[^\p{L}]+")
-    hits = [
-        F.struct(
-            F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in profile[name]]))).alias("n"), F.lit(-i).alias("o"),
-            F.lit(name).alias("name"),
-        )
-        for i, name in enumerate(sorted(profile))
-    ]
-    # without hits the sentinel is the largest
-    nothing = F.struct(F.lit(0).alias("n"), F.lit(1).alias("o"), F.lit(None).cast("string").alias("name"))
-    return F.array_max(F.array(nothing, *hits))["name"]
+def line_scripts(df: DataFrame, line: str) -> DataFrame:
+    """Adds letter counts, the dominant script's language and whether a line has letters enough for a detector."""
+    counts = df.select(
+        "*", latin_count(F.col(line)).alias("latin"), *[class_count(F.col(line), chars).alias(n) for n, chars in SCRIPTS.items()]
+    )
+    counts = counts.withColumn("script_total", sum((F.col(n) for n in SCRIPTS), F.lit(0)))
+    ranked = F.array(*[F.struct(F.col(n).alias("n"), F.lit(-i).alias("o"), F.lit(n).alias("name")) for i, n in enumerate(SCRIPTS)])
+    top = F.array_max(ranked)
+    by_script = (F.col("script_total") > 0) & (top["n"] / F.col("script_total") >= SCRIPT_SHARE)
+    readable = (F.col("latin") >= MIN_LETTERS) | (F.col("script_total") >= MIN_LETTERS)
+    return counts.withColumns({"script_language": F.when(by_script, top["name"]), "readable": readable})
 
 
 def line_language(df: DataFrame, line: str, detector) -> DataFrame:
@@ -329,27 +309,24 @@ def line_language(df: DataFrame, line: str, detector) -> DataFrame:
 
     detector maps a line column to a language column.
     """
-    counts = df.select(
-        "*", latin_count(F.col(line)).alias("latin"), *[class_count(F.col(line), chars).alias(n) for n, chars in SCRIPTS.items()]
-    )
-    counts = counts.withColumn("script_total", sum((F.col(n) for n in SCRIPTS), F.lit(0)))
-    ranked = F.array(*[F.struct(F.col(n).alias("n"), F.lit(-i).alias("o"), F.lit(n).alias("name")) for i, n in enumerate(SCRIPTS)])
-    top = counts.withColumn("_top", F.array_max(ranked)).withColumn("_guess", detector(F.col(line)))
-    by_script = (F.col("script_total") > 0) & (F.col("_top.n") / F.col("script_total") >= SCRIPT_SHARE)
-    readable = (F.col("latin") >= MIN_LETTERS) | (F.col("script_total") >= MIN_LETTERS)
-    language = F.when(by_script, F.col("_top.name")).when(readable, F.col("_guess"))
-    return top.select(*counts.columns, language.alias("line_language"))
+    facts = line_scripts(df, line)
+    language = F.coalesce("script_language", F.when(F.col("readable"), detector(F.col(line))))
+    return facts.withColumn("line_language", language).drop("script_language", "readable")
 
 
 def detect_language(df: DataFrame, key: str, text: str, detector, languages: list[str]) -> DataFrame:
-    """(key, language, shares) by letter-weighted line votes.
+    """(key, language, shares) by letter-weighted line votes with a detector column; languages lists what it may return."""
+    lines = scale.enough_partitions(df.select(key, text), key).select(key, F.explode_outer(clean_lines(text)).alias("line"))
+    return vote_language(line_language(lines, "line", detector), key, languages)
+
+
+def vote_language(facts: DataFrame, key: str, languages: list[str]) -> DataFrame:
+    """(key, language, shares) from the letter counts and languages of lines.
 
     Lines are summed before the shuffle, so only a few counters per text move. languages lists what the detector may
     return; the three scripts are added. Texts without readable lines are unknown.
     """
     names = [*SCRIPTS, *[x for x in languages if x not in SCRIPTS]]
-    lines = scale.enough_partitions(df.select(key, text), key).select(key, F.explode_outer(clean_lines(text)).alias("line"))
-    facts = line_language(lines, "line", detector)
     weight = F.col("latin") + F.col("script_total")
     counted = weight >= MIN_LETTERS
     none = F.lit(0).cast("bigint")

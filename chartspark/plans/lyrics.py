@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chartspark.functions import text as X
 from chartspark.functions.language_rules import EDGE_MARKS, PRONOUNS, TITLE_STOPWORDS
-from chartspark.operators import sections
+from chartspark.operators import detector, sections
 from chartspark.plans import shapes as S
 from chartspark.plans.book import PlanBook
 
@@ -171,26 +171,80 @@ def script_counts(spark, sf):
     )
 
 
-def _detected(spark, sf):
+def _script_sql(chars: str) -> str:
+    return f"CAST(len(regexp_extract_all(line, '[{chars}]')) AS BIGINT)"
+
+
+def _lines_sql() -> str:
+    """Clean lines of documents, word weights and the language of every line."""
+    langs = ["de", "en", "es", "fr"]
+    sums = ", ".join(f"round(SUM(k * ln((coalesce(c.{n}, 0) + 1) / (t.{n} + t.size))), 9) AS {n}" for n in langs)
+    best = " ".join(f"WHEN {n} = greatest({', '.join(langs)}) THEN '{n}'" for n in langs)
+    tag = r"(?i)^\s*\[(?:verse|pre-chorus|chorus|post-chorus|bridge|intro|outro|hook|refrain|instrumental|interlude|break|part|spoken)[^\]]*\]\s*$"
+    return rf"""raw AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\r\n|[\n\r\x0B\f\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_replace(regexp_replace(
+        regexp_replace(regexp_replace(CASE WHEN regexp_matches(x, '{tag}') THEN '' ELSE regexp_replace(x, '^\s+|\s+$', '', 'g') END,
+        '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '(?i)https?://\S+|www\.\S+', '', 'g'), '\[([^\]]+)\]', '\1', 'g'), '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS lines FROM documents),
+    lines AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS line_no FROM raw),
+    scripts AS (SELECT *, {_script_sql("A-Za-zÀ-ÖØ-öø-ÿ")} AS latin, {_script_sql(r"\x{ac00}-\x{d7af}\x{1100}-\x{11ff}\x{3130}-\x{318f}")} AS ko,
+      {_script_sql(r"\x{3040}-\x{30ff}\x{31f0}-\x{31ff}\x{ff66}-\x{ff9d}")} AS ja, {_script_sql(r"\x{4e00}-\x{9fff}")} AS zh FROM lines),
+    facts AS (SELECT *, ko + ja + zh AS total, CASE WHEN ko + ja + zh = 0 OR greatest(ko, ja, zh) < 0.6 * (ko + ja + zh) THEN NULL
+      WHEN ko = greatest(ko, ja, zh) THEN 'ko' WHEN ja = greatest(ja, zh) THEN 'ja' ELSE 'zh' END AS script FROM scripts),
+    vocabulary AS (SELECT word, {", ".join(f"COUNT(*) FILTER (WHERE lang = '{n}') AS {n}" for n in langs)} FROM
+      (SELECT lang, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}]+')) AS word FROM documents WHERE lang IS NOT NULL) WHERE word <> '' GROUP BY 1),
+    t AS (SELECT {", ".join(f"SUM({n}) AS {n}" for n in langs)}, COUNT(*) AS size FROM vocabulary),
+    words AS (SELECT doc_id, line_no, word, COUNT(*) AS k FROM (SELECT doc_id, line_no, unnest(regexp_split_to_array(lower(line), '[^\p{{L}}]+')) AS word
+      FROM facts WHERE script IS NULL AND (latin >= 15 OR total >= 15)) GROUP BY 1, 2, 3),
+    scored AS (SELECT doc_id, line_no, CASE {best} END AS guess FROM (SELECT doc_id, line_no, {sums} FROM words JOIN vocabulary c USING (word), t GROUP BY 1, 2)),
+    told AS (SELECT f.doc_id, f.line_no, latin, ko, ja, zh, total, coalesce(script, guess) AS lang FROM facts f LEFT JOIN scored s ON s.doc_id = f.doc_id AND s.line_no = f.line_no)"""
+
+
+def _document_sql() -> str:
+    """Language and shares of every document from the languages of its lines."""
+    names = ["ko", "ja", "zh", "de", "en", "es", "fr"]
+    share = lambda n, of: f"CASE WHEN {n} > 0 THEN '\"{n[2:]}\":\"' || printf('%.4f', round_even({n} / {of}, 4)) || '\"' END"
+    top = "greatest(" + ", ".join(f"v_{n}" for n in names) + ")"
+    first = "CASE " + " ".join(f"WHEN v_{n} = {top} THEN '{n}'" for n in names) + " END"
+    strong = " + ".join(f"CAST(v_{n} >= 0.3 * total AS INTEGER)" for n in names)
+    votes = ", ".join(f"coalesce(SUM(latin + total) FILTER (WHERE l.lang = '{n}' AND latin + total >= 15), 0) AS v_{n}" for n in names)
+    return f"""{_lines_sql()},
+    votes AS (SELECT d.doc_id, {votes}, {", ".join(f"coalesce(SUM({n}), 0) AS s_{n}" for n in names[:3])}, coalesce(SUM(latin), 0) AS s_latin_other
+      FROM documents d LEFT JOIN told l ON l.doc_id = d.doc_id GROUP BY 1),
+    whole AS (SELECT *, {" + ".join(f"v_{n}" for n in names)} AS total, s_ko + s_ja + s_zh + s_latin_other AS letters, greatest(s_ko, s_ja, s_zh) AS top_script FROM votes),
+    ruled AS (SELECT *, letters >= 15 AND top_script > 0 AND top_script >= 0.7 * letters AS by_script FROM whole),
+    labelled AS (SELECT doc_id, CASE WHEN total > 0 AND {top} >= 0.7 * total THEN {first} WHEN total > 0 AND {strong} >= 2 THEN 'mixed' WHEN total > 0 THEN {first}
+      WHEN by_script THEN CASE WHEN s_ko = top_script THEN 'ko' WHEN s_ja = top_script THEN 'ja' ELSE 'zh' END ELSE 'unknown' END AS language,
+      '{{' || CASE WHEN total > 0 THEN concat_ws(',', {", ".join(share(f"v_{n}", "total") for n in names)})
+      WHEN by_script THEN concat_ws(',', {", ".join(share(n, "letters") for n in ("s_ko", "s_ja", "s_zh", "s_latin_other"))}) ELSE '' END || '}}' AS shares FROM ruled)"""
+
+
+def _model(spark, sf):
     docs = S.table(spark, sf, "documents").select("doc_id", "text", "lang")
-    profile = X.fit_word_profile(docs, "text", "lang")
-    return X.detect_language(docs, "doc_id", "text", lambda line: X.profile_language(line, profile), sorted(profile))
+    return docs, detector.word_weights(docs, "text", "lang"), detector.languages_of(docs, "lang")
+
+
+def _detected(spark, sf):
+    docs, weights, names = _model(spark, sf)
+    return detector.document_languages(docs, "doc_id", "text", weights, names)
 
 
-@PLANS.add("txt_12_line_language")
+@PLANS.add("txt_12_line_language", f"WITH {_lines_sql()} SELECT doc_id, line_no, lang AS line_language FROM told")
 def line_language(spark, sf):
-    docs = S.table(spark, sf, "documents").select("doc_id", "text", "lang")
-    profile = X.fit_word_profile(docs, "text", "lang")
-    lines = docs.select("doc_id", F.posexplode(X.clean_lines("text")).alias("line_no", "line"))
-    return X.line_language(lines, "line", lambda line: X.profile_language(line, profile)).select("doc_id", "line_no", "line_language")
+    docs, weights, names = _model(spark, sf)
+    out = detector.line_languages(docs, "doc_id", "text", weights, names)
+    return out.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "line_language")
 
 
-@PLANS.add("txt_13_document_language")
+@PLANS.add("txt_13_document_language", f"WITH {_document_sql()} SELECT doc_id, language, shares FROM labelled")
 def document_language(spark, sf):
-    return _detected(spark, sf).select("doc_id", "language", F.to_json("shares").alias("shares"))
+    shown = F.transform_values("shares", lambda _, share: F.format_string("%.4f", share))
+    return _detected(spark, sf).select("doc_id", "language", F.to_json(shown).alias("shares"))
 
 
-@PLANS.add("txt_14_language_changes")
+@PLANS.add(
+    "txt_14_language_changes",
+    f"""WITH {_document_sql()} SELECT d.doc_id, d.lang AS old, l.language AS new FROM documents d JOIN labelled l ON l.doc_id = d.doc_id
+    WHERE d.lang IS DISTINCT FROM l.language""",
+)
 def language_changes(spark, sf):
     old = S.table(spark, sf, "documents").select("doc_id", F.col("lang").alias("language"))
     return X.language_changes(old, _detected(spark, sf), "doc_id")

@@ -1,7 +1,11 @@
+import math
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from chartspark.functions import text as X
+from chartspark.operators import detector
 
 
 @pytest.fixture(scope="module")
@@ -68,9 +72,34 @@ def test_document_language(spark):
     half = "\n".join(["the night is long and the road is long"] * 3 + ["나는 너를 사랑해 오늘도 그리고 내일도 언제나 너를 생각해"] * 4)
     rows = [(1, ko), (2, half), (3, "  "), (4, "oh")]
     df = spark.createDataFrame(rows, "id int, text string")
-    profile = {"en": ["the", "is", "and"], "es": ["el", "los"]}
-    out = X.detect_language(df, "id", "text", lambda line: X.profile_language(line, profile), sorted(profile))
+    english = lambda line: F.when(line.contains("the"), "en")
+    out = X.detect_language(df, "id", "text", english, ["en", "es"])
     assert {r["id"]: r["language"] for r in out.collect()} == {1: "ko", 2: "mixed", 3: "unknown", 4: "unknown"}
+    labelled = spark.createDataFrame([("the night is long and the road", "en"), ("la noche es larga y el camino", "es"), (ko, None)], "t string, l string")
+    weights, names = detector.word_weights(labelled, "t", "l"), detector.languages_of(labelled, "l")
+    out = detector.document_languages(df.unionByName(spark.createDataFrame([(5, None)], df.schema)), "id", "text", weights, names)
+    assert {r["id"]: r["language"] for r in out.collect()} == {1: "ko", 2: "mixed", 3: "unknown", 4: "unknown", 5: "unknown"}
+
+
+def test_line_weights_against_brute_force(spark):
+    train = [("el sol y la luna", "es"), ("the sun and the moon", "en"), ("the la la la song", "en"), (None, "es"), ("", "fr")]
+    lines = ["the song and the sun tonight", "la luna y el sol siempre brillan", "unbekannte Wörter allein hier", "la la la la la la la la", "short"]
+    df = spark.createDataFrame(train, "t string, l string")
+    names = detector.languages_of(df, "l")
+    assert names == ["en", "es", "fr"]
+    counts = {n: Counter(w for t, l in train if l == n and t for w in t.split()) for n in names}
+    known = set().union(*counts.values())
+
+    def guess(line):
+        words = [w for w in line.lower().split() if w in known]
+        if sum(c.isalpha() for c in line) < 15 or not words:
+            return None
+        score = {n: sum(math.log((counts[n][w] + 1) / (sum(counts[n].values()) + len(known))) for w in words) for n in names}
+        return max(names, key=lambda n: (round(score[n], 9), -names.index(n)))
+
+    texts = spark.createDataFrame([(1, "\n".join(lines)), (2, None), (3, "")], "id int, text string")
+    got = {r["line_no"]: r["line_language"] for r in detector.line_languages(texts, "id", "text", detector.word_weights(df, "t", "l"), names).collect()}
+    assert got == {i: guess(line) for i, line in enumerate(lines)} and got[2] is None and got[1] == "es"
 
 
 def test_clean_line(spark):
