@@ -7,8 +7,16 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chartspark import scale
 from chartspark.functions.clean import mode_flag
 from chartspark.operators import order
+from chartspark.operators.profile import fingerprint
+
+# Columns that leak the target or repeat a feature, never roots of a design column.
+FORBIDDEN = (
+    "rank", "peak_rank", "streams", "weeks_on_chart", "weeks_in_top10", "lifetime_average_rank", "tempo_bpm", "rms_energy",
+    "dynamic_range", "beat_interval_variability", "loudness_proxy", "spectral_bandwidth", "unique_word_count", "lexical_diversity",
+)
 
 
 @dataclass(frozen=True)
@@ -27,6 +35,8 @@ class FeatureSpec:
     base: str = "US"
     logged: tuple[str, ...] = ("word_count",)
     fill: dict = field(default_factory=lambda: {"chorus_repetition_count": 0.0})
+    tier_cuts: tuple[float, ...] = (70.0, 30.0, 0.0)
+    forbidden: tuple[str, ...] = FORBIDDEN
 
     @property
     def continuous(self) -> list[str]:
@@ -114,75 +124,135 @@ def design_matrix(df: DataFrame, spec: FeatureSpec, scaler: Scaler, keep: list[s
 
 # ---- checks ----------------------------------------------------------------------------------------
 
-def split_checks(design: DataFrame, spec: FeatureSpec, drift_limit: float = 5.0, balance_limit: float = 0.2) -> DataFrame:
-    """(check, kind, value, status) of a design that keeps key, market, target and is_test.
+def design_root(column: str) -> str:
+    """The raw column or market that a design column is made from."""
+    return column.split("__x__")[0].removesuffix("_std").removeprefix("Market_")
+
+
+def tier(score: Column, cuts: tuple[float, ...]) -> Column:
+    """Number of cuts above the score: 0 is the best tier. NULL scores have none."""
+    return F.when(score.isNotNull(), sum((F.when(score < c, 1).otherwise(0) for c in cuts), F.lit(0)))
+
 
-    Row facts come from one aggregate, group and market facts from one each.
+def split_checks(
+    design: DataFrame, spec: FeatureSpec, again: DataFrame | None = None, drift_limit: float = 5.0, balance_limit: float = 0.2,
+    min_test_rows: int = 100, row_share: tuple[float, float] = (0.17, 0.23),
+) -> DataFrame:
+    """(number, check, kind, value, status) of a design that keeps key, market, target and is_test: nine hard and four soft checks.
+
+    Some checks have several rows. again is a second run of the split (key, is_test): the two are compared by content
+    fingerprints of their groups; without it check 9 is left out. Row facts come from one aggregate, group facts and the
+    market x tier table from one each; values that cannot be computed (no row on a side) are NULL and fail.
     """
     test = F.col("is_test")
     std = [c for c in spec.columns if c.endswith("_std")]
     binary = ["mode", *spec.dummies]
+    crossed = [c for c in spec.columns if "__x__" in c]
     finite = F.lit(True)
-    for c in spec.columns:
-        finite = finite & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    for c in [*spec.columns, spec.target]:
+        finite = finite & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) < float("inf"))
     exact = F.lit(True)
     for c in spec.interactions:
         for m in spec.markets:
             if m != spec.base:
-                exact = exact & (F.abs(F.col(f"{c}_std__x__{_name(m)}") - F.col(f"{c}_std") * F.col(f"Market_{_name(m)}")) < 1e-12)
-    on_train = lambda c: F.when(~test, F.col(c))
+                exact = exact & (F.abs(F.col(f"{c}_std__x__{_name(m)}") - F.col(f"{c}_std") * F.col(f"Market_{_name(m)}")) < 1e-9)
+    zeroed = F.lit(True)
+    for c in [*spec.dummies, *crossed]:
+        zeroed = zeroed & (F.col(c) == 0)
+    on = lambda c, side: F.when(test if side else ~test, F.col(c))
     y = F.col(spec.target)
     facts = design.agg(
         F.count_if(~finite).alias("not_finite"),
-        F.greatest(*[F.abs(F.avg(on_train(c))) for c in std]).alias("worst_mean"),
-        F.greatest(*[F.abs(F.stddev_pop(on_train(c)) - 1) for c in std]).alias("worst_deviation"),
-        F.count_if(~F.array_min(F.array(*[F.col(c).isin(0.0, 1.0) for c in binary]))).alias("not_binary"),
+        F.greatest(*[F.abs(F.avg(on(c, False))) for c in std]).alias("worst_mean"),
+        F.greatest(*[F.abs(F.stddev_pop(on(c, False)) - 1) for c in std]).alias("worst_deviation"),
+        F.greatest(*[F.abs(F.avg(on(c, True))) for c in std]).alias("largest_test_mean"),
+        F.count_if(~F.array_min(F.array(*[F.coalesce(F.col(c).isin(0.0, 1.0), F.lit(False)) for c in binary]))).alias("not_binary"),
+        F.count_if((F.col(spec.market) == spec.base) & ~zeroed).alias("base_not_zero"),
         F.count_if(~exact).alias("interaction_off"),
-        F.least(*[F.var_pop(on_train(c)) for c in spec.columns]).alias("least_variance"),
-        (F.abs(F.avg(F.when(test, y)) - F.avg(F.when(~test, y))) / F.stddev_samp(y)).alias("target_gap"),
+        F.least(*[F.var_samp(on(c, False)) for c in spec.columns]).alias("least_variance"),
+        (F.avg(test.cast("double")) * 100).alias("test_row_pct"),
+        (F.abs(F.avg(on(spec.target, True)) - F.avg(on(spec.target, False))) / F.stddev_samp(on(spec.target, False))).alias("target_gap"),
+    )
+    sides = design.groupBy(spec.key).agg(F.count_distinct("is_test").alias("sides"), F.bool_or("is_test").alias("t"))
+    groups = sides.agg(F.count_if(F.col("sides") > 1).alias("shared_groups"), (F.avg(F.col("t").cast("double")) * 100).alias("test_group_pct"))
+    cells = [(m, t) for m in spec.markets for t in range(len(spec.tier_cuts) + 1)]
+    count = lambda m, side: F.count_if((F.col(spec.market) == m) & (test if side else ~test))
+    share = lambda m, side: count(m, side) / F.count_if(test if side else ~test)
+    tiers = tier(y, spec.tier_cuts)
+    markets = design.agg(
+        F.greatest(*[F.abs(share(m, True) - share(m, False)) * 100 for m in spec.markets]).alias("market_drift"),
+        F.least(*[count(m, True) for m in spec.markets]).alias("least_market_rows"),
+        sum((F.when(F.count_if((F.col(spec.market) == m) & (tiers == t) & test) == 0, 1).otherwise(0) for m, t in cells), F.lit(0)).alias("empty_cells"),
     )
-    groups = design.groupBy(spec.key).agg(F.count_distinct("is_test").alias("sides")).agg(F.count_if(F.col("sides") > 1).alias("shared_groups"))
-    per_market = design.groupBy(spec.market).agg(F.count_if(test).alias("t"), F.count_if(~test).alias("r"))
-    sums = per_market.agg(F.sum("t").alias("T"), F.sum("r").alias("R"), F.collect_list(F.struct("t", "r")).alias("m"))
-    drift = sums.select(F.array_max(F.transform("m", lambda x: F.abs(x["t"] / F.col("T") - x["r"] / F.col("R")) * 100)).alias("market_drift"))
     one = F.lit(1).alias("_one")
-    row = facts.select("*", one).join(groups.select("*", one), "_one").join(drift.select("*", one), "_one")
+    row = facts.select("*", one).join(groups.select("*", one), "_one").join(markets.select("*", one), "_one")
+    missing = [c for c in spec.columns if c not in design.columns]
+    order_off = int([c for c in design.columns if c in spec.columns] != spec.columns)
+    forbidden = sum(design_root(c) in spec.forbidden or c in spec.forbidden for c in spec.columns)
+    row = row.withColumns({"forbidden_columns": F.lit(forbidden), "column_order_off": F.lit(order_off + len(missing))})
+    value = F.col
     rules = [
-        ("shared_groups", "hard", F.col("shared_groups") == 0), ("not_finite", "hard", F.col("not_finite") == 0),
-        ("worst_mean", "hard", F.col("worst_mean") < 1e-6), ("worst_deviation", "hard", F.col("worst_deviation") < 1e-6),
-        ("not_binary", "hard", F.col("not_binary") == 0), ("interaction_off", "hard", F.col("interaction_off") == 0),
-        ("least_variance", "hard", F.col("least_variance") > 0), ("market_drift", "soft", F.col("market_drift") < drift_limit),
-        ("target_gap", "soft", F.col("target_gap") < balance_limit),
+        (1, "shared_groups", "hard", value("shared_groups") == 0), (2, "forbidden_columns", "hard", value("forbidden_columns") == 0),
+        (3, "not_finite", "hard", value("not_finite") == 0), (4, "column_order_off", "hard", value("column_order_off") == 0),
+        (5, "worst_mean", "hard", value("worst_mean") < 1e-7), (5, "worst_deviation", "hard", value("worst_deviation") < 1e-7),
+        (5, "largest_test_mean", "hard", value("largest_test_mean") >= 1e-7),
+        (6, "not_binary", "hard", value("not_binary") == 0), (6, "base_not_zero", "hard", value("base_not_zero") == 0),
+        (7, "interaction_off", "hard", value("interaction_off") == 0), (8, "least_variance", "hard", value("least_variance") > 1e-12),
+        (10, "test_row_pct", "soft", value("test_row_pct").between(row_share[0] * 100, row_share[1] * 100)),
+        (10, "test_group_pct", "soft", value("test_group_pct").isNotNull()),
+        (11, "market_drift", "soft", value("market_drift") < drift_limit),
+        (11, "least_market_rows", "soft", value("least_market_rows") >= min_test_rows),
+        (12, "empty_cells", "soft", value("empty_cells") == 0), (13, "target_gap", "soft", value("target_gap") < balance_limit),
     ]
-    cells = [
-        F.struct(F.lit(n).alias("check"), F.lit(k).alias("kind"), F.col(n).cast("double").alias("value"),
-                 F.when(ok, "PASS").otherwise("FAIL").alias("status")) for n, k, ok in rules
+    if again is not None:
+        own = fingerprint(design.select(spec.key, "is_test").distinct(), [spec.key], ["is_test"])
+        other = fingerprint(again.select(spec.key, "is_test").distinct(), [spec.key], ["is_test"])
+        both = own.select(F.col("fingerprint").alias("_a"), one).join(other.select(F.col("fingerprint").alias("_b"), one), "_one")
+        row = row.join(both.select("_one", (F.col("_a") != F.col("_b")).cast("int").alias("repeat_differs")), "_one")
+        rules.append((9, "repeat_differs", "hard", value("repeat_differs") == 0))
+    found = [
+        F.struct(F.lit(i).alias("number"), F.lit(n).alias("check"), F.lit(k).alias("kind"), F.col(n).cast("double").alias("value"),
+                 F.when(ok, "PASS").otherwise("FAIL" if k == "hard" else "WARNING").alias("status")) for i, n, k, ok in rules
     ]
-    return row.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    return row.select(F.explode(F.array(*found)).alias("c")).select("c.*")
 
 
 def seed_audit(
-    df: DataFrame, spec: FeatureSpec, seeds: list[int], share: float = 0.2, drift_limit: float = 5.0, balance_limit: float = 0.2
+    df: DataFrame, spec: FeatureSpec, seeds: list[int], share: float = 0.2, drift_limit: float = 5.0, min_test_rows: int = 100
 ) -> DataFrame:
-    """Soft checks of the split of every seed, all seeds in one job on group sums."""
-    y = F.col(spec.target).cast("double")
+    """(seed, market_drift, least_market_rows, empty_cells, target_gap, passes) of the split of every seed, in one job.
+
+    A seed passes when the markets' shares drift less than the limit, every market has rows enough in the test part, and every
+    market x tier cell occurs there. Groups are summed once; each seed's last test hash is one row, so groups and seeds meet
+    without a shuffle of their product.
+    """
+    y, tiers = F.col(spec.target).cast("double"), tier(F.col(spec.target), spec.tier_cuts)
+    cells = {f"c_{i}_{t}": (m, t) for i, m in enumerate(spec.markets) for t in range(len(spec.tier_cuts) + 1)}
     sums = df.groupBy(spec.key).agg(
         *[F.count_if(F.col(spec.market) == m).alias(f"n_{i}") for i, m in enumerate(spec.markets)],
+        *[F.count_if((F.col(spec.market) == m) & (tiers == t)).alias(c) for c, (m, t) in cells.items()],
         F.count(F.lit(1)).alias("n"), F.sum(y).alias("y"), F.sum(y * y).alias("yy"),
     )
+    sums = scale.cut_lineage(sums)
     tried = sums.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds]))).withColumn("_h", seeded_hash(spec.key, F.col("seed")))
     placed = order.counted_positions(tried.select("seed", "_h"), ["seed"], "_h")
-    sided = tried.join(placed.select("seed", "_h", "start", "total"), ["seed", "_h"]).withColumn("t", F.col("start") < F.ceil(F.col("total") * share))
+    last = placed.where(F.col("start") < F.ceil(F.col("total") * share)).groupBy("seed").agg(F.max("_h").alias("_last"))
+    sided = tried.join(F.broadcast(last), "seed").withColumn("t", F.col("_h") <= F.col("_last"))  # one row a seed
     on = lambda c, side: F.sum(F.when(F.col("t") == side, F.col(c)).otherwise(0))
+    split = ["n", "y", "yy", *[f"n_{i}" for i in range(len(spec.markets))]]
     facts = sided.groupBy("seed").agg(
-        *[on(c, side).alias(f"{c}_{int(side)}") for c in ["n", "y", *[f"n_{i}" for i in range(len(spec.markets))]] for side in (True, False)],
-        F.sum("n").alias("all_n"), F.sum("y").alias("all_y"), F.sum("yy").alias("all_yy"),
+        *[on(c, side).alias(f"{c}_{int(side)}") for c in split for side in (True, False)], *[on(c, True).alias(c) for c in cells]
     )
-    drift = F.greatest(*[F.abs(F.col(f"n_{i}_1") / F.col("n_1") - F.col(f"n_{i}_0") / F.col("n_0")) * 100 for i in range(len(spec.markets))])
-    sd = F.sqrt((F.col("all_yy") - F.col("all_y") ** 2 / F.col("all_n")) / (F.col("all_n") - 1))
+    markets = range(len(spec.markets))
+    drift = F.greatest(*[F.abs(F.col(f"n_{i}_1") / F.col("n_1") - F.col(f"n_{i}_0") / F.col("n_0")) * 100 for i in markets])
+    sd = F.sqrt((F.col("yy_0") - F.col("y_0") ** 2 / F.col("n_0")) / (F.col("n_0") - 1))
     gap = F.abs(F.col("y_1") / F.col("n_1") - F.col("y_0") / F.col("n_0")) / sd
+    least = F.least(*[F.col(f"n_{i}_1") for i in markets])
+    empty = sum((F.when(F.col(c) == 0, 1).otherwise(0) for c in cells), F.lit(0))
+    passes = (drift < drift_limit) & (least >= min_test_rows) & (empty == 0)
     return facts.select(
-        "seed", drift.alias("market_drift"), gap.alias("target_gap"), ((drift < drift_limit) & (gap < balance_limit)).alias("passes")
+        "seed", drift.alias("market_drift"), least.alias("least_market_rows"), empty.alias("empty_cells"), gap.alias("target_gap"),
+        F.coalesce(passes, F.lit(False)).alias("passes"),
     )
 
 
@@ -198,8 +268,32 @@ def train_medians(train: DataFrame, spec: FeatureSpec) -> dict[str, float]:
 
 
 def split_artifacts(train: DataFrame, spec: FeatureSpec) -> DataFrame:
-    """Median, 1 % and 99 % quantile of every continuous training column."""
-    long = order.unpivot(train, [], spec.continuous)
-    return order.exact_quantiles(long, ["feature"], "value", [0.5, 0.01, 0.99], ["median", "p01", "p99"])
+    """Median, 1 % and 99 % quantile of every continuous training column, and the median of the mode flag."""
+    flagged = train.withColumn("_flag", mode_flag(spec.mode, strict=True).cast("double"))
+    long = order.unpivot(flagged, [], [*spec.continuous, "_flag"])
+    facts = order.exact_quantiles(long, ["feature"], "value", [0.5, 0.01, 0.99], ["median", "p01", "p99"])
+    plain = F.col("feature") != "_flag"
+    return facts.select(
+        F.when(plain, F.col("feature")).otherwise("mode").alias("feature"), "median", F.when(plain, F.col("p01")).alias("p01"),
+        F.when(plain, F.col("p99")).alias("p99"),
+    )
 
 
+def split_ids(rows: DataFrame, key: str) -> DataFrame:
+    """(is_test, place, key): the sorted list of the groups of each side, as rows numbered from 0. Keys are whole numbers."""
+    ids = rows.select("is_test", key).distinct()
+    return order.counted_positions(ids, ["is_test"], key).select("is_test", F.col("start").alias("place"), key)
+
+
+def list_hashes(ids: DataFrame, side: str, place: str, value: str, fan: int = 1024, levels: int = 3) -> DataFrame:
+    """(side, n, digest): SHA-256 tree over a numbered list.
+
+    The first level hashes `fan` neighbouring values joined by commas, each further level the joined digests of `fan`
+    neighbours, the last level all that are left: with the defaults 1,000 digests for a list of 10^9. No list is ever one value.
+    """
+    rows = ids.select(side, F.col(place).alias("_i"), F.col(value).cast("string").alias("_v"), F.lit(1).cast("bigint").alias("_n"))
+    for level in range(levels):
+        piece = F.lit(0) if level == levels - 1 else F.floor(F.col("_i") / fan)
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda x: x["_v"]), ",")
+        rows = rows.groupBy(side, piece.cast("bigint").alias("_p")).agg(F.sha2(joined, 256).alias("_v"), F.sum("_n").alias("_n")).withColumnRenamed("_p", "_i")
+    return rows.select(side, F.col("_n").alias("n"), F.col("_v").alias("digest"))

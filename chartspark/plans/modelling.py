@@ -17,6 +17,7 @@ PLANS = PlanBook()
 SPEC = design.FeatureSpec(
     audio=("tempo", "energy", "tempo_stability", "rms_variability", "spectral_centroid", "chord_change_rate"),
     markets=("AMERICA", "ASIA", "EUROPE", "AFRICA", "MIDDLE EAST"), base="AMERICA",
+    tier_cuts=(98.0, 96.0, 90.0),  # the given charts hold no score under 50, so the usual cuts would leave tiers empty
 )
 
 
@@ -45,17 +46,29 @@ def group_split(spark, sf):
     return split_table(spark, sf).select("track", "market", "is_test")
 
 
+def _raw_sql(c: str) -> str:
+    """A continuous column before it is standardised."""
+    return {"word_count": "ln(1 + word_count)", "chorus_repetition_count": "coalesce(chorus_repetition_count, 0)", "release_year": "greatest(release_year, q)"}.get(c, c)
+
+
+_CROSSED = [(c, m) for c in SPEC.interactions for m in SPEC.markets if m != SPEC.base]
+DESIGN = f"""{MODEL}, floor AS (SELECT quantile_cont(release_year, 0.01) AS q FROM split WHERE NOT is_test),
+prep AS (SELECT track, market, chart_score, is_test, audio_mode, {", ".join(f"CAST({_raw_sql(c)} AS DOUBLE) AS {c}" for c in SPEC.continuous)} FROM split, floor),
+fit AS (SELECT {", ".join(f"AVG({c}) AS m_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) AS s_{c}" for c in SPEC.continuous)} FROM prep WHERE NOT is_test),
+std AS (SELECT track, market, chart_score, is_test, {", ".join(f"({c} - m_{c}) / s_{c} AS {c}_std" for c in SPEC.continuous)},
+  CAST(audio_mode = 'major' AS DOUBLE) AS mode, {", ".join(f"CAST(market = '{m}' AS DOUBLE) AS Market_{m.replace(' ', '_')}" for m in SPEC.markets if m != SPEC.base)} FROM prep, fit),
+x AS (SELECT *, {", ".join(f"{c}_std * Market_{m.replace(' ', '_')} AS {c}_std__x__{m.replace(' ', '_')}" for c, m in _CROSSED)} FROM std)"""
+
+
 @PLANS.add(
     "mlp_02_scaler",
-    f"""WITH {MODEL}, t AS (SELECT * FROM split WHERE NOT is_test) SELECT 'energy' AS feature, round(AVG(energy), 8) AS mean, round(stddev_pop(energy), 8) AS deviation FROM t
-    UNION ALL SELECT 'word_count', round(AVG(ln(1 + word_count)), 8), round(stddev_pop(ln(1 + word_count)), 8) FROM t
-    UNION ALL SELECT 'release_year', round(AVG(greatest(release_year, q)), 8), round(stddev_pop(greatest(release_year, q)), 8) FROM t, (SELECT quantile_cont(release_year, 0.01) AS q FROM t)""",
+    f"WITH {DESIGN} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(m_{c}, 6) AS mean, round(s_{c}, 6) AS deviation FROM fit" for c in SPEC.continuous),
 )
 def scaler(spark, sf):
     fitted = design.fit_scaler(split_table(spark, sf).where("not is_test"), SPEC)
-    rows = [(c, fitted.mean[c], fitted.deviation[c]) for c in ("energy", "word_count", "release_year")]
+    rows = [(c, fitted.mean[c], fitted.deviation[c]) for c in SPEC.continuous]
     return spark.createDataFrame(rows, "feature string, mean double, deviation double").select(
-        "feature", F.round("mean", 8).alias("mean"), F.round("deviation", 8).alias("deviation")
+        "feature", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation")
     )
 
 
@@ -68,23 +81,59 @@ def designed(spark, sf):
 
 @PLANS.add(
     "mlp_03_design_matrix",
-    f"""WITH {MODEL}, f AS (SELECT AVG(energy) AS m, stddev_pop(energy) AS s, AVG(ln(1 + word_count)) AS wm, stddev_pop(ln(1 + word_count)) AS ws FROM split WHERE NOT is_test)
-    SELECT track, market, round((energy - m) / s, 6) AS energy_std, round((ln(1 + word_count) - wm) / ws, 6) AS word_count_std,
-    CASE audio_mode WHEN 'major' THEN 1.0::DOUBLE ELSE 0 END AS mode, CASE WHEN market = 'ASIA' THEN 1.0::DOUBLE ELSE 0 END AS Market_ASIA,
-    round(CASE WHEN market = 'ASIA' THEN (energy - m) / s ELSE 0 END, 6) AS energy_asia FROM split, f""",
+    f"WITH {DESIGN} SELECT track, market, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in SPEC.columns)} FROM x",
 )
 def design_matrix(spark, sf):
     x, _, _ = designed(spark, sf)
-    return x.select(
-        "track", "market", F.round("energy_std", 6).alias("energy_std"), F.round("word_count_std", 6).alias("word_count_std"), "mode", "Market_ASIA",
-        (F.round("energy_std__x__ASIA", 6) + F.lit(0.0)).alias("energy_asia"),
-    )
+    return x.select("track", "market", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in SPEC.columns])
+
+
+_STD = [c for c in SPEC.columns if c.endswith("_std")]
+_NOT_BASE = [*SPEC.dummies, *[f"{c}_std__x__{m.replace(' ', '_')}" for c, m in _CROSSED]]
+_TIER = " + ".join(f"CAST(chart_score < {c} AS INTEGER)" for c in SPEC.tier_cuts)
+
 
+def _greatest(terms) -> str:
+    return f"greatest({', '.join(terms)})"
 
-@PLANS.add("mlp_04_split_checks")
+
+def _share_sql(m: str, side: str) -> str:
+    return f"COUNT(*) FILTER (WHERE market = '{m}' AND {side}) / COUNT(*) FILTER (WHERE {side})"
+
+
+# (number, check, kind, value, condition): tiny values are shown as 0 where only the bound matters
+_CHECKS = [
+    (1, "shared_groups", "hard", "MIN((SELECT COUNT(*) FROM (SELECT track FROM x GROUP BY 1 HAVING COUNT(DISTINCT is_test) > 1)))", "v = 0"),
+    (2, "forbidden_columns", "hard", "MIN(0)", "v = 0"),
+    (3, "not_finite", "hard", f"COUNT(*) FILTER (WHERE NOT ({' AND '.join(f'coalesce(isfinite({c}), false)' for c in [*SPEC.columns, 'chart_score'])}))", "v = 0"),
+    (4, "column_order_off", "hard", "MIN(0)", "v = 0"),
+    (5, "worst_mean", "hard", _greatest(f"abs(AVG({c}) FILTER (WHERE NOT is_test))" for c in _STD), "v < 1e-7"),
+    (5, "worst_deviation", "hard", _greatest(f"abs(stddev_pop({c}) FILTER (WHERE NOT is_test) - 1)" for c in _STD), "v < 1e-7"),
+    (5, "largest_test_mean", "hard", _greatest(f"abs(AVG({c}) FILTER (WHERE is_test))" for c in _STD), "v >= 1e-7"),
+    (6, "not_binary", "hard", f"COUNT(*) FILTER (WHERE NOT ({' AND '.join(f'coalesce({c} IN (0, 1), false)' for c in ['mode', *SPEC.dummies])}))", "v = 0"),
+    (6, "base_not_zero", "hard", f"COUNT(*) FILTER (WHERE market = '{SPEC.base}' AND NOT ({' AND '.join(f'{c} = 0' for c in _NOT_BASE)}))", "v = 0"),
+    (7, "interaction_off", "hard", "COUNT(*) FILTER (WHERE NOT (" + " AND ".join(f"abs({c}_std__x__{m.replace(' ', '_')} - {c}_std * CAST(market = '{m}' AS DOUBLE)) < 1e-9" for c, m in _CROSSED) + "))", "v = 0"),
+    (8, "least_variance", "hard", f"least({', '.join(f'var_samp({c}) FILTER (WHERE NOT is_test)' for c in SPEC.columns)})", "v > 1e-12"),
+    (9, "repeat_differs", "hard", "MIN(0)", "v = 0"),
+    (10, "test_row_pct", "soft", "100 * AVG(CAST(is_test AS INTEGER))", "v BETWEEN 17 AND 23"),
+    (10, "test_group_pct", "soft", "MIN((SELECT 100 * AVG(CAST(t AS INTEGER)) FROM (SELECT track, bool_or(is_test) AS t FROM x GROUP BY 1)))", "v IS NOT NULL"),
+    (11, "market_drift", "soft", _greatest(f"abs({_share_sql(m, 'is_test')} - {_share_sql(m, 'NOT is_test')}) * 100" for m in SPEC.markets), "v < 5"),
+    (11, "least_market_rows", "soft", "least(" + ", ".join(f"COUNT(*) FILTER (WHERE market = '{m}' AND is_test)" for m in SPEC.markets) + ")", "v >= 100"),
+    (12, "empty_cells", "soft", f"{len(SPEC.markets) * (len(SPEC.tier_cuts) + 1)} - COUNT(DISTINCT market || '|' || ({_TIER})) FILTER (WHERE is_test)", "v = 0"),
+    (13, "target_gap", "soft", "abs(AVG(chart_score) FILTER (WHERE is_test) - AVG(chart_score) FILTER (WHERE NOT is_test)) / stddev_samp(chart_score) FILTER (WHERE NOT is_test)", "v < 0.2"),
+]
+
+
+@PLANS.add(
+    "mlp_04_split_checks",
+    f"WITH {DESIGN}, v AS (" + " UNION ALL ".join(
+        f"SELECT {i} AS number, '{n}' AS \"check\", '{k}' AS kind, v, CASE WHEN {ok} THEN 'PASS' ELSE '{'FAIL' if k == 'hard' else 'WARNING'}' END AS status FROM (SELECT CAST({sql} AS DOUBLE) AS v FROM x)"
+        for i, n, k, sql, ok in _CHECKS
+    ) + ') SELECT number, "check", kind, round(v, 6) AS value, status FROM v',
+)
 def split_checks(spark, sf):
     x, _, _ = designed(spark, sf)
-    return design.split_checks(x, SPEC)
+    return design.split_checks(x, SPEC, split_table(spark, sf)).withColumn("value", F.round("value", 6))
 
 
 @PLANS.add(
@@ -108,10 +157,30 @@ def train_test_intersection(spark, sf):
     return rows.groupBy("track").agg(F.count_distinct("is_test").alias("k")).agg(F.count_if(F.col("k") > 1).alias("shared"))
 
 
-@PLANS.add("mlp_05_seed_audit")
+_AUDIT = f"""{MODEL}, seeds AS (SELECT seed, track, row_number() OVER (PARTITION BY seed ORDER BY substr(md5(track || '|' || seed), 1, 15)) <= ceil(0.2 * COUNT(*) OVER (PARTITION BY seed)) AS is_test
+  FROM (SELECT DISTINCT track FROM model), (SELECT unnest(range(42, 142)) AS seed)),
+tried AS (SELECT seed, market, chart_score, is_test, {_TIER} AS tier FROM model JOIN seeds USING (track)),
+audit AS (SELECT seed, {_CHECKS[14][3]} AS drift, {_CHECKS[15][3]} AS least_rows, {len(SPEC.markets) * (len(SPEC.tier_cuts) + 1)} - COUNT(DISTINCT market || '|' || tier) FILTER (WHERE is_test) AS empty,
+  {_CHECKS[17][3]} AS gap FROM tried GROUP BY 1)"""
+
+
+@PLANS.add(
+    "mlp_05_seed_audit",
+    f"""WITH {_AUDIT} SELECT seed, round(drift, 6) AS market_drift, least_rows AS least_market_rows, empty AS empty_cells, round(gap, 6) AS target_gap,
+    drift < 5 AND least_rows >= 100 AND empty = 0 AS passes FROM audit""",
+)
 def seed_audit(spark, sf):
     kept, _ = design.drop_and_fill(model_table(spark, sf), SPEC)
-    return design.seed_audit(kept, SPEC, list(range(42, 142)))
+    out = design.seed_audit(kept, SPEC, list(range(42, 142)))
+    return out.select(
+        "seed", F.round("market_drift", 6).alias("market_drift"), "least_market_rows", "empty_cells", F.round("target_gap", 6).alias("target_gap"), "passes"
+    )
+
+
+@PLANS.add("mlp_05_first_passing_seed", f"WITH {_AUDIT} SELECT MIN(seed) AS seed, COUNT(*) AS passing FROM audit WHERE drift < 5 AND least_rows >= 100 AND empty = 0")
+def first_passing_seed(spark, sf):
+    kept, _ = design.drop_and_fill(model_table(spark, sf), SPEC)
+    return design.seed_audit(kept, SPEC, list(range(42, 142))).where("passes").agg(F.min("seed").alias("seed"), F.count(F.lit(1)).alias("passing"))
 
 
 @PLANS.add(
@@ -296,14 +365,34 @@ def dual_inference(spark, sf):
 
 @PLANS.add(
     "mlp_14_split_artifacts",
-    f"""WITH {MODEL}, t AS (SELECT * FROM split WHERE NOT is_test), long AS (SELECT 'energy' AS feature, energy AS v FROM t UNION ALL SELECT 'tempo', tempo FROM t)
-    SELECT feature, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.01), 6) AS p01, round(quantile_cont(v, 0.99), 6) AS p99 FROM long GROUP BY 1""",
+    f"WITH {MODEL}, t AS (SELECT * REPLACE (coalesce(chorus_repetition_count, 0) AS chorus_repetition_count) FROM split WHERE NOT is_test) " + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, round(quantile_cont({c}, 0.5), 6) AS median, round(quantile_cont({c}, 0.01), 6) AS p01, round(quantile_cont({c}, 0.99), 6) AS p99 FROM t"
+        for c in SPEC.continuous
+    ) + " UNION ALL SELECT 'mode', quantile_cont(CAST(audio_mode = 'major' AS DOUBLE), 0.5), NULL, NULL FROM t",
 )
 def split_artifacts(spark, sf):
-    out = design.split_artifacts(split_table(spark, sf).where("not is_test"), SPEC).where("feature in ('energy', 'tempo')")
+    out = design.split_artifacts(split_table(spark, sf).where("not is_test"), SPEC)
     return out.select("feature", *[F.round(c, 6).alias(c) for c in ("median", "p01", "p99")])
 
 
+_IDS = f"""{MODEL}, ids AS (SELECT is_test, track, row_number() OVER (PARTITION BY is_test ORDER BY track) - 1 AS place FROM (SELECT DISTINCT is_test, track FROM split))"""
+
+
+@PLANS.add("mlp_14_split_ids", f"WITH {_IDS} SELECT is_test, place, track FROM ids")
+def split_ids(spark, sf):
+    return design.split_ids(split_table(spark, sf), "track")
+
+
+@PLANS.add(
+    "mlp_14_split_hashes",
+    f"""WITH {_IDS}, a AS (SELECT is_test, place // 64 AS i, COUNT(*) AS n, sha256(string_agg(CAST(track AS VARCHAR), ',' ORDER BY place)) AS d FROM ids GROUP BY 1, 2),
+    b AS (SELECT is_test, i // 64 AS i, SUM(n) AS n, sha256(string_agg(d, ',' ORDER BY i)) AS d FROM a GROUP BY is_test, i // 64)
+    SELECT is_test, CAST(SUM(n) AS BIGINT) AS n, sha256(string_agg(d, ',' ORDER BY i)) AS digest FROM b GROUP BY 1""",
+)
+def split_hashes(spark, sf):
+    return design.list_hashes(design.split_ids(split_table(spark, sf), "track"), "is_test", "place", "track", fan=64)
+
+
 @PLANS.add(
     "agg_26_trend_by_flag",
     """SELECT l_returnflag AS market, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY 1""",

@@ -401,9 +401,20 @@ def training_quantiles(spark, sf):
     return out.select("feature", *[F.round(c, 6).alias(c) for c in ("median", "p01", "p99")])
 
 
-@PLANS.add("agg_33_fingerprint")
+def _digest_part(i: int) -> str:
+    return f"CAST(SUM(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT)) AS VARCHAR)"
+
+
+@PLANS.add(
+    "agg_33_fingerprint",
+    f"""WITH {S.PERF}, c AS (SELECT *, CAST(round(chart_score * 1000000) AS BIGINT) AS score FROM perf),
+    d AS (SELECT sha256(concat_ws(chr(31), track, market, score, peak_rank, weeks_on_chart)) AS h FROM c)
+    SELECT COUNT(*) AS n_rows, sha256(concat_ws('|', COUNT(*), {", ".join(_digest_part(i) for i in range(4))})) AS fingerprint FROM d""",
+)
 def fingerprint(spark, sf):
-    return profile.fingerprint(S.perf(spark, sf), ["track", "market"], ["chart_score", "peak_rank", "weeks_on_chart"])
+    # millionths as whole numbers: engines print them alike, unlike fractions
+    rows = S.perf(spark, sf).withColumn("score", F.round(F.col("chart_score") * 1000000).cast("bigint"))
+    return profile.fingerprint(rows, ["track", "market"], ["score", "peak_rank", "weeks_on_chart"])
 
 
 @PLANS.add(

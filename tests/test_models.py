@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -247,3 +248,63 @@ def test_dual_scores_keep_repeated_and_null_keys(spark):
     fit = linear.LinearFit(spec.columns, np.ones(len(spec.columns)), None, None, None, 4, 0.0, 0.0)
     found = forest.dual_scores(rows, spec, design.fit_scaler(rows, spec), dict.fromkeys(spec.continuous, 0.0), fit, None, ["k"]).collect()
     assert sorted(str(r.k) for r in found) == ["1", "1", "1", "None"] and len({r.ols_prediction for r in found if r.k}) == 1
+
+
+SPLIT_SPEC = design.FeatureSpec(
+    key="k", market="m", target="y", audio=("e",), lyrics=("word_count",), year="yr", mode="mode_text", interactions=("e",), markets=("A", "B"), base="A",
+    logged=(), tier_cuts=(5.0,), fill={},
+)
+
+
+@pytest.fixture(scope="module")
+def split_design(spark):
+    rows = [(i // 2, "AB"[i % 2], float(i % 11), float(i % 7), float(i % 5), 2000.0 + i % 3, "major" if i % 3 else "minor") for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, m string, y double, e double, word_count double, yr double, mode_text string")
+    split = design.group_split(df, "k", 0.2, 1)
+    fitted = design.fit_scaler(split.where("not is_test"), SPLIT_SPEC)
+    return split, design.design_matrix(split, SPLIT_SPEC, fitted, ["k", "m", "y", "is_test"])
+
+
+def statuses(checks):
+    return {r["check"]: r["status"] for r in checks.collect()}
+
+
+def test_sound_split_passes_all_checks(split_design):
+    split, x = split_design
+    found = statuses(design.split_checks(x, SPLIT_SPEC, split, min_test_rows=20, drift_limit=10.0, balance_limit=0.6))
+    assert len(found) == 18 and set(found.values()) == {"PASS"}
+
+
+def test_broken_splits_are_found(split_design, spark):
+    split, x = split_design
+    wrong = x.withColumn("mode", F.lit(0.5)).withColumn("e_std__x__B", F.col("e_std")).withColumn("is_test", F.col("y") > 8)
+    found = statuses(design.split_checks(wrong, SPLIT_SPEC, split, min_test_rows=1000))
+    bad = {"shared_groups", "worst_mean", "worst_deviation", "not_binary", "base_not_zero", "interaction_off", "least_variance", "repeat_differs"}
+    assert {c for c, s in found.items() if s == "FAIL"} >= bad - {"worst_mean", "worst_deviation"}
+    assert found["least_market_rows"] == found["empty_cells"] == found["target_gap"] == "WARNING"
+    holes = x.withColumn("y", F.when(F.col("y") > 1, F.col("y")))
+    assert statuses(design.split_checks(holes, SPLIT_SPEC))["not_finite"] == "FAIL"
+    leak = design.FeatureSpec(audio=("rank",), lyrics=(), interactions=(), markets=("A",), base="A")
+    assert [design.design_root(c) in leak.forbidden for c in leak.columns][0] and design.design_root("e_std__x__B") == "e"
+
+
+def test_seed_audit_agrees_with_the_checks_of_its_seed(split_design):
+    split, x = split_design
+    audit = {r["seed"]: r for r in design.seed_audit(split.drop("is_test"), SPLIT_SPEC, [0, 1, 2], min_test_rows=20).collect()}
+    own = {r["check"]: r["value"] for r in design.split_checks(x, SPLIT_SPEC).collect()}
+    assert sorted(audit) == [0, 1, 2]
+    for name in ("market_drift", "least_market_rows", "empty_cells", "target_gap"):
+        assert audit[1][name] == pytest.approx(own[name])
+
+
+def test_list_hashes_do_not_depend_on_partitions(spark):
+    ids = spark.range(1000).select((F.col("id") % 2 == 0).alias("is_test"), F.floor(F.col("id") / 2).alias("place"), (F.col("id") * 3).alias("k"))
+    got = {r["is_test"]: (r["n"], r["digest"]) for r in design.list_hashes(ids.repartition(7, "k"), "is_test", "place", "k", fan=10).collect()}
+
+    def tree(values):
+        level = [str(v) for v in values]
+        for _ in range(2):
+            level = [hashlib.sha256(",".join(level[i : i + 10]).encode()).hexdigest() for i in range(0, len(level), 10)]
+        return hashlib.sha256(",".join(level).encode()).hexdigest()
+
+    assert got == {s: (500, tree([3 * i for i in range(1000) if (i % 2 == 0) == s])) for s in (True, False)}
