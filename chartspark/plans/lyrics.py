@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from chartspark import scale
 from chartspark.functions import text as X
 from chartspark.functions.language_rules import EDGE_MARKS, PRONOUNS, TITLE_STOPWORDS
 from chartspark.operators import detector, sections
+from chartspark.operators.chart import top_positions
 from chartspark.plans import shapes as S
 from chartspark.plans.book import PlanBook
+from chartspark.sources import readers
 
 PLANS = PlanBook()
 
@@ -94,6 +99,26 @@ def pronoun_ratio(spark, sf):
     return base.select("doc_id", F.when(n > 0, F.round(X.pronoun_tokens(F.col("t"), "language") / n, 6)).alias("pronoun_ratio"))
 
 
+@PLANS.add(
+    "src_11_rules_from_file",
+    f"""WITH {TOKENS}, words AS (SELECT lang, word, COUNT(*) AS n FROM (SELECT lang, unnest(tokens) AS word FROM tok) WHERE regexp_matches(word, '^[a-z]+$') GROUP BY 1, 2),
+    listed AS (SELECT lang, list(word) AS pron FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS place FROM words) WHERE place <= 20 GROUP BY 1)
+    SELECT doc_id, len(list_filter(tokens, lambda t: list_contains(l.pron, t))) AS listed_words, CASE WHEN len(tokens) > 0 THEN round(len(list_filter(tokens, lambda t: list_contains(l.pron, t))) / len(tokens), 6) END AS listed_ratio
+    FROM tok JOIN listed l ON l.lang = tok.lang""",
+)
+def rules_from_file(spark, sf):
+    """A rule file with the twenty commonest words of each language as its pronouns is written, read and applied."""
+    base = documents(spark, sf).select("doc_id", "language", X.tokenize(X.normalize_text(X.nfc("text")), "language").alias("t"))
+    words = base.select("language", F.explode("t").alias("word")).where(F.col("word").rlike("^[a-z]+$") & F.col("language").isNotNull())
+    counts = words.groupBy("language", "word").agg(F.count(F.lit(1)).alias("n"))
+    best = top_positions(counts, ["language"], [F.desc("n"), F.asc("word")], 20, out="place").groupBy("language").agg(F.array_sort(F.collect_list("word")).alias("words"))
+    path = f"{scale.shared_folder(spark)}/rules-{uuid.uuid4().hex}"
+    best.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", "words")))).alias("pronouns")).coalesce(1).write.json(path)
+    rules = readers.read_lyric_rules(spark, path)
+    n, hits = F.size("t"), X.pronoun_tokens(F.col("t"), "language", rules)
+    return base.where("language is not null").select("doc_id", hits.cast("bigint").alias("listed_words"), F.when(n > 0, F.round(hits / n, 6)).alias("listed_ratio"))
+
+
 _BASIC = f"""WITH {TOKENS} SELECT doc_id, CAST(len(tokens) AS BIGINT) AS word_count, CAST(len(list_distinct(tokens)) AS BIGINT) AS unique_word_count,
     round(len(list_distinct(tokens)) / len(tokens), 6) AS lexical_diversity, round((len(tokens) - len(list_distinct(tokens))) / len(tokens), 6) AS repetition_ratio,
     round(list_sum(list_transform(tokens, lambda t: length(t))) / len(tokens), 6) AS avg_word_length,

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from chartspark.functions import clean
-from chartspark.operators import design, forest, linear
+from chartspark.operators import design, forest, linear, saved_model
 from chartspark.plans import dataset as D
 from chartspark.plans import shapes as S
 from chartspark.plans.book import PlanBook
 from chartspark.plans.statistics import _SIMPLE, _simple, predictions
-from chartspark.scale import cut_lineage
+from chartspark.scale import cut_lineage, shared_folder
 
 PLANS = PlanBook()
 
@@ -303,6 +305,31 @@ def batch_prediction(spark, sf):
     return rows.select("id", F.round(linear.prediction(fit.columns, fit.beta), 6).alias("predicted"))
 
 
+_TWO = ["energy_std", "word_count_std"]
+
+
+@PLANS.add(
+    "mlp_10_predict_raw",
+    f"""WITH {DESIGN}, t AS (SELECT energy_std AS a, word_count_std AS b, chart_score AS y FROM x WHERE NOT is_test),
+    c AS (SELECT var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS \"by\", AVG(a) AS ma, AVG(b) AS mb, AVG(y) AS my FROM t),
+    k AS (SELECT *, (ay * bb - \"by\" * ab) / (aa * bb - ab * ab) AS ka, (\"by\" * aa - ay * ab) / (aa * bb - ab * ab) AS kb FROM c),
+    med AS (SELECT quantile_cont(energy, 0.5) AS me, quantile_cont(word_count, 0.5) AS mw FROM split WHERE NOT is_test)
+    SELECT track, market, round(my + ka * ((coalesce(rms_energy, me) - m_energy) / s_energy - ma) + kb * ((ln(1 + coalesce(word_count, mw)) - m_word_count) / s_word_count - mb), 6) AS predicted,
+    rms_energy IS NULL OR word_count IS NULL AS filled FROM dataset, fit, k, med""",
+)
+def predict_raw(spark, sf):
+    """A model of two columns is fitted on the training rows, saved, read back and applied to every raw row."""
+    x, fitted, rows = designed(spark, sf)
+    train = x.where("not is_test")
+    medians = design.train_medians(rows.where("not is_test"), SPEC)
+    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    saved_model.save_model(spark, path, SPEC, fitted, linear.fit_ols(train, "chart_score", _TWO), {**medians, "mode": 1.0})
+    raw = D.modeling(spark, sf).withColumnRenamed("tempo_bpm", "tempo").withColumnRenamed("rms_energy", "energy")
+    raw = raw.withColumn("tempo_stability", clean.tempo_stability("beat_interval_variability"))
+    out = saved_model.predict_raw(raw, saved_model.load_model(spark, path), fill=True)
+    return out.select("track", "market", F.round("predicted", 6).alias("predicted"), (F.col("energy").isNull() | F.col("word_count").isNull()).alias("filled"))
+
+
 _SEARCHES: dict = {}
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chartspark.functions.language_rules import DEFAULT_RULES, LyricRules
 from chartspark.operators import order
 
 BOM = "﻿"
@@ -117,3 +120,48 @@ def flatten_parent(child: DataFrame, parent: DataFrame, on: str, embed: str = "p
     fields = [c for c in parent.columns if c != on]
     packed = parent.select(on, F.struct(*fields).alias(embed))
     return child.join(packed, on, "left")
+
+
+# ---- rules -----------------------------------------------------------------------------------------
+
+WORD_LISTS = "map<string, array<string>>"
+LIMITS = ("min_block_lines", "max_block_lines", "min_unique_lines", "min_block_words")
+RULE_SCHEMA = (
+    f"title_stopwords {WORD_LISTS}, pronouns {WORD_LISTS}, blank_languages array<string>, title_languages array<string>, "
+    f"limits struct<{', '.join(f'{n}: int' for n in LIMITS)}, block_similarity: double>"
+)
+
+
+def read_lyric_rules(spark: SparkSession, path: str, base: LyricRules = DEFAULT_RULES) -> LyricRules:
+    """Lyric rules of a JSON file, or of several files with different parts, checked; each file holds one object.
+
+    Parts that the files lack come from base; a language in a file replaces that language's list only. Words are trimmed and
+    folded, empty ones and repeats go. Wrong JSON, unknown parts, no part at all, two values of one part, and limits that
+    exclude every block are errors.
+    """
+    known = {"title_stopwords", "pronouns", "blank_languages", "title_languages", "limits"}
+    texts = spark.read.text(path, wholetext=True)
+    for row in texts.select(F.json_object_keys("value").alias("keys")).collect():
+        strange = sorted(set(row["keys"] or []) - known)
+        if row["keys"] is None or strange:
+            raise ValueError(f"{path} is no rule file: {', '.join(strange) or 'no object'}")
+    found: dict[str, object] = {}
+    for row in texts.select(F.from_json("value", RULE_SCHEMA, {"mode": "FAILFAST"}).alias("rules")).collect():  # a few word lists
+        for part, value in row["rules"].asDict(recursive=True).items():
+            if value is not None and part in found:
+                raise ValueError(f"{path} gives {part} twice")
+            found.update({part: value} if value is not None else {})
+    if not found:
+        raise ValueError(f"{path} holds none of {', '.join(sorted(known))}")
+
+    def folded(words: list[str]) -> list[str]:
+        return list(dict.fromkeys(w.strip().casefold() for w in words or [] if w and w.strip()))
+
+    lists = {"stopwords": "title_stopwords", "pronouns": "pronouns"}
+    changed = {own: {**getattr(base, own), **{k: folded(v) for k, v in found.get(part, {}).items()}} for own, part in lists.items()}
+    changed.update({part: folded(found[part]) for part in ("blank_languages", "title_languages") if part in found})
+    changed.update({k: v for k, v in found.get("limits", {}).items() if v is not None})
+    rules = replace(base, **changed)
+    if not 1 <= rules.min_block_lines <= rules.max_block_lines or not 0 < rules.block_similarity <= 1:
+        raise ValueError(f"{path}: limits that no block can meet")
+    return rules

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chartspark.functions import dist
-from chartspark.operators import bootstrap, design, linear, stats
+from chartspark.operators import bootstrap, design, linear, saved_model, stats
 
 
 @pytest.fixture(scope="module")
@@ -308,3 +308,32 @@ def test_list_hashes_do_not_depend_on_partitions(spark):
         return hashlib.sha256(",".join(level).encode()).hexdigest()
 
     assert got == {s: (500, tree([3 * i for i in range(1000) if (i % 2 == 0) == s])) for s in (True, False)}
+
+
+def test_saved_model_predicts_raw_rows(split_design, spark, tmp_path):
+    split, x = split_design
+    train = x.where("not is_test")
+    scaler = design.fit_scaler(split.where("not is_test"), SPLIT_SPEC)
+    fit = linear.fit_ols(train, "y", [c for c in SPLIT_SPEC.columns])
+    medians = {**design.train_medians(split.where("not is_test"), SPLIT_SPEC), "mode": 1.0}
+    saved_model.save_model(spark, str(tmp_path / "m"), SPLIT_SPEC, scaler, fit, medians)
+    model = saved_model.load_model(spark, str(tmp_path / "m"))
+    assert model.columns == fit.columns and model.beta.tolist() == fit.beta.tolist() and model.scaler == scaler
+    assert model.spec.columns == SPLIT_SPEC.columns and model.spec.markets == ("A", "B")
+    own = {r["k"]: r["p"] for r in linear.with_const(x).where("m = 'B'").select("k", linear.prediction(fit.columns, fit.beta).alias("p")).collect()}
+    again = {r["k"]: r for r in saved_model.predict_raw(split.where("m = 'B'").drop("y"), model).collect()}
+    assert {k: r["predicted"] for k, r in again.items()} == pytest.approx(own) and all(r["known_market"] for r in again.values())
+
+    rows = [(1, "A", 2.0, 3.0, 2001.0, "major"), (2, "Z", 2.0, 3.0, 2001.0, "major"), (3, None, 2.0, 3.0, 2001.0, "major"), (4, "B", None, 3.0, 2001.0, "major"),
+            (5, "B", float("nan"), 3.0, 2001.0, "major"), (6, "A", 2.0, 3.0, 2001.0, None), (7, "A", 2.0, 3.0, 2001.0, "odd")]
+    raw = spark.createDataFrame(rows, "k long, m string, e double, word_count double, yr double, mode_text string").withColumn("e_std", F.lit("extra"))
+    plain = {r["k"]: r for r in saved_model.predict_raw(raw, model).collect()}
+    assert plain[1]["predicted"] == plain[2]["predicted"] == plain[3]["predicted"] and plain[1]["e_std"] == "extra"
+    assert [plain[k]["known_market"] for k in (1, 2, 3)] == [True, False, False]
+    assert all(plain[k]["predicted"] is None for k in (4, 5, 6, 7))
+    filled = {r["k"]: r["predicted"] for r in saved_model.predict_raw(raw, model, fill=True).collect()}
+    assert filled[4] == filled[5] is not None and filled[6] == filled[7] == filled[1] == plain[1]["predicted"]
+    assert saved_model.predict_raw(raw.limit(0), model).collect() == []
+    spark.createDataFrame([("mean", 0, "e", 1.0)], saved_model.SCHEMA).write.parquet(str(tmp_path / "part"))
+    with pytest.raises(ValueError, match="holds no model"):
+        saved_model.load_model(spark, str(tmp_path / "part"))

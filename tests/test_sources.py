@@ -137,3 +137,23 @@ def test_layered_fill(spark):
     df = spark.createDataFrame([(1.0, 2.0, 3.0), (None, 2.0, 3.0), (None, None, 3.0), (None, None, None)], "a double, b double, c double")
     v, s = integrate.layered_fill(F.col("a"), [(F.col("b"), "market"), (F.col("c"), "train")], "own", 0.0, "default")
     assert [tuple(r) for r in df.select(v, s).collect()] == [(1.0, "own"), (2.0, "market"), (3.0, "train"), (0.0, "default")]
+
+
+def test_lyric_rules_from_files(spark, tmp_path):
+    def read(*texts):
+        folder = tmp_path / f"rules{len(list(tmp_path.iterdir()))}"
+        folder.mkdir()
+        for i, text in enumerate(texts):
+            (folder / f"{i}.json").write_text(text, encoding="utf-8")
+        return readers.read_lyric_rules(spark, str(folder))
+
+    base = readers.DEFAULT_RULES
+    rules = read('{\n "pronouns": {"en": [" I ", "i", "", null, "Thou"], "fr": ["je"]}\n}', '{"limits": {"min_block_lines": 2}, "title_languages": ["EN"]}')
+    assert rules.pronouns["en"] == ["i", "thou"] and rules.pronouns["fr"] == ["je"] and rules.pronouns["es"] == base.pronouns["es"]
+    assert rules.min_block_lines == 2 and rules.max_block_lines == base.max_block_lines and rules.title_languages == ["en"]
+    assert rules.stopwords == base.stopwords and rules.blank_languages == base.blank_languages
+    for wrong in (['{"pronoun": {}}'], ["{}"], ['{"limits": {"min_block_lines": 11}}'], ['{"limits": {"block_similarity": 1.5}}'], ["[1]"], ['{"pronouns": {}}'] * 2):
+        with pytest.raises(ValueError):
+            read(*wrong)
+    with pytest.raises(Exception):
+        read('{"pronouns": {"en": ["i"')
