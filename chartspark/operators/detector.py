@@ -45,7 +45,7 @@ def line_languages(df: DataFrame, key: str, text: str, weights: DataFrame, names
     A dominant script wins and short lines have no language; the rest take the largest weight sum, first name on ties, and
     none where no word is known. key identifies a text. Lines of NULL or empty texts do not exist.
     """
-    lines = scale.enough_partitions(df.select(key, text), key).select(key, F.posexplode(X.clean_lines(text)).alias("line_no", "line"))
+    lines = df.select(key, F.posexplode(X.clean_lines(text)).alias("line_no", "line"))
     facts = X.line_scripts(lines, "line").withColumn("_open", F.col("readable") & F.col("script_language").isNull())
     carried = [key, "line_no", "latin", *X.SCRIPTS, "script_total", "script_language"]
     # a word with a blank is in no vocabulary; it keeps the closed lines, spread over many join keys

@@ -60,6 +60,6 @@ def spread_for_cpu(df: DataFrame, *keys: str) -> DataFrame:
 def enough_partitions(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a table whose few large files would leave cores idle; a table with many splits stays as it is."""
     spark = df.sparkSession
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()  # the setting may have a unit
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if input_bytes(df) // split + 1 < cores else df
