@@ -47,19 +47,24 @@ def line_languages(df: DataFrame, key: str, text: str, weights: DataFrame, names
     """
     lines = df.select(key, F.posexplode(X.clean_lines(text)).alias("line_no", "line"))
     facts = X.line_scripts(lines, "line").withColumn("_open", F.col("readable") & F.col("script_language").isNull())
-    carried = [key, "line_no", "latin", *X.SCRIPTS, "script_total", "script_language"]
-    # a word with a blank is in no vocabulary; it keeps the closed lines, spread over many join keys
-    closed = F.array(F.concat(F.lit(" "), F.pmod(F.xxhash64(key, "line_no"), F.lit(SPREAD)).cast("string")))
-    words = facts.select(*carried, F.explode(F.when(F.col("_open"), F.split(F.lower("line"), WORD_BREAK)).otherwise(closed)).alias("word"))
-    # a line's words leave the same task, so the sums are complete before the shuffle where the weights are broadcast
-    sums = words.join(weights, "word", "left").groupBy(*carried).agg(
-        F.array(*[F.sum(F.element_at("weights", i + 1)) for i in range(len(names))]).alias("score")
+    carried = ["latin", *X.SCRIPTS, "script_total", "script_language"]
+    # one row a line holds its counts; the word rows beside it stay slim. Its word has a blank, so it is in no vocabulary, and is spread
+    own = F.struct(
+        F.concat(F.lit(" "), F.pmod(F.xxhash64(key, "line_no"), F.lit(SPREAD)).cast("string")).alias("word"),
+        F.struct(*carried).alias("facts"),
     )
+    bare = F.lit(None).cast(facts.select(F.struct(*carried).alias("f")).schema["f"].dataType)
+    spoken = F.when(F.col("_open"), F.split(F.lower("line"), WORD_BREAK)).otherwise(F.array().cast("array<string>"))
+    parts = F.concat(F.array(own), F.transform(spoken, lambda w: F.struct(w.alias("word"), bare.alias("facts"))))
+    words = facts.select(key, "line_no", F.explode(parts).alias("_w")).select(key, "line_no", "_w.word", "_w.facts").where("word <> ''")
+    sums = words.join(weights, "word", "left").groupBy(key, "line_no").agg(
+        F.array(*[F.sum(F.element_at("weights", i + 1)) for i in range(len(names))]).alias("score"), F.max("facts").alias("_facts")
+    ).select(key, "line_no", "_facts.*", "score")
     ranked = F.array(*[
         F.struct(F.round(F.element_at("score", i + 1), DIGITS).alias("s"), F.lit(-i).alias("o"), F.lit(n).alias("name")) for i, n in enumerate(names)
     ])
     guess = F.when(F.element_at("score", 1).isNotNull(), F.array_max(ranked)["name"])
-    return sums.select(*[c for c in carried if c != "script_language"], F.coalesce("script_language", guess).alias("line_language"))
+    return sums.select(key, "line_no", *[c for c in carried if c != "script_language"], F.coalesce("script_language", guess).alias("line_language"))
 
 
 def document_languages(df: DataFrame, key: str, text: str, weights: DataFrame, names: list[str]) -> DataFrame:
