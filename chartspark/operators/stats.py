@@ -232,46 +232,3 @@ def screener_test(counts: DataFrame) -> dict:
         "odds_ratio": odds, "p_fisher": dist.fisher_two_sided(a, b, c, d), "z": z, "p_z": dist.normal_two_sided(z),
         "mean_difference": diff, "ci_low": diff - crit * se, "ci_high": diff + crit * se,
     }
-
-
-def dagostino_k2(n: int, skew: float, kurtosis: float) -> tuple[float, float]:
-    """Omnibus normality statistic and p from population skewness and kurtosis (not excess)."""
-    y = skew * math.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
-    b2 = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
-    w2 = -1 + math.sqrt(2 * (b2 - 1))
-    z1 = math.asinh(y / math.sqrt(2 / (w2 - 1))) / math.sqrt(0.5 * math.log(w2))
-    mean = 3 * (n - 1) / (n + 1)
-    var = 24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))
-    x = (kurtosis - mean) / math.sqrt(var)
-    root = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * math.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
-    a = 6 + 8 / root * (2 / root + math.sqrt(1 + 4 / root**2))
-    inner = (1 - 2 / a) / (1 + x * math.sqrt(2 / (a - 4)))
-    z2 = (1 - 2 / (9 * a) - math.copysign(abs(inner) ** (1 / 3), inner)) / math.sqrt(2 / (9 * a))
-    k2 = z1 * z1 + z2 * z2
-    return k2, dist.chi2_tail(k2, 2)
-
-
-def transform_audit(df: DataFrame, column: str) -> list[dict]:
-    """Raw against log1p: moments, omnibus test, extreme z scores and one-variable leverage, two passes in all."""
-    forms = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("raw"), F.log1p(F.col(column).cast("double")).alias("log1p"))
-    first = forms.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[f(c).alias(f"{c}_{name}") for c in ("raw", "log1p") for name, f in
-          (("mean", F.avg), ("sd", F.stddev_samp), ("pop", F.stddev_pop), ("skew", F.skewness), ("kurt", F.kurtosis))],
-    ).first()
-    n, cells = first["n"], []
-    for c in ("raw", "log1p"):
-        z = F.abs((F.col(c) - float(first[f"{c}_mean"])) / float(first[f"{c}_sd"]))
-        h = 1.0 / n + (F.col(c) - float(first[f"{c}_mean"])) ** 2 / (n * float(first[f"{c}_pop"]) ** 2)
-        cells += [F.max(z).alias(f"{c}_max_z"), F.count_if(z > 3).alias(f"{c}_over_3"), F.max(h).alias(f"{c}_max_h"),
-                  F.count_if(h > 4 / n).alias(f"{c}_high_h")]
-    second = forms.agg(*cells).first()
-    out = []
-    for c in ("raw", "log1p"):
-        k2, p = dagostino_k2(n, first[f"{c}_skew"], first[f"{c}_kurt"] + 3)
-        out.append({
-            "form": c, "n": n, "mean": first[f"{c}_mean"], "sd": first[f"{c}_sd"], "skewness": first[f"{c}_skew"],
-            "kurtosis": first[f"{c}_kurt"], "k2": k2, "p_value": p, "max_abs_z": second[f"{c}_max_z"], "n_abs_z_over_3": second[f"{c}_over_3"],
-            "max_leverage": second[f"{c}_max_h"], "n_high_leverage": second[f"{c}_high_h"],
-        })
-    return out

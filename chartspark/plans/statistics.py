@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chartspark.operators import bootstrap, linear, order, quality, stats
+from chartspark.operators import bootstrap, influence, linear, order, quality, stats
 from chartspark.plans import shapes as S
 from chartspark.plans.book import PlanBook
 
@@ -370,10 +370,51 @@ def tolerance_checks(spark, sf):
     return quality.tolerance_checks(actual, expected, atol=0.5).withColumn("actual", F.round("actual", 6))
 
 
-@PLANS.add("sta_23_transform_audit")
+_AUDIT_SIGNS = ["max_abs_z", "k2", "skewness", "kurtosis", "mean", "sd", "median", "iqr", "low", "high", "max_own_leverage", "limit_2p", "limit_3p", "limit_cooks",
+                "max_leverage", "max_cooks", "high_max_leverage", "high_mean_leverage", "high_max_cooks", "vif"]
+_HIGH_WORDS = 1000
+
+
+@PLANS.add(
+    "sta_23_transform_audit",
+    f"""WITH {S.LYRICS}, b AS (SELECT unnest(['all', language]) AS cohort, CAST(word_count AS DOUBLE) AS raw, CAST(line_count AS DOUBLE) AS w,
+      CAST(chorus_repetition_count AS DOUBLE) AS y FROM lyric_rows WHERE chorus_repetition_count IS NOT NULL),
+    f AS (SELECT cohort, 'raw' AS form, raw AS x, w, y, raw FROM b UNION ALL SELECT cohort, 'log1p', ln(1 + raw), w, y, raw FROM b),
+    m AS (SELECT cohort, form, CAST(COUNT(*) AS DOUBLE) AS n, AVG(x) AS mx, AVG(w) AS mw, AVG(y) AS my, quantile_cont(x, 0.5) AS median,
+      quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr, MIN(x) AS low, MAX(x) AS high FROM f GROUP BY 1, 2),
+    d AS (SELECT cohort, form, n, raw, x - mx AS dx, w - mw AS dw, y - my AS dy FROM f JOIN m USING (cohort, form)),
+    s AS (SELECT cohort, form, any_value(n) AS n, SUM(dx * dx) AS xx, SUM(dw * dw) AS ww, SUM(dx * dw) AS xw, SUM(dx * dy) AS xy, SUM(dw * dy) AS wy,
+      SUM(dy * dy) AS yy, SUM(dx ** 3) AS c3, SUM(dx ** 4) AS c4 FROM d GROUP BY 1, 2),
+    t AS (SELECT cohort, form, xx, ww, xw, xx * ww - xw * xw AS det, (xy * ww - wy * xw) / det AS bx, (wy * xx - xy * xw) / det AS bw,
+      (yy - bx * xy - bw * wy) / (n - 3) AS s2, sqrt(xx / n) AS sd0, (c3 / n) / sd0 ** 3 AS g1, (c4 / n) / sd0 ** 4 AS g2 FROM s),
+    i AS (SELECT d.*, sd0, 1 / n + (ww * dx * dx - 2 * xw * dx * dw + xx * dw * dw) / det AS h, dy - bx * dx - bw * dw AS u,
+      u * u / (3 * s2) * h / (1 - h) ** 2 AS cook FROM d JOIN t USING (cohort, form)),
+    r AS (SELECT cohort, form, MAX(abs(dx)) AS far, COUNT(*) FILTER (WHERE abs(dx) > 3 * sd0) AS n_abs_z_over_3, MAX(h) AS max_leverage,
+      COUNT(*) FILTER (WHERE h > 6 / n) AS n_over_2p, COUNT(*) FILTER (WHERE h > 9 / n) AS n_over_3p, MAX(cook) AS max_cooks,
+      COUNT(*) FILTER (WHERE cook > 4 / n) AS n_cooks_over, COUNT(*) FILTER (WHERE raw >= {_HIGH_WORDS}) AS n_high,
+      MAX(h) FILTER (WHERE raw >= {_HIGH_WORDS}) AS high_max_leverage, AVG(h) FILTER (WHERE raw >= {_HIGH_WORDS}) AS high_mean_leverage,
+      MAX(cook) FILTER (WHERE raw >= {_HIGH_WORDS}) AS high_max_cooks FROM i GROUP BY 1, 2),
+    v AS (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS ky, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS b2,
+      sqrt(2 * (b2 - 1)) - 1 AS w2, ky / sqrt(2 / (w2 - 1)) AS q, ln(q + sqrt(q * q + 1)) / sqrt(0.5 * ln(w2)) AS z1,
+      (g2 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))) AS kx,
+      6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS root,
+      6 + 8 / root * (2 / root + sqrt(1 + 4 / root ** 2)) AS a, (1 - 2 / a) / (1 + kx * sqrt(2 / (a - 4))) AS cube,
+      (1 - 2 / (9 * a) - sign(cube) * abs(cube) ** (1 / 3)) / sqrt(2 / (9 * a)) AS z2, z1 * z1 + z2 * z2 AS k2_all FROM m JOIN t USING (cohort, form) JOIN r USING (cohort, form))
+    SELECT cohort, form, CAST(n AS BIGINT) AS n, 3 AS p, round(mx, 7) AS mean, round(sd0 * sqrt(n / (n - 1)), 7) AS sd, round(median, 7) AS median, round(iqr, 7) AS iqr,
+      round(low, 7) AS low, round(high, 7) AS high, round(g1 * sqrt(n * (n - 1)) / (n - 2), 7) AS skewness,
+      round((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (g2 - 3) + 6), 7) AS kurtosis, round(k2_all, 7) AS k2, round(exp(-k2_all / 2), 9) AS p_value,
+      round(far / sd0, 7) AS max_abs_z, n_abs_z_over_3, round((1 + (far / sd0) ** 2) / n, 7) AS max_own_leverage, round(6 / n, 7) AS limit_2p, round(9 / n, 7) AS limit_3p,
+      round(4 / n, 7) AS limit_cooks, round(max_leverage, 7) AS max_leverage, n_over_2p, n_over_3p, round(max_cooks, 7) AS max_cooks, n_cooks_over, n_high,
+      round(high_max_leverage, 7) AS high_max_leverage, round(high_mean_leverage, 7) AS high_mean_leverage, round(high_max_cooks, 7) AS high_max_cooks,
+      round(ww * xx / det, 7) AS vif FROM v""",
+)
 def transform_audit(spark, sf):
-    rows = stats.transform_audit(S.table(spark, sf, "orders"), "o_totalprice")
-    return spark.createDataFrame([tuple(r.values()) for r in rows], list(rows[0]))
+    """Word counts against the quality label, in all rows and in each language."""
+    rows = S.lyric_rows(spark, sf).select(
+        F.explode(F.array(F.lit("all"), "language")).alias("cohort"), "word_count", "line_count", F.col("chorus_repetition_count").alias("label")
+    )
+    out = influence.transform_audit(rows, "word_count", "label", ["line_count"], ["cohort"], _HIGH_WORDS)
+    return out.withColumns({c: F.round(c, 7) for c in _AUDIT_SIGNS} | {"p_value": F.round("p_value", 9)})
 
 
 @PLANS.add(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chartspark.functions import dist
-from chartspark.operators import bootstrap, design, linear, saved_model, stats
+from chartspark.operators import bootstrap, design, influence, linear, saved_model, stats
 
 
 @pytest.fixture(scope="module")
@@ -337,3 +337,46 @@ def test_saved_model_predicts_raw_rows(split_design, spark, tmp_path):
     spark.createDataFrame([("mean", 0, "e", 1.0)], saved_model.SCHEMA).write.parquet(str(tmp_path / "part"))
     with pytest.raises(ValueError, match="holds no model"):
         saved_model.load_model(spark, str(tmp_path / "part"))
+
+
+def test_cohort_influence_against_hat_matrices(spark):
+    rng = np.random.default_rng(11)
+    n = 240
+    names = [None, "a", "b", "few"]
+    g = np.array([0] * 90 + [1] * 60 + [2] * 88 + [3] * 2)
+    x = np.exp(rng.normal(size=n) * 2) + 1e6 * (g == 1)
+    w, y = rng.normal(size=n), rng.normal(size=n) + 1e5
+    rows = [(i, names[a], float(p), float(q), float(r)) for i, (a, p, q, r) in enumerate(zip(g, x, w, y))]
+    df = spark.createDataFrame([*rows, (900, "a", None, 1.0, 1.0), (901, "b", 1.0, float("nan"), 1.0)], "i int, g string, x double, w double, y double")
+    for parts in (1, 7):
+        got = {r.i: r for r in influence.with_cohort_influence(df.repartition(parts), "y", ["x", "w"], ["g"]).collect()}
+        assert set(got) == set(range(n))
+        for k in range(3):
+            at = np.flatnonzero(g == k)
+            X = np.column_stack([np.ones(len(at)), x[at] - x[at].mean(), w[at]])
+            H = X @ np.linalg.inv(X.T @ X) @ X.T
+            u = y[at] - H @ y[at]
+            h, s2 = np.diag(H), u @ u / (len(at) - 3)
+            assert [got[i].leverage for i in at] == pytest.approx(h, abs=1e-9)
+            assert [got[i].cooks_distance for i in at] == pytest.approx(u * u / (3 * s2) * h / (1 - h) ** 2, rel=1e-6)
+        # two rows and three parameters: the fit goes through them, there is no Cook's distance
+        assert [got[i].cooks_distance for i in (238, 239)] == [None, None]
+
+
+def test_transform_audit_of_cohorts(spark):
+    rng = np.random.default_rng(3)
+    raw, w, y = np.floor(np.exp(rng.normal(size=120) + 5)), rng.normal(size=120), rng.normal(size=120)
+    df = spark.createDataFrame([("k", *map(float, r)) for r in zip(raw, w, y)], "g string, x double, w double, y double")
+    rows = {r.form: r for r in influence.transform_audit(df, "x", "y", ["w"], ["g"], 300.0).collect()}
+    assert set(rows) == set(influence.FORMS)
+    for form, v in (("raw", raw), ("log1p", np.log1p(raw))):
+        X = np.column_stack([np.ones(120), v, w])
+        h = np.diag(X @ np.linalg.inv(X.T @ X) @ X.T)
+        z = (v - v.mean()) / v.std()
+        r = rows[form]
+        assert (r.n, r.p, r.n_over_2p, r.n_over_3p) == (120, 3, int((h > 6 / 120).sum()), int((h > 9 / 120).sum()))
+        assert r.max_leverage == pytest.approx(h.max()) and r.high_mean_leverage == pytest.approx(h[raw >= 300].mean())
+        assert r.n_high == int((raw >= 300).sum()) and r.max_abs_z == pytest.approx(np.abs(z).max()) and r.n_abs_z_over_3 == int((np.abs(z) > 3).sum())
+        assert r.median == pytest.approx(np.median(v)) and r.iqr == pytest.approx(np.quantile(v, 0.75) - np.quantile(v, 0.25))
+        assert r.vif == pytest.approx(1 / (1 - np.corrcoef(v, w)[0, 1] ** 2))
+    assert influence.transform_audit(df.where("x < 0"), "x", "y", ["w"], ["g"], 300.0).count() == 0
