@@ -237,19 +237,15 @@ def with_title_variants(df: DataFrame, offered: str, artist: str, wanted: str, c
     return made.drop("_bare", "_cleaned", "_suffix", "_outer", "_an1", "_groups", "_parts", "_q", "_n", "_o", "_p", "_s1", "_s2")
 
 
-def with_alias_readings(df: DataFrame, wanted: Column, offered: Column, artist: Column, out: str = "readings") -> DataFrame:
-    """Adds other-script names of the wanted title found as 'name (name)' in an offered title."""
-    rows = df.withColumn("_bare", without_artist(without_presentation(offered), artist)).withColumn("_target", normalize_title(wanted))
-    bare, target = F.col("_bare"), F.col("_target")
-    pairs = []
+def with_script_pairs(df: DataFrame, offered: Column, artist: Column, out: str = "pairs") -> DataFrame:
+    """Adds the normalised (a, b) names written as 'name (name)' in two scripts in an offered title."""
+    rows = df.withColumn("_bare", without_artist(without_presentation(offered), artist))
+    bare, pairs = F.col("_bare"), []
     for p in R.SCRIPT_PAIRS:
         x = F.transform(F.regexp_extract_all(bare, F.lit("(?U)" + p), F.lit(1)), lambda t: normalize_title(t, artist))
         y = F.transform(F.regexp_extract_all(bare, F.lit("(?U)" + p), F.lit(2)), lambda t: normalize_title(t, artist))
         pairs.append(F.zip_with(x, y, lambda u, v: F.struct(u.alias("a"), v.alias("b"))))
-    rows = rows.withColumn("_pairs", F.filter(F.concat(*pairs), lambda p: (p["a"] != "") & (p["b"] != "")))
-    named = F.transform("_pairs", lambda p: F.when(p["a"] == target, p["b"]).when(p["b"] == target, p["a"]))
-    found_names = F.when(target != "", F.array_distinct(F.array_compact(named))).otherwise(F.array().cast("array<string>"))
-    return rows.withColumn(out, found_names).drop("_bare", "_target", "_pairs")
+    return rows.withColumn(out, F.filter(F.concat(*pairs), lambda p: (p["a"] != "") & (p["b"] != ""))).drop("_bare")
 
 
 def clash_words(mine: Column, theirs: Column, aliases: Column) -> Column:

@@ -26,10 +26,7 @@ def evaluate_candidates(
     none = F.array().cast("array<string>")
     rows = df
     if aliases:
-        # an alias pairs Hangul with Latin text, so other titles need no parsing
-        paired = df.where(v.rlike("[가-힣]") & v.contains("("))
-        readings = M.with_alias_readings(paired, t, v, a, "_readings").select(key, F.explode("_readings").alias("_alias"))
-        named = readings.groupBy(key).agg(F.array_sort(F.collect_set("_alias")).alias("_aliases"))
+        named = alias_lists(df.select(key, t.alias("_t")), alias_table(df, key, v, a), key, "_t")
         rows = rows.join(named, key, "left").withColumn("_aliases", F.coalesce("_aliases", none))
     else:
         rows = rows.withColumn("_aliases", none)
@@ -52,6 +49,29 @@ def evaluate_candidates(
     )
 
 
+def alias_table(df: DataFrame, key: str, offered: Column, artist: Column) -> DataFrame:
+    """Two-sided table of the names written in two scripts in any candidate title of an item: (key, form, other), distinct.
+
+    Every pair 'Hangul (Latin)' or 'Latin (Hangul)' stands in it twice, once per side, normalised; titles without both need
+    no parsing. A NULL title or artist counts as empty.
+    """
+    offered, artist = F.coalesce(offered, F.lit("")), F.coalesce(artist, F.lit(""))
+    paired = M.with_script_pairs(df.where(offered.rlike("[가-힣]") & offered.contains("(")), offered, artist, "_pairs")
+    sides = paired.select(key, F.explode("_pairs").alias("_p")).select(key, F.explode(F.array(
+        F.struct(F.col("_p.a").alias("form"), F.col("_p.b").alias("other")), F.struct(F.col("_p.b").alias("form"), F.col("_p.a").alias("other"))
+    )).alias("_s"))
+    return sides.select(key, "_s.form", "_s.other").distinct()
+
+
+def alias_lists(items: DataFrame, table: DataFrame, key: str, title: str) -> DataFrame:
+    """Sorted other names of each item's title, joined by the normalised title; items without an alias are left out.
+
+    The list of an item holds distinct names only; it is as long as there are spellings of its title among its candidates.
+    """
+    wanted = items.select(key, title).distinct().select(key, M.normalize_title(F.col(title)).alias("form")).distinct()
+    return wanted.join(table, [key, "form"]).groupBy(key).agg(F.array_sort(F.collect_set("other")).alias("_aliases"))
+
+
 def title_scores(texts: DataFrame) -> DataFrame:
     """Similarity, title conflict and version conflict of distinct (_t, _a, _v, _aliases) rows."""
     t, a, v = F.col("_t"), F.col("_a"), F.col("_v")

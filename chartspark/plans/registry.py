@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ["chart", "dataset", "profile", "quality", "lyrics", "matching", "frames", "statistics", "modelling", "files"]
+MODULES = ["chart", "dataset", "profile", "quality", "lyrics", "matching", "titles", "frames", "statistics", "modelling", "files"]
 
 
 def _modules():
