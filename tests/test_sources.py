@@ -157,3 +157,42 @@ def test_lyric_rules_from_files(spark, tmp_path):
             read(*wrong)
     with pytest.raises(Exception):
         read('{"pronouns": {"en": ["i"')
+
+
+def test_recurrence_of_blocks_equals_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for track, n in (("a", 300), ("b", 61), ("c", 13), ("d", 12), ("e", 11), ("f", 3)):
+        walk = np.cumsum(rng.normal(size=(n, 5)), axis=0)
+        walk[n // 2 :] = walk[: n - n // 2] + rng.normal(size=(n - n // 2, 5)) * 0.05
+        rows += [(track, i, list(map(float, v / np.linalg.norm(v)))) for i, v in enumerate(walk)]
+    same = [("same", i, [1.0, 0.0, 0.0, 0.0, 0.0]) for i in range(40)]
+    df = spark.createDataFrame([*rows, *same], "track string, s int, v array<double>").repartition(5)
+    for block in (7, 128):
+        got = {r.track: r for r in frames.recurrence(df, "track", "s", "v", block=block).collect()}
+        assert set(got) == {"a", "b", "c", "d", "e", "f", "same"}
+        for track in "abcdef":
+            m = np.array([r[2] for r in rows if r[0] == track])
+            n = len(m)
+            s = np.clip(np.round(m @ m.T, 12), -1, 1)
+            pairs = {(i, j): s[i, j] for i in range(n) for j in range(i + 10, n)}
+            lengths = []
+            if pairs:
+                limit = np.percentile(list(pairs.values()), 95)
+                hits = {k for k, v in pairs.items() if v >= limit - 1e-15}
+                for i, j in hits:
+                    if (i - 1, j - 1) not in hits:
+                        k = 0
+                        while (i + k, j + k) in hits:
+                            k += 1
+                        lengths.append(k)
+            long = [k for k in lengths if k >= 3]
+            r = got[track]
+            assert r.n_seconds == n and r.longest_run == (max(long) if long and n >= 13 else 0)
+            assert r.mean_run == pytest.approx(np.mean(long) if long and n >= 13 else 0)
+            assert r.determinism == pytest.approx(sum(long) / sum(lengths) if long and n >= 13 else 0)
+        # all pairs recur: gaps 10 to 39 with 30 to 1 pairs each
+        lengths = [k for k in range(1, 31) if k >= 3]
+        assert got["same"].mean_run == pytest.approx(np.mean(lengths)) and got["same"].longest_run == 30
+        assert got["same"].determinism == pytest.approx(sum(lengths) / sum(range(1, 31)))
+    assert frames.recurrence(df.where("s < 0"), "track", "s", "v").count() == 0
