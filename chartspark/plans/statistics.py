@@ -98,13 +98,25 @@ def zero_fill(spark, sf):
     return out.select("feature", "n_total", F.round("h", 5).alias("h"))
 
 
-@PLANS.add("sta_04_rank_gee")
+@PLANS.add(
+    "sta_04_rank_gee",
+    """WITH t AS (SELECT l_quantity AS v, COUNT(*) AS t FROM lineitem GROUP BY 1), r AS (SELECT v, (SUM(t) OVER (ORDER BY v) - t + (t + 1) / 2) / (SUM(t) OVER () + 1) AS y FROM t),
+    d AS (SELECT l_partkey AS g, l_returnflag AS f, y FROM lineitem JOIN r ON v = l_quantity),
+    m AS (SELECT f, AVG(y) AS mu, COUNT(*) AS n FROM d GROUP BY 1), u AS (SELECT g, f, SUM((y - mu) / n) AS u FROM d JOIN m USING (f) GROUP BY 1, 2),
+    c AS (SELECT g, coalesce(SUM(u) FILTER (WHERE f = 'A'), 0) AS a, coalesce(SUM(u) FILTER (WHERE f = 'N'), 0) AS n, coalesce(SUM(u) FILTER (WHERE f = 'R'), 0) AS r FROM u GROUP BY 1),
+    s AS (SELECT SUM((n - a) ** 2) AS nn, SUM((r - a) ** 2) AS rr, SUM((n - a) * (r - a)) AS nr, COUNT(*) AS clusters FROM c),
+    b AS (SELECT MAX(mu) FILTER (WHERE f = 'N') - MAX(mu) FILTER (WHERE f = 'A') AS bn, MAX(mu) FILTER (WHERE f = 'R') - MAX(mu) FILTER (WHERE f = 'A') AS br, CAST(SUM(n) AS BIGINT) AS n FROM m),
+    w AS (SELECT *, (bn * bn * rr - 2 * bn * br * nr + br * br * nn) / (nn * rr - nr * nr) AS wald FROM s CROSS JOIN b)
+    SELECT 'l_returnflag_N' AS term, round(bn, 9) AS coefficient, round(wald, 6) AS wald, round(exp(-wald / 2), 8) AS p_value, n, clusters FROM w
+    UNION ALL SELECT 'l_returnflag_R', round(br, 9), round(wald, 6), round(exp(-wald / 2), 8), n, clusters FROM w""",
+)
 def rank_gee(spark, sf):
     line = S.table(spark, sf, "lineitem").select("l_partkey", "l_returnflag", "l_quantity")
     fit, names = stats.rank_gee(line, "l_quantity", "l_returnflag", ["A", "N", "R"], "A", "l_partkey")
     wald = fit.wald(names)
     rows = [(n, float(fit.beta[fit.columns.index(n)]), wald["statistic"], wald["p_value"], fit.n, fit.n_clusters) for n in names]
-    return spark.createDataFrame(rows, "term string, coefficient double, wald double, p_value double, n long, clusters long")
+    out = spark.createDataFrame(rows, "term string, coefficient double, wald double, p_value double, n long, clusters long")
+    return out.withColumns({"coefficient": F.round("coefficient", 9), "wald": F.round("wald", 6), "p_value": F.round("p_value", 8)})
 
 
 @PLANS.add("sta_05_binary_gee")
