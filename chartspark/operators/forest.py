@@ -13,6 +13,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chartspark import scale
@@ -157,10 +158,15 @@ def random_partners(df: DataFrame, keys: list[str], columns: list[str], repeats:
     every = df.withColumn("_key", key).withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     mine, theirs = F.concat_ws(":", "repeat", F.lit(f"{seed}a")), F.concat_ws(":", "repeat", F.lit(f"{seed}b"))
     hashed = every.withColumn("_h1", design.seeded_hash("_key", mine)).withColumn("_h2", design.seeded_hash("_key", theirs))
-    first = order.counted_positions(hashed.select("repeat", "_h1"), ["repeat"], "_h1").select("repeat", "_h1", F.col("start").alias("_at"))
-    second = order.counted_positions(hashed.select("repeat", "_h2"), ["repeat"], "_h2").select("repeat", "_h2", F.col("start").alias("_at"))
-    partner = hashed.join(second, ["repeat", "_h2"]).select("repeat", "_at", *[F.col(c).alias(f"_p_{c}") for c in columns])
-    return hashed.join(first, ["repeat", "_h1"]).join(partner, ["repeat", "_at"]).drop("_key", "_h1", "_h2", "_at")
+
+    def place(h: str) -> DataFrame:
+        start = order.counted_positions(hashed.select("repeat", h), ["repeat"], h).select("repeat", h, "start")
+        # rows of equal key share a start; their order is that of their content
+        tie = F.row_number().over(W.partitionBy("repeat", h).orderBy(F.xxhash64(*columns))) - 1
+        return hashed.join(start, ["repeat", h]).withColumn("_at", F.col("start") + tie).drop("start")
+
+    partner = place("_h2").select("repeat", "_at", *[F.col(c).alias(f"_p_{c}") for c in columns])
+    return place("_h1").join(partner, ["repeat", "_at"]).drop("_key", "_h1", "_h2", "_at")
 
 
 def permutation_importance(

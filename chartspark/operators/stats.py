@@ -102,19 +102,28 @@ def chi_square(df: DataFrame, row: str, column: str) -> DataFrame:
     )
 
 
-def expected_counts(df: DataFrame, row: str, column: str) -> DataFrame:
-    """Observed and expected count and row percentage of every cell, empty cells included."""
+def expected_counts(df: DataFrame, row: str, column: str, labels: list | None = None) -> DataFrame:
+    """Observed and expected count and row percentage per cell: of the observed cells, or with labels of every row and label.
+
+    The labels are the caller's list, so the grid is as wide as that list; a column label that it lacks counts in the totals
+    only, and one without rows has zeros.
+    """
     known = df.where(F.col(row).isNotNull() & F.col(column).isNotNull())
     cells = known.groupBy(row, column).agg(F.count(F.lit(1)).alias("observed"))
-    columns = cells.groupBy(column).agg(F.sum("observed").alias("_c")).select(F.struct(column, "_c").alias("_x"))
-    # the column labels of a crosstab are few; packed once they are laid out beside every row label
-    axis = columns.groupBy(F.lit(1).alias(ONE)).agg(F.collect_list("_x").alias("_axis"), F.sum("_x._c").alias("_n"))
-    rows = cells.groupBy(row).agg(F.sum("observed").alias("row_total")).withColumn(ONE, F.lit(1))
-    grid = rows.join(F.broadcast(axis), ONE).select(row, "row_total", "_n", F.explode("_axis").alias("_x"))
-    full = grid.select(row, "row_total", "_n", F.col(f"_x.{column}").alias(column), F.col("_x._c").alias("_c"))
-    observed = F.coalesce("observed", F.lit(0).cast("bigint"))
-    return full.join(cells, [row, column], "left").select(
-        row, column, observed.alias("observed"), (F.col("row_total") * F.col("_c") / F.col("_n")).alias("expected"),
+    totals = cells.groupBy(column).agg(F.sum("observed").alias("_c"))
+    everything = cells.agg(F.sum("observed").alias("_n")).withColumn(ONE, F.lit(1))
+    rows = cells.groupBy(row).agg(F.sum("observed").alias("row_total"))
+    if labels is None:
+        full = cells.join(rows, row)
+    else:
+        kind = df.schema[column].dataType
+        grid = rows.withColumn(column, F.explode(F.array(*[F.lit(v).cast(kind) for v in labels])))
+        full = grid.join(cells, [row, column], "left")
+    # the total is one row
+    full = full.join(totals, column, "left").withColumn(ONE, F.lit(1)).join(F.broadcast(everything), ONE)
+    observed, total = F.coalesce("observed", F.lit(0).cast("bigint")), F.coalesce("_c", F.lit(0).cast("bigint"))
+    return full.select(
+        row, column, observed.alias("observed"), (F.col("row_total") * total / F.col("_n")).alias("expected"),
         (observed / F.col("row_total") * 100).alias("row_percent"),
     )
 

@@ -79,7 +79,7 @@ def chi_square(spark, sf):
     f"""WITH {_TABLE} SELECT a, b, o AS observed, round(r * c / n, 6) AS expected, round(o * 100.0 / r, 6) AS row_percent FROM cells""",
 )
 def expected_counts(spark, sf):
-    out = stats.expected_counts(_table(spark, sf), "a", "b")
+    out = stats.expected_counts(_table(spark, sf), "a", "b", ["low", "middle", "high"])
     return out.withColumn("expected", F.round("expected", 6)).withColumn("row_percent", F.round("row_percent", 6))
 
 

@@ -136,3 +136,17 @@ def test_dominance_of_many_candidates(spark):
     rows = [given(1, i, 90.0 + i // 10) for i in range(100)]
     got = {r["number"]: r["dominated_by"] for r in matching.dominance_order(spark.createDataFrame(rows, GIVEN), "song", "number").collect()}
     assert got == {i: 90 - i // 10 * 10 for i in range(100)}
+
+
+def test_alias_table_has_both_sides(spark):
+    rows = [(1, "Blue Sky", "Ann", "Ann - Blue Sky (푸른 하늘) MV"), (1, "Blue Sky", "Ann", "푸른하늘 (Blue Sky)"), (1, "Blue Sky", "Ann", None),
+            (2, "푸른 하늘", None, "Blue Sky (푸른 하늘)"), (2, "푸른 하늘", None, "Blue Sky (푸른 하늘)"), (3, "Blue Sky", "Ann", "Blue Sky"), (4, None, None, None)]
+    df = spark.createDataFrame(rows, "track int, title string, artist string, offered string")
+    table = matching.alias_table(df, "track", F.col("offered"), F.col("artist"))
+    assert {tuple(r) for r in table.collect()} == {
+        (1, "blue sky", "푸른 하늘"), (1, "푸른 하늘", "blue sky"), (1, "푸른하늘", "blue sky"), (1, "blue sky", "푸른하늘"),
+        (2, "blue sky", "푸른 하늘"), (2, "푸른 하늘", "blue sky"),
+    }
+    lists = {r.track: r._aliases for r in matching.alias_lists(df.fillna("", ["title"]), table, "track", "title").collect()}
+    assert lists == {1: ["푸른 하늘", "푸른하늘"], 2: ["blue sky"]}
+    assert matching.alias_table(df.where("track > 9"), "track", F.col("offered"), F.col("artist")).count() == 0

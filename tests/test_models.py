@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chartspark.functions import dist
-from chartspark.operators import bootstrap, design, influence, linear, saved_model, stats
+from chartspark.operators import bootstrap, design, forest, influence, linear, saved_model, stats
 
 
 @pytest.fixture(scope="module")
@@ -380,3 +380,21 @@ def test_transform_audit_of_cohorts(spark):
         assert r.median == pytest.approx(np.median(v)) and r.iqr == pytest.approx(np.quantile(v, 0.75) - np.quantile(v, 0.25))
         assert r.vif == pytest.approx(1 / (1 - np.corrcoef(v, w)[0, 1] ** 2))
     assert influence.transform_audit(df.where("x < 0"), "x", "y", ["w"], ["g"], 300.0).count() == 0
+
+
+def test_partners_of_rows_with_equal_keys(spark):
+    df = spark.createDataFrame([(i // 3, float(i)) for i in range(30)], "k int, x double")
+    rows = forest.random_partners(df, ["k"], ["x"], 2, 7).collect()
+    for repeat in (1, 2):
+        assert sorted(r.x for r in rows if r.repeat == repeat) == sorted(r._p_x for r in rows if r.repeat == repeat) == [float(i) for i in range(30)]
+
+
+def test_expected_counts_of_given_labels(spark):
+    df = spark.createDataFrame([("a", "x")] * 3 + [("a", "y"), ("b", "y"), ("b", "z"), ("c", None)], "r string, c string")
+    got = {(r.r, r.c): (r.observed, r.expected, r.row_percent) for r in stats.expected_counts(df, "r", "c", ["x", "y", "none"]).collect()}
+    assert got == {
+        ("a", "x"): (3, 2.0, 75.0), ("a", "y"): (1, pytest.approx(8 / 6), 25.0), ("a", "none"): (0, 0.0, 0.0),
+        ("b", "x"): (0, 1.0, 0.0), ("b", "y"): (1, pytest.approx(4 / 6), 50.0), ("b", "none"): (0, 0.0, 0.0),
+    }
+    seen = {(r.r, r.c) for r in stats.expected_counts(df, "r", "c").collect()}
+    assert seen == {("a", "x"), ("a", "y"), ("b", "y"), ("b", "z")}
