@@ -19,12 +19,12 @@ IU = "(?iU)"
 
 
 def found(text: Column, patterns: list[str] | str) -> Column:
-    body = patterns if isinstance(patterns, str) else R.any_of(patterns)
+    body = R.quick(patterns) if isinstance(patterns, str) else R.any_of(patterns)
     return text.rlike(IU + body)
 
 
 def drop(text: Column, pattern: str | Column, by: str = " ") -> Column:
-    p = F.lit(IU + pattern) if isinstance(pattern, str) else F.concat(F.lit(IU), pattern)
+    p = F.lit(IU + R.quick(pattern)) if isinstance(pattern, str) else F.concat(F.lit(IU), pattern)
     return F.regexp_replace(text, p, F.lit(by))
 
 
@@ -212,9 +212,13 @@ def with_title_variants(df: DataFrame, offered: str, artist: str, wanted: str, c
     o, a = F.col(offered), F.col(artist)
     cleaned, suffix, outer = F.col("_cleaned"), F.col("_suffix"), F.col("_outer")
 
-    def reading(text: Column) -> Column:
+    def normal(text: Column) -> Column:
         # most readings are empty; they skip the pattern chain
-        return F.when(text != "", with_suffix(normalize_title(text, a), suffix)).otherwise("")
+        return F.when(text != "", normalize_title(text, a)).otherwise("")
+
+    def suffixed(names: Column) -> Column:
+        # names are ready values here: a function with several uses of its argument would repeat the chain for each
+        return F.transform(names, lambda n: with_suffix(n, suffix))
 
     rows = df.withColumn("_bare", without_artist(without_presentation(o), a))
     rows = rows.withColumn("_cleaned", without_feature_credits(F.col("_bare"), F.col(wanted)))
@@ -222,15 +226,16 @@ def with_title_variants(df: DataFrame, offered: str, artist: str, wanted: str, c
     rows = rows.withColumn("_an1", normalize_title(a)).withColumn("_groups", quoted_groups(cleaned))
     rows = rows.withColumn("_parts", F.transform(F.filter("_groups", lambda p: stands_alone(p, cleaned, a)), lambda p: p["i"]))
     from_quotes = F.flatten(F.transform("_parts", lambda p: F.concat(
-        F.array(reading(p)),
-        F.transform(F.regexp_extract_all(p, F.lit(r"\(([^()]+)\)"), F.lit(1)), reading),
-        F.array(reading(without_plain_brackets(p))),
+        F.array(p), F.regexp_extract_all(p, F.lit(r"\(([^()]+)\)"), F.lit(1)), F.array(without_plain_brackets(p)),
     )))
     notes = F.filter(F.regexp_extract_all(cleaned, F.lit(r"\(([^()]+)\)"), F.lit(1)), lambda b: ~found(b, R.ANY_VERSION))
-    rows = rows.withColumn("_q", from_quotes).withColumn("_n", F.filter(F.transform(notes, reading), lambda n: n != F.col("_an1")))
+    rows = rows.withColumn("_q", from_quotes).withColumn("_n", notes)
+    rows = rows.withColumn("_q", F.transform(F.array_distinct("_q"), normal)).withColumn("_n", F.transform("_n", normal))
+    rows = rows.withColumn("_q", suffixed(F.col("_q"))).withColumn("_n", F.filter(suffixed(F.col("_n")), lambda n: n != F.col("_an1")))
     rows = rows.withColumn("_s1", F.regexp_extract(outer, R.TWO_SCRIPTS, 1)).withColumn("_s2", F.regexp_extract(outer, R.TWO_SCRIPTS, 2))
-    local = F.when(F.col("_s1") != "", with_suffix(normalize_title(F.col("_s1")), suffix)).otherwise("")
-    rows = rows.withColumn("_o", F.array(reading(outer), local, reading(F.col("_s2"))))
+    local = F.when(F.col("_s1") != "", normalize_title(F.col("_s1"))).otherwise("")
+    rows = rows.withColumn("_o", F.array(normal(outer), local, normal(F.col("_s2"))))
+    rows = rows.withColumn("_o", suffixed(F.col("_o")))
     rows = rows.withColumn("_p", F.array(normalize_title(o, a), normalize_title(cleaned, a)))
     every = F.when(F.col(conflict), F.col("_p")).otherwise(F.concat("_p", "_q", "_n", "_o"))
     made = rows.withColumn(out, F.array_distinct(F.filter(every, lambda v: v != "")))

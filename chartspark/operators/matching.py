@@ -69,7 +69,8 @@ def alias_lists(items: DataFrame, table: DataFrame, key: str, title: str) -> Dat
     The list of an item holds distinct names only; it is as long as there are spellings of its title among its candidates.
     """
     wanted = items.select(key, title).distinct().select(key, M.normalize_title(F.col(title)).alias("form")).distinct()
-    return wanted.join(table, [key, "form"]).groupBy(key).agg(F.array_sort(F.collect_set("other")).alias("_aliases"))
+    # as many rows as items and names: never a table for the driver, however few bytes the files have
+    return wanted.join(table.hint("merge"), [key, "form"]).groupBy(key).agg(F.array_sort(F.collect_set("other")).alias("_aliases"))
 
 
 def title_scores(texts: DataFrame) -> DataFrame:

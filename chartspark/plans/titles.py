@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chartspark import scale
 from chartspark.functions import titles as M
 from chartspark.functions.text import strip
 from chartspark.operators import matching
@@ -24,10 +25,12 @@ PARTS = f"""dressed AS (SELECT p_partkey AS track, p_name AS name, replace(p_bra
 
 def parts(spark, sf):
     part, size = S.table(spark, sf, "part"), F.col("p_size").cast("string")
-    return part.select(
+    named = part.select(
         F.col("p_partkey").alias("track"), F.col("p_name").alias("name"), F.replace("p_brand", F.lit("#"), F.lit(" No ")).alias("artist"),
         F.concat(F.lit("Guest"), size).alias("guest"), F.translate(F.col("p_partkey").cast("string"), DIGITS, SYLLABLES).alias("hangul"),
     )
+    # few bytes, heavy work a row; rows of one artist follow each other, so its patterns are compiled once
+    return scale.spread_for_cpu(named, "track").sortWithinPartitions("artist")
 
 
 def dressed(spark, sf, forms: list[str]):
@@ -137,6 +140,8 @@ def bilingual_aliases(spark, sf):
     own = dressed(spark, sf, ["{artist} - {name} ({hangul}) MV", "{hangul}요 ({name})", "'{name}' Official Audio", "{guest} Documentary ({hangul})", "{name} ({guest})"])
     after = parts(spark, sf).select((F.col("track") - 1).alias("track"), F.concat("name", F.lit(" ("), "hangul", F.lit(") [HD]")).alias("offered"))
     rows = own.select("track", "name", "artist", "offered")
+    # sizes guessed from the file's bytes would send the whole table to the driver
+    after = scale.spread_for_cpu(after, "track").hint("merge")
     rows = rows.unionByName(rows.select("track", "name", "artist").distinct().join(after, "track"))
     found = matching.alias_lists(rows, matching.alias_table(rows, "track", F.col("offered"), F.col("artist")), "track", "name")
     return found.select("track", F.array_join("_aliases", ",").alias("aliases"))
