@@ -320,6 +320,11 @@ def detect_language(df: DataFrame, key: str, text: str, detector, languages: lis
     return vote_language(line_language(lines, "line", detector), key, languages)
 
 
+def four_places(share: Column) -> Column:
+    """Rounded on the binary number, halves to even; rounding the decimal digits instead gives other results at halves."""
+    return F.rint(share * 1e4) / 1e4
+
+
 def vote_language(facts: DataFrame, key: str, languages: list[str]) -> DataFrame:
     """(key, language, shares) from the letter counts and languages of lines.
 
@@ -341,7 +346,7 @@ def vote_language(facts: DataFrame, key: str, languages: list[str]) -> DataFrame
 
     def shares(array: str, whole: Column) -> Column:
         some = F.filter(array, lambda x: x["n"] > 0)
-        return F.map_from_entries(F.transform(some, lambda x: F.struct(x["name"], F.bround(x["n"] / whole, 4))))
+        return F.map_from_entries(F.transform(some, lambda x: F.struct(x["name"], four_places(x["n"] / whole))))
 
     total, letters = F.col("total"), F.col("letters")
     base = (
@@ -362,7 +367,7 @@ def vote_language(facts: DataFrame, key: str, languages: list[str]) -> DataFrame
         .when(by_script, F.col("top_script.name"))
         .otherwise("unknown")
     )
-    other = F.create_map(F.lit("latin_other"), F.bround(F.col("latin") / letters, 4))
+    other = F.create_map(F.lit("latin_other"), four_places(F.col("latin") / letters))
     by_letters = F.when(F.col("latin") > 0, F.map_concat(shares("scripts", letters), other)).otherwise(shares("scripts", letters))
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
     distribution = F.when(total > 0, shares("votes", total)).when(by_script, by_letters).otherwise(empty)
