@@ -25,6 +25,7 @@ from chartspark.operators import order
 from chartspark.operators.design import seeded_hash
 
 BLOCK = 1024  # clusters a block: 1,000 replicates of counts take 8 MB
+NEIGHBOURS = 16  # blocks of one task that follow each other
 DRAW_CHUNK = 1 << 20  # draws placed at once
 # Increment and multipliers of the SplitMix64 generator.
 STEP, FIRST_MIX, SECOND_MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -94,10 +95,19 @@ def binomial_quantile(u: np.ndarray, n: int, p: float) -> np.ndarray:
     return low + np.minimum(np.searchsorted(below, u, side="right"), high - low)
 
 
-def block_draws(scope: str, block: int, size: int, replicates: int, seed: int, length: int) -> np.ndarray:
-    """Draws of each replicate that fall into a block: the path of binomial halvings from all blocks down to it."""
-    low, high = 0, -(-size // length)
-    n = np.full(replicates, size, dtype=np.int64)
+def block_draws(
+    scope: str, block: int, size: int, replicates: int, seed: int, length: int, path: list[tuple[str, int, int, np.ndarray]] | None = None,
+) -> np.ndarray:
+    """Draws of each replicate that fall into a block: the path of binomial halvings from all blocks down to it.
+
+    path keeps the nodes (scope, low, high, draws) of the block before, so a neighbour halves only the nodes they do not share.
+    """
+    path = [] if path is None else path
+    while path and not (path[-1][0] == scope and path[-1][1] <= block < path[-1][2]):
+        path.pop()
+    if not path:
+        path.append((scope, 0, -(-size // length), np.full(replicates, size, dtype=np.int64)))
+    _, low, high, n = path[-1]
     while high - low > 1:
         middle = (low + high) // 2
         left, both = min(middle * length, size) - low * length, min(high * length, size) - low * length
@@ -110,12 +120,15 @@ def block_draws(scope: str, block: int, size: int, replicates: int, seed: int, l
             n, high = taken, middle
         else:
             n, low = n - taken, middle
+        path.append((scope, low, high, n))
     return n
 
 
-def block_counts(scope: str, block: int, size: int, replicates: int, seed: int, length: int) -> Iterator[tuple[int, np.ndarray]]:
+def block_counts(
+    scope: str, block: int, size: int, replicates: int, seed: int, length: int, path: list[tuple[str, int, int, np.ndarray]] | None = None,
+) -> Iterator[tuple[int, np.ndarray]]:
     """(first replicate, counts of replicate x place in the block), some replicates at a time."""
-    n = block_draws(scope, block, size, replicates, seed, length)
+    n = block_draws(scope, block, size, replicates, seed, length, path)
     places = min(length, size - block * length)
     keys = np.array([node_hash(r, scope, block, block + 1, seed) for r in range(replicates)], dtype=np.uint64)
     rows = max(1, DRAW_CHUNK // length)
@@ -145,13 +158,15 @@ def replicate_sums(
     places = cluster_places(sums, cluster, "_draw", seed).withColumnRenamed("scope", "_draw")
     rows = sums.join(places, ["_draw", cluster]).withColumn("_block", F.floor(F.col("place") / block))
 
+    path: list[tuple[str, int, int, np.ndarray]] = []  # each task has its own; one node a halving
+
     def drawn(group: pd.DataFrame) -> pd.DataFrame:
         name, number, size = str(group["_draw"].iloc[0]), int(group["_block"].iloc[0]), int(group["size"].iloc[0])
         place = (group["place"] - number * block).to_numpy()
         scopes, owner = np.unique(group["scope"].to_numpy(), return_inverse=True)
         out = {(i, c): np.zeros(replicates) for i in range(len(scopes)) for c in columns}
         values = group[columns].to_numpy(dtype=float)
-        for first, counts in block_counts(name, number, size, replicates, seed, block):
+        for first, counts in block_counts(name, number, size, replicates, seed, block, path):
             for i in range(len(scopes)):
                 own = owner == i
                 found = counts[:, place[own]] @ values[own]
@@ -161,8 +176,10 @@ def replicate_sums(
         return pd.concat(parts)
 
     schema = f"replicate bigint, scope {sums.schema['scope'].dataType.simpleString()}, " + ", ".join(f"`{c}` double" for c in columns)
-    slim = scale.spread_for_cpu(rows.where("_draw is not null"), "_draw", "_block")
-    return slim.groupBy("_draw", "_block").applyInPandas(drawn, schema).groupBy("replicate", "scope").agg(*[F.sum(c).alias(c) for c in columns])
+    # neighbouring blocks come to one task one after the other, as they share most of their path
+    slim = rows.where("_draw is not null").withColumn("_run", F.floor(F.col("_block") / NEIGHBOURS))
+    slim = scale.spread_for_cpu(slim, "_draw", "_run")
+    return slim.groupBy("_draw", "_run", "_block").applyInPandas(drawn, schema).groupBy("replicate", "scope").agg(*[F.sum(c).alias(c) for c in columns])
 
 
 def bootstrap_metrics(
