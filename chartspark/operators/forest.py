@@ -22,6 +22,8 @@ from chartspark.functions.score import SCORE_DOMAIN, heuristic_scores
 from chartspark.operators import design, order
 from chartspark.operators.linear import LinearFit, prediction
 
+SIDE_BY_SIDE = 4
+
 
 def forest_features(df: DataFrame, spec: design.FeatureSpec, medians: dict[str, float], keep: list[str]) -> tuple[DataFrame, list[str]]:
     """Raw features with medians for NULLs, logged word count, mode and market flags."""
@@ -98,13 +100,15 @@ class NodeTable:
 def depth_errors(model: RandomForestRegressionModel, rows: DataFrame, names: list[str], target: str, depths: tuple[int, ...]) -> list[float]:
     """Mean absolute error of the forest cut at each depth."""
     spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast(NodeTable(model))
+    sent = spark.sparkContext.broadcast(vars(NodeTable(model)))  # plain arrays: a broadcast, unlike a function, names its classes
 
     def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes = object.__new__(NodeTable)
+        vars(nodes).update(sent.value)
         for batch in batches:
             if batch.num_rows:
                 x = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))], axis=1)
-                off = np.abs(sent.value.predict(x, depths) - batch.column(len(names)).to_numpy(zero_copy_only=False)[:, None]).sum(axis=0)
+                off = np.abs(nodes.predict(x, depths) - batch.column(len(names)).to_numpy(zero_copy_only=False)[:, None]).sum(axis=0)
                 yield pa.record_batch([pa.array(np.arange(len(depths))), pa.array(off), pa.array([batch.num_rows] * len(depths))], names=["place", "off", "n"])
 
     columns = rows.select(*[F.col(n).cast("double") for n in (*names, target)])
@@ -126,6 +130,7 @@ def search_forest(train: DataFrame, names: list[str], target: str, key: str, gri
     def grown(part: DataFrame, depth: int, leaf: int) -> RandomForestRegressionModel:
         return RandomForestRegressor(
             labelCol=target, featuresCol="features", seed=seed, maxBins=grid.bins, maxDepth=depth, numTrees=grid.trees, minInstancesPerNode=leaf, featureSubsetStrategy="all",
+            cacheNodeIds=True,  # rows know their nodes; otherwise every step sends all trees from the driver to every task
         ).fit(part)
 
     sizes = {r["fold"]: r["count"] for r in rows.groupBy("fold").count().collect()}
@@ -137,7 +142,7 @@ def search_forest(train: DataFrame, names: list[str], target: str, key: str, gri
         found = depth_errors(model, rows.where(F.col("fold") == fold), names, target, grid.depths)
         return [(depth, leaf, fold, mae) for depth, mae in zip(grid.depths, found)]
 
-    with ThreadPool(4) as pool:  # jobs of small steps, side by side
+    with ThreadPool(SIDE_BY_SIDE) as pool:  # jobs of small steps; each holds one growing forest on the driver
         scores = sorted(x for part in pool.map(judged, [(leaf, fold) for leaf in grid.leaves for fold in folds]) for x in part)
     mean = {(d, m): np.mean([e for a, b, _, e in scores if (a, b) == (d, m)]) if folds else 0.0 for d in grid.depths for m in grid.leaves}
     depth, leaf = min(mean, key=lambda s: (mean[s], s))
@@ -157,16 +162,18 @@ def random_partners(df: DataFrame, keys: list[str], columns: list[str], repeats:
     key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
     every = df.withColumn("_key", key).withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     mine, theirs = F.concat_ws(":", "repeat", F.lit(f"{seed}a")), F.concat_ws(":", "repeat", F.lit(f"{seed}b"))
-    hashed = every.withColumn("_h1", design.seeded_hash("_key", mine)).withColumn("_h2", design.seeded_hash("_key", theirs))
+    # written once, as both orders and all their counts read them; the joins are merges, because the size of exploded
+    # rows is guessed from the rows before, and a table of all rows and repeats would be collected for a broadcast
+    hashed = scale.cut_lineage(every.withColumn("_h1", design.seeded_hash("_key", mine)).withColumn("_h2", design.seeded_hash("_key", theirs)))
 
     def place(h: str) -> DataFrame:
         start = order.counted_positions(hashed.select("repeat", h), ["repeat"], h).select("repeat", h, "start")
         # rows of equal key share a start; their order is that of their content
         tie = F.row_number().over(W.partitionBy("repeat", h).orderBy(F.xxhash64(*columns))) - 1
-        return hashed.join(start, ["repeat", h]).withColumn("_at", F.col("start") + tie).drop("start")
+        return hashed.join(start.hint("merge"), ["repeat", h]).withColumn("_at", F.col("start") + tie).drop("start")
 
     partner = place("_h2").select("repeat", "_at", *[F.col(c).alias(f"_p_{c}") for c in columns])
-    return place("_h1").join(partner, ["repeat", "_at"]).drop("_key", "_h1", "_h2", "_at")
+    return place("_h1").join(partner.hint("merge"), ["repeat", "_at"]).drop("_key", "_h1", "_h2", "_at")
 
 
 def permutation_importance(
@@ -185,8 +192,9 @@ def permutation_importance(
     rows = paired.select("repeat", F.col(target).alias("_y"), F.explode(F.array(*variants)).alias("v"))
     vectors = rows.select("repeat", "_y", "v.feature", array_to_vector("v.x").alias("features"))
     scored = model.transform(vectors).groupBy("repeat", "feature").agg(F.avg(F.abs(F.col("_y") - F.col("prediction"))).alias("mae"))
-    base = scored.where("feature = ''").select("repeat", F.col("mae").alias("_base"))
-    rises = scored.where("feature <> ''").join(base, "repeat").withColumn("rise", F.col("mae") - F.col("_base"))
+    # a window over the few scores of a repeat, so that all rows are paired and scored once
+    base = F.max(F.when(F.col("feature") == "", F.col("mae"))).over(W.partitionBy("repeat"))
+    rises = scored.withColumn("rise", F.col("mae") - base).where("feature <> ''")
     out = rises.groupBy("feature").agg(F.avg("rise").alias("importance_mean"), F.stddev_pop("rise").alias("importance_std"))
     return out.withColumn("stable", F.col("importance_mean") - 2 * F.col("importance_std") > 0)
 
