@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chartspark import scale
 from chartspark.functions import dist, score
 from chartspark.operators import linear, order
 
@@ -215,11 +216,30 @@ def gaussian_kde(df: DataFrame, group: str, value: str, grid: list[float]) -> Da
 
 
 def screener_counts(df: DataFrame, market: str, prediction: str, actual: str, hit: Column, quantile: float = 0.78) -> DataFrame:
-    """Rows at or above the market's prediction quantile against the rest: counts, hits, mean and variance of the score."""
-    marked = order.with_quantiles(df, [market], prediction, [quantile], ["_q"])
-    flagged = marked.withColumn("in_top", F.col(prediction) >= F.col("_q")).withColumn("_hit", hit)
+    """Rows at or above the market's prediction quantile against the rest: counts, hits, mean and variance of the score.
+
+    Rows are added up per market and prediction once, and only these sums meet the quantiles. A market's sums are spread over
+    salts, each with its copy of the quantile, so that no task gets a whole market. Squares are taken about the common mean.
+    """
+    k, mean = F.count(actual), F.avg(actual)
+    sums = df.groupBy(F.col(market).alias("_market"), F.col(prediction).alias("_value")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits"), k.alias("_k"), F.coalesce(mean, F.lit(0.0)).alias("_mean"),
+        F.coalesce(F.var_pop(actual) * k, F.lit(0.0)).alias("_within"),
+    )
+    sums = scale.cut_lineage(sums)
+    counts = sums.select("_market", F.col("_value").cast("double").alias("_qv"), "n")
+    placed = order.positions_of_counts(counts, ["_market"], "_qv")
+    edges = placed.groupBy("_market").agg(*order.quantile_columns("_qv", [quantile], ["_q"]))
+    pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = edges.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+    spread = scale.salted_keys(sums, "_salt", pieces, "_value").join(copies, ["_market", "_salt"], "left")
+    centre = sums.agg(F.when(F.sum("_k") > 0, F.sum(F.col("_mean") * F.col("_k")) / F.sum("_k")).alias("_centre"))
+    off = F.col("_mean") - F.col("_centre")
+    flagged = spread.crossJoin(F.broadcast(centre)).withColumn("in_top", F.col("_value") >= F.col("_q"))  # one row
+    shift, total = F.sum(F.col("_k") * off), F.sum("_k")
     return flagged.groupBy("in_top").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("_hit")).alias("hits"), F.avg(actual).alias("mean"), F.var_samp(actual).alias("variance")
+        F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.when(total > 0, F.max("_centre") + shift / total).alias("mean"),
+        F.when(total > 1, (F.sum("_within") + F.sum(F.col("_k") * off * off) - shift * shift / total) / (total - 1)).alias("variance"),
     )
 
 
