@@ -82,8 +82,9 @@ def group_split(df: DataFrame, key: str, share: float = 0.2, seed: int = 42) ->
     """Adds is_test: the first ceil(share * G) groups in hash order; all rows of a group fall on one side."""
     groups = df.select(key).distinct().withColumn("_h", seeded_hash(key, seed)).withColumn("_all", F.lit(1))
     placed = order.counted_positions(groups, ["_all"], "_h")
-    sides = groups.join(placed.select("_h", "start", "total"), "_h")
-    return df.join(sides.select(key, (F.col("start") < F.ceil(F.col("total") * share)).alias("is_test")), key)
+    # merges: the groups of the whole table would be guessed small and sent through the driver in each use of the split
+    sides = groups.join(placed.select("_h", "start", "total").hint("merge"), "_h")
+    return df.join(sides.select(key, (F.col("start") < F.ceil(F.col("total") * share)).alias("is_test")).hint("merge"), key)
 
 
 @dataclass(frozen=True)

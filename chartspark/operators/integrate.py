@@ -20,14 +20,17 @@ def exists_flag(df: DataFrame, other: DataFrame, keys: list[str], out: str) -> D
 def modeling_dataset(
     perf: DataFrame, songs: DataFrame, audio: DataFrame, mapping: DataFrame, lyrics: DataFrame, sampled: DataFrame, key: str
 ) -> DataFrame:
-    """(item, market) grain: performance, metadata, audio, chosen mapping, text features and completeness flags."""
+    """(item, market) grain: performance, metadata, audio, chosen mapping, text features and completeness flags.
+
+    Items grow with the catalogue, and a small file holds many of them: the joins are merges, so that no side passes the driver.
+    """
     chosen = mapping.where("is_selected").select("mapping_id", F.col("is_selected").alias("mapping_is_selected"))
-    mapped = audio.join(chosen, "mapping_id", "left").withColumn("_has_audio", F.lit(True))
+    mapped = audio.join(chosen.hint("merge"), "mapping_id", "left").withColumn("_has_audio", F.lit(True))
     texts = lyrics.withColumn("_has_lyrics", F.lit(True))
     joined = (
-        perf.join(songs.withColumn("release_year", F.year("release_date")), key)
-        .join(mapped, key, "left")
-        .join(texts, key, "left")
+        perf.join(songs.withColumn("release_year", F.year("release_date")).hint("merge"), key)
+        .join(mapped.hint("merge"), key, "left")
+        .join(texts.hint("merge"), key, "left")
         .withColumn("has_audio", F.col("_has_audio").isNotNull())
         .withColumn("has_lyrics_row", F.col("_has_lyrics").isNotNull())
         .withColumn("has_both_rows", F.col("has_audio") & F.col("has_lyrics_row"))

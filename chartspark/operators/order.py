@@ -56,8 +56,9 @@ def positions_of_counts(
     inside = F.sum("n").over(
         W.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     )
+    # the window orders both by bucket; as a merge neither the counted values nor the totals of many keys pass the driver
     return (
-        placed.join(totals.drop("_in"), [*keys, "_bucket"])
+        placed.join(totals.drop("_in").hint("merge"), [*keys, "_bucket"])
         .withColumn("start", F.col("_base") + inside - F.col("n"))
         .drop("_bucket", "_base")
     )
