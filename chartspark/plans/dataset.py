@@ -8,6 +8,7 @@ from chartspark.functions import clean, score
 from chartspark.operators import chart, design, integrate, order, quality
 from chartspark.plans import shapes as S
 from chartspark.plans.book import PlanBook
+from chartspark.scale import cut_lineage
 
 PLANS = PlanBook()
 
@@ -33,9 +34,11 @@ _FLAGS = ["has_audio", "has_lyrics_row", "has_both_rows", "is_sampled"]
 
 
 def modeling(spark, sf):
+    # performance and sample come from the same charts, whose filters differ too much for Spark to share the work on all line items
+    weeks = cut_lineage(S.weekly(spark, sf))
     return integrate.modeling_dataset(
-        S.perf(spark, sf), S.songs(spark, sf), S.audio(spark, sf), S.mapping(spark, sf), S.lyric_rows(spark, sf),
-        S.sample(spark, sf), "track",
+        S.perf(spark, sf, weeks), S.songs(spark, sf), S.audio(spark, sf), S.mapping(spark, sf), S.lyric_rows(spark, sf),
+        S.sample(spark, sf, weeks), "track",
     )
 
 

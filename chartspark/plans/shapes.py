@@ -19,15 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def supplier_market(spark: SparkSession, sf: str) -> DataFrame:
     nation = table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
     region = table(spark, sf, "region").select("r_regionkey", F.col("r_name").alias("market"))
-    places = nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "market")
+    places = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey).select("n_nationkey", "market")
     supplier = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
-    return supplier.join(places, supplier.s_nationkey == places.n_nationkey).select("s_suppkey", "market")
+    # nations and regions are a fixed number of rows; suppliers grow and are never the broadcast side
+    return supplier.join(F.broadcast(places), supplier.s_nationkey == places.n_nationkey).select("s_suppkey", "market")
 
 
 def line_market(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    """Line items with their market."""
+    """Line items with their market; they are dealt by supplier but not ordered, and meet a table of the task's suppliers."""
     line = table(spark, sf, "lineitem").select("l_suppkey", *columns)
-    where = supplier_market(spark, sf)
+    where = supplier_market(spark, sf).hint("shuffle_hash")
     return line.join(where, line.l_suppkey == where.s_suppkey).drop("l_suppkey", "s_suppkey")
 
 
@@ -53,8 +54,8 @@ weekly AS (
                  FROM week_sales) WHERE rank <= 200)"""
 
 
-def perf(spark: SparkSession, sf: str) -> DataFrame:
-    return chart.chart_performance(weekly(spark, sf), "track")
+def perf(spark: SparkSession, sf: str, weeks: DataFrame | None = None) -> DataFrame:
+    return chart.chart_performance(weekly(spark, sf) if weeks is None else weeks, "track")
 
 
 PERF = WEEKLY + """,
@@ -130,11 +131,12 @@ def lyric_rows(spark: SparkSession, sf: str) -> DataFrame:
     """One row of text counts per document; quality labels stand for the partly missing counts."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "n_chars")
     labels = table(spark, sf, "labels")
-    words = F.split(F.trim("text"), r"\s+")
+    words = F.col("words")
     lines = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
     n, u = F.col("word_count"), F.col("unique_word_count")
     return (
-        docs.select(
+        # an exploded value is made once; a plain column would be cut again for each count and filter
+        docs.select("*", F.explode(F.array(F.split(F.trim("text"), r"\s+"))).alias("words")).select(
             F.col("doc_id").alias("track"),
             F.size(words).alias("word_count"),
             F.size(F.array_distinct(words)).alias("unique_word_count"),
@@ -142,7 +144,7 @@ def lyric_rows(spark: SparkSession, sf: str) -> DataFrame:
             F.col("lang").alias("language"),
             F.col("n_chars"),
         )
-        .join(labels.withColumnRenamed("doc_id", "track"), "track", "left")
+        .join(labels.withColumnRenamed("doc_id", "track").hint("merge"), "track", "left")
         .select(
             "track",
             "word_count",
@@ -173,8 +175,8 @@ lyric_rows AS (
   FROM lyric_words d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
-def quarter_rank(spark: SparkSession, sf: str) -> DataFrame:
-    dated = weekly(spark, sf).withColumn("quarter", quarter_label("chart_date"))
+def quarter_rank(spark: SparkSession, sf: str, weeks: DataFrame | None = None) -> DataFrame:
+    dated = (weekly(spark, sf) if weeks is None else weeks).withColumn("quarter", quarter_label("chart_date"))
     return chart.best_rank(dated.where("quarter is not null"), ["market", "quarter", "track"])
 
 
@@ -184,8 +186,8 @@ quarter_rank AS (
          MIN(rank) AS rank FROM weekly GROUP BY 1, 2, 3)"""
 
 
-def sample(spark: SparkSession, sf: str) -> DataFrame:
-    picked = chart.stratified_sample(quarter_rank(spark, sf), "track", ["market", "quarter"], seed=SEED)
+def sample(spark: SparkSession, sf: str, weeks: DataFrame | None = None) -> DataFrame:
+    picked = chart.stratified_sample(quarter_rank(spark, sf, weeks), "track", ["market", "quarter"], seed=SEED)
     return picked.select(
         "track", "market", F.substring("quarter", 1, 4).cast("int").alias("year"), "quarter", "rank_stratum", "sampled"
     )
