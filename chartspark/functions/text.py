@@ -21,6 +21,9 @@ from chartspark.functions.language_rules import (
 
 JOINER = "\u001f"
 _BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
+# the same characters one by one
+_BLANKS = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_VISIBLE = r"[^\s\x1c-\x1f\x85\p{Z}]"
 
 
 @F.pandas_udf(T.StringType())
@@ -36,7 +39,7 @@ def nfc(c: str | Column) -> Column:
 
 def strip(c: str | Column) -> Column:
     """Without blanks of any script at both ends."""
-    return F.regexp_replace(col(c), f"^{_BLANK}+|{_BLANK}+$", "")
+    return F.btrim(col(c), F.lit(_BLANKS))
 
 
 def normalize_text(c: str | Column) -> Column:
@@ -61,6 +64,14 @@ def casefold(c: Column) -> Column:
     return F.replace(F.translate(F.lower(c), _FOLD_FROM, _FOLD_TO), F.lit("ß"), F.lit("ss"))
 
 
+def _plain(text: Column) -> Column:
+    """Only characters up to U+02FF whose lower case is their whole fold (but for the sharp s) and, like them, one letter."""
+    other = text.rlike("[^\\x00-\\u02ff]")
+    for c in "µİſ":
+        other = other | text.contains(c)
+    return ~other
+
+
 def clean_tokens(raw: Column) -> Column:
     """Folded tokens without edge marks; tokens without a letter or number drop out."""
     marks = re.escape(EDGE_MARKS).replace('"', '\\"')
@@ -69,11 +80,18 @@ def clean_tokens(raw: Column) -> Column:
 
 
 def tokenize(text: str | Column, language: str | Column, rules: LyricRules = DEFAULT_RULES) -> Column:
-    """Token array: blank-separated for some languages, Unicode words else; section tags are no words."""
+    """Token array: blank-separated for some languages, Unicode words else; section tags are no words.
+
+    A plain text is folded whole before its words are cut: its letters stay letters, and words begin and end with one, so that
+    nothing is left to do for each word.
+    """
     body = F.regexp_replace(col(text), SECTION_TAG, " ")
+    word = F.lit(f"({WORD_PATTERN})")
     by_blank = F.filter(F.split(body, f"{_BLANK}+"), lambda t: t != "")
-    by_word = F.regexp_extract_all(body, F.lit(f"({WORD_PATTERN})"), F.lit(1))
-    return clean_tokens(F.when(col(language).isin(rules.blank_languages), by_blank).otherwise(by_word))
+    by_word = F.regexp_extract_all(body, word, F.lit(1))
+    blank = F.coalesce(col(language).isin(rules.blank_languages), F.lit(False))
+    plain = F.regexp_extract_all(F.replace(F.lower(body), F.lit("ß"), F.lit("ss")), word, F.lit(1))
+    return F.when(~blank & _plain(col(text)), plain).otherwise(clean_tokens(F.when(blank, by_blank).otherwise(by_word)))
 
 
 def punctuation_count(text: Column) -> Column:
@@ -174,14 +192,17 @@ def with_chorus_repetition(df: DataFrame, text: str, out: str, rules: LyricRules
 
     Equal texts are searched once; texts without a repeated line of three or more characters are not searched.
     """
-    tags = F.regexp_count(F.col(text), F.lit(CHORUS_TAG))
-    rows = df.withColumns({"_tags": tags, "_lines": chorus_lines(F.col(text)), "_text_key": F.md5(F.col(text).cast("binary"))})
+    tags, lines = F.regexp_count(F.col(text), F.lit(CHORUS_TAG)), chorus_lines(F.col(text))
+    key = F.md5(F.col(text).cast("binary"))
+    # an exploded value is made once; a plain column would be made again in each condition of the filter
+    cut = df.select(key.alias("_text_key"), F.explode(F.array(F.when(tags < 2, lines))).alias("_lines"))
     anchors = F.filter("_lines", lambda x: F.length(x) >= 3)
-    worth = (F.col("_tags") < 2) & (F.size("_lines") >= 2 * rules.min_block_lines) & (F.size(anchors) > F.size(F.array_distinct(anchors)))
-    searched = rows.where(worth).select("_text_key", "_lines").dropDuplicates(["_text_key"])
+    worth = (F.size("_lines") >= 2 * rules.min_block_lines) & (F.size(anchors) > F.size(F.array_distinct(anchors)))
+    searched = cut.where(worth).dropDuplicates(["_text_key"])
+    rows = df.withColumns({"_tags": tags, "_sung_lines": F.when(tags == 1, F.size(lines)), "_text_key": key})
     rows = rows.join(repeated_blocks(searched, "_text_key", "_lines", rules), "_text_key", "left")
-    count = F.when(F.col("_tags") >= 2, F.col("_tags") - 1).when(F.col("repeats") >= 1, F.col("repeats")).when((F.col("_tags") == 1) & (F.size("_lines") >= 2), F.lit(0))
-    return rows.withColumn(out, count).drop("_tags", "_lines", "_text_key", "repeats")
+    count = F.when(F.col("_tags") >= 2, F.col("_tags") - 1).when(F.col("repeats") >= 1, F.col("repeats")).when(F.col("_sung_lines") >= 2, F.lit(0))
+    return rows.withColumn(out, count).drop("_tags", "_sung_lines", "_text_key", "repeats")
 
 
 # ---- features --------------------------------------------------------------------------------------
@@ -197,16 +218,15 @@ def lyric_features(
     df: DataFrame, text: str, title: str, language: str, rules: LyricRules = DEFAULT_RULES, chorus: bool = True
 ) -> DataFrame:
     """The ten text features per row; a blank text has none, a missing measure stays NULL."""
-    base = scale.enough_partitions(df).withColumn("_raw", nfc(text)).withColumn("_trim", strip("_raw"))
-    has_text = F.coalesce(F.col("_trim") != "", F.lit(False))
-    base = base.withColumn("_tokens", F.when(has_text, tokenize(normalize_text("_raw"), language, rules)))
-    if chorus:
-        base = with_chorus_repetition(base.withColumn("_sung", F.when(has_text, F.col("_raw"))), "_sung", "_chorus", rules)
+    base = scale.enough_partitions(df).withColumn("_raw", nfc(text))
+    has_text = F.coalesce(F.col("_raw").rlike(_VISIBLE), F.lit(False))
+    base = base.withColumn("_tokens", F.when(has_text, tokenize("_raw", language, rules)))  # blanks between words need no tidying
     tokens = F.col("_tokens")
     base = base.withColumn("_n", F.size(tokens)).withColumn("_u", F.size(F.array_distinct(tokens)))
     n, u = F.col("_n"), F.col("_u")
     some = has_text & (n > 0)
-    lines = F.size(F.filter(F.split("_raw", r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85  ]"), lambda x: strip(x) != ""))
+    trimmed = strip("_raw")
+    lines = F.size(F.filter(F.split("_raw", r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85  ]"), lambda x: x.rlike(_VISIBLE)))
     letters = F.aggregate(tokens, F.lit(0), lambda acc, t: acc + F.length(t))
     title_set = title_content(nfc(F.coalesce(title, F.lit(""))), language, rules)
     pronouns = pronoun_tokens(tokens, language, rules)
@@ -219,12 +239,17 @@ def lyric_features(
         F.when(some, (n - u) / n).alias("repetition_ratio"),
         F.when(some, letters / n).alias("avg_word_length"),
         F.when(has_text & (lines > 0), lines).alias("line_count"),
-        (F.when(some, F.col("_chorus")) if chorus else F.lit(None)).cast("int").alias("chorus_repetition_count"),
+        F.when(some, F.col("_raw")).alias("_chorus"),
         F.when(F.size("_title") > 0, F.arrays_overlap("_title", "_tokens")).alias("title_word_in_lyrics"),
-        F.when(has_text, punctuation_count(F.col("_trim")) / F.length("_trim")).alias("punctuation_ratio"),
+        F.when(has_text, punctuation_count(trimmed) / F.length(trimmed)).alias("punctuation_ratio"),
         F.when(some, pronouns / n).alias("pronoun_ratio"),
     )
-    return out
+    # the search for repeated lines comes last, as rows then move without their words
+    if chorus:
+        out = with_chorus_repetition(out.withColumnRenamed("_chorus", "_sung"), "_sung", "_chorus", rules)
+    else:
+        out = out.withColumn("_chorus", F.lit(None))
+    return out.select(*df.columns, *[F.col("_chorus").cast("int").alias(c) if c == "chorus_repetition_count" else F.col(c) for c in FEATURES])
 
 
 def extraction_status(
