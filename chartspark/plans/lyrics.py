@@ -108,7 +108,7 @@ def pronoun_ratio(spark, sf):
 )
 def rules_from_file(spark, sf):
     """A rule file with the twenty commonest words of each language as its pronouns is written, read and applied."""
-    base = documents(spark, sf).select("doc_id", "language", X.tokenize(X.normalize_text(X.nfc("text")), "language").alias("t"))
+    base = scale.enough_partitions(documents(spark, sf).select("doc_id", "language", "text")).select("doc_id", "language", X.tokenize(X.nfc("text"), "language").alias("t"))
     words = base.select("language", F.explode("t").alias("word")).where(F.col("word").rlike("^[a-z]+$") & F.col("language").isNotNull())
     counts = words.groupBy("language", "word").agg(F.count(F.lit(1)).alias("n"))
     best = top_positions(counts, ["language"], [F.desc("n"), F.asc("word")], 20, out="place").groupBy("language").agg(F.array_sort(F.collect_list("word")).alias("words"))
