@@ -178,7 +178,7 @@ def decision_on_titles(spark, sf):
 
 def evidence(spark, sf):
     """Line items as candidates of their order, with evidence columns taken from their numbers."""
-    line = S.table(spark, sf, "lineitem")
+    line = scale.pieces_of(S.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_discount"), "l_orderkey")
     none = F.array().cast("array<string>")
     # one row per (order, part): the table repeats line numbers
     return line.groupBy(F.col("l_orderkey").alias("song"), F.col("l_partkey").alias("number")).agg(
