@@ -4,6 +4,8 @@ Every run of three words is linked to its next occurrence at least one block fur
 however often a run occurs. Links of one offset whose places follow each other are exact repeats; repeats that follow each
 other closely at nearly the same offset are chained into one section with changed words. Only chains are compared word by
 word. A block then stretches over its neighbouring words as far as the similarity allows. Sections are chosen greedily, the longest and most alike first, so that no word counts twice.
+
+Links and runs are sought inside a text's row; what is shuffled are runs, and the words of texts that may have a chain.
 """
 
 from __future__ import annotations
@@ -13,15 +15,23 @@ from bisect import bisect_right
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chartspark.functions.text import col, nfc
+from chartspark import scale
+from chartspark.functions.text import JOINER, nfc
 
 _PAIR = T.StructType([*[T.StructField(n, T.IntegerType()) for n in ("a", "a_end", "b", "b_end")], T.StructField("similarity", T.DoubleType())])
+_RUN = T.StructType([T.StructField(n, T.IntegerType()) for n in ("offset", "start", "words")])
+
+#: Bytes of texts that are looked at together; a longer text is looked at alone.
+PIECE_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -43,7 +53,75 @@ DEFAULT_RULES = SectionRules()
 def section_tokens(text: str | Column) -> Column:
     """Lower-case words without section tags and punctuation."""
     body = F.regexp_replace(F.lower(nfc(text)), r"\[[^\]]*\]", " ")
-    return F.filter(F.split(F.regexp_replace(body, r"[^\p{L}\p{N}_]+", " "), " "), lambda x: x != "")
+    return F.array_remove(F.split(F.regexp_replace(body, r"[^\p{L}\p{N}_]+", " "), " "), "")
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """True where a row differs from the row before, and for the first row."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return new
+
+
+def _links(words: np.ndarray, text: np.ndarray, rules: SectionRules) -> tuple[np.ndarray, np.ndarray]:
+    """Places of seeds and how much later they stand again, at least a block; words are numbers, text is the text of each."""
+    k = rules.seed_words
+    at = np.flatnonzero(text[: len(text) - k + 1] == text[k - 1 :])
+    mixed = text[at].astype(np.uint64)
+    for i in range(k):
+        mixed = (mixed ^ words[at + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    order = np.argsort(mixed)
+    new = np.append(_changes(mixed[order]), True)
+    at = at[order[~(new[:-1] & new[1:])]]  # the few that may stand again are told apart by their words
+    seed = [text[at], *(words[at + i] for i in range(k))]
+    order = np.lexsort((at, *seed[::-1]))
+    at = at[order]
+    group = np.cumsum(_changes(*(c[order] for c in seed)))
+    place = group * (len(words) + rules.min_words) + at
+    later = np.searchsorted(place, place + rules.min_words)
+    known = np.flatnonzero(later < len(at))
+    known = known[group[later[known]] == group[known]]
+    return at[known], at[later[known]] - at[known]
+
+
+def _runs_of(texts: pa.Array, rules: SectionRules) -> pa.ListArray:
+    """The runs of each text, given as joined words: links of one offset whose places follow each other."""
+    lists = pc.split_pattern(texts, JOINER)
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    first = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    words = lists.flatten().dictionary_encode().indices.to_numpy()
+    at, offset = _links(words, text, rules) if len(words) >= rules.seed_words else (first[:0], first[:0])
+    order = np.lexsort((at, offset, text[at]))
+    at, offset = at[order], offset[order]
+    starts = np.flatnonzero(_changes(text[at], offset, at - np.arange(len(at))))
+    length = np.diff(starts, append=len(at)) + (rules.seed_words - 1)
+    owner = text[at[starts]]
+    values = [offset[starts], at[starts] - first[owner], length]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sizes)))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(v, pa.int32()) for v in values], _RUN.names))
+
+
+def _with_runs(df: DataFrame, key: str, tokens: str, rules: SectionRules) -> DataFrame:
+    """(key, n, _joined, _runs) of every text, n being the number of its words; made in one pass over the words, without a shuffle.
+
+    Words are joined on their way to Python, so none may hold the joiner; texts shorter than two blocks have neither words nor runs.
+    """
+
+    def listed(texts: pa.Array) -> pa.Array:
+        texts = texts.cast(pa.large_string())
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        parts, at = [_runs_of(texts[:0], rules)], 0
+        while at < len(texts):
+            stop = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE_BYTES, side="right")), at + 1)
+            parts.append(_runs_of(texts[at:stop], rules))
+            at = stop
+        return pa.concat_arrays(parts)
+
+    runs = F.arrow_udf(listed, T.ArrayType(_RUN)).asNondeterministic()  # so that no rule evaluates it twice
+    joined = F.when(F.size(tokens) >= 2 * rules.min_words, F.array_join(tokens, JOINER, ""))
+    return df.select(key, F.size(tokens).alias("n"), joined.alias("_joined")).select("*", runs("_joined").alias("_runs"))
 
 
 def section_runs(df: DataFrame, key: str, tokens: str, rules: SectionRules = DEFAULT_RULES) -> DataFrame:
@@ -51,16 +129,13 @@ def section_runs(df: DataFrame, key: str, tokens: str, rules: SectionRules = DEF
 
     n is the number of the text's words. Texts shorter than two blocks have no runs; key is one row a text.
     """
-    k = rules.seed_words
-    texts = df.where(F.size(tokens) >= 2 * rules.min_words)
-    seeds = F.transform(F.sequence(F.lit(1), F.size(tokens) - (k - 1)), lambda i: F.xxhash64(F.slice(tokens, i, k)))
-    rows = texts.select(key, F.size(tokens).alias("n"), F.posexplode(seeds).alias("at", "seed"))
-    # in descending order the frame holds all later places that are far enough, so it only grows
-    later = W.partitionBy(key, "seed").orderBy(F.col("at").desc()).rangeBetween(W.unboundedPreceding, -rules.min_words)
-    linked = rows.withColumn("offset", F.min("at").over(later) - F.col("at")).where("offset IS NOT NULL")
-    island = F.col("at") - F.row_number().over(W.partitionBy(key, "offset").orderBy("at"))
-    runs = linked.withColumn("island", island).groupBy(key, "n", "offset", "island").agg(F.min("at").alias("start"), F.count(F.lit(1)).alias("links"))
-    return runs.select(key, "n", "offset", "start", (F.col("links") + (k - 1)).cast("int").alias("words"))
+    return _with_runs(df, key, tokens, rules).select(key, "n", F.inline("_runs"))
+
+
+def _stored(df: DataFrame, key: str, tokens: str, rules: SectionRules) -> DataFrame:
+    """Texts with their runs, written once; a chain takes two runs, so only texts with as many keep their words."""
+    words = F.when(F.size("_runs") > 1, F.split("_joined", JOINER))
+    return scale.cut_lineage(_with_runs(df, key, tokens, rules).select(key, "n", "_runs", words.alias("_words")))
 
 
 def _chains(runs: DataFrame, key: str, rules: SectionRules) -> DataFrame:
@@ -83,7 +158,7 @@ def _chains(runs: DataFrame, key: str, rules: SectionRules) -> DataFrame:
     return chained.unionByName(single).distinct()
 
 
-def section_candidates(df: DataFrame, key: str, tokens: str, rules: SectionRules = DEFAULT_RULES) -> DataFrame:
+def _candidates(texts: DataFrame, key: str, rules: SectionRules) -> DataFrame:
     """(key, n, a, a_end, b, b_end, similarity, period): pairs of blocks, b after a, that match as they are.
 
     A block beyond the longest is cut into such blocks. A run that reaches into its own copy is a period; its longest multiple that
@@ -95,7 +170,7 @@ def section_candidates(df: DataFrame, key: str, tokens: str, rules: SectionRules
     reach = length + shift
     stride = shift * F.greatest(F.lit(1), F.least(F.floor(reach / (shift * 2)), F.floor(F.lit(high) / shift)))
     move, size, step = F.when(periodic, stride).otherwise(shift), F.when(periodic, stride).otherwise(high), F.when(periodic, stride * 2).otherwise(high)
-    rows = _chains(section_runs(df, key, tokens, rules), key, rules).where((length >= low) & (F.col("b_end") - F.col("b") >= low))
+    rows = _chains(texts.select(key, "n", F.inline("_runs")), key, rules).where((length >= low) & (F.col("b_end") - F.col("b") >= low))
     rows = rows.withColumns({"period": periodic, "move": move, "size": size, "step": step.cast("int"), "stop": F.when(periodic, F.col("a_end") + shift - stride).otherwise(F.col("a_end")).cast("int")})
     parts = rows.withColumn("p", F.explode(F.sequence(F.col("a"), F.col("stop") - 1, F.col("step"))))
     whole = (F.col("step") == high) & (F.col("a_end") - F.col("a") <= high)
@@ -106,7 +181,7 @@ def section_candidates(df: DataFrame, key: str, tokens: str, rules: SectionRules
     la, lb = F.col("a_end") - F.col("a"), F.col("b_end") - F.col("b")
     near = F.floor(la * (1 - rules.length_difference)).cast("int"), F.floor(la * (1 + rules.length_difference)).cast("int")
     parts = parts.where((la >= low) & (F.col("a_end") <= F.col("b")) & (lb >= low) & (lb <= high) & (lb >= near[0]) & (lb <= near[1]))
-    compared = parts.where(~F.col("exact")).join(df.select(key, F.col(tokens).alias("_words")), key)
+    compared = parts.where(~F.col("exact")).join(texts.where("_words IS NOT NULL").select(key, "_words"), key)
     cut = lambda a, b: F.array_join(F.slice("_words", F.col(a) + 1, F.col(b) - F.col(a)), " ")
     compared = compared.withColumn("similarity", sequence_similarity(cut("a", "a_end"), cut("b", "b_end"))).where(F.col("similarity") >= rules.similarity)
     columns = [key, "n", "a", "a_end", "b", "b_end", "similarity", "period"]
@@ -119,6 +194,9 @@ def sequence_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a.split(), b.split(), autojunk=False).ratio() for a, b in zip(left, right)], dtype="float64")
 
 
+sequence_similarity = sequence_similarity.asNondeterministic()  # so that a filter does not evaluate it a second time
+
+
 def stretched(n: int, pair: tuple, rules: SectionRules) -> tuple:
     """Both blocks of a pair longer by equally many words, to the left first, as far as text, the other block and similarity allow."""
     a, a_end, b, b_end, similarity, period = pair
@@ -155,14 +233,17 @@ def repeated_sections(df: DataFrame, key: str, tokens: str, rules: SectionRules
 
     A text is one row; its candidates, at most a few for eight words, are chosen together.
     """
+    return _sections(_stored(df, key, tokens, rules), key, rules)
+
 
+def _sections(texts: DataFrame, key: str, rules: SectionRules) -> DataFrame:
     names = _PAIR.names
 
     @F.pandas_udf(T.ArrayType(_PAIR))
     def choice(sizes: pd.Series, lists: pd.Series) -> pd.Series:
         return pd.Series([[dict(zip(names, p)) for p in chosen(n, [tuple(row[c] for c in (*names, "period")) for row in rows], rules)] for n, rows in zip(sizes, lists)])
 
-    lists = section_candidates(df, key, tokens, rules).groupBy(key, "n").agg(F.collect_list(F.struct(*names, "period")).alias("all"))
+    lists = _candidates(texts, key, rules).groupBy(key, "n").agg(F.collect_list(F.struct(*names, "period")).alias("all"))
     return lists.select(key, F.explode(choice("n", "all")).alias("one")).select(key, "one.*")
 
 
@@ -171,10 +252,11 @@ def section_repetition(df: DataFrame, key: str, tokens: str, rules: SectionRules
 
     Repeated keys are not allowed; NULL tokens count as none.
     """
-    size = F.coalesce(F.size(tokens), F.lit(0))
-    counts = repeated_sections(df, key, tokens, rules).groupBy(key).agg(
+    texts = _stored(df, key, tokens, rules)
+    size = F.coalesce("n", F.lit(0))
+    counts = _sections(texts, key, rules).groupBy(key).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(F.col("a_end") - F.col("a") + F.col("b_end") - F.col("b")).alias("_w")
     )
     status = F.when(size <= 0, "empty_lyrics").when(size < 2 * rules.min_words, "insufficient_lyrics").otherwise("success")
     known = lambda c: F.when(F.col("status") == "success", F.coalesce(F.col(c), F.lit(0)))
-    return df.select(key, status.alias("status")).join(counts, key, "left").select(key, known("_n").alias("sections"), known("_w").alias("section_words"), "status")
+    return texts.select(key, status.alias("status")).join(counts, key, "left").select(key, known("_n").alias("sections"), known("_w").alias("section_words"), "status")

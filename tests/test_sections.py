@@ -122,3 +122,46 @@ def test_counts_and_states(spark):
 def test_tokens(spark):
     df = spark.createDataFrame([("[Chorus: A]\nIt's ÉTÉ,  été -- 12_3! x", ), ("",), (None,)], "t string")
     assert [r.t for r in df.select(S.section_tokens("t").alias("t")).collect()] == [["it", "s", "été", "été", "12_3", "x"], [], None]
+
+
+def runs_by_definition(tokens, k=3, low=8):
+    """Links of each run of three words to its next occurrence a block further on, put together where places follow each other."""
+    later, links = {}, {}
+    for i in range(len(tokens) - k, -1, -1):
+        places = later.setdefault(tuple(tokens[i : i + k]), [])
+        nearest = next((p for p in reversed(places) if p - i >= low), None)  # the nearest place comes last
+        if nearest is not None:
+            links.setdefault(nearest - i, set()).add(i)
+        places.append(i)
+    out = []
+    for offset, places in links.items():
+        for start in sorted(p for p in places if p - 1 not in places):
+            end = next(p for p in range(start, len(tokens)) if p not in places)
+            out.append((len(tokens), offset, start, end - start + k - 1))
+    return sorted(out) if len(tokens) >= 2 * low else []
+
+
+def test_runs_are_found_inside_a_text_and_no_word_is_shuffled(spark):
+    rng = np.random.default_rng(6)
+    texts = [words(rng, int(rng.integers(0, 90)), size) for size in (1, 2, 3, 5, 10**9) for _ in range(12)]
+    chorus = words(rng, 20)
+    texts += [chorus, chorus, [], chorus[:15], ["", *chorus, "", *chorus], words(rng, 150_000) + chorus * 2, words(rng, 3_000, 40), chorus * 2]
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "id int, tokens array<string>")
+    runs = S.section_runs(df.coalesce(1), "id", "tokens")
+    got = {i: [] for i in range(-1, len(texts))}
+    for r in runs.collect():
+        got[r.id].append(tuple(r)[1:])
+    assert got.pop(-1) == []
+    for i, text in enumerate(texts):
+        assert sorted(got[i]) == runs_by_definition(text), i
+    assert "Exchange hashpartitioning" not in S.section_runs(df, "id", "tokens")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_are_cut_and_compared_once(spark):
+    rng = np.random.default_rng(7)
+    block = words(rng, 20)
+    df = spark.createDataFrame([(1, " ".join([*block, "a", "b", *block[:9], "x", *block[10:]]))], "id int, t string").select("id", S.section_tokens("t").alias("tokens"))
+    out = S.section_repetition(df, "id", "tokens")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in out.collect()] == [(1, 1, 42, "success")]
+    assert "regexp_replace" not in plan and sum("ArrowEvalPython [sequence_similarity" in line for line in plan.split("\n")) == 1
