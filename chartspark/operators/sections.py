@@ -133,8 +133,10 @@ def section_runs(df: DataFrame, key: str, tokens: str, rules: SectionRules = DEF
 
 
 def _stored(df: DataFrame, key: str, tokens: str, rules: SectionRules) -> DataFrame:
-    """Texts with their runs, written once; a chain takes two runs, so only texts with as many keep their words."""
-    words = F.when(F.size("_runs") > 1, F.split("_joined", JOINER))
+    """Texts with their runs, written once. Only texts that may have a chain, two runs whose offsets could share a band, keep their words."""
+    offsets = F.sort_array("_runs.offset")
+    nearest = F.array_min(F.zip_with(offsets, F.slice(offsets, 2, F.size(offsets)), lambda low, high: high - low))
+    words = F.when(nearest < rules.offset_band, F.split("_joined", JOINER))
     return scale.cut_lineage(_with_runs(df, key, tokens, rules).select(key, "n", "_runs", words.alias("_words")))
 
 
