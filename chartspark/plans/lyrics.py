@@ -69,9 +69,12 @@ def tokenize(spark, sf):
     FROM (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents)""",
 )
 def punctuation(spark, sf):
+    """A blank text has no characters to divide by: its ratio is NaN, as in SQL; a NULL text has none."""
     docs = S.table(spark, sf, "documents").select("doc_id", X.strip("text").alias("t"))
-    marks = X.punctuation_count(F.col("t"))
-    return docs.select("doc_id", marks.cast("bigint").alias("marks"), F.round(marks / F.length("t"), 6).alias("ratio"))
+    marks, chars = X.punctuation_count(F.col("t")), F.length("t")
+    # the choice is made in the divisor: inside a branch the marks would be counted a second time
+    chars = F.when(chars == 0, F.lit(float("nan"))).otherwise(chars)
+    return docs.select("doc_id", marks.cast("bigint").alias("marks"), F.round(marks / chars, 6).alias("ratio"))
 
 
 @PLANS.add(
